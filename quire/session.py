@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = task_count(df.sparkSession)
     return df.repartition(n, *keys) if keys else df.repartition(n)
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers, once for each context.
+
+    Spark's file server delivers the archive, so executors need no path of this
+    machine, nor the package on their own.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_quire_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quire-")) / "quire.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(archive))
+    sc._quire_shipped = True
