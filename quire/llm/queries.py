@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import confusables, dedup, pieces, sentences, tables, tokens
+from quire.llm import align, confusables, dedup, pieces, sentences, tables, tokens
 from quire.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return unit.unionByName(segment)
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences of parallel documents that render one another."""
+    return align.align(tables.parallel(spark, folder)).select("doc_id", "original_seq", "translation_seq")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sentence starts of e-book units and current segments' translations."""
     texts = spread(_texts(spark, folder))
