@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
@@ -82,48 +83,97 @@ class Lexicon:
 PAIR_SCHEMA = "pair string, s array<int>, t array<int>"
 
 
-def _expect(rows: Iterator[tuple[str, list[int], list[int]]], lex: Lexicon | None) -> Iterator[tuple[str, int, int, float, float]]:
-    """Expected counts of word pairs, forward and backward; without a lexicon plain co-occurrence."""
-    counts: dict[tuple[str, int, int], list[float]] = {}
-    for pair, s, t in rows:
-        if lex is None:
-            for a in s:
-                for b in t:
-                    counts.setdefault((pair, a, b), [0.0, 0.0])[0] += 1
-            continue
-        fwd, bwd = lex.forward.get(pair, {}), lex.backward.get(pair, {})
-        here = set(t)
-        hits = [(a, b, p) for a in s for b, p in fwd.get(a, {}).items() if b in here]
-        total: dict[int, float] = {}
-        for _, b, p in hits:
-            total[b] = total.get(b, 0.0) + p
-        for a, b, p in hits:
-            counts.setdefault((pair, a, b), [0.0, 0.0])[0] += p / total[b]
-        here = set(s)
-        hits = [(a, b, p) for b in t for a, p in bwd.get(b, {}).items() if a in here]
-        total = {}
-        for a, _, p in hits:
-            total[a] = total.get(a, 0.0) + p
-        for a, b, p in hits:
-            counts.setdefault((pair, a, b), [0.0, 0.0])[1] += p / total[a]
-        if len(counts) > 1_000_000:
-            yield from ((*k, *v) for k, v in counts.items())
-            counts = {}
-    yield from ((*k, *v) for k, v in counts.items())
+#: Word pairs handled at once, which bounds a task's memory.
+AT_ONCE = 2_000_000
+
+
+@dataclass
+class Packed:
+    """A lexicon as sorted keys (language pair, source cell, target cell) with both probabilities."""
+
+    names: dict[str, int]
+    keys: np.ndarray
+    forward: np.ndarray
+    backward: np.ndarray
+
+
+def pack(lex: Lexicon) -> Packed:
+    """The sorted form of a lexicon."""
+    names = {p: i for i, p in enumerate(sorted({*lex.forward, *lex.backward}))}
+    both: dict[int, list[float]] = {}
+    for p, i in names.items():
+        for a, row in lex.forward.get(p, {}).items():
+            for b, v in row.items():
+                both.setdefault((i * CELLS + a) * CELLS + b, [0.0, 0.0])[0] = v
+        for b, row in lex.backward.get(p, {}).items():
+            for a, v in row.items():
+                both.setdefault((i * CELLS + a) * CELLS + b, [0.0, 0.0])[1] = v
+    keys = np.fromiter(both, dtype=np.int64, count=len(both))
+    order = np.argsort(keys)
+    values = np.array(list(both.values()), dtype=float).reshape(-1, 2)
+    return Packed(names, keys[order], values[order, 0], values[order, 1])
+
+
+def _expect(pairs: list[str], s: list[np.ndarray], t: list[np.ndarray], lex: Packed | None) -> pd.DataFrame:
+    """(pair, a, b, f, g): expected counts of word pairs, forward and backward; without a lexicon plain co-occurrence."""
+    if lex is not None:
+        use = [i for i, p in enumerate(pairs) if p in lex.names]
+        pairs, s, t = [pairs[i] for i in use], [s[i] for i in use], [t[i] for i in use]
+    names = lex.names if lex is not None else {p: i for i, p in enumerate(sorted(set(pairs)))}
+    empty = pd.DataFrame({"pair": [], "a": [], "b": [], "f": [], "g": []})
+    if not pairs:
+        return empty
+    ns, nt = np.array([len(x) for x in s]), np.array([len(x) for x in t])
+    label = np.array([names[p] for p in pairs], dtype=np.int64)
+    # Every word of a sentence with every word of its partner: positions in the joined lists.
+    at_s = np.repeat(np.arange(ns.sum()), np.repeat(nt, ns))
+    starts = np.concatenate([[0], np.cumsum(nt)[:-1]])
+    size = ns * nt
+    within = np.arange(size.sum()) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    at_t = np.repeat(starts, size) + within % np.repeat(np.maximum(nt, 1), size)
+    all_s = np.concatenate(s).astype(np.int64) if ns.sum() else np.zeros(0, np.int64)
+    all_t = np.concatenate(t).astype(np.int64) if nt.sum() else np.zeros(0, np.int64)
+    key = (np.repeat(label, size) * CELLS + all_s[at_s]) * CELLS + all_t[at_t]
+    if lex is None:
+        found, n = np.unique(key, return_counts=True)
+        f, g = n.astype(float), np.zeros(len(found))
+    else:
+        if not len(lex.keys) or not len(key):
+            return empty
+        at = np.searchsorted(lex.keys, key)
+        at[at == len(lex.keys)] = 0
+        hit = lex.keys[at] == key
+        at, key, at_s, at_t = at[hit], key[hit], at_s[hit], at_t[hit]
+        pf, pb = lex.forward[at], lex.backward[at]
+        whole_t = np.bincount(at_t, weights=pf, minlength=len(all_t))
+        whole_s = np.bincount(at_s, weights=pb, minlength=len(all_s))
+        f = np.divide(pf, whole_t[at_t], out=np.zeros_like(pf), where=pf > 0)
+        g = np.divide(pb, whole_s[at_s], out=np.zeros_like(pb), where=pb > 0)
+        found, back = np.unique(key, return_inverse=True)
+        f, g = np.bincount(back, weights=f, minlength=len(found)), np.bincount(back, weights=g, minlength=len(found))
+    order = {i: p for p, i in names.items()}
+    pair = np.array([order[i] for i in range(len(order))], dtype=object)[found // (CELLS * CELLS)]
+    return pd.DataFrame({"pair": pair, "a": (found // CELLS) % CELLS, "b": found % CELLS, "f": f, "g": g})
+
+
+def expectations(pairs: list[str], s: list, t: list, lex: Packed | None) -> Iterator[pd.DataFrame]:
+    """_expect over slices of bounded size."""
+    first, load = 0, 0
+    for i in range(len(pairs)):
+        load += len(s[i]) * len(t[i])
+        if load > AT_ONCE:
+            yield _expect(pairs[first : i + 1], s[first : i + 1], t[first : i + 1], lex)
+            first, load = i + 1, 0
+    yield _expect(pairs[first:], s[first:], t[first:], lex)
 
 
 def _step(pairs: DataFrame, lex: Lexicon | None) -> DataFrame:
-    shared = pairs.sparkSession.sparkContext.broadcast(lex)
+    shared = pairs.sparkSession.sparkContext.broadcast(None if lex is None else pack(lex))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((p, list(s), list(t)) for pdf in batches for p, s, t in zip(pdf["pair"], pdf["s"], pdf["t"]))
-        chunk: list[tuple] = []
-        for r in _expect(rows, shared.value):
-            chunk.append(r)
-            if len(chunk) >= 100_000:
-                yield pd.DataFrame(chunk, columns=["pair", "a", "b", "f", "g"])
-                chunk = []
-        yield pd.DataFrame(chunk, columns=["pair", "a", "b", "f", "g"])
+        for pdf in batches:
+            for part in expectations(list(pdf["pair"]), list(pdf["s"]), list(pdf["t"]), shared.value):
+                yield part.astype({"a": "int32", "b": "int32", "f": float, "g": float})
 
     counted = pairs.mapInPandas(run, "pair string, a int, b int, f double, g double")
     return counted.groupBy("pair", "a", "b").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))

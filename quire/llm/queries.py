@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import align, confusables, dedup, pieces, sentences, tables, tokens
+from quire.llm import align, confusables, dedup, defects, pieces, sentences, tables, tokens
 from quire.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,11 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _cut(spark, folder).select(*KEYS, F.explode("pieces").alias("p")).select(*KEYS, "p.*")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Current segments with a defective translation."""
+    return defects.defects(tables.current_segments(spark, folder))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Glossary terms seen in chunks that a plain search does not find."""
     return confusables.find_terms(table(spark, folder, "chunks"), table(spark, folder, "glossary"), disguised_only=True)
