@@ -68,7 +68,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="quire-")) / "quire.zip"
     with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
+        for p in sorted(x for x in root.rglob("*") if x.suffix in (".py", ".tsv")):
             z.write(p, p.relative_to(root.parent).as_posix())
     sc.addPyFile(str(archive))
     sc._quire_shipped = True
