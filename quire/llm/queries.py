@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import align, confusables, dedup, defects, pieces, sentences, tables, tokens
+from quire.llm import align, confusables, dedup, defects, pieces, sentences, subjects, tables, tokens
 from quire.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,20 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Subject areas of documents."""
+    return subjects.classify(table(spark, folder, "documents"), table(spark, folder, "subject_labels"))
+
+
+def p10_makeup(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus by subject: documents of each and their share of all that have one."""
+    found = p10_found(spark, folder)
+    counts = found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+    total = counts.agg(F.sum("documents").alias("_all"))
+    # One row of totals beside at most one row per subject.
+    return counts.join(F.broadcast(total), F.lit(True)).select("subject", "documents", (F.col("documents") / F.col("_all")).alias("share"))
+
+
 def queries() -> dict[str, Query]:
     """Query name to callable."""
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
