@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import align, confusables, dedup, defects, pieces, sentences, subjects, tables, tokens
+from quire.llm import align, confusables, dedup, defects, mixture, ocr, pieces, sentences, subjects, tables, tokens
 from quire.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_starts(texts, ["origin", "doc_id", "item_no"], "text", model)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks affected by page layout or recogniser, by kind."""
+    return ocr.defects(tables.ocr_blocks(spark, folder))
+
+
+def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean paragraphs of scanned and positioned pages."""
+    return ocr.paragraphs(tables.ocr_blocks(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks that are one record but for formatting, each with the smallest chunk_id of its group."""
     return dedup.copies_found(table(spark, folder, "chunks"))
@@ -97,6 +107,16 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents' tokens mixed to the wanted shares."""
+    return mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached shares of the sources."""
+    return mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "source_targets"))[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Subject areas of documents."""
     return subjects.classify(table(spark, folder, "documents"), table(spark, folder, "subject_labels"))
