@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,10 +45,14 @@ def replay(spark: SparkSession, path: str, ts: str, tie: str, columns: list[str]
     """Conflated events of a Parquet folder or file, read as a stream."""
     out = f"{checkpoint_dir(spark)}/conflated-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    folder, name = path.rsplit("/", 1)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    # As a pattern, a single file will do for the source as well as a folder.
+    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     conflate_stream(stream, ts, tie, columns, out).awaitTermination()
-    parts = spark.read.parquet(out).drop("batch", "slot")
+    try:
+        parts = spark.read.parquet(out).drop("batch", "slot")
+    except AnalysisException:
+        # No batch was ever written: the folder held no row.
+        parts = spark.read.parquet(path).limit(0).select(ts, tie, *columns)
     return conflate(parts, ts, tie, columns)
 
 
@@ -66,8 +71,6 @@ def answer_chunks(lines: DataFrame, stream: str, seq: str, line: str, path: str)
 
 def with_reloaded_glossary(stream: DataFrame, path: str, handle: Callable[[DataFrame, DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hands every micro-batch to `handle` with the glossary as its file is at that time; a missing file is an empty glossary."""
-    from pyspark.errors import AnalysisException
-
     from quire.operators.glossary import parse_lines
 
     def run(batch: DataFrame, number: int) -> None:
