@@ -26,3 +26,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total:
     by_broadcast = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return by_broadcast.unionByName(rest.join(cold, key))
+
+
+def without_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """The rows of `rows` whose `key` is not in `groups`, safe against hot keys as in join_groups."""
+    limit = max(HOT_ROWS, total // HOT_PARTS)
+    if total <= limit:
+        return rows.join(groups.select(key), key, "left_anti")
+    rest = rows.join(F.broadcast(groups.filter(F.col(count) > limit).select(key)), key, "left_anti")
+    return rest.join(groups.select(key), key, "left_anti")
