@@ -88,7 +88,9 @@ def main_script(text: str) -> int:
 
 
 def _cell(word: str, size: int) -> int:
-    """Cell of a word; numbers share one, whatever their digits."""
+    """Cell of a word; numbers share one, whatever their digits; a dot after a long word is not part of it."""
+    if len(word) > 5 and word[-1] == ".":
+        word = word[:-1]
     if word[:1].isdigit():
         word = "<0.>" if word[-1] in ".)" else "<0>"
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
