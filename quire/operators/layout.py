@@ -24,9 +24,11 @@ ROW_GAP_FACTOR, ROW_GAPS, ROW_GAP_SHARE, MIN_ROW_WORDS = 1.5, 2, 0.3, 3
 def token_boxes(lines: DataFrame, char: float = 6.0, height: float = 14.0, per_page: int = 50) -> DataFrame:
     """Words of lines (doc_id, pos, line) with boxes on a plain grid: doc_id, page, line_no, word_no, text, l, r, t, b."""
     words = F.filter(F.split("line", r"[ \t\r]+"), lambda w: w != "")
-    rows = lines.select("doc_id", "pos", "line", F.posexplode(words).alias("word_no", "text"))
-    # A word's left edge follows from what stands before it: the words and one blank each.
-    before = F.aggregate(F.slice(words, 1, F.col("word_no")), F.lit(0), lambda a, w: a + F.length(w) + 1)
+    # Where each word begins: once for a line, the words before it and one blank each.
+    starts = F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.array_append(a, F.element_at(a, -1) + F.length(w) + 1))
+    pairs = F.zip_with(words, F.slice(starts, 1, F.greatest(F.size(words), F.lit(0))), lambda w, s: F.struct(w.alias("w"), s.alias("s")))
+    rows = lines.select("doc_id", "pos", F.posexplode(pairs).alias("word_no", "p")).select("doc_id", "pos", "word_no", F.col("p.w").alias("text"), F.col("p.s").alias("before"))
+    before = F.col("before")
     page = F.floor((F.col("pos") - 1) / per_page)
     top = F.lit(800.0) - height * F.pmod(F.col("pos") - 1, F.lit(per_page))
     return rows.select("doc_id", (page + 1).cast("int").alias("page"), F.col("pos").alias("line_no"), "word_no", "text", (before * char).alias("l"), ((before + F.length("text")) * char).alias("r"), top.alias("t"), (top - height * 0.8).alias("b"))
