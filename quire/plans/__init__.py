@@ -4,7 +4,7 @@ from quire.plans.registry import ORACLE, QUERIES, Query
 
 
 def _load() -> None:
-    from quire.plans import layout_queries, sequence_queries, state_queries, text_queries  # noqa: F401
+    from quire.plans import layout_queries, sequence_queries, state_queries, style_queries, text_queries  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:
