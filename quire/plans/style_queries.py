@@ -40,7 +40,7 @@ def colour_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("p_partkey", "x.r", "x.g", "x.b", (Y.brightness(F.col("x.r"), F.col("x.g"), F.col("x.b")) > 0.8).alias("bright"))
 
 
-@query("""WITH s AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size * 30 END AS w, CASE WHEN p_size % 4 = 0 THEN p_size * 10 END AS h FROM part),
+@query("""WITH s AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN (p_size * 30)::BIGINT END AS w, CASE WHEN p_size % 4 = 0 THEN (p_size * 10)::BIGINT END AS h FROM part),
 e AS (SELECT p_partkey, coalesce(w * 9525, CASE WHEN h IS NULL THEN 400 * 9525 ELSE round_even(h * 9525 * 400 / 300.0, 0) END)::BIGINT AS w, coalesce(h * 9525, CASE WHEN w IS NULL THEN 300 * 9525 ELSE round_even(w * 9525 * 300 / 400.0, 0) END)::BIGINT AS h FROM s)
 SELECT p_partkey, least(w, 6000000) AS width, CASE WHEN w > 6000000 THEN greatest(32 * 9525, round_even(h * (6000000.0::DOUBLE / w), 0)::BIGINT) ELSE h END AS height FROM e""")
 def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
