@@ -440,9 +440,10 @@ def decode(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
         at = first
         for i, p in enumerate(found):
             piece = text[at : p.end]
-            numbering = len(piece) < 16 and NUMBERING.match(piece) is not None
+            apart = at == first or text[at - 1].isspace()
+            numbering = apart and len(piece) < 16 and NUMBERING.match(piece) is not None
             bar.append(-40.0 if (numbering or not ALNUM.search(piece)) and p.kind != "line" else 0.0)
-            if numbering and p.kind == "mark":
+            if numbering and p.kind == "mark" and (i == 0 or own[i - 1] > -4.0):
                 # Either the place before the numbering is the boundary, or this one; the words around it decide.
                 own[i] = min(own[i], 4.0 if p.before.isdigit() else 2.0)
             at = p.after
