@@ -154,6 +154,9 @@ def places(text: str) -> list[Place]:
             continue
         while q < len(quoted) and quoted[q][1] < end:
             q += 1
+        if q < len(quoted) and quoted[q][1] == end < size and kind not in ("line", "blank"):
+            # The mark that closes this quotation may open others.
+            end += 1
         inside = q < len(quoted) and quoted[q][0] < start and end <= quoted[q][1]
         if kind == "line":
             if end < size:
@@ -391,6 +394,9 @@ def _local(p: Place, text: str, model: BoundaryModel, script: int) -> float:
     if p.kind == "line":
         return 50.0
     nxt = p.next
+    if nxt and nxt[0] in ",;:，；：、،؛":
+        # The clause goes on.
+        return -15.0
     if p.kind == "blank":
         # Thai: a blank ends the sentence unless a numeral stands next to it.
         return -50.0 if text[p.end - 1].isnumeric() or text[p.after].isnumeric() else 6.0
@@ -406,6 +412,9 @@ def _local(p: Place, text: str, model: BoundaryModel, script: int) -> float:
         return model.odds("...", nxt, script) - 1.0 if shape == "upper" else (-4.0 if text[p.end - 1] == "…" and p.glued else -1.0)
     mark = text[p.end - 1]
     if p.glued:
+        if len(p.before) == 1 and p.before.isalpha() and script in (0, 1):
+            # Letters of an abbreviation.
+            return -9.0
         if shape in ("lower", "digit", "item") or not nxt and not p.opens:
             return -9.0
         if shape == "mark" and not p.opens:
@@ -440,7 +449,7 @@ def decode(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
         at = first
         for i, p in enumerate(found):
             piece = text[at : p.end]
-            apart = at == first or text[at - 1].isspace()
+            apart = at == first or text[at - 1].isspace() or text[at - 1] in FULL_MARKS + CLOSERS
             numbering = apart and len(piece) < 16 and NUMBERING.match(piece) is not None
             bar.append(-40.0 if (numbering or not ALNUM.search(piece)) and p.kind != "line" else 0.0)
             if numbering and p.kind == "mark" and (i == 0 or own[i - 1] > -4.0):

@@ -114,6 +114,9 @@ def boundary(spark):
         ["The box opens with the lid, etc. ", "Often, the lamp opens."],
         ["1. The box opens. ", "2. The lamp opens."],
         ["The box... opens the lamp; the street, too: yes. ", "The end"],
+        ["箱子打开灯。", "2. 灯打开箱子。", "IV. 家庭打开！"],
+        ["The box opens at 7 a.m. ", "IV. The lamp opens."],
+        ["„Die Box.“ ", "The lamp opens."],
         ["A heading\n\n", "The box\nopens the lamp."],
         ["The box opens.", "The lamp shows."],
         ["箱子打开灯。", "老师说：“灯打开。箱子关闭。”", "家庭打开！"],
