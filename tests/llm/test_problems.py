@@ -250,10 +250,12 @@ def test_scanned_blocks(spark):
     data += [
         ("ocr", 2, 1, 0, "Handbook of X 7", 33.0, 10.0), ("ocr", 2, 1, 1, "The win-\ndow opens the gar­\nden.", 100.0, 26.0), ("ocr", 2, 1, 2, "The winclow covers version 4.2 with the cross-\nborder lamp.", 130.0, 26.0),
         ("ocr", 2, 1, 3, "The neigh-", 160.0, 13.0), ("ocr", 2, 1, 4, "- 12 -", 820.0, 10.0), ("ocr", 2, 2, 0, "bour opens the lamp.", 80.0, 13.0), ("ocr", 2, 2, 1, "version 4.l2 covers", 100.0, 13.0), ("ocr", 2, 2, 2, None, 120.0, 13.0),
+        ("ocr", None, None, None, "xii", 820.0, 10.0), (None, None, None, 3, "The winclow opens.", None, None),
     ]
     df = spark.createDataFrame(data, "origin string, doc_id bigint, page int, idx int, text string, top_y double, height double").withColumn("kind", F.lit("clash"))
     got = [tuple(r)[2:] for r in ocr.defects(df).filter("doc_id = 2").orderBy("page", "idx", "defect").collect()]
     assert got == [(1, 0, "running_line"), (1, 1, "broken_word"), (1, 2, "misread"), (1, 3, "broken_word"), (1, 4, "page_number"), (2, 1, "misread")]
+    assert {tuple(r) for r in ocr.defects(df).filter("doc_id IS NULL").collect()} == {("ocr", None, None, None, "page_number"), ("", None, None, 3, "misread")}
     texts = {r["page"]: r["text"] for r in ocr.paragraphs(df).filter("doc_id = 2 AND para_no = 1").collect()}
     assert texts[1] == "The window opens the garden." and texts[2].startswith("opens the lamp.")
     assert ocr.defects(df.limit(0)).count() == 0 and ocr.paragraphs(df.limit(0)).count() == 0
