@@ -28,6 +28,8 @@ from quire.session import materialize, spread
 
 #: Height of a page, and the shares of it above and below which only marginal lines are printed.
 PAGE_HEIGHT, TOP, BOTTOM = 842.0, 0.073, 0.932
+#: Kinds of blocks that are paragraphs of their own.
+ALONE = ("heading", "cell", "footnote")
 #: Words kept in the model at most: the most frequent ones.
 MAX_WORDS = 200_000
 #: A word is a misreading of another if it is rarer than this share of the other's count.
@@ -470,9 +472,18 @@ def defects(rows: DataFrame) -> DataFrame:
     return _nulls(pages.mapInPandas(run, "origin string, doc_id bigint, page int, idx int, defect string"))
 
 
+def _alone(block: dict, words: Words) -> str:
+    """The text of a heading, cell or footnote in one line; cells hold no words to decode."""
+    if block["kind"] == "cell":
+        return " ".join(TOKEN.findall(block["text"]))
+    return " ".join(p.printed for p in decode([(block["idx"], block["text"])], words))
+
+
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """(origin, doc_id, page, para_no, continues, text): clean paragraphs of each page in order.
+    """(origin, doc_id, page, para_no, kind, continues, text): clean paragraphs of each page in order.
 
+    Headings, cells and footnotes are paragraphs of their own, told by `kind`; a
+    body paragraph stands where its first block does. Only margins and blanks are left out.
     `continues` tells that the first paragraph of a page goes on from the page
     before. A word cut by the end of a page stands whole where it begins.
     """
@@ -489,7 +500,7 @@ def paragraphs(rows: DataFrame) -> DataFrame:
                 at = {b["idx"]: b for b in blocks}
                 lines = [(k, t, at[k]["top_y"] or 0.0, at[k]["height"] or 0.0) for k, t in body]
                 starts = dict(zip((k for k, _ in body), paragraph_starts(pieces, lines)))
-                texts: list[tuple[bool, list[str]]] = []
+                texts: list[tuple[int, bool, list[str]]] = []
                 opened: set[int] = set()
                 for p in pieces:
                     if p.first == -2 or p.first == -1 and p.last == -1:
@@ -497,14 +508,16 @@ def paragraphs(rows: DataFrame) -> DataFrame:
                     if p.first == -1:
                         # Its beginning, and so the whole word, is on the page before.
                         opened.add(p.last)
-                        texts.append((True, []))
+                        texts.append((p.last, True, []))
                         continue
                     if p.first not in opened:
                         opened.add(p.first)
                         if starts.get(p.first, True) or not texts:
-                            texts.append((not starts.get(p.first, True), []))
-                    texts[-1][1].append(p.printed)
-                out += [(origin, doc, page, i + 1, go, " ".join(ws)) for i, (go, ws) in enumerate(t for t in texts if t[1])]
-            yield pd.DataFrame(out, columns=["origin", "doc_id", "page", "para_no", "continues", "text"])
-
-    return _nulls(pages.mapInPandas(run, "origin string, doc_id bigint, page int, para_no int, continues boolean, text string"))
+                            texts.append((p.first, not starts.get(p.first, True), []))
+                    texts[-1][2].append(p.printed)
+                units = [(k, "body", go, " ".join(ws)) for k, go, ws in texts if ws]
+                units += [(b["idx"], b["kind"], False, _alone(b, model)) for b in blocks if b["kind"] in ALONE]
+                out += [(origin, doc, page, i + 1, *unit[1:]) for i, unit in enumerate(sorted(units, key=lambda u: u[0]))]
+            yield pd.DataFrame(out, columns=["origin", "doc_id", "page", "para_no", "kind", "continues", "text"])
+
+    return _nulls(pages.mapInPandas(run, "origin string, doc_id bigint, page int, para_no int, kind string, continues boolean, text string"))

@@ -261,6 +261,18 @@ def test_scanned_blocks(spark):
     assert ocr.defects(df.limit(0)).count() == 0 and ocr.paragraphs(df.limit(0)).count() == 0
 
 
+def test_headings_cells_and_footnotes_are_paragraphs(spark):
+    body = "The window opens the garden with the lamp and the neighbour covers the version."
+    data = [("ocr", 1, p, i, body, 100.0 + 20 * i, 13.0) for p in range(1, 30) for i in range(4)]
+    data += [
+        ("ocr", 2, 1, 0, "Handbook of X 7", 33.0, 10.0), ("ocr", 2, 1, 1, "Chapter 2\nThe lamp", 100.0, 26.0), ("ocr", 2, 1, 2, "The window opens", 140.0, 13.0), ("ocr", 2, 1, 3, "388\n12", 160.0, 13.0),
+        ("ocr", 2, 1, 4, "the garden.", 180.0, 13.0), ("ocr", 2, 1, 5, " ", 200.0, 13.0), ("ocr", 2, 1, 6, "3 The neigh-\nbour.", 770.0, 13.0), ("ocr", 2, 1, 7, "- 12 -", 820.0, 10.0),
+    ]
+    df = spark.createDataFrame(data, "origin string, doc_id bigint, page int, idx int, text string, top_y double, height double")
+    got = ocr.paragraphs(df).filter("doc_id = 2").orderBy("para_no").collect()
+    assert [(r["kind"], r["text"]) for r in got] == [("heading", "Chapter 2 The lamp"), ("body", "The window opens the garden."), ("cell", "388 12"), ("footnote", "3 The neighbour.")]
+
+
 # 9: mixing
 
 
