@@ -5,8 +5,8 @@ programming over the stream decodes words jointly with the line ends between the
 a line end a word may go on (with or without a hyphen put in), a compound
 may keep its own hyphen, or a word may end; within lines words may be split or
 run together, and characters may have been confused. Costs come from word counts
-over all body text. A second dynamic program chooses where paragraphs
-begin. Blocks in the margin of a page are told apart before: numbers of pages and
+over all body text. A rule on neighbouring blocks tells where paragraphs begin, also
+across pages. Blocks in the margin of a page are told apart before: numbers of pages and
 running lines.
 """
 
@@ -21,7 +21,7 @@ from itertools import combinations
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.session import materialize, spread
@@ -313,12 +313,26 @@ def decode(blocks: list[tuple[int, str]], words: Words, before: str | None = Non
     return out[::-1]
 
 
-def paragraph_starts(pieces: list[Piece], blocks: list[tuple[int, str, float, float]]) -> list[bool]:
-    """For each body block whether a paragraph begins with it, by dynamic programming over joining and breaking.
+def goes_on(ended: bool, lower: bool, wide: bool = False, headed: bool = False, cut: bool = False) -> bool:
+    """Whether a block goes on with the paragraph of the body block before it: the cheaper of joining and breaking.
 
-    Breaking is free after a finished sentence and costs in the middle of one;
-    joining costs where a sentence ended before or the gap above is wide. A
-    paragraph may not be empty, and none is broken within a cut word.
+    Breaking is free after a finished sentence (`ended`) and costs in the middle of
+    one or before a small letter (`lower`); joining costs where a sentence ended,
+    the gap is `wide` or a heading stands between. None is broken within a `cut` word.
+    """
+    join = (6.0 if ended else 0.0) + (2.0 if wide else 0.0) + (5.0 if headed else 0.0)
+    split = (0.0 if ended else 4.0) + (6.0 if lower else 0.0) + (50.0 if cut else 0.0)
+    return join <= split
+
+
+def _lower(text: str) -> bool:
+    return text.lstrip()[:1].islower()
+
+
+def paragraph_starts(pieces: list[Piece], blocks: list[tuple[int, str, float, float]], headed: frozenset[int] = frozenset()) -> list[bool]:
+    """For each body block whether a paragraph begins with it; `headed` are the numbers of blocks right after a heading.
+
+    A local rule: each block is judged by its neighbour alone.
     """
     n = len(blocks)
     if not n:
@@ -326,16 +340,11 @@ def paragraph_starts(pieces: list[Piece], blocks: list[tuple[int, str, float, fl
     spans = {p.first for p in pieces if p.first != p.last and p.first >= 0}
     gaps = [blocks[i][2] - blocks[i - 1][2] - blocks[i - 1][3] for i in range(1, n)]
     usual = sorted(gaps)[len(gaps) // 2] if gaps else 0.0
-    cost = [[0.0, 0.5]]
+    out = [not _lower(blocks[0][1])]
     for i in range(1, n):
-        prev, text = blocks[i - 1][1], blocks[i][1]
-        ended, lower = bool(TERMINAL.search(prev)), text.lstrip()[:1].islower()
-        join = (6.0 if ended else 0.0) + (2.0 if gaps[i - 1] > 2.5 * max(usual, 1.0) else 0.0)
-        split = (0.0 if ended else 4.0) + (6.0 if lower else 0.0) + (50.0 if blocks[i - 1][0] in spans else 0.0)
-        least = min(cost[-1])
-        cost.append([least + join, least + split])
-    first = blocks[0][1].lstrip()[:1].islower()
-    return [not first, *[c[1] < c[0] for c in cost[1:]]]
+        prev, text = blocks[i - 1], blocks[i]
+        out.append(not goes_on(bool(TERMINAL.search(prev[1])), _lower(text[1]), gaps[i - 1] > 2.5 * max(usual, 1.0), text[0] in headed, prev[0] in spans))
+    return out
 
 
 def _first_last(text: str) -> tuple[str | None, str | None]:
@@ -377,17 +386,17 @@ def train(rows: DataFrame) -> Words:
     return Words.of(dict(zip(top.word, (int(n) for n in top.n))))
 
 
-PAGES = "origin string, doc_id bigint, page int, slice int, blocks array<struct<idx:int,text:string,kind:string,top_y:double,height:double>>, head string, tail string"
+PAGES = "origin string, doc_id bigint, page int, slice int, blocks array<struct<idx:int,text:string,kind:string,top_y:double,height:double>>, head string, tail string, led boolean, tailed boolean"
 #: Stands for a null in a key while pages are put together.
 NONE = -(2**31)
 #: Blocks of a page that are decoded at once; what claims to be a longer page is cut.
 SLICE = 1000
-#: Pages of one group in which the neighbour pages are looked up, and how many pages without body text may lie between.
-GROUP, BETWEEN = 1000, 8
+#: Pages of one group that a window sorts at once; what groups hand on to one another is one row each.
+GROUP = 1000
 
 
 def _pages(rows: DataFrame) -> DataFrame:
-    """One row per page (or slice of SLICE blocks) with its blocks in reading order, kinds, and the first and last token of its body text."""
+    """One row per page (or slice of SLICE blocks) with its blocks in reading order, kinds, the first and last token of its body text, and whether headings stand before and after that."""
     grouped = rows.groupBy("origin", "doc_id", "page", F.floor(F.col("idx") / SLICE).cast("int").alias("slice")).agg(F.collect_list(F.struct("idx", "text", "top_y", "height")).alias("blocks"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -400,26 +409,39 @@ def _pages(rows: DataFrame) -> DataFrame:
                 body = [b["text"] for b in ordered if b["kind"] == "body"]
                 head = _first_last(body[0])[0] if body else None
                 tail = _first_last(body[-1])[1] if body else None
-                out.append((origin, doc, page, part, [{k: b[k] for k in ("idx", "text", "kind", "top_y", "height")} for b in ordered], head, tail))
-            yield pd.DataFrame(out, columns=["origin", "doc_id", "page", "slice", "blocks", "head", "tail"])
+                kinds = [b["kind"] for b in ordered]
+                at = [i for i, kind in enumerate(kinds) if kind == "body"] or [len(kinds), -1]
+                led, tailed = "heading" in kinds[: at[0]], "heading" in kinds[at[-1] + 1 :]
+                out.append((origin, doc, page, part, [{k: b[k] for k in ("idx", "text", "kind", "top_y", "height")} for b in ordered], head, tail, led, tailed))
+            yield pd.DataFrame(out, columns=["origin", "doc_id", "page", "slice", "blocks", "head", "tail", "led", "tailed"])
 
     return spread(grouped).mapInPandas(run, PAGES)
 
 
+def _group() -> Column:
+    return F.floor(F.col("page").cast("bigint") / GROUP)
+
+
 def _with_neighbours(pages: DataFrame) -> DataFrame:
-    """Adds the last body token before each page and the first one after it.
+    """Adds the last body token before each page, the first one after it, and whether a heading stands between the body text before and that of the page.
 
-    Windows are over groups of GROUP pages with BETWEEN pages of the groups
-    beside them, so no task sorts more than that however long a document is.
+    Windows are over groups of GROUP pages, so no task sorts more than that however
+    long a document is; one row per group tells what lies in the groups before and after.
     """
-    page = F.col("page").cast("bigint")
-    group = F.floor(page / GROUP)
-    groups = F.array_distinct(F.array(group, F.floor((page - BETWEEN) / GROUP), F.floor((page + BETWEEN) / GROUP)))
-    small = pages.select("origin", "doc_id", "page", "slice", "head", "tail", group.alias("own"), F.explode(groups).alias("group"))
+    small = pages.select("origin", "doc_id", "page", "slice", "head", "tail", "led", "tailed", _group().alias("group"))
+    place = F.struct("page", "slice")
+    body, heading = F.when(F.col("tail").isNotNull(), place), F.when(F.col("tailed"), place)
+    groups = small.groupBy("origin", "doc_id", "group").agg(F.max(body).alias("body"), F.max(heading).alias("heading"), F.max_by("tail", body).alias("tail"), F.min_by("head", F.when(F.col("head").isNotNull(), place)).alias("head"))
+    w = Window.partitionBy("origin", "doc_id").orderBy("group")
+    above, below = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    groups = groups.select("origin", "doc_id", "group", F.max("body").over(above).alias("_body"), F.max("heading").over(above).alias("_heading"), F.last("tail", ignorenulls=True).over(above).alias("_tail"), F.first("head", ignorenulls=True).over(below).alias("_head"))
     w = Window.partitionBy("origin", "doc_id", "group").orderBy("page", "slice")
-    near = small.withColumn("before", F.last("tail", ignorenulls=True).over(w.rowsBetween(-BETWEEN, -1))).withColumn("after", F.first("head", ignorenulls=True).over(w.rowsBetween(1, BETWEEN)))
-    near = near.filter("own = `group`").select("origin", "doc_id", "page", "slice", "before", "after")
-    return pages.join(near, ["origin", "doc_id", "page", "slice"])
+    above, below = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    near = small.withColumns({"before": F.last("tail", ignorenulls=True).over(above), "after": F.first("head", ignorenulls=True).over(below), "body": F.max(body).over(above), "heading": F.max(heading).over(above)})
+    near = near.join(groups, ["origin", "doc_id", "group"])
+    between = F.coalesce(F.coalesce("heading", "_heading") >= F.coalesce("body", "_body"), F.lit(False))
+    near = near.select("origin", "doc_id", "page", "slice", F.coalesce("before", "_tail").alias("before"), F.coalesce("after", "_head").alias("after"), (F.col("led") | between).alias("headed"))
+    return pages.drop("led", "tailed").join(near, ["origin", "doc_id", "page", "slice"])
 
 
 def _page_pieces(blocks: list[dict], before: str | None, after: str | None, words: Words) -> tuple[list[tuple[int, str]], list[Piece]]:
@@ -479,14 +501,11 @@ def _alone(block: dict, words: Words) -> str:
     return " ".join(p.printed for p in decode([(block["idx"], block["text"])], words))
 
 
-def paragraphs(rows: DataFrame) -> DataFrame:
-    """(origin, doc_id, page, para_no, kind, continues, text): clean paragraphs of each page in order.
+FRAGMENTS = "origin string, doc_id bigint, page int, slice int, para_no int, kind string, continues boolean, text string"
 
-    Headings, cells and footnotes are paragraphs of their own, told by `kind`; a
-    body paragraph stands where its first block does. Only margins and blanks are left out.
-    `continues` tells that the first paragraph of a page goes on from the page
-    before. A word cut by the end of a page stands whole where it begins.
-    """
+
+def _fragments(rows: DataFrame) -> DataFrame:
+    """(origin, doc_id, page, slice, para_no, kind, continues, text): paragraphs of each page, nulls in keys as NONE."""
     pages, words = repair(rows)
     shared = rows.sparkSession.sparkContext.broadcast(words.count)
 
@@ -494,12 +513,20 @@ def paragraphs(rows: DataFrame) -> DataFrame:
         model = Words.of(shared.value)
         for pdf in batches:
             out = []
-            for origin, doc, page, blocks, before, after in zip(*(pdf[c] for c in ("origin", "doc_id", "page", "blocks", "before", "after"))):
+            for origin, doc, page, part, blocks, before, after, headed in zip(*(pdf[c] for c in ("origin", "doc_id", "page", "slice", "blocks", "before", "after", "headed"))):
                 blocks = list(blocks)
                 body, pieces = _page_pieces(blocks, before, after, model)
                 at = {b["idx"]: b for b in blocks}
                 lines = [(k, t, at[k]["top_y"] or 0.0, at[k]["height"] or 0.0) for k, t in body]
-                starts = dict(zip((k for k, _ in body), paragraph_starts(pieces, lines)))
+                under, seen = set(), False
+                for b in blocks:
+                    if b["kind"] == "body":
+                        under |= {b["idx"]} if seen else set()
+                        seen = False
+                    seen = seen or b["kind"] == "heading"
+                starts = dict(zip((k for k, _ in body), paragraph_starts(pieces, lines, frozenset(under))))
+                if body:
+                    starts[body[0][0]] = before is None or not goes_on(bool(TERMINAL.search(before)), _lower(body[0][1]), headed=headed)
                 texts: list[tuple[int, bool, list[str]]] = []
                 opened: set[int] = set()
                 for p in pieces:
@@ -517,7 +544,43 @@ def paragraphs(rows: DataFrame) -> DataFrame:
                     texts[-1][2].append(p.printed)
                 units = [(k, "body", go, " ".join(ws)) for k, go, ws in texts if ws]
                 units += [(b["idx"], b["kind"], False, _alone(b, model)) for b in blocks if b["kind"] in ALONE]
-                out += [(origin, doc, page, i + 1, *unit[1:]) for i, unit in enumerate(sorted(units, key=lambda u: u[0]))]
-            yield pd.DataFrame(out, columns=["origin", "doc_id", "page", "para_no", "kind", "continues", "text"])
+                out += [(origin, doc, page, part, i + 1, *unit[1:]) for i, unit in enumerate(sorted(units, key=lambda u: u[0]))]
+            yield pd.DataFrame(out, columns=["origin", "doc_id", "page", "slice", "para_no", "kind", "continues", "text"])
+
+    return pages.mapInPandas(run, FRAGMENTS)
+
+
+def paragraphs(rows: DataFrame) -> DataFrame:
+    """(origin, doc_id, page, para_no, kind, continues, text): clean paragraphs of each page in order.
 
-    return _nulls(pages.mapInPandas(run, "origin string, doc_id bigint, page int, para_no int, kind string, continues boolean, text string"))
+    Headings, cells and footnotes are paragraphs of their own, told by `kind`; a
+    body paragraph stands where its first block does. Only margins and blanks are left out.
+    `continues` tells that the first body paragraph of a page (or of a slice of it, where
+    para_no starts again) goes on from the body text before; `continuous` joins these.
+    A word cut by the end of a page stands whole where it begins.
+    """
+    return _nulls(_fragments(rows).drop("slice"))
+
+
+def continuous(rows: DataFrame) -> DataFrame:
+    """(origin, doc_id, para_no, page, kind, text): clean paragraphs of each document, whole across pages.
+
+    para_no counts through the document, in order of where paragraphs begin; page is
+    the one a paragraph begins on. Headings, cells and footnotes met on the way come after it.
+    """
+    parts = materialize(_fragments(rows).withColumn("group", _group()))
+    opens = (F.col("kind") == "body") & ~F.col("continues")
+    begins = (F.col("kind") != "body") | opens
+    w = Window.partitionBy("origin", "doc_id", "group").orderBy("page", "slice", "para_no").rowsBetween(Window.unboundedPreceding, 0)
+    # Within a group: how many paragraphs began so far, and the number of the body paragraph that is open.
+    parts = parts.withColumn("n", F.sum(begins.cast("bigint")).over(w)).withColumn("open", F.last(F.when(opens, F.col("n")), ignorenulls=True).over(w))
+    groups = parts.groupBy("origin", "doc_id", "group").agg(F.max("n").alias("n"), F.max("open").alias("open"))
+    w = Window.partitionBy("origin", "doc_id").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_n", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    groups = groups.select("origin", "doc_id", "group", "_n", F.coalesce(F.max(F.col("_n") + F.col("open")).over(w), F.lit(0)).alias("_open"))
+    number = F.when(begins, F.col("_n") + F.col("n")).otherwise(F.coalesce(F.col("_n") + F.col("open"), F.col("_open")))
+    parts = parts.join(groups, ["origin", "doc_id", "group"]).withColumn("number", number)
+    place = F.struct("page", "slice", "para_no")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "slice", "para_no", "text"))), lambda x: x["text"]), " ")
+    whole = parts.groupBy("origin", "doc_id", F.col("number").alias("para")).agg(F.min("page").alias("page"), F.min_by("kind", place).alias("kind"), text.alias("text"))
+    return _nulls(whole.select("origin", "doc_id", F.col("para").alias("para_no"), "page", "kind", "text"))

@@ -37,8 +37,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    """Clean paragraphs of scanned and positioned pages."""
-    return ocr.paragraphs(tables.ocr_blocks(spark, folder))
+    """Clean paragraphs of scanned and positioned documents, whole across pages."""
+    return ocr.continuous(tables.ocr_blocks(spark, folder))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

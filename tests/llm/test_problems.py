@@ -273,6 +273,29 @@ def test_headings_cells_and_footnotes_are_paragraphs(spark):
     assert [(r["kind"], r["text"]) for r in got] == [("heading", "Chapter 2 The lamp"), ("body", "The window opens the garden."), ("cell", "388 12"), ("footnote", "3 The neighbour.")]
 
 
+def test_paragraphs_go_on_across_pages_and_slices(spark, monkeypatch):
+    body = "The window opens the garden with the lamp and the neighbour covers the version."
+    data = [("ocr", 1, p, 0, body, 100.0, 13.0) for p in range(1, 90)]
+    data += [
+        ("ocr", 2, 1, 0, "The window opens the neigh-", 100.0, 13.0), ("ocr", 2, 1, 1, "3 The lamp.", 770.0, 13.0), ("ocr", 2, 2, 0, "bour and", 100.0, 13.0),
+        *[("ocr", 2, p, 0, "388", 300.0, 13.0) for p in range(3, 25)], ("ocr", 2, 25, 0, "the Garden. The lamp covers", 100.0, 13.0),
+        ("ocr", 2, 26, 0, "Lamp version.", 100.0, 13.0), ("ocr", 2, 27, 0, "The lamp opens the", 100.0, 13.0), ("ocr", 2, 28, 0, "Chapter 3\nThe garden", 100.0, 26.0), ("ocr", 2, 28, 1, "The window covers", 140.0, 13.0),
+        *[("ocr", 3, 1, i, "the lamp covers", 100.0 + i, 1.0) for i in range(5)], ("ocr", 3, 1, 5, "the lamp.", 106.0, 1.0), ("ocr", 3, 2, 0, "The window.", 100.0, 13.0),
+    ]
+    df = spark.createDataFrame(data, "origin string, doc_id bigint, page int, idx int, text string, top_y double, height double")
+    monkeypatch.setattr(ocr, "SLICE", 2)
+    monkeypatch.setattr(ocr, "GROUP", 10)
+    got = ocr.continuous(df).filter("doc_id > 1").orderBy("doc_id", "para_no").collect()
+    assert [(r["doc_id"], r["page"], r["kind"], r["text"]) for r in got if r["text"] != "388"] == [
+        (2, 1, "body", "The window opens the neighbour and the Garden. The lamp covers Lamp version."), (2, 1, "footnote", "3 The lamp."),
+        (2, 27, "body", "The lamp opens the"), (2, 28, "heading", "Chapter 3 The garden"), (2, 28, "body", "The window covers"),
+        (3, 1, "body", "the lamp covers " * 5 + "the lamp."), (3, 2, "body", "The window."),
+    ]
+    assert [r["para_no"] for r in got if r["doc_id"] == 2] == list(range(1, 28)) and ocr.continuous(df.limit(0)).count() == 0
+    # Every state counts: after an end, in the open, under a heading.
+    assert [ocr.goes_on(e, l, headed=h) for e in (True, False) for l in (True, False) for h in (True, False)] == [False, True, False, False, True, True, False, True]
+
+
 # 9: mixing
 
 
