@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.session import materialize
+from quire.session import materialize, task_count
 
 #: Cells of the hashed model: words before a place, words after it.
 PREVIOUS, NEXT = 1 << 16, 1 << 16
-#: Pairs counted one by one at most; rarer ones beyond are counted by the shape of the second word.
+#: Distinct events trained on the driver at most, and those of a task where there are more.
 MAX_PAIRS = 500_000
 ROUNDS = 12
 #: Share of a word's own followers in what may follow it inside a sentence; the rest is what follows any word there.
@@ -223,6 +223,25 @@ def _quoted(text: str) -> list[tuple[int, int]]:
     return out
 
 
+@dataclass
+class PairTable:
+    """A read-only dictionary of word pairs in twelve bytes each."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, prev: np.ndarray, next_: np.ndarray, values: np.ndarray) -> PairTable:
+        keys = (prev.astype(np.uint32) * np.uint32(NEXT)) | next_.astype(np.uint32)
+        order = np.argsort(keys)
+        return cls(keys[order], values[order].astype(np.float64))
+
+    def get(self, pair: tuple[int, int], default: float) -> float:
+        key = np.uint32(pair[0] * NEXT + pair[1])
+        i = int(np.searchsorted(self.keys, key))
+        return float(self.values[i]) if i < len(self.keys) and self.keys[i] == key else default
+
+
 @dataclass
 class BoundaryModel:
     """Hashed counts of the hidden-event model after training."""
@@ -231,7 +250,7 @@ class BoundaryModel:
     seen: np.ndarray = field(default_factory=lambda: np.zeros(PREVIOUS))
     start: np.ndarray = field(default_factory=lambda: np.full((len(SCRIPTS), NEXT), 1.0 / NEXT))
     start_shape: np.ndarray = field(default_factory=lambda: np.tile([0.02, 0.05, 0.01, 0.6, 0.002, 0.3, 0.018], (len(SCRIPTS), 1)))
-    inner: dict[tuple[int, int], float] = field(default_factory=dict)
+    inner: dict[tuple[int, int], float] | PairTable = field(default_factory=dict)
     inner_total: dict[int, float] = field(default_factory=dict)
     inner_word: np.ndarray = field(default_factory=lambda: np.full((len(SCRIPTS), NEXT), 1.0 / NEXT))
     start_like: np.ndarray = field(default_factory=lambda: np.zeros((len(SCRIPTS), NEXT)))
@@ -300,10 +319,11 @@ def count_events(df: DataFrame, text: str) -> DataFrame:
 
 
 def bounded_counts(counts: DataFrame, most: int = MAX_PAIRS) -> pd.DataFrame:
-    """The count table for the driver with at most about `most` rows and no count lost.
+    """A short view of the count table with at most about `most` rows and the same sum.
 
     Where there are more pairs, those with the smallest counts are summed up
-    into cells of the first word and the shape of the second.
+    into cells of the first word and the shape of the second. Such cells are no words
+    of the model, so nothing is trained on this view.
     """
     counts = materialize(counts)
     least, size = 1, counts.count()
@@ -323,61 +343,144 @@ def _shares(counts: np.ndarray, floor: float) -> np.ndarray:
     return counts / counts.sum(axis=1, keepdims=True)
 
 
-def fit(counts: pd.DataFrame, rounds: int = ROUNDS) -> BoundaryModel:
-    """Expectation-maximization on counted word pairs; without any count the model keeps its priors."""
-    model = BoundaryModel()
-    if counts.empty:
-        return model
-    kinds, wide = len(SCRIPTS), len(SHAPES)
+def _tally(script: np.ndarray, cell: np.ndarray, weight: np.ndarray, wide: int) -> np.ndarray:
+    """Sums of weights by script and cell."""
+    kinds = len(SCRIPTS)
+    return np.bincount(script * wide + cell, weights=weight, minlength=kinds * wide).reshape(kinds, wide)
 
-    def tally(part: pd.DataFrame, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = part["script"].to_numpy()
-        words = np.bincount(c * NEXT + part["next"], weights=weight, minlength=kinds * NEXT).reshape(kinds, NEXT)
-        shapes = np.bincount(c * wide + part["shape"], weights=weight, minlength=kinds * wide).reshape(kinds, wide)
-        return words, shapes
 
-    sure, rest, inside = (counts[counts.kind == k] for k in (0, 1, 2))
-    sure_word, sure_shape = tally(sure, sure.n.to_numpy(float))
-    inner_word, inner_shape = tally(inside, inside.n.to_numpy(float))
+def _begun(sure_word: np.ndarray, sure_shape: np.ndarray, inner_word: np.ndarray, inner_shape: np.ndarray) -> BoundaryModel:
+    """The model before the first round, from counts of certain starts and of words certainly inside."""
+    model = BoundaryModel()
     model.start, model.start_shape = _shares(sure_word, 0.01), _shares(sure_shape, 0.05)
     model.inner_word, model.inner_shape = _shares(inner_word, 0.01), _shares(inner_shape, 0.05)
     # A word that mostly begins sentences says nothing about the word before it when it follows that.
     model.start_like = sure_word / (sure_word + inner_word + 3.0)
+    return model
+
+
+class _Open:
+    """Open places (kind 1): counts of word pairs and what the rounds so far make of them. Words before need all their rows here."""
+
+    def __init__(self, rest: pd.DataFrame, model: BoundaryModel) -> None:
+        self.c, self.p, self.n, self.s = (rest[k].to_numpy().astype(np.int64) for k in ("script", "prev", "next", "shape"))
+        self.w = rest.n.to_numpy(float)
+        self.cell = np.unique(self.p * NEXT + self.n, return_inverse=True)[1]
+        self.cells = self.cell.max() + 1
+        self.cell_p, self.cell_n = np.zeros(self.cells, dtype=np.int64), np.zeros(self.cells, dtype=np.int64)
+        self.cell_p[self.cell], self.cell_n[self.cell] = self.p, self.n
+        self.seen = np.bincount(self.p, weights=self.w, minlength=PREVIOUS)
+        self.ends = np.full(PREVIOUS, 0.7)
+        self.follow = np.bincount(self.cell, weights=self.w, minlength=self.cells) * 0.3
+        own_share = np.where(rest.long.to_numpy() == 1, OWN / 100, OWN)
+        self.base = (1 - OWN) * (0.5 * model.inner_word[self.c, self.n] + 0.5 * model.inner_shape[self.c, self.s] / 64)
+        self.own = own_share * (1 - model.start_like[self.c, self.n])
+
+    def step(self, start: np.ndarray, start_shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One round with the shares of starts; what it adds to the counts of starts by word and by shape."""
+        c, p, n, s, w = self.c, self.p, self.n, self.s, self.w
+        total = np.bincount(self.cell_p, weights=self.follow, minlength=PREVIOUS)
+        b1 = 0.9 * start[c, n] + 0.1 * start_shape[c, s] / 64
+        b0 = self.base + self.own * self.follow[self.cell] / (total[p] + ENOUGH)
+        prior = (self.ends[p] * self.seen[p] + 0.85 * 2.0) / (self.seen[p] + 2.0)
+        post = prior * b1 / np.maximum(prior * b1 + (1 - prior) * b0, 1e-300)
+        gain = np.bincount(p, weights=post * w, minlength=PREVIOUS)
+        self.ends = np.divide(gain, self.seen, out=np.full(PREVIOUS, 0.85), where=self.seen > 0)
+        self.follow = np.bincount(self.cell, weights=(1 - post) * w, minlength=self.cells)
+        return _tally(c, n, post * w, NEXT), _tally(c, s, post * w, len(SHAPES))
+
+
+def fit(counts: pd.DataFrame, rounds: int = ROUNDS) -> BoundaryModel:
+    """Expectation-maximization on counted word pairs; without any count the model keeps its priors."""
+    if counts.empty:
+        return BoundaryModel()
+    sure, rest, inside = (counts[counts.kind == k] for k in (0, 1, 2))
+    sure_word, sure_shape, inner_word, inner_shape = (_tally(part["script"].to_numpy(), part[k].to_numpy(), part.n.to_numpy(float), wide) for part in (sure, inside) for k, wide in (("next", NEXT), ("shape", len(SHAPES))))
+    model = _begun(sure_word, sure_shape, inner_word, inner_shape)
     if rest.empty:
         return model
-    c, p, n, s = (rest[k].to_numpy() for k in ("script", "prev", "next", "shape"))
-    w = rest.n.to_numpy(float)
-    cell = np.unique(p * NEXT + n, return_inverse=True)[1]
-    cells = cell.max() + 1
-    cell_p, cell_n = np.zeros(cells, dtype=np.int64), np.zeros(cells, dtype=np.int64)
-    cell_p[cell], cell_n[cell] = p, n
-    seen = np.bincount(p, weights=w, minlength=PREVIOUS)
-    ends = np.full(PREVIOUS, 0.7)
-    follow = np.bincount(cell, weights=w, minlength=cells) * 0.3
-    own_share = np.where(rest.long.to_numpy() == 1, OWN / 100, OWN)
-    base = (1 - OWN) * (0.5 * model.inner_word[c, n] + 0.5 * model.inner_shape[c, s] / 64)
+    open_ = _Open(rest, model)
     for _ in range(rounds):
-        total = np.bincount(cell_p, weights=follow, minlength=PREVIOUS)
-        b1 = 0.9 * model.start[c, n] + 0.1 * model.start_shape[c, s] / 64
-        b0 = base + own_share * (1 - model.start_like[c, n]) * follow[cell] / (total[p] + ENOUGH)
-        prior = (ends[p] * seen[p] + 0.85 * 2.0) / (seen[p] + 2.0)
-        post = prior * b1 / np.maximum(prior * b1 + (1 - prior) * b0, 1e-300)
-        gain = np.bincount(p, weights=post * w, minlength=PREVIOUS)
-        ends = np.divide(gain, seen, out=np.full(PREVIOUS, 0.85), where=seen > 0)
-        follow = np.bincount(cell, weights=(1 - post) * w, minlength=cells)
-        word, shape = tally(rest, post * w)
+        word, shape = open_.step(model.start, model.start_shape)
         model.start, model.start_shape = _shares(sure_word + word, 0.01), _shares(sure_shape + shape, 0.05)
-    model.ends, model.seen = ends, seen
-    keep = follow > 1e-3
-    model.inner = {(int(a), int(b)): float(f) for a, b, f in zip(cell_p[keep], cell_n[keep], follow[keep])}
-    total = np.bincount(cell_p, weights=follow, minlength=PREVIOUS)
+    model.ends, model.seen = open_.ends, open_.seen
+    keep = open_.follow > 1e-3
+    model.inner = {(int(a), int(b)): float(f) for a, b, f in zip(open_.cell_p[keep], open_.cell_n[keep], open_.follow[keep])}
+    total = np.bincount(open_.cell_p, weights=open_.follow, minlength=PREVIOUS)
     model.inner_total = {int(i): float(total[i]) for i in np.nonzero(total)[0]}
     return model
 
 
-def train(df: DataFrame, text: str) -> BoundaryModel:
-    """Model of all texts of a column. What reaches the driver is a count table of bounded size."""
-    return fit(bounded_counts(count_events(df, text)))
+def fit_spread(counts: DataFrame, rounds: int = ROUNDS, most: int = MAX_PAIRS) -> BoundaryModel:
+    """What fit() gives, for any number of distinct pairs: each round is one pass over all of them where they lie.
+
+    Pairs are parted by the word before, of which a task has about `most`. A pass
+    repeats the rounds before from their shares of starts, so nothing is kept between passes.
+    Only sums by cell reach the driver, and in the end the pairs inside sentences, in twelve bytes each.
+    """
+    spark = counts.sparkSession
+    kinds, wide = len(SCRIPTS), len(SHAPES)
+    fixed = counts.filter("kind <> 1")
+    tables = []
+    for k in (0, 2):
+        for column, width in (("next", NEXT), ("shape", wide)):
+            got = fixed.filter(F.col("kind") == k).groupBy("script", F.col(column).alias("cell")).agg(F.sum("n").alias("n")).toPandas()
+            tables.append(_tally(got.script.to_numpy(np.int64), got.cell.to_numpy(np.int64), got.n.to_numpy(float), width))
+    sure_word, sure_shape = tables[:2]
+    model = _begun(*tables)
+    rest = counts.filter("kind = 1")
+    size = rest.count()
+    if not size:
+        return model
+    rest = materialize(rest.repartition(max(task_count(spark), -(-size // most)), "prev"))
+    begun, shares = spark.sparkContext.broadcast(model), [spark.sparkContext.broadcast((model.start, model.start_shape))]
+
+    def replayed(batches: Iterator[pd.DataFrame]) -> tuple[_Open, np.ndarray, np.ndarray] | None:
+        parts = [pdf for pdf in batches if len(pdf)]
+        if not parts:
+            return None
+        open_ = _Open(pd.concat(parts, ignore_index=True), begun.value)
+        for s in shares:
+            word, shape = open_.step(*s.value)
+        return open_, word, shape
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if got := replayed(batches):
+            for what, table in enumerate(got[1:]):
+                c, cell = np.nonzero(table)
+                yield pd.DataFrame({"what": what, "script": c, "cell": cell, "v": table[c, cell]})
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if got := replayed(batches):
+            o = got[0]
+            p = np.nonzero(o.seen)[0]
+            total = np.bincount(o.cell_p, weights=o.follow, minlength=PREVIOUS)
+            for what, v in enumerate((o.ends, o.seen, total)):
+                yield pd.DataFrame({"what": what, "a": p, "b": 0, "v": v[p]})
+            keep = o.follow > 1e-3
+            yield pd.DataFrame({"what": 3, "a": o.cell_p[keep], "b": o.cell_n[keep], "v": o.follow[keep]})
+
+    for k in range(rounds):
+        got = rest.mapInPandas(sums, "what int, script int, cell int, v double").groupBy("what", "script", "cell").agg(F.sum("v").alias("v")).toPandas()
+        word, shape = (_tally(part.script.to_numpy(np.int64), part.cell.to_numpy(np.int64), part.v.to_numpy(float), width) for part, width in ((got[got.what == 0], NEXT), (got[got.what == 1], wide)))
+        model.start, model.start_shape = _shares(sure_word + word, 0.01), _shares(sure_shape + shape, 0.05)
+        if k + 1 < rounds:
+            shares.append(spark.sparkContext.broadcast((model.start, model.start_shape)))
+    done = materialize(rest.mapInPandas(last, "what int, a int, b int, v double"))
+    words = done.filter("what < 3").toPandas()
+    ends, seen, total = (words[words.what == k] for k in range(3))
+    model.ends, model.seen = np.full(PREVIOUS, 0.85), np.zeros(PREVIOUS)
+    model.ends[ends.a], model.seen[seen.a] = ends.v, seen.v
+    model.inner_total = {int(i): float(v) for i, v in zip(total.a, total.v) if v}
+    pairs = done.filter("what = 3").select("a", "b", "v").toPandas()
+    model.inner = PairTable.of(pairs.a.to_numpy(), pairs.b.to_numpy(), pairs.v.to_numpy())
+    return model
+
+
+def train(df: DataFrame, text: str, most: int = MAX_PAIRS) -> BoundaryModel:
+    """Model of all texts of a column; up to `most` distinct events are counted out on the driver, more of them where they lie, with the same result."""
+    counts = materialize(count_events(df, text))
+    return fit(counts.toPandas()) if counts.count() <= most else fit_spread(counts, most=most)
 
 
 def _cased(p: Place, text: str, model: BoundaryModel) -> Place:

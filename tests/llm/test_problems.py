@@ -146,6 +146,22 @@ def test_sentence_edge_cases(spark, boundary):
     assert sentences.bounded_counts(counts, 2).n.sum() == counts.agg(F.sum("n")).first()[0]
 
 
+def test_training_does_not_depend_on_the_number_of_pairs(spark):
+    r = random.Random(4)
+    name = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(7)).capitalize()
+    texts = [f"The lamp of Abt. {name()} opens the box. Then the {name().lower()} covers it. It ends." for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    small, large = sentences.train(df, "t"), sentences.train(df, "t", most=50)
+    for k in ("ends", "seen", "start", "start_shape", "inner_word", "inner_shape", "start_like"):
+        assert np.allclose(getattr(small, k), getattr(large, k), rtol=1e-6, atol=1e-12), k
+    assert small.inner_total.keys() == large.inner_total.keys() and len(large.inner.keys) == len(small.inner)
+    assert all(abs(large.inner.get(k, 0.0) - v) < 1e-6 for k, v in small.inner.items()) and large.inner.get((1, 1), 0.5) == 0.5
+    assert large.ending("Abt") == pytest.approx(small.ending("Abt"), abs=1e-6)
+    # Rare pairs summed up into coarse cells are lost to the word before.
+    assert abs(sentences.fit(sentences.bounded_counts(sentences.count_events(df, "t"), 50)).ending("Abt") - small.ending("Abt")) > 1
+    assert [sentences.decode(t, large) for t in texts[:50]] == [sentences.decode(t, small) for t in texts[:50]]
+
+
 # 5: splitting
 
 
