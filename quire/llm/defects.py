@@ -30,7 +30,6 @@ from quire.llm import lexicon, sentences
 from quire.llm.dedup import is_blank
 from quire.llm.lexicon import Lexicon
 from quire.llm.sentences import BoundaryModel, decode
-from quire.operators.skew import join_groups
 from quire.session import materialize, spread
 
 LABELS = ("refusal", "copy", "truncated", "wrong_language")
@@ -39,8 +38,6 @@ SAMPLE, GRAMS = 4000, 1 << 14
 EPOCHS = 5
 #: Score as a refusal that an ordinary text may have.
 ORDINARY = 0.0
-#: Probability from which a text may be a refusal, and how many different originals it must answer to be one.
-MAYBE, ANSWERS = 0.08, 6
 
 TERMINAL = regex.compile(r"(?:[.!?…。！？।॥؟]|\p{N}\))[\"'”’»›)\]}」』）］】*_>\s]*$")
 BREAKS = regex.compile(r"(?:\.\.\.|…|[-,、，;；:：–—(（“«「])\s*$")
@@ -401,14 +398,7 @@ def defects(segments: DataFrame) -> DataFrame:
         f, m = shared.value
         for pdf in batches:
             found = [classify(o, t, s or "", k or "", f, m) for o, t, s, k in zip(pdf["original"], pdf["translation"], pdf["source_lang"], pdf["target_lang"])]
-            out = pdf[["doc_id", "seq", "o", "t"]].assign(defect=[d for d, _ in found], p=[p for _, p in found])
-            yield out[out["defect"].notna() | (out["p"] >= MAYBE)]
-
-    hashed = rows.withColumn("o", F.xxhash64("original")).withColumn("t", F.xxhash64("translation"))
-    judged = materialize(hashed.mapInPandas(run, "doc_id bigint, seq int, o bigint, t bigint, defect string, p double"))
-    # What may be a refusal and is the answer to many different originals is one.
-    maybe = judged.filter((F.coalesce("defect", F.lit("")).isin("", "truncated", "wrong_language")) & (F.col("p") >= MAYBE))
-    repeated = maybe.groupBy("t").agg(F.count(F.lit(1)).alias("_n"), F.approx_count_distinct("o").alias("_o")).filter(F.col("_o") >= ANSWERS).select("t", "_n")
-    refused = join_groups(maybe, repeated, "t", "_n", maybe.count()).select("doc_id", "seq")
-    rest = judged.filter("defect IS NOT NULL").select("doc_id", "seq", "defect").join(refused, ["doc_id", "seq"], "left_anti")
-    return rest.unionByName(refused.withColumn("defect", F.lit("refusal")))
+            out = pdf[["doc_id", "seq"]].assign(defect=[d for d, _ in found])
+            yield out[out["defect"].notna()]
+
+    return rows.mapInPandas(run, "doc_id bigint, seq int, defect string")

@@ -251,6 +251,19 @@ def test_words_to_translate(text, wanted):
     assert defects.has_words(text) is wanted
 
 
+def test_defects_do_not_depend_on_how_often_a_translation_recurs(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    # A text that ends in the open, truncated by the classifier and a refusal by a probability under the threshold.
+    features = SimpleNamespace(of=lambda *a: (np.ones(40), np.zeros(0, int), True))
+    model = SimpleNamespace(probabilities=lambda *a: np.array([0.2, 0.0, 0.9, 0.0]), cut=np.full(4, 0.5))
+    monkeypatch.setattr(defects, "train", lambda rows: (features, model))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: SimpleNamespace(value=value))
+    df = spark.createDataFrame([(1, i, f"The {w} opens the garden.", "Bitte warten und", "en", "de") for i, w in enumerate("box lamp door wind boat tree road bell fish".split())], "doc_id bigint, seq int, original string, translation string, source_lang string, target_lang string")
+    for k in (1, 9):
+        assert [r["defect"] for r in defects.defects(df.limit(k)).collect()] == ["truncated"] * k
+
+
 # 3: scanned pages
 
 
