@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -30,7 +32,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"quire-checkpoints-{os.getpid()}"))
+        folder = os.path.join(tempfile.gettempdir(), f"quire-checkpoints-{os.getpid()}")
+        sc.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -40,19 +44,35 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def task_count(spark: SparkSession) -> int:
-    """Tasks for a CPU-bound stage: at least two for each core, and no fewer than the configured shuffle width."""
-    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input that a task of a CPU-bound stage takes, the size at which Spark splits a scan.
+SPLIT_BYTES = 128 << 20
+
+
+def task_count(spark: SparkSession, size: int = 0) -> int:
+    """Tasks for a CPU-bound stage over `size` bytes: one for each split of it, two for each core and the configured shuffle width at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SPLIT_BYTES))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spreads rows over all cores before a CPU-bound Python stage.
+    """Rows in tasks enough for a CPU-bound Python stage; they are moved only where there are fewer tasks than cores.
 
-    An explicit count keeps adaptive execution from packing many cheap-looking
-    bytes of costly work into one task. Without keys rows go round-robin, so no
-    key can make a partition hot.
+    A scan that has a split for each core stays as it is, and so does input of a
+    split's size for each core, which scans and shuffles part by bytes anyway. What is left is
+    small (or a file of one row group); an explicit count keeps adaptive
+    execution from packing its costly rows into one task. Without keys rows go
+    round-robin, so no key can make a partition hot.
     """
-    n = task_count(df.sparkSession)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    run = df._jdf.queryExecution()
+    size = int(str(run.optimizedPlan().stats().sizeInBytes()))
+    if not keys:
+        if size >= cores * SPLIT_BYTES:
+            return df
+        plan = run.executedPlan().toString()
+        if "Exchange" not in plan and "AdaptiveSparkPlan" not in plan and run.toRdd().getNumPartitions() >= cores:
+            return df
+    n = task_count(spark, min(size, cores * SPLIT_BYTES) if not keys else size)
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
@@ -66,7 +86,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_quire_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="quire-")) / "quire.zip"
+    folder = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "quire.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(x for x in root.rglob("*") if x.suffix in (".py", ".tsv")):
             z.write(p, p.relative_to(root.parent).as_posix())
