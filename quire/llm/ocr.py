@@ -4,10 +4,14 @@ Method: the lines of a page's body text become one stream of characters. Dynamic
 programming over the stream decodes words jointly with the line ends between them: at
 a line end a word may go on (with or without a hyphen put in), a compound
 may keep its own hyphen, or a word may end; within lines words may be split or
-run together, and characters may have been confused. Costs come from word counts
-over all body text. A rule on neighbouring blocks tells where paragraphs begin, also
-across pages. Blocks in the margin of a page are told apart before: numbers of pages and
-running lines.
+run together, and characters may have been confused. Costs are shares of words
+among all words of the body text, so they are the same for a corpus of any size. A second
+dynamic program chooses where paragraphs begin. Blocks in the margin of a page
+are told apart before: running lines by what repeats over the pages of a document,
+numbers of pages by their sequence.
+
+Every task holds the words of a share of COMMON or more, of which there can be one over
+COMMON at most. Counts of rarer words are joined to the pages that ask for them.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 import functools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -24,16 +28,25 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.skew import join_groups
 from quire.session import materialize, spread
 
 #: Height of a page, and the shares of it above and below which only marginal lines are printed.
 PAGE_HEIGHT, TOP, BOTTOM = 842.0, 0.073, 0.932
 #: Kinds of blocks that are paragraphs of their own.
 ALONE = ("heading", "cell", "footnote")
-#: Words kept in the model at most: the most frequent ones.
-MAX_WORDS = 200_000
-#: A word is a misreading of another if it is rarer than this share of the other's count.
-RARE = 0.04
+#: Share of all words from which a word is common: every task holds the common ones, a million at most, and only they are taken for what was printed.
+COMMON = 1e-6
+#: A word is a misreading of another if it is rarer than this share of the other's count: by confused characters, of short words of letters alone, by any one character.
+RARE, RARE_SHORT, RARE_ANY = 0.04, 0.002, 1 / 60
+#: A word this frequent is never a misreading by any one character.
+SELDOM = 1e-5
+#: Shares from which the half of a cut word is a word of its own, and from which a whole is well known.
+HALF, WHOLE = 2e-5, 4e-6
+#: Cost of a word that was never seen, without and with each of its letters; and of two words run together.
+UNSEEN, UNSEEN_LETTER, RUN_TOGETHER = 16.0, 0.3, 6.0
+#: Longest paragraph length (characters) that counts as short, and what a paragraph that short costs.
+SHORT_PARAGRAPH, SHORT_COST = 25, 1.0
 
 #: What recognisers confuse, as read and as printed; the same in both directions.
 CONFUSED = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ii", "u"), ("ri", "n"), ("nn", "m"), ("lc", "k"), ("ni", "m"), ("iii", "m"), ("in", "m"), ("r1", "n"), ("c1", "d"), ("c|", "d"), ("1i", "h"), ("l1", "h"), ("|i", "h"), ("l|", "h"), ("tt", "h")]
@@ -41,6 +54,7 @@ CONFUSED = [("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ii", "u"), ("r
 HYPHENS = "-‐‑‒–—¬­"
 WORD_EDGE = " \t\r\n.,;:!?“”„«»()[]’‘\"'…¿¡‚‹›·•"
 TOKEN = regex.compile(r"\S+")
+LINE_END = regex.compile(r"\r\n|\r|\n")
 LETTER = regex.compile(r"\p{L}")
 NUMERAL = regex.compile(r"\p{N}")
 NUMBER_BODY = regex.compile(r"[\dOoQDlI|!iSsBZzGg.,:/%]+")
@@ -53,25 +67,69 @@ PAGE_NUMBER = regex.compile(rf"^[\W_]*(?:{PAGE_WORD}\.?\s*)?(?:{DIGITS}|{ROMAN})
 HEADING = regex.compile(r"^\s*\p{L}{3,12}\S?\s+[\dOolI|SBZ]{1,3}\s*(?::|\r?\n|$)")
 FOOTNOTE = regex.compile(r"^\s*[\dOlI|]{1,3}[.)]?\s+\S")
 CELL = regex.compile(r"^[\W\d\sOolI|SBZ%€$£]*$")
+STOP = regex.compile(r"[.!?。！？][\"'”’»›)\]“]*\s*$")
 TERMINAL = regex.compile(r"[.!?…:。！？][\"'”’»›)\]“]*\s*$")
 
 
-def kind_of(text: str | None, top: float | None, height: float | None) -> str:
-    """page_number, running_line, heading, cell, footnote, blank or body, by place on the page and form."""
+def in_margin(top: float | None, page_height: float = PAGE_HEIGHT) -> bool:
+    """Whether a block stands where marginal lines are printed."""
+    return top is not None and not math.isnan(top) and (top < TOP * page_height or top > BOTTOM * page_height)
+
+
+def kind_of(text: str | None, top: float | None, height: float | None, repeated: bool = False, page_height: float = PAGE_HEIGHT) -> str:
+    """page_number, running_line, heading, cell, footnote, blank or body, by place on the page, form, and whether other pages have the like in their margins.
+
+    In the margin a number alone is the page's; letters that may be a Roman number are only where
+    the margins of the document count on in such numbers. What repeats there is a running line, and so is what is no running text:
+    a whole sentence of several words that no other page has is body.
+    """
     if text is None or not text.strip():
         return "blank"
-    top = PAGE_HEIGHT / 2 if top is None or math.isnan(top) else top
-    if top < TOP * PAGE_HEIGHT or top > BOTTOM * PAGE_HEIGHT:
-        return "page_number" if PAGE_NUMBER.match(text.strip()) else "running_line"
-    if HEADING.match(text) and len(text) < 90 and not TERMINAL.search(text):
+    top = page_height / 2 if top is None or math.isnan(top) else top
+    if in_margin(top, page_height):
+        t = text.strip()
+        if PAGE_NUMBER.match(t):
+            return "page_number" if repeated or any(c.isdigit() for c in t) else "running_line"
+        if repeated or not (STOP.search(t) and len(TOKEN.findall(t)) >= 6):
+            return "running_line"
+    elif HEADING.match(text) and len(text) < 90 and not TERMINAL.search(text):
         return "heading"
     if not LETTER.search(text) or len(text) < 12 and CELL.match(text):
         return "cell"
-    if top > 0.895 * PAGE_HEIGHT and FOOTNOTE.match(text):
+    if top > 0.895 * page_height and FOOTNOTE.match(text):
         return "footnote"
     return "body"
 
 
+ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+
+
+def roman(t: str) -> int | None:
+    """Value of a Roman number; None if it is none."""
+    values = [ROMAN_VALUES.get(c) for c in t.lower().replace("1", "i").replace("!", "i").replace("|", "i")]
+    if not values or None in values:
+        return None
+    return sum(-v if k + 1 < len(values) and values[k + 1] > v else v for k, v in enumerate(values))
+
+
+def margin_keys(text: str, page: int) -> list[str]:
+    """What a marginal block has in common with those of other pages: its letters without numbers and, of a number, how far it is from the page's."""
+    t = text.strip()
+    out = []
+    letters = skeleton("".join(c for c in t if c.isalpha()))
+    if PAGE_NUMBER.match(t):
+        digits = regex.search(r"\d+", t)
+        value = int(digits[0]) if digits else roman("".join(c for c in t if c.isalnum() or c in "!|"))
+        if value is not None:
+            # Misread Roman numbers do not count on, but stand among others.
+            out.append(f"n{value - page}" if digits else "r")
+    elif letters:
+        # Numbers in a running line change from page to page, and misread digits look like letters.
+        words = [w for w in (skeleton(bare(w)) for w in t.split()) if w and not any(c.isdigit() for c in w)]
+        out.append("t" + (" ".join(words) or letters))
+    return out
+
+
 def bare(token: str) -> str:
     """A token without the marks around it."""
     return token.strip(WORD_EDGE)
@@ -109,8 +167,8 @@ def variants(word: str, most: int = 3) -> tuple[str, ...]:
             if low.startswith(b, i):
                 spots.append((i, len(b), a))
     out = {skeleton(low)}
-    spots = spots[:12]
-    for n in range(1, most + 1):
+    # Of words with very many such places fewer are exchanged at once, so that the work for one word is bounded.
+    for n in range(1, min(most, 3 if len(spots) <= 40 else 2 if len(spots) <= 200 else 1) + 1):
         for chosen in combinations(spots, n):
             if any(x[0] + x[1] > y[0] for x, y in zip(chosen, chosen[1:])):
                 continue
@@ -138,24 +196,36 @@ def unmangled(word: str) -> str | None:
 
 @dataclass
 class Words:
-    """Counts of words in lower case and, by skeleton, the most frequent ones."""
+    """Counts of the common words in lower case and, by skeleton, those words; counts of rarer ones that a page asks for."""
 
     count: dict[str, int]
+    total: int = 0
     index: dict[str, list[tuple[int, str]]] = field(default_factory=dict)
     memo: dict[str, str | None] = field(default_factory=dict)
+    rare: dict[str, int] = field(default_factory=dict)
+    read: dict[str, tuple[float, str | None, bool]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, count: dict[str, int]) -> Words:
-        out = cls(count)
+    def of(cls, count: dict[str, int], total: int | None = None) -> Words:
+        out = cls(count, total or sum(count.values()))
         for w, n in count.items():
             out.index.setdefault(skeleton(w), []).append((n, w))
         for row in out.index.values():
             row.sort(reverse=True)
-            del row[6:]
         return out
 
     def __call__(self, word: str) -> int:
-        return self.count.get(word.lower(), 0)
+        low = word.lower()
+        n = self.count.get(low)
+        return self.rare.get(low, 0) if n is None else n
+
+    def share(self, word: str) -> float:
+        """Share of a word among all words."""
+        return self(word) / self.total if self.total else 0.0
+
+    def cost(self, n: int) -> float:
+        """Cost of a word seen n times, n > 0: the less, the greater its share."""
+        return min(UNSEEN - 0.5, max(1.0, 1.2 + math.log(self.total / n)))
 
     def printed(self, word: str) -> str | None:
         """What a word was printed as, if it was read otherwise; None if it stands as printed or nothing better is known."""
@@ -169,24 +239,41 @@ class Words:
         return found
 
     def _printed(self, low: str) -> str | None:
-        own = self.count.get(low, 0)
+        own = self(low)
         best, most = None, 0
         # Short words of letters alone are often words in their own right.
-        share = RARE if len(low) > 3 or not low.isalpha() else RARE / 20
+        share = RARE if len(low) > 3 or not low.isalpha() else RARE_SHORT
         for v in variants(low):
             for n, w in self.index.get(v, ()):
-                if w != low and n > most and n >= 3 and (own <= share * n or own <= 3 and n >= 4 * own and len(low) > 3):
+                if w != low and n > most and own <= share * n:
                     best, most = w, n
-        if best is None and own <= 3 and len(low) >= 5:
+        if best is None and own <= SELDOM * self.total and len(low) >= 5:
             # One character taken for any other.
             for i in range(len(low)):
                 for c in "abcdefghijklmnopqrstuvwxyzäöüßéèêàçñóíáú":
                     w = low[:i] + c + low[i + 1 :]
                     n = self.count.get(w, 0)
-                    if n > most and own < n / 60 and w != low:
+                    if n > most and own < n * RARE_ANY and w != low:
                         best, most = w, n
         return best
 
+    def apart(self, core: str) -> tuple[float, tuple[str, ...]] | None:
+        """(cost, words) of a token as several common words run together, by dynamic programming over its characters; None if it is not."""
+        low, n = core.lower(), len(core)
+        best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
+        for j in range(1, n + 1):
+            for i in range(max(0, j - 24), j):
+                # A letter alone is too little to tell a word by.
+                k = self.count.get(low[i:j], 0) if j - i > 1 else 0
+                if k and best[i][0] + (c := self.cost(k) + (RUN_TOGETHER if i else 0.0)) < best[j][0]:
+                    best[j] = (best[i][0] + c, i)
+        if best[n][0] == math.inf or not best[n][1]:
+            return None
+        cuts = [n]
+        while cuts[-1]:
+            cuts.append(best[cuts[-1]][1])
+        return best[n][0], tuple(core[a:b] for b, a in zip(cuts, cuts[1:]))[::-1]
+
 
 def misread_number(token: str) -> bool:
     """Whether a number, version or code has letters where digits were printed."""
@@ -220,29 +307,69 @@ def _word_cost(core: str, words: Words) -> tuple[float, str | None]:
     better = words.printed(core)
     if better is None:
         if n:
-            return max(1.0, 14.0 - math.log(n + 1)), None
+            return words.cost(n), None
         if "-" in core and all(words(p) for p in core.split("-") if p):
             return 8.0, None
-        return 16.0 + 0.3 * len(core), None
-    return max(1.0, 14.0 - math.log(words(better) + 1)) + 5.0, better
+        whole = UNSEEN + UNSEEN_LETTER * len(core)
+        if core.isalpha() and (found := words.apart(core)) and found[0] < whole:
+            return found[0], " ".join(found[1])
+        return whole, None
+    return words.cost(max(1, words(better))) + 5.0, better
 
 
-def decode(blocks: list[tuple[int, str]], words: Words, before: str | None = None, after: str | None = None) -> list[Piece]:
-    """Words of the body blocks (number, text) of a page in reading order.
+def _read(core: str, words: Words) -> tuple[float, str | None, bool]:
+    """(cost, what a core word was printed as, whether that has other characters); kept for the words met most recently."""
+    found = words.read.get(core)
+    if found is None:
+        cost, better = _word_cost(core, words) if core else (1.0, None)
+        # Words run together have the characters that were printed.
+        found = cost, better, better is not None and " " not in better or misread_number(core)
+        if len(words.read) > 200_000:
+            words.read.clear()
+        words.read[core] = found
+    return found
 
-    `before` is the last token of the body text before the page, `after` the
-    first one after it; a word they share with the page is decoded with them.
-    Block numbers -1 and -2 stand for these two.
-    """
-    stream: list[tuple[str, int, bool]] = []  # token, block, last of its line
+
+def _tokens(blocks: list[tuple[int, str]], before: str | None, after: str | None) -> list[tuple[str, int, bool]]:
+    """(token, block, last of its line) of the de-lined stream; blocks -1 and -2 stand for what comes before and after."""
+    stream: list[tuple[str, int, bool]] = []
     if before is not None:
         stream.append((before, -1, True))
     for k, text in blocks:
-        for line in regex.split(r"\r\n|\r|\n", text):
+        for line in LINE_END.split(text):
             tokens = TOKEN.findall(line)
             stream += [(t, k, i + 1 == len(tokens)) for i, t in enumerate(tokens)]
     if after is not None:
         stream.append((after, -2, True))
+    return stream
+
+
+def asked(blocks: list[tuple[int, str]], common: Container[str], before: str | None = None, after: str | None = None) -> set[str]:
+    """Every word outside `common` whose count decode may need, in lower case; what it joins without a hyphen is always common."""
+    stream = _tokens(blocks, before, after)
+    out: set[str] = set()
+    for i, (token, _, ends) in enumerate(stream):
+        core = bare(token).lower()
+        if core not in common:
+            out |= {core, *core.split("-")}
+        if ends and (head := hyphenated(token)) is not None:
+            head = head.lower()
+            out.add(head)
+            if i + 1 < len(stream):
+                tail = stream[i + 1][0].strip(WORD_EDGE).lower()
+                out |= {tail, head + tail, f"{head}-{tail}"}
+    out |= {right.lower() for w in list(out) if (right := unmangled(w))}
+    return {w for w in out if w not in common and LETTER.search(w)}
+
+
+def decode(blocks: list[tuple[int, str]], words: Words, before: str | None = None, after: str | None = None) -> list[Piece]:
+    """Words of the body blocks (number, text) of a page in reading order.
+
+    `before` is the last token of the body text before the page, `after` the
+    first one after it; a word they share with the page is decoded with them.
+    Block numbers -1 and -2 stand for these two.
+    """
+    stream = _tokens(blocks, before, after)
     n = len(stream)
     best = [0.0] + [math.inf] * n
     step: list[Piece | None] = [None] * (n + 1)
@@ -250,12 +377,11 @@ def decode(blocks: list[tuple[int, str]], words: Words, before: str | None = Non
     for i in range(n):
         token, k, ends = stream[i]
         core = bare(token)
-        cost, better = _word_cost(core, words) if core else (1.0, None)
-        wrong = better is not None or misread_number(core)
+        cost, better, wrong = _read(core, words)
         if best[i] + cost < best[i + 1]:
             best[i + 1] = best[i] + cost
             # A hyphen after what is no word: the rest is missing.
-            torn = ends and (part := hyphenated(token)) is not None and words(part) < 20
+            torn = ends and (part := hyphenated(token)) is not None and words.share(part) < HALF
             if torn:
                 wrong = False
             step[i + 1] = Piece(token, token if better is None or torn else token.replace(core, better), k, k, torn, (k,) if wrong else ())
@@ -276,15 +402,15 @@ def decode(blocks: list[tuple[int, str]], words: Words, before: str | None = Non
                 pair = f"{head}-{tail}"
                 m = words(pair)
                 if m:
-                    options.append((max(1.0, 14.0 - math.log(m + 1)) - (2.0 if m >= words(joined) else -2.0), pair, None, False))
-                elif words(head) > 20 and words(tail) > 20 and not words(joined):
+                    options.append((words.cost(m) - (2.0 if m >= words(joined) else -2.0), pair, None, False))
+                elif min(words.share(head), words.share(tail)) > HALF and words(joined) * 1000 < min(words(head), words(tail)):
                     options.append((9.0, pair, None, False))
             elif head is None and LETTER.search(core):
                 joined = core + tail
                 m = words(joined)
                 # Cut without a hyphen: only where the whole is well known and a half is not.
-                if m >= 5 and token.rstrip()[-1:].isalpha() and (words(core) * 20 < m or words(tail) * 20 < m):
-                    options.append((max(1.0, 14.0 - math.log(m + 1)) + 3.0, joined, None, True))
+                if words.share(joined) >= WHOLE and token.rstrip()[-1:].isalpha() and (words(core) * 20 < m or words(tail) * 20 < m):
+                    options.append((words.cost(m) + 3.0, joined, None, True))
             for c, whole, right, cut in options:
                 bad: tuple[int, ...] = ()
                 if right is not None and head is not None:
@@ -297,10 +423,10 @@ def decode(blocks: list[tuple[int, str]], words: Words, before: str | None = Non
                     step[i + 2] = Piece(whole, lead + shown + tail_marks, k, k2, cut, bad)
                     back[i + 2] = i
         else:
-            # A word split by a blank, or two words run together, costs more than either as it is.
+            # A word split by a blank: the whole is well known, and its parts are not.
             joined = core + follow.strip(WORD_EDGE)
-            if token[-1:].isalpha() and follow[:1].isalpha() and words(core) == 0 and words(follow.strip(WORD_EDGE)) == 0 and words(joined) >= 5:
-                c = max(1.0, 14.0 - math.log(words(joined) + 1)) + 4.0
+            if token[-1:].isalpha() and follow[:1].isalpha() and words.share(joined) >= WHOLE and max(words(core), words(follow.strip(WORD_EDGE))) * 20 < words(joined):
+                c = words.cost(words(joined)) + 4.0
                 if best[i] + c < best[i + 2]:
                     best[i + 2] = best[i] + c
                     step[i + 2] = Piece(joined, token + follow, k, k2, False)
@@ -313,15 +439,21 @@ def decode(blocks: list[tuple[int, str]], words: Words, before: str | None = Non
     return out[::-1]
 
 
-def goes_on(ended: bool, lower: bool, wide: bool = False, headed: bool = False, cut: bool = False) -> bool:
-    """Whether a block goes on with the paragraph of the body block before it: the cheaper of joining and breaking.
+def seam_costs(ended: bool, lower: bool, wide: bool = False, headed: bool = False, cut: bool = False) -> tuple[float, float]:
+    """(cost of going on, cost of breaking) between a body block and the one before it.
 
     Breaking is free after a finished sentence (`ended`) and costs in the middle of
-    one or before a small letter (`lower`); joining costs where a sentence ended,
+    one or before a small letter (`lower`); going on costs where a sentence ended,
     the gap is `wide` or a heading stands between. None is broken within a `cut` word.
     """
     join = (6.0 if ended else 0.0) + (2.0 if wide else 0.0) + (5.0 if headed else 0.0)
     split = (0.0 if ended else 4.0) + (6.0 if lower else 0.0) + (50.0 if cut else 0.0)
+    return join, split
+
+
+def goes_on(ended: bool, lower: bool, wide: bool = False, headed: bool = False, cut: bool = False) -> bool:
+    """Whether a block goes on with the paragraph of the body block before it, told by their seam alone."""
+    join, split = seam_costs(ended, lower, wide, headed, cut)
     return join <= split
 
 
@@ -332,7 +464,8 @@ def _lower(text: str) -> bool:
 def paragraph_starts(pieces: list[Piece], blocks: list[tuple[int, str, float, float]], headed: frozenset[int] = frozenset()) -> list[bool]:
     """For each body block whether a paragraph begins with it; `headed` are the numbers of blocks right after a heading.
 
-    A local rule: each block is judged by its neighbour alone.
+    Dynamic programming over the blocks: a way to part them costs its seams and, for each paragraph,
+    what a paragraph of its length costs, so a short rest goes on where the seam alone would not say.
     """
     n = len(blocks)
     if not n:
@@ -340,11 +473,28 @@ def paragraph_starts(pieces: list[Piece], blocks: list[tuple[int, str, float, fl
     spans = {p.first for p in pieces if p.first != p.last and p.first >= 0}
     gaps = [blocks[i][2] - blocks[i - 1][2] - blocks[i - 1][3] for i in range(1, n)]
     usual = sorted(gaps)[len(gaps) // 2] if gaps else 0.0
-    out = [not _lower(blocks[0][1])]
+    seams = [(0.0, 0.0)]
     for i in range(1, n):
         prev, text = blocks[i - 1], blocks[i]
-        out.append(not goes_on(bool(TERMINAL.search(prev[1])), _lower(text[1]), gaps[i - 1] > 2.5 * max(usual, 1.0), text[0] in headed, prev[0] in spans))
-    return out
+        seams.append(seam_costs(bool(TERMINAL.search(prev[1])), _lower(text[1]), gaps[i - 1] > 2.5 * max(usual, 1.0), text[0] in headed, prev[0] in spans))
+    # State of a block: length of its paragraph so far, as far as it matters for the cost, with the cheapest way there.
+    states: dict[int, tuple[float, tuple | None]] = {min(len(blocks[0][1]), SHORT_PARAGRAPH): (0.0, None)}
+    for i in range(1, n):
+        join, split = seams[i]
+        size = len(blocks[i][1])
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for length, (cost, path) in states.items():
+            ended = cost + split + (SHORT_COST if length < SHORT_PARAGRAPH else 0.0)
+            for key, c, begins in ((min(length + size, SHORT_PARAGRAPH), cost + join, False), (min(size, SHORT_PARAGRAPH), ended, True)):
+                if key not in new or c < new[key][0]:
+                    new[key] = (c, (begins, path))
+        states = new
+    _, path = min(((c + (SHORT_COST if length < SHORT_PARAGRAPH else 0.0), p) for length, (c, p) in states.items()), key=lambda x: x[0])
+    out: list[bool] = []
+    while path:
+        begins, path = path
+        out.append(begins)
+    return [not _lower(blocks[0][1]), *out[::-1]]
 
 
 def _first_last(text: str) -> tuple[str | None, str | None]:
@@ -353,15 +503,15 @@ def _first_last(text: str) -> tuple[str | None, str | None]:
 
 
 def _count(rows: DataFrame) -> DataFrame:
-    """(word, n) over all body blocks; words at line ends with a hyphen are left out, as are their other halves."""
+    """(word, n) over all body blocks; words at line ends with a hyphen are left out, as are their other halves and what stands in margins."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
         for pdf in batches:
             for text, top, height in zip(pdf["text"], pdf["top_y"], pdf["height"]):
-                if kind_of(text, top, height) != "body":
+                if in_margin(top) or kind_of(text, top, height) != "body":
                     continue
                 open_ = False
-                for line in regex.split(r"\r\n|\r|\n", text):
+                for line in LINE_END.split(text):
                     tokens = TOKEN.findall(line)
                     for i, t in enumerate(tokens):
                         if i == 0 and open_:
@@ -380,12 +530,17 @@ def _count(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame) -> Words:
-    """The word model: counts over all body text, of which the MAX_WORDS most frequent words are kept."""
-    top = _count(rows).orderBy(F.desc("n"), "word").limit(MAX_WORDS).toPandas()
-    return Words.of(dict(zip(top.word, (int(n) for n in top.n))))
+def train(rows: DataFrame, common: float = COMMON) -> tuple[Words, DataFrame]:
+    """(the word model of the common words, counts of the rarer ones) over all body text."""
+    counts = materialize(_count(rows))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = common * total
+    # At most one over `common` words have that share.
+    top = counts.filter(F.col("n") >= least).toPandas()
+    return Words.of(dict(zip(top.word, (int(n) for n in top.n))), int(total)), counts.filter(F.col("n") < least)
 
 
+#: One page, or slice of one, with what its margins share with other pages.
 PAGES = "origin string, doc_id bigint, page int, slice int, blocks array<struct<idx:int,text:string,kind:string,top_y:double,height:double>>, head string, tail string, led boolean, tailed boolean"
 #: Stands for a null in a key while pages are put together.
 NONE = -(2**31)
@@ -395,17 +550,41 @@ SLICE = 1000
 GROUP = 1000
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(origin, doc_id, page, slice, again): numbers of the marginal blocks of a page that have their like on another page of the document."""
+    margin = rows.filter((F.col("top_y") < TOP * PAGE_HEIGHT) | (F.col("top_y") > BOTTOM * PAGE_HEIGHT)).filter(F.col("text").isNotNull())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = pdf[["origin", "doc_id", "page", "idx"]].assign(key=[margin_keys(t, p) for t, p in zip(pdf["text"], pdf["page"])])
+            yield at.explode("key").dropna(subset=["key"])
+
+    keys = margin.select("origin", "doc_id", "page", "idx", "text").mapInPandas(run, "origin string, doc_id bigint, page int, idx int, key string")
+    keys = materialize(keys.select(F.xxhash64("origin", "doc_id", "key").alias("what"), "*"))
+    # Pages are counted, not blocks: one row for each page and key before they meet.
+    shared = keys.select("what", "page").distinct().groupBy("what").agg(F.count(F.lit(1)).alias("pages")).filter("pages > 1")
+    again = join_groups(keys, shared, "what", "pages", keys.count())
+    return again.groupBy("origin", "doc_id", "page", _slice()).agg(F.collect_set("idx").alias("again"))
+
+
+def _slice() -> Column:
+    return F.floor(F.col("idx") / SLICE).cast("int").alias("slice")
+
+
 def _pages(rows: DataFrame) -> DataFrame:
     """One row per page (or slice of SLICE blocks) with its blocks in reading order, kinds, the first and last token of its body text, and whether headings stand before and after that."""
-    grouped = rows.groupBy("origin", "doc_id", "page", F.floor(F.col("idx") / SLICE).cast("int").alias("slice")).agg(F.collect_list(F.struct("idx", "text", "top_y", "height")).alias("blocks"))
+    place = ["origin", "doc_id", "page", "slice"]
+    grouped = rows.groupBy("origin", "doc_id", "page", _slice()).agg(F.collect_list(F.struct("idx", "text", "top_y", "height")).alias("blocks"))
+    grouped = grouped.join(_repeated(rows), place, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for origin, doc, page, part, blocks in pdf.itertuples(index=False):
+            for origin, doc, page, part, blocks, again in pdf.itertuples(index=False):
+                seen = set() if again is None else set(again)
                 ordered = sorted((dict(b) if isinstance(b, dict) else b.asDict() for b in blocks), key=lambda b: b["idx"])
                 for b in ordered:
-                    b["kind"] = kind_of(b["text"], b["top_y"], b["height"])
+                    b["kind"] = kind_of(b["text"], b["top_y"], b["height"], b["idx"] in seen)
                 body = [b["text"] for b in ordered if b["kind"] == "body"]
                 head = _first_last(body[0])[0] if body else None
                 tail = _first_last(body[-1])[1] if body else None
@@ -444,42 +623,78 @@ def _with_neighbours(pages: DataFrame) -> DataFrame:
     return pages.drop("led", "tailed").join(near, ["origin", "doc_id", "page", "slice"])
 
 
-def _page_pieces(blocks: list[dict], before: str | None, after: str | None, words: Words) -> tuple[list[tuple[int, str]], list[Piece]]:
+def _stream(blocks: list[dict], before: str | None, after: str | None) -> tuple[list[tuple[int, str]], str | None, str | None]:
+    """(body blocks, word before and after them that a line end of the page may cut)."""
     body = [(b["idx"], b["text"]) for b in blocks if b["kind"] == "body"]
     # The word before belongs to the page only if it was cut there.
     lead = before if before and hyphenated(before) is not None else None
     trail = after if body and (last := _first_last(body[-1][1])[1]) and hyphenated(last) is not None else None
+    return body, lead, trail
+
+
+def _page_pieces(blocks: list[dict], before: str | None, after: str | None, words: Words) -> tuple[list[tuple[int, str]], list[Piece]]:
+    body, lead, trail = _stream(blocks, before, after)
     return body, decode(body, words, lead, trail) if body else []
 
 
+def _with_rare(pages: DataFrame, words: Words, rarer: DataFrame) -> DataFrame:
+    """Adds rare: counts of the words of a page that are not common, which every task knows.
+
+    A word that is not common stands on few of all pages, so no key of this join is hot.
+    """
+    place = ["origin", "doc_id", "page", "slice"]
+    known = pages.sparkSession.sparkContext.broadcast(words.count)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = known.value
+        for pdf in batches:
+            found = []
+            for blocks, before, after in zip(pdf["blocks"], pdf["before"], pdf["after"]):
+                body, lead, trail = _stream(list(blocks), before, after)
+                alone = [(b["idx"], b["text"]) for b in blocks if b["kind"] in ALONE]
+                found.append(asked(body, common, lead, trail) | asked(alone, common))
+            yield pdf[place].assign(word=[sorted(x) for x in found]).explode("word").dropna(subset=["word"])
+
+    wanted = pages.mapInPandas(run, "origin string, doc_id bigint, page int, slice int, word string")
+    got = wanted.join(rarer, "word").groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("rare"))
+    return pages.join(got, place, "left")
+
+
+def _counts(rare) -> dict[str, int]:
+    """Counts of a page's rare words as Arrow hands them over: a dictionary, pairs, or nothing."""
+    return {} if rare is None else dict(rare)
+
+
 def _nulls(df: DataFrame) -> DataFrame:
     """Nulls back in the keys."""
     return df.select(*[F.nullif(F.col(c), F.lit(NONE).cast(df.schema[c].dataType)).alias(c) if c in ("doc_id", "page", "idx") else F.col(c) for c in df.columns])
 
 
-def repair(rows: DataFrame) -> tuple[DataFrame, Words]:
-    """(pages with neighbours, word model) of block rows (origin, doc_id, page, idx, text, top_y, height)."""
+def repair(rows: DataFrame, common: float = COMMON) -> tuple[DataFrame, Words]:
+    """(pages with neighbours and counts of their rare words, word model) of block rows (origin, doc_id, page, idx, text, top_y, height)."""
     keys = [F.coalesce(c, F.lit(NONE).cast(kind)).alias(c) for c, kind in (("doc_id", "bigint"), ("page", "int"), ("idx", "int"))]
     rows = materialize(spread(rows.select(F.coalesce("origin", F.lit("")).alias("origin"), *keys, "text", "top_y", "height")))
-    words = train(rows)
-    return materialize(_with_neighbours(materialize(_pages(rows)))), words
+    words, rarer = train(rows, common)
+    pages = materialize(_with_neighbours(materialize(_pages(rows))))
+    return _with_rare(pages, words, rarer), words
 
 
-def defects(rows: DataFrame) -> DataFrame:
+def defects(rows: DataFrame, common: float = COMMON) -> DataFrame:
     """(origin, doc_id, page, idx, defect) of the blocks affected by page layout or recogniser.
 
     Expects one row per (origin, doc_id, page, idx). Null and blank blocks are
     no case; a null position counts as the middle of the page; rows of a null page
     are one page; an empty table gives an empty one.
     """
-    pages, words = repair(rows)
-    shared = rows.sparkSession.sparkContext.broadcast(words.count)
+    pages, words = repair(rows, common)
+    shared = rows.sparkSession.sparkContext.broadcast((words.count, words.total))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Words.of(shared.value)
+        model = Words.of(*shared.value)
         for pdf in batches:
             out = []
-            for origin, doc, page, blocks, before, after in zip(*(pdf[c] for c in ("origin", "doc_id", "page", "blocks", "before", "after"))):
+            for origin, doc, page, blocks, before, after, rare in zip(*(pdf[c] for c in ("origin", "doc_id", "page", "blocks", "before", "after", "rare"))):
+                model.rare = _counts(rare)
                 found: set[tuple[int, str]] = set()
                 for b in blocks:
                     if b["kind"] in ("page_number", "running_line"):
@@ -507,13 +722,14 @@ FRAGMENTS = "origin string, doc_id bigint, page int, slice int, para_no int, kin
 def _fragments(rows: DataFrame) -> DataFrame:
     """(origin, doc_id, page, slice, para_no, kind, continues, text): paragraphs of each page, nulls in keys as NONE."""
     pages, words = repair(rows)
-    shared = rows.sparkSession.sparkContext.broadcast(words.count)
+    shared = rows.sparkSession.sparkContext.broadcast((words.count, words.total))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Words.of(shared.value)
+        model = Words.of(*shared.value)
         for pdf in batches:
             out = []
-            for origin, doc, page, part, blocks, before, after, headed in zip(*(pdf[c] for c in ("origin", "doc_id", "page", "slice", "blocks", "before", "after", "headed"))):
+            for origin, doc, page, part, blocks, before, after, headed, rare in zip(*(pdf[c] for c in ("origin", "doc_id", "page", "slice", "blocks", "before", "after", "headed", "rare"))):
+                model.rare = _counts(rare)
                 blocks = list(blocks)
                 body, pieces = _page_pieces(blocks, before, after, model)
                 at = {b["idx"]: b for b in blocks}
