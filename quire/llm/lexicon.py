@@ -8,10 +8,10 @@ expectation step run over all given pairs in parallel; only the table travels.
 
 from __future__ import annotations
 
-import math
+import functools
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from quire.session import materialize
 
 #: Cells for the words of one language of a pair, and candidates kept for a cell.
-CELLS, CANDIDATES = 1 << 15, 12
+CELLS, CANDIDATES = 1 << 18, 12
 EM_ROUNDS = 3
+#: Share of a language pair's sentences in which two words must stand together, their least Dice coefficient, and the least probability kept.
+SHARE, DICE, LEAST = 1e-6, 0.02, 0.002
+#: A counterpart of less than this share of the best one's probability does not count.
+LESSER = 0.05
 
 TOKEN = regex.compile(r"(\p{N}[\p{N}.,]*|\p{Lu}\p{N}+)|([\p{Script=Han}々〆]+)|([\p{Script=Hiragana}]+)|([\p{Script=Katakana}ー]+)|([\p{Script=Thai}]+)|([\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)?)")
 #: An elided article before a word, as in French.
@@ -52,6 +56,7 @@ def words(text: str | None) -> list[str]:
     return out
 
 
+@functools.lru_cache(maxsize=200_000)
 def cell(word: str) -> int:
     """Cell of a word."""
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % CELLS
@@ -62,59 +67,103 @@ def cells(text: str | None) -> list[int]:
     return list(dict.fromkeys(cell(w) for w in words(text)))
 
 
-@dataclass
-class Lexicon:
-    """forward[pair][s] = {t: p(t|s)}, backward[pair][t] = {s: p(s|t)}; weight of a cell by rarity."""
-
-    forward: dict[str, dict[int, dict[int, float]]] = field(default_factory=dict)
-    backward: dict[str, dict[int, dict[int, float]]] = field(default_factory=dict)
-    source_weight: dict[str, dict[int, float]] = field(default_factory=dict)
-    target_weight: dict[str, dict[int, float]] = field(default_factory=dict)
-
-    def strengths(self) -> Lexicon:
-        """The same with probabilities scaled so that a word's best translation counts 1 and lesser ones the root of their share."""
-        def scale(table):
-            return {p: {a: {b: math.sqrt(v / max(row.values())) for b, v in row.items() if v > 0.05 * max(row.values())} for a, row in rows.items() if row} for p, rows in table.items()}
-
-        return Lexicon(scale(self.forward), scale(self.backward), self.source_weight, self.target_weight)
-
-
 #: Rows of sentence pairs: pair string, s array<int>, t array<int>.
 PAIR_SCHEMA = "pair string, s array<int>, t array<int>"
 
-
 #: Word pairs handled at once, which bounds a task's memory.
 AT_ONCE = 2_000_000
 
 
 @dataclass
-class Packed:
-    """A lexicon as sorted keys (language pair, source cell, target cell) with both probabilities."""
+class Lexicon:
+    """Word translations as sorted arrays.
+
+    `keys` are (language pair, source cell, target cell) with both probabilities;
+    weights by rarity belong to (language pair, cell) of each side.
+    """
 
     names: dict[str, int]
     keys: np.ndarray
     forward: np.ndarray
     backward: np.ndarray
+    source_keys: np.ndarray
+    source_weight: np.ndarray
+    target_keys: np.ndarray
+    target_weight: np.ndarray
 
 
-def pack(lex: Lexicon) -> Packed:
-    """The sorted form of a lexicon."""
-    names = {p: i for i, p in enumerate(sorted({*lex.forward, *lex.backward}))}
-    both: dict[int, list[float]] = {}
-    for p, i in names.items():
-        for a, row in lex.forward.get(p, {}).items():
-            for b, v in row.items():
-                both.setdefault((i * CELLS + a) * CELLS + b, [0.0, 0.0])[0] = v
-        for b, row in lex.backward.get(p, {}).items():
-            for a, v in row.items():
-                both.setdefault((i * CELLS + a) * CELLS + b, [0.0, 0.0])[1] = v
-    keys = np.fromiter(both, dtype=np.int64, count=len(both))
-    order = np.argsort(keys)
-    values = np.array(list(both.values()), dtype=float).reshape(-1, 2)
-    return Packed(names, keys[order], values[order, 0], values[order, 1])
+@dataclass
+class Side:
+    """Counterparts of the words of one language: rows of `other` cells with strengths, from `starts` to `ends` for each of the sorted `keys`; weights of words."""
 
+    keys: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    other: np.ndarray
+    strength: np.ndarray
+    weight_keys: np.ndarray
+    weight: np.ndarray
+
+    def rows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first row, number of rows) of each wanted key."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = self.keys[at] == wanted
+        return self.starts[at], np.where(hit, self.ends[at] - self.starts[at], 0)
+
+    def weights(self, wanted: np.ndarray, default: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, whether known) of each wanted key."""
+        if not len(self.weight_keys):
+            return default, np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(self.weight_keys, wanted), len(self.weight_keys) - 1)
+        hit = self.weight_keys[at] == wanted
+        return np.where(hit, self.weight[at], default), hit
+
+
+def _side(keys: np.ndarray, other: np.ndarray, p: np.ndarray, weight_keys: np.ndarray, weight: np.ndarray) -> Side:
+    order = np.lexsort((other, keys))
+    keys, other, p = keys[order], other[order], p[order]
+    unique, starts = np.unique(keys, return_index=True)
+    best = np.repeat(np.maximum.reduceat(p, starts), np.diff(np.append(starts, len(keys)))) if len(keys) else p
+    keep = p > LESSER * best
+    keys, other, value = keys[keep], other[keep], np.sqrt(p[keep] / best[keep])
+    unique, starts = np.unique(keys, return_index=True)
+    return Side(unique, starts, np.append(starts[1:], len(keys)), other, value, weight_keys, weight)
+
+
+@dataclass
+class Strengths:
+    """A lexicon in which a word's best counterpart counts 1 and lesser ones the root of their share."""
 
-def _expect(pairs: list[str], s: list[np.ndarray], t: list[np.ndarray], lex: Packed | None) -> pd.DataFrame:
+    names: dict[str, int]
+    top: np.ndarray
+    forward: Side
+    backward: Side
+
+    @classmethod
+    def of(cls, lex: Lexicon) -> Strengths:
+        a, b, pair = lex.keys // CELLS, lex.keys % CELLS, lex.keys // (CELLS * CELLS)
+        top = np.full(len(lex.names) + 1, 4.0)
+        for keys, weight in ((lex.source_keys, lex.source_weight), (lex.target_keys, lex.target_weight)):
+            np.maximum.at(top, keys // CELLS, weight)
+        f, g = lex.forward > 0, lex.backward > 0
+        return cls(
+            lex.names,
+            top,
+            _side(a[f], b[f], lex.forward[f], lex.source_keys, lex.source_weight),
+            _side(pair[g] * CELLS + b[g], a[g] % CELLS, lex.backward[g], lex.target_keys, lex.target_weight),
+        )
+
+
+def ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, position) of the positions first..first+count-1 of each owner."""
+    owner = np.repeat(np.arange(len(count)), count)
+    ends = np.cumsum(count)
+    return owner, np.arange(len(owner)) - np.repeat(ends - count, count) + np.repeat(first, count)
+
+
+def _expect(pairs: list[str], s: list[np.ndarray], t: list[np.ndarray], lex: Lexicon | None) -> pd.DataFrame:
     """(pair, a, b, f, g): expected counts of word pairs, forward and backward; without a lexicon plain co-occurrence."""
     if lex is not None:
         use = [i for i, p in enumerate(pairs) if p in lex.names]
@@ -126,22 +175,19 @@ def _expect(pairs: list[str], s: list[np.ndarray], t: list[np.ndarray], lex: Pac
     ns, nt = np.array([len(x) for x in s]), np.array([len(x) for x in t])
     label = np.array([names[p] for p in pairs], dtype=np.int64)
     # Every word of a sentence with every word of its partner: positions in the joined lists.
-    at_s = np.repeat(np.arange(ns.sum()), np.repeat(nt, ns))
-    starts = np.concatenate([[0], np.cumsum(nt)[:-1]])
-    size = ns * nt
-    within = np.arange(size.sum()) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-    at_t = np.repeat(starts, size) + within % np.repeat(np.maximum(nt, 1), size)
+    row, at_s = ranges(np.cumsum(ns) - ns, ns)
+    at, at_t = ranges((np.cumsum(nt) - nt)[row], nt[row])
+    at_s = at_s[at]
     all_s = np.concatenate(s).astype(np.int64) if ns.sum() else np.zeros(0, np.int64)
     all_t = np.concatenate(t).astype(np.int64) if nt.sum() else np.zeros(0, np.int64)
-    key = (np.repeat(label, size) * CELLS + all_s[at_s]) * CELLS + all_t[at_t]
+    key = (label[row[at]] * CELLS + all_s[at_s]) * CELLS + all_t[at_t]
     if lex is None:
         found, n = np.unique(key, return_counts=True)
         f, g = n.astype(float), np.zeros(len(found))
     else:
         if not len(lex.keys) or not len(key):
             return empty
-        at = np.searchsorted(lex.keys, key)
-        at[at == len(lex.keys)] = 0
+        at = np.minimum(np.searchsorted(lex.keys, key), len(lex.keys) - 1)
         hit = lex.keys[at] == key
         at, key, at_s, at_t = at[hit], key[hit], at_s[hit], at_t[hit]
         pf, pb = lex.forward[at], lex.backward[at]
@@ -156,7 +202,7 @@ def _expect(pairs: list[str], s: list[np.ndarray], t: list[np.ndarray], lex: Pac
     return pd.DataFrame({"pair": pair, "a": (found // CELLS) % CELLS, "b": found % CELLS, "f": f, "g": g})
 
 
-def expectations(pairs: list[str], s: list, t: list, lex: Packed | None) -> Iterator[pd.DataFrame]:
+def expectations(pairs: list[str], s: list, t: list, lex: Lexicon | None) -> Iterator[pd.DataFrame]:
     """_expect over slices of bounded size."""
     first, load = 0, 0
     for i in range(len(pairs)):
@@ -168,7 +214,7 @@ def expectations(pairs: list[str], s: list, t: list, lex: Packed | None) -> Iter
 
 
 def _step(pairs: DataFrame, lex: Lexicon | None) -> DataFrame:
-    shared = pairs.sparkSession.sparkContext.broadcast(None if lex is None else pack(lex))
+    shared = pairs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -179,22 +225,22 @@ def _step(pairs: DataFrame, lex: Lexicon | None) -> DataFrame:
     return counted.groupBy("pair", "a", "b").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
 
 
-def _table(rows: pd.DataFrame) -> tuple[dict, dict]:
-    """Normalised forward and backward tables of (pair, a, b, f, g)."""
-    fwd: dict[str, dict[int, dict[int, float]]] = {}
-    bwd: dict[str, dict[int, dict[int, float]]] = {}
-    for pair, a, b, f, g in rows.itertuples(index=False):
-        if f > 0:
-            fwd.setdefault(pair, {}).setdefault(a, {})[b] = f
-        if g > 0:
-            bwd.setdefault(pair, {}).setdefault(b, {})[a] = g
-    for table in (fwd, bwd):
-        for side in table.values():
-            for row in side.values():
-                total = sum(row.values())
-                for k in row:
-                    row[k] /= total
-    return fwd, bwd
+def _shares(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values over their sum for each key."""
+    _, back = np.unique(keys, return_inverse=True)
+    total = np.bincount(back, weights=values) if len(keys) else values
+    return np.divide(values, total[back], out=np.zeros_like(values), where=values > 0) if len(keys) else values
+
+
+def _settled(rows: pd.DataFrame, names: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, forward, backward) of counts (pair, a, b, f, g), without what is hardly ever chosen."""
+    pair = rows["pair"].map(names).to_numpy(np.int64)
+    a, b = rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64)
+    f, g = _shares(pair * CELLS + a, rows["f"].to_numpy(float)), _shares(pair * CELLS + b, rows["g"].to_numpy(float))
+    keep = (f > LEAST) | (g > LEAST)
+    keys = ((pair * CELLS + a) * CELLS + b)[keep]
+    order = np.argsort(keys)
+    return keys[order], f[keep][order], g[keep][order]
 
 
 def train(pairs: DataFrame, rounds: int = EM_ROUNDS) -> Lexicon:
@@ -202,25 +248,32 @@ def train(pairs: DataFrame, rounds: int = EM_ROUNDS) -> Lexicon:
 
     Candidates are the cells that go together most (Dice) of all co-occurring
     ones; expectation-maximization (both directions) then settles their
-    probabilities. No pairs give an empty lexicon.
+    probabilities. Every threshold is a share, so copies of the corpus change nothing. For
+    a language pair the driver holds CELLS times CANDIDATES rows of each direction at most.
+    No pairs give an empty lexicon.
     """
     pairs = materialize(pairs)
-    together = _step(pairs, None).select("pair", "a", "b", F.col("f").alias("n"))
+    sizes = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = {p: i for i, p in enumerate(sorted(sizes))}
     single_s = pairs.select("pair", F.explode("s").alias("a")).groupBy("pair", "a").agg(F.count(F.lit(1)).alias("na"))
     single_t = pairs.select("pair", F.explode("t").alias("b")).groupBy("pair", "b").agg(F.count(F.lit(1)).alias("nb"))
-    scored = together.filter("n >= 2").join(single_s, ["pair", "a"]).join(single_t, ["pair", "b"]).withColumn("dice", 2 * F.col("n") / (F.col("na") + F.col("nb")))
+    weights = []
+    for side, c, n in ((single_s, "a", "na"), (single_t, "b", "nb")):
+        got = side.toPandas()
+        pair = got["pair"].map(names).to_numpy(np.int64)
+        share = got[n].to_numpy(float) / got["pair"].map(sizes).to_numpy(float)
+        key = pair * CELLS + got[c].to_numpy(np.int64)
+        order = np.argsort(key)
+        weights += [key[order], np.maximum(0.02, -np.log(share))[order]]
+    everything = F.create_map(*[F.lit(x) for p in sizes.items() for x in p]) if sizes else F.create_map()
+    together = _step(pairs, None).select("pair", "a", "b", F.col("f").alias("n"))
+    scored = together.filter(F.col("n") >= SHARE * F.coalesce(everything[F.col("pair")], F.lit(0)) if sizes else F.lit(True))
+    scored = scored.join(single_s, ["pair", "a"]).join(single_t, ["pair", "b"]).withColumn("dice", 2 * F.col("n") / (F.col("na") + F.col("nb"))).filter(F.col("dice") > DICE)
     by_s = Window.partitionBy("pair", "a").orderBy(F.desc("dice"), "b")
     by_t = Window.partitionBy("pair", "b").orderBy(F.desc("dice"), "a")
     kept = scored.withColumn("rs", F.row_number().over(by_s)).withColumn("rt", F.row_number().over(by_t))
-    kept = kept.filter((F.col("rs") <= CANDIDATES) | (F.col("rt") <= CANDIDATES)).filter("dice > 0.02")
-    first = kept.select("pair", "a", "b", F.col("dice").alias("f"), F.col("dice").alias("g")).toPandas()
-    lex = Lexicon(*_table(first))
-    sizes = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for side, weights, c in ((single_s, lex.source_weight, "a"), (single_t, lex.target_weight, "b")):
-        n = side.columns[-1]
-        for pair, k, count in side.select("pair", c, n).toPandas().itertuples(index=False):
-            weights.setdefault(pair, {})[k] = max(0.02, math.log(sizes[pair] / count)) if count else 1.0
+    kept = kept.filter((F.col("rs") <= CANDIDATES) | (F.col("rt") <= CANDIDATES))
+    lex = Lexicon(names, *_settled(kept.select("pair", "a", "b", F.col("dice").alias("f"), F.col("dice").alias("g")).toPandas(), names), *weights)
     for _ in range(rounds):
-        rows = _step(pairs, Lexicon(lex.forward, lex.backward)).filter("f > 0.05 OR g > 0.05").toPandas()
-        lex.forward, lex.backward = _table(rows)
+        lex.keys, lex.forward, lex.backward = _settled(_step(pairs, lex).toPandas(), names)
     return lex

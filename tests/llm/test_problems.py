@@ -212,14 +212,71 @@ def test_alignment_of_a_small_corpus(spark):
     assert align.align(df.limit(0)).count() == 0
 
 
-def test_long_documents_go_by_windows(spark, monkeypatch):
-    monkeypatch.setattr(align, "WINDOW", 10)
-    monkeypatch.setattr(align, "MARGIN", 4)
-    lines = [(1, i, f"a{i} a{i + 1}", f"b{i} b{i + 1}", "en", "de") for i in range(1, 36)] + [(2, 1, "x", None, "en", "de"), (3, 1, None, " ", None, None)]
-    df = spark.createDataFrame(lines, "doc_id bigint, seq int, original string, translation string, source_lang string, target_lang string")
-    parts = align._windows(df).filter("doc_id = 1").collect()
-    assert len(parts) == 4 and max(len(p["sides"]) for p in parts) <= 28
-    assert sorted(s["seq"] for p in parts for s in p["sides"] if s["side"] == 0) == list(range(1, 36))
+def _parallel(r, vocabulary, doc, n, kept, moved=()):
+    """Rows of a document whose translation renders the originals of `kept` in that order, and the true links."""
+    originals = [" ".join(r.choice(vocabulary) for _ in range(r.randint(6, 11))) + "." for _ in range(n)]
+    order = [i for i in kept if i not in set(moved)] + list(moved)
+    other = lambda w: w[::-1] + "ka"
+    translations = [" ".join(other(w) for w in originals[i].rstrip(".").split() if r.random() > 0.1) + "." for i in order]
+    size = max(n, len(order))
+    rows_ = [(doc, q + 1, originals[q] if q < n else None, translations[q] if q < len(order) else None, "en", "xx") for q in range(size)]
+    return rows_, {(doc, i + 1, j + 1) for j, i in enumerate(order)}
+
+
+def test_long_documents_with_omissions_and_moves(spark):
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 3))) for _ in range(900)]
+    data, truth = [], set()
+    for doc, n, kept, moved in [
+        (1, 1000, range(300, 1000), ()),  # the first 300 are left out
+        (2, 1200, range(1200), range(100, 220)),  # a chapter stands at the end
+        (3, 900, [i for i in range(900) if not 400 <= i < 430], (5,)),
+        *((k, 20, range(20), ()) for k in range(10, 90)),
+    ]:
+        rows_, links = _parallel(r, vocabulary, doc, n, kept, moved)
+        data += rows_
+        truth |= links
+    df = spark.createDataFrame(data, "doc_id bigint, seq int, original string, translation string, source_lang string, target_lang string")
+    got = [tuple(x) for x in align.align(df).select("doc_id", "original_seq", "translation_seq").collect()]
+    assert len(got) == len(set(got))
+    for doc in (1, 2, 3):
+        found, real = {x for x in got if x[0] == doc}, {x for x in truth if x[0] == doc}
+        assert len(found & real) >= 0.95 * len(real) and len(found & real) >= 0.95 * len(found), doc
+
+
+def test_scores_by_brute_force():
+    from quire.llm.lexicon import CELLS, Lexicon, Strengths
+
+    r = random.Random(8)
+    entries = sorted({(a, b): (r.uniform(0.1, 1), r.uniform(0.1, 1)) for a in range(12) for b in r.sample(range(20, 34), 3)}.items())
+    weights = {c: r.uniform(0.5, 3) for c in range(40)}
+    keys = np.array(sorted(weights))
+    w = np.array([weights[k] for k in keys])
+    lex = Lexicon({"a-b": 0}, np.array([a * CELLS + b for (a, b), _ in entries]), np.array([v[0] for _, v in entries]), np.array([v[1] for _, v in entries]), keys, w, keys, w)
+    s = [[[0, 1, 5], [2, 35], [3, 4, 36]], [[1, 7, 8]]]
+    t = [[[20, 22, 25], [35, 27], [30, 31], [36]], [[21, 29], [33, 5]]]
+    sc = align.Scores(s, t, ["a-b", "a-b"], Strengths.of(lex))
+    for d in range(2):
+        for i, a in enumerate(s[d]):
+            for j, b in enumerate(t[d]):
+                value = 0.0
+                for word in a:
+                    own = {y: v[0] for (x, y), v in entries if x == word}
+                    best = max(own.values(), default=1.0)
+                    own = {y: (v / best) ** 0.5 for y, v in own.items() if v > 0.05 * best} or {word: 1.0}
+                    value += weights[word] * max((v for y, v in own.items() if y in b), default=0.0)
+                assert abs(value / sum(weights[x] for x in a) - sc.s[i, j, d]) < 1e-5
+
+
+def test_alignment_does_not_depend_on_copies_of_the_corpus(spark):
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 3))) for _ in range(300)]
+    data = [x for doc in range(1, 25) for x in _parallel(r, vocabulary, doc, 12, [i for i in range(12) if i != doc % 12])[0]]
+    schema = "doc_id bigint, seq int, original string, translation string, source_lang string, target_lang string"
+    one = align.align(spark.createDataFrame(data, schema)).select("doc_id", "original_seq", "translation_seq")
+    many = align.align(spark.createDataFrame([(x[0] + 1000 * k, *x[1:]) for k in range(10) for x in data], schema)).filter("doc_id < 1000").select("doc_id", "original_seq", "translation_seq")
+    assert rows(one) == rows(many)
+
 
 
 # 6: defects
@@ -325,6 +382,48 @@ def test_paragraphs_go_on_across_pages_and_slices(spark, monkeypatch):
     assert [ocr.goes_on(e, l, headed=h) for e in (True, False) for l in (True, False) for h in (True, False)] == [False, True, False, False, True, True, False, True]
 
 
+def _pages(copies):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(60)] + ["modern"] * 4 + ["corner", "clear", "of", "the"]
+    out = []
+    for page in range(1, 25):
+        words = [r.choice(vocabulary) for _ in range(80)]
+        lines = [" ".join(words[i : i + 8]) for i in range(0, 80, 8)]
+        lines[2] = lines[2][:-2] + "-"
+        lines[3] = words[23][-2:] + " " + lines[3]
+        if page % 12 == 0:
+            lines[5] += " modem ofthe"
+        out += [(1, page, 0, "Old Book", 30.0), (1, page, 1, "\n".join(lines) + ".", 200.0), (1, page, 2, str(page + 7), 820.0)]
+    return [("ocr", d + 10 * k, p, i, t, y, 20.0) for k in range(copies) for d, p, i, t, y in out]
+
+
+def test_repair_does_not_depend_on_copies_of_the_corpus(spark):
+    schema = "origin string, doc_id bigint, page int, idx int, text string, top_y double, height double"
+    found = [rows(ocr.defects(spark.createDataFrame(_pages(k), schema)).filter("doc_id = 1")) for k in (1, 10, 100)]
+    assert found[0] == found[1] == found[2] and {"broken_word", "misread", "running_line", "page_number"} == {x[4] for x in found[0]}
+
+
+def test_rare_words_come_by_join(spark):
+    schema = "origin string, doc_id bigint, page int, idx int, text string, top_y double, height double"
+    df = spark.createDataFrame(_pages(1), schema)
+    words, rarer = ocr.train(df, common=0.014)
+    assert 0 < len(words.count) <= 1 / 0.014 and rarer.count() > 0
+    pages, model = ocr.repair(df, common=0.014)
+    known = {**{r["word"]: r["n"] for r in rarer.collect()}, **words.count}
+    for r in pages.collect():
+        body = [(b["idx"], b["text"]) for b in r["blocks"] if b["kind"] == "body"]
+        wanted = ocr.asked(body, model.count)
+        assert ocr._counts(r["rare"]).items() >= {w: known[w] for w in wanted if w in known}.items()
+
+
+def test_words_run_together_and_margins():
+    words = ocr.Words.of({"of": 400, "the": 700, "river": 60, "bridge": 50, "word": 90})
+    assert [p.printed for p in ocr.decode([(0, "bridge ofthe river")], words)] == ["bridge", "of the", "river"]
+    assert ocr.kind_of("mix", 30.0, 9.0) == "running_line" and ocr.kind_of("xiv", 30.0, 9.0, True) == "page_number"
+    assert ocr.kind_of("The old bridge closes late in winter.", 30.0, 9.0) == "body" and ocr.kind_of("The old bridge closes late in winter.", 30.0, 9.0, True) == "running_line"
+    assert ocr.margin_keys("xiv", 3) == ["r"] and ocr.margin_keys("- 17 -", 3) == ["n14"] and ocr.margin_keys("Handbook 60", 1) == ocr.margin_keys("Handbook 61", 2)
+
+
 # 9: mixing
 
 
