@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 import random
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,22 +25,26 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm import lexicon, sentences
+from quire.llm import lexicon
 from quire.llm.dedup import is_blank
 from quire.llm.lexicon import Lexicon
-from quire.llm.sentences import BoundaryModel, decode
 from quire.session import materialize, spread
 
 LABELS = ("refusal", "copy", "truncated", "wrong_language")
 #: Rows from which synthetic training pairs are made, and cells of hashed n-grams.
-SAMPLE, GRAMS = 4000, 1 << 14
-EPOCHS = 5
+SAMPLE, GRAMS = 4000, 1 << 18
+EPOCHS, BATCH = 5, 8
+#: Rows whose features are computed at once.
+AT_ONCE = 2000
+#: Log share of a word that a language never has, and the least one of a word it has.
+NEVER, RAREST = -13.0, -12.0
 #: Score as a refusal that an ordinary text may have.
 ORDINARY = 0.0
 
 TERMINAL = regex.compile(r"(?:[.!?…。！？।॥؟]|\p{N}\))[\"'”’»›)\]}」』）］】*_>\s]*$")
 BREAKS = regex.compile(r"(?:\.\.\.|…|[-,、，;；:：–—(（“«「])\s*$")
 LETTERS = regex.compile(r"\p{L}")
+LETTER_OR_DIGIT = regex.compile(r"[\p{L}\p{N}]")
 CODED = frozenset("0123456789@/\\_#=~")
 SPACELESS = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}]")
 WORD = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}]|(?<![\p{L}\p{M}])\p{L}[\p{L}\p{M}]+")
@@ -49,6 +52,8 @@ WORD = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{S
 PREFIX = regex.compile(r"^\s*[\p{L} ]{1,24}[:：]\s*")
 PLAIN = regex.compile(r"[^\p{L}\p{N}]+")
 SENTENCE_END = regex.compile(r"[.!?。！？।؟]+[”»」』\"]?(?=\s|$|[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}])")
+#: A mark within a text after which a sentence begins; not a dot before a number, after one letter, or after a short title or label in capitals.
+INNER_END = regex.compile(r"(?:(?<![\s.(]\p{L}|^\p{L}|(?:[\s(]|^)\p{Lu}\p{L}{1,2})\.+[”»’\"'’)]*\s+(?![\p{Ll}\p{N}]|\s*$)|[!?।؟]+[”»’\"'’)]*\s+(?!\p{Ll}|\s*$))|[。！？]+[”」』）]*(?=\s*\S)(?!\s*[とと，、,])")
 
 #: Phrases from which refusals are put together for training: an opening, what is declined, a closing.
 REFUSAL_PARTS = {
@@ -89,122 +94,156 @@ def _plain(text: str) -> str:
     return PLAIN.sub("", text.casefold())
 
 
+def sentence_count(text: str) -> int:
+    """Number of sentences by their marks."""
+    return 1 + sum(1 for _ in INNER_END.finditer(text))
+
+
 def _grams(text: str) -> set[str]:
     return {text[i : i + 4] for i in range(len(text) - 3)} or {text}
 
 
 @dataclass
 class Languages:
-    """log P(cell | language) of hashed tokens: a row for each cell, a column for each language."""
+    """log P(cell | language) of hashed tokens: a row for each cell, a column for each language; the best of each row, its language, and the second best."""
 
     names: dict[str, int]
-    row: dict[int, int]
+    row: np.ndarray
     logs: np.ndarray
-
-    def margin(self, cells: list[int], language: str) -> tuple[float, float]:
-        """(mean, share): how much better `language` explains the tokens than the best other one does; share of tokens far likelier elsewhere."""
-        k = self.names.get(language)
-        at = [r for c in cells if (r := self.row.get(c)) is not None]
-        if k is None or not at or len(self.names) < 2:
-            return 0.0, 0.0
-        m = self.logs[at]
-        others = np.delete(m, k, axis=1)
-        mean = (m[:, k].sum() - others.sum(axis=0).max()) / len(at)
-        return max(-3.0, min(3.0, float(mean))), float((others.max(axis=1) > m[:, k] + 3.0).mean())
-
-
-def languages(counts: dict[str, dict[int, int]]) -> Languages:
-    """Token distributions of languages; what a language never has counts as half a token."""
-    names = {k: i for i, k in enumerate(sorted(counts))}
-    row = {c: i for i, c in enumerate(sorted({c for r in counts.values() for c in r}))}
-    logs = np.empty((len(row), len(names)), dtype=np.float32)
-    for k, i in names.items():
-        total = sum(counts[k].values()) + 1.0
-        logs[:, i] = max(math.log(0.5 / total) if total > 50 else -9.0, -12.0)
-        for c, n in counts[k].items():
-            logs[row[c], i] = math.log(n / total)
-    return Languages(names, row, logs)
+    best: np.ndarray
+    best_of: np.ndarray
+    second: np.ndarray
+
+    def margins(self, owner: np.ndarray, cells: np.ndarray, rows: int, languages: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each list of languages (one of each row) (mean, share): how much better it explains the row's tokens than the best other one does; share of tokens far likelier elsewhere."""
+        at = self.row[cells]
+        owner, at = owner[at >= 0], at[at >= 0]
+        n = np.bincount(owner, minlength=rows).astype(float)
+        few = len(self.names) < 2
+        sums = np.stack([np.bincount(owner, weights=self.logs[at, k], minlength=rows) for k in range(len(self.names))], axis=1) if len(self.names) else np.zeros((rows, 1))
+        out = []
+        for wanted in languages:
+            k = np.array([self.names.get(w, -1) for w in wanted])
+            none = (k < 0) | (n == 0) | few
+            if few:
+                out.append((np.zeros(rows), np.zeros(rows)))
+                continue
+            others = sums.copy()
+            others[np.arange(rows), k] = -np.inf
+            mean = np.clip((sums[np.arange(rows), k] - others.max(axis=1)) / np.maximum(n, 1), -3.0, 3.0)
+            other = np.where(self.best_of[at] == k[owner], self.second[at], self.best[at])
+            far = np.bincount(owner, weights=other > self.logs[at, k[owner]] + 3.0, minlength=rows) / np.maximum(n, 1)
+            out.append((np.where(none, 0.0, mean), np.where(none, 0.0, far)))
+        return out
+
+
+def languages(counts: pd.DataFrame) -> Languages:
+    """Token distributions of languages from counts (k, c, n) of cells; shares only, so copies of the corpus change nothing."""
+    names = {k: i for i, k in enumerate(sorted(counts["k"].unique()))}
+    cells = np.unique(counts["c"].to_numpy(np.int64))
+    row = np.full(lexicon.CELLS, -1, dtype=np.int32)
+    row[cells] = np.arange(len(cells))
+    logs = np.full((len(cells), len(names)), NEVER, dtype=np.float32)
+    k = counts["k"].map(names).to_numpy(np.int64)
+    n = counts["n"].to_numpy(float)
+    total = np.bincount(k, weights=n, minlength=len(names)) if len(n) else n
+    logs[row[counts["c"].to_numpy(np.int64)], k] = np.maximum(np.log(n / total[k]), RAREST) if len(n) else 0.0
+    ordered = np.sort(logs, axis=1) if len(names) > 1 else np.full((len(cells), 2), NEVER, np.float32)
+    best_of = logs.argmax(axis=1) if len(names) else np.zeros(0, np.int64)
+    return Languages(names, row, logs, ordered[:, -1], best_of, ordered[:, -2])
+
+
+def _joined(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of the values of all rows."""
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    flat = [np.asarray(x, dtype=np.int64) for x in lists if len(x)]
+    return np.repeat(np.arange(len(lists)), sizes), np.concatenate(flat) if flat else np.zeros(0, np.int64)
+
+
+def grams(rows: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the distinct hashed words and word pairs of each row."""
+    pair = rows[1:] == rows[:-1]
+    two = (cells[:-1] * 1_000_003 + cells[1:] * 7_919 + 17)[pair] % GRAMS
+    key = np.unique(np.concatenate([rows * GRAMS + cells % GRAMS, rows[1:][pair] * GRAMS + two]))
+    return key // GRAMS, key % GRAMS
 
 
 class Features:
-    """Pair features; holds the tables that cover all rows."""
+    """Pair features of many rows at once; holds the tables that cover all rows."""
 
     names = 22
 
-    def __init__(self, lex: Lexicon, langs: Languages, ratio: dict[str, tuple[float, float]], bounds: BoundaryModel):
-        self.lex, self.langs, self.ratio, self.bounds = lex, langs, ratio, bounds
-
-    def of(self, original: str, translation: str, source: str, target: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pair features, and cells of hashed n-grams of the translation and of the original."""
-        wo, wt = lexicon.words(original), lexicon.words(translation)
-        return self.pair(original, translation, source, target, wo, wt), self.grams(wt), self.grams(wo)
-
-    def pair(self, original: str, translation: str, source: str, target: str, wo: list[str], wt: list[str]) -> np.ndarray:
-        key = f"{source}-{target}"
-        fwd = self.lex.forward.get(key, {})
-        weight = self.lex.source_weight.get(key, {})
-        here = {lexicon.cell(w) for w in wt}
-        order = [lexicon.cell(w) for w in wo]
-        covered, total, tail, seen_after = 0.0, 0.0, 0.0, 0.0
-        marks = []
-        for c in order:
-            row = fwd.get(c)
-            w = weight.get(c, 4.0)
-            if row is None and c not in here:
-                continue
-            v = 1.0 if c in here else max((p for b, p in row.items() if b in here), default=0.0)
-            v = min(1.0, 3.0 * v)
-            marks.append((w, v))
-            total += w
-            covered += w * v
-        # The stretch at the end that nothing renders, and how well the last third is rendered.
-        run = 0.0
-        for w, v in reversed(marks):
-            if v > 0.25 and w > 0.3:
-                break
-            run += w
-        third, third_covered = 0.0, 0.0
-        for w, v in reversed(marks):
-            if third > total / 3:
-                break
-            third += w
-            third_covered += w * v
-        first, first_covered = 0.0, 0.0
-        for w, v in marks:
-            if first > total / 2:
-                break
-            first += w
-            first_covered += w * v
-        cover = covered / total if total else 0.5
-        tail = run / total if total else 0.0
-        last = third_covered / third if third else 0.5
-        front = first_covered / first if first else 0.5
-        mean, spread_ = self.ratio.get(key, (0.0, 1.0))
-        z = (math.log(max(1, len(translation)) / max(1, len(original))) - mean) / max(0.05, spread_)
-        end_o, end_t = bool(TERMINAL.search(original)), bool(TERMINAL.search(translation))
-        hangs = bool(BREAKS.search(translation)) and not BREAKS.search(original)
-        cut = float(end_o and not end_t) or float(hangs)
-        so, st = len(decode(original, self.bounds)), len(decode(translation, self.bounds))
-        missing = max(0, so - st) / max(1, so)
-        po, pt = _plain(original), _plain(translation)
-        pp = _plain(PREFIX.sub("", translation))
-        go, gt = _grams(po), _grams(pp)
-        both = len(go & gt)
-        same = 1.0 if po in (pt, pp) else 0.0
-        mine, foreign = self.langs.margin(list(here), target)
-        like_source, _ = self.langs.margin(list(here), source)
-        return np.array(
-            [1.0, cover, tail, tail > 0.3, last, front - last, min(3.0, max(-3.0, z)), z < -1.5, cut, cut * tail, hangs, missing, missing * tail,
-             same, both / len(go), both / len(gt), mine, mine < 0, foreign, like_source, float(len(translation) < 12), cut * (1 - last)],
-            dtype=np.float64,
-        )
-
-    @staticmethod
-    def grams(words: list[str]) -> np.ndarray:
-        """Cells of the words and word pairs of a text."""
-        found = {zlib.crc32(w.encode("utf-8", "surrogatepass")) % GRAMS for w in words}
-        found |= {zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) % GRAMS for a, b in zip(words, words[1:])}
-        return np.fromiter(sorted(found), dtype=np.int64, count=len(found))
+    def __init__(self, lex: Lexicon, langs: Languages, ratio: dict[str, tuple[float, float]]):
+        self.names_of, self.forward, self.langs, self.ratio = lex.names, lexicon.renderings(lex), langs, ratio
+
+    def coverage(self, label: np.ndarray, ro: np.ndarray, co: np.ndarray, rt: np.ndarray, ct: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(cover, tail, last, front) of each row: weight of the original's words that is rendered, weight of the end that nothing renders, cover of the last third and of the first half."""
+        rows = len(label)
+        here = np.unique(rt * lexicon.CELLS + ct)
+        inside = lambda r, c: here[np.minimum(np.searchsorted(here, r * lexicon.CELLS + c), len(here) - 1)] == r * lexicon.CELLS + c if len(here) else np.zeros(len(r), bool)
+        first, count = self.forward.rows(label[ro] * lexicon.CELLS + co)
+        w, _ = self.forward.weights(label[ro] * lexicon.CELLS + co, np.full(len(co), 4.0))
+        at, place = lexicon.ranges(first, count)
+        there = inside(ro[at], self.forward.other[place])
+        v = np.zeros(len(co))
+        np.maximum.at(v, at[there], self.forward.strength[place[there]])
+        same = inside(ro, co)
+        v = np.where(same, 1.0, np.minimum(1.0, 3.0 * v))
+        use = (count > 0) | same
+        r, w, v = ro[use], w[use], v[use]
+        total = np.bincount(r, weights=w, minlength=rows)
+        upto = np.cumsum(w)
+        base = np.zeros(rows)
+        starts = np.searchsorted(r, np.arange(rows))
+        base[starts > 0] = upto[starts[starts > 0] - 1]
+        upto = upto - base[r]
+        good = np.full(rows, -1)
+        sure = np.nonzero((v > 0.25) & (w > 0.3))[0]
+        np.maximum.at(good, r[sure], sure)
+        share = lambda take, x: np.bincount(r[take], weights=x[take], minlength=rows)
+        over = lambda a, b, none: np.divide(a, b, out=np.full(rows, none), where=b > 0)
+        cover, tail = over(share(slice(None), w * v), total, 0.5), over(share(np.arange(len(r)) > good[r], w), total, 0.0)
+        third, half = total[r] - upto <= total[r] / 3, upto - w <= total[r] / 2
+        return cover, tail, over(share(third, w * v), share(third, w), 0.5), over(share(half, w * v), share(half, w), 0.5)
+
+    def of(self, o: list[str], t: list[str], source: list[str], target: list[str], co: list, ct: list) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Pair features of rows with cells of both texts in order, and (row, cell) of hashed n-grams of translation and original."""
+        rows = len(o)
+        keys = [f"{a}-{b}" for a, b in zip(source, target)]
+        label = np.array([self.names_of.get(k, len(self.names_of)) for k in keys], dtype=np.int64)
+        (ro, fo), (rt, ft) = _joined(co), _joined(ct)
+        cover, tail, last, front = self.coverage(label, ro, fo, rt, ft)
+        key = np.unique(rt * lexicon.CELLS + ft)
+        (mine, foreign), (like_source, _) = self.langs.margins(key // lexicon.CELLS, key % lexicon.CELLS, rows, [target, source])
+        some = np.zeros((rows, 8))
+        for i, (a, b, k) in enumerate(zip(o, t, keys)):
+            mean, spread_ = self.ratio.get(k, (0.0, 1.0))
+            hangs = bool(BREAKS.search(b)) and not BREAKS.search(a)
+            so, st = sentence_count(a), sentence_count(b)
+            pa, pb, pp = _plain(a), _plain(b), _plain(PREFIX.sub("", b))
+            ga, gb = _grams(pa), _grams(pp)
+            both = len(ga & gb)
+            some[i] = (
+                (math.log(max(1, len(b)) / max(1, len(a))) - mean) / max(0.05, spread_),
+                float(bool(TERMINAL.search(a)) and not TERMINAL.search(b)) or float(hangs),
+                hangs,
+                max(0, so - st) / max(1, so),
+                pa in (pb, pp),
+                both / len(ga),
+                both / len(gb),
+                len(b) < 12,
+            )
+        z, cut, hangs, missing, same, of_a, of_b, short = some.T
+        one = np.ones(rows)
+        x = [one, cover, tail, tail > 0.3, last, front - last, np.clip(z, -3.0, 3.0), z < -1.5, cut, cut * tail, hangs, missing, missing * tail, same, of_a, of_b, mine, mine < 0, foreign, like_source, short, cut * (1 - last)]
+        return np.stack(x, axis=1).astype(float), grams(rt, ft), grams(ro, fo)
+
+
+def _gram_scores(weights: np.ndarray, rows: int, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sum of the weights of each row's n-grams over the root of their number."""
+    row, cell = found
+    n = np.maximum(1, np.bincount(row, minlength=rows))
+    return np.stack([np.bincount(row, weights=weights[cell, k], minlength=rows) for k in range(weights.shape[1])], axis=1) / np.sqrt(n)[:, None]
 
 
 @dataclass
@@ -215,13 +254,10 @@ class Classifier:
     gram: np.ndarray
     cut: np.ndarray
 
-    def probabilities(self, x: np.ndarray, grams: np.ndarray, original: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: np.ndarray, of_translation: tuple, of_original: tuple) -> np.ndarray:
         """Probability of each label; an original that reads like a refusal itself counts against one."""
-        s = x @ self.pair
-        if len(grams):
-            s = s + self.gram[grams].sum(axis=0) / math.sqrt(len(grams))
-        if len(original):
-            s[0] -= max(0.0, self.gram[original, 0].sum() / math.sqrt(len(original)) - ORDINARY)
+        s = x @ self.pair + _gram_scores(self.gram, len(x), of_translation)
+        s[:, 0] -= np.maximum(0.0, _gram_scores(self.gram[:, :1], len(x), of_original)[:, 0] - ORDINARY)
         return 1.0 / (1.0 + np.exp(-np.clip(s, -30, 30)))
 
 
@@ -284,100 +320,104 @@ def synthetic(rows: list[tuple[str, str, str, str]], seed: int = 7) -> list[tupl
 
 
 def fit(examples: list[tuple[str, str, str, str, tuple[int, ...], bool]], features: Features, seed: int = 3) -> Classifier:
-    """Logistic regression by adaptive gradient steps; thresholds of best F1 on the held-out examples. A label of -1 is left open."""
-    rows = [(*features.of(o, t, s, k), np.array(y, dtype=float)) for o, t, s, k, y, _ in examples]
-    held = [x for x, e in zip(rows, examples) if e[5]]
-    train = [x for x, e in zip(rows, examples) if not e[5]]
+    """Logistic regression by adaptive gradient steps over small batches; thresholds of best F1 on the held-out examples. A label of -1 is left open."""
     n = len(LABELS)
     pair, gram = np.zeros((Features.names, n)), np.zeros((GRAMS, n))
+    model = Classifier(pair, gram, np.full(n, 0.5))
+    if not examples:
+        return model
+    o, t, s, k, labels, held = (list(c) for c in zip(*examples))
+    x, of_t, of_o = features.of(o, t, s, k, [lexicon.ordered_cells(a) for a in o], [lexicon.ordered_cells(b) for b in t])
+    y, held = np.array(labels, dtype=float), np.array(held)
+    row, cell = of_t
+    starts = np.searchsorted(row, np.arange(len(x) + 1))
+    sizes = np.diff(starts)
+    scale = 1.0 / np.sqrt(np.maximum(1, sizes))
     gp, gg = np.full(pair.shape, 1e-3), np.full(gram.shape, 1e-3)
-    r = random.Random(seed)
+    rng = np.random.default_rng(seed)
+    train = np.nonzero(~held)[0]
     for _ in range(EPOCHS):
-        r.shuffle(train)
-        for x, g, _, y in train:
-            scale = 1.0 / math.sqrt(len(g)) if len(g) else 0.0
-            s = x @ pair + (gram[g].sum(axis=0) * scale if len(g) else 0.0)
-            d = 1.0 / (1.0 + np.exp(-np.clip(s, -30, 30))) - y
-            d[y < 0] = 0.0
-            step = np.outer(x, d) + 1e-4 * pair
+        order = rng.permutation(train)
+        for first in range(0, len(order), BATCH):
+            b = order[first : first + BATCH]
+            owner, at = lexicon.ranges(starts[b], sizes[b])
+            cells = cell[at]
+            z = x[b] @ pair
+            np.add.at(z, owner, gram[cells] * scale[b][owner][:, None])
+            d = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y[b]
+            d[y[b] < 0] = 0.0
+            step = x[b].T @ d + 1e-4 * len(b) * pair
             gp += step * step
             pair -= 0.15 * step / np.sqrt(gp)
-            if len(g):
-                step = d * scale
-                gg[g] += step * step
-                gram[g] -= 0.08 * step / np.sqrt(gg[g])
-    model = Classifier(pair, gram, np.full(n, 0.5))
-    if held:
-        p = np.array([model.probabilities(x, g, o) for x, g, o, _ in held])
-        y = np.array([y for _, _, _, y in held])
-        for k in range(n):
-            known = y[:, k] >= 0
+            used, back = np.unique(cells, return_inverse=True)
+            step = np.zeros((len(used), n))
+            np.add.at(step, back, d[owner] * scale[b][owner][:, None])
+            gg[used] += step * step
+            gram[used] -= 0.08 * step / np.sqrt(gg[used])
+    if held.any():
+        p = model.probabilities(x, of_t, of_o)[held]
+        known_y = y[held]
+        for c in range(n):
+            known = known_y[:, c] >= 0
             best = (-1.0, 0.5)
-            for c in np.linspace(0.1, 0.95, 35):
-                hit = (p[known, k] >= c) & (y[known, k] == 1)
-                f1 = 2 * hit.sum() / max(1, (p[known, k] >= c).sum() + (y[known, k] == 1).sum())
+            for v in np.linspace(0.1, 0.95, 35):
+                hit = (p[known, c] >= v) & (known_y[known, c] == 1)
+                f1 = 2 * hit.sum() / max(1, (p[known, c] >= v).sum() + (known_y[known, c] == 1).sum())
                 # Of equal thresholds the one nearest to the middle.
-                best = max(best, (round(float(f1), 4) - abs(c - 0.5) * 1e-3, c))
-            model.cut[k] = best[1]
+                best = max(best, (round(float(f1), 4) - abs(v - 0.5) * 1e-3, v))
+            model.cut[c] = best[1]
     return model
 
 
-def classify(original: str, translation: str | None, source: str, target: str, features: Features, model: Classifier) -> tuple[str | None, float]:
-    """(the first defect that holds or None, probability of a refusal)."""
-    if not has_words(original):
-        return None, 0.0
-    if not translation or not regex.search(r"[\p{L}\p{N}]", translation):
-        return "empty", 0.0
-    x, grams, own = features.of(original, translation, source, target)
-    p = model.probabilities(x, grams, own)
-    for label, v, c in zip(LABELS, p, model.cut):
-        if v >= c:
-            # A copy is checked against the text itself.
-            if label == "copy" and x[14] < 0.8:
-                continue
-            # What was cut short ends in the open or has fewer sentences; leaving words out is a free rendering.
-            if label == "truncated" and not (x[8] or x[11]):
-                continue
-            return label, float(p[0])
-    return None, float(p[0])
-
-
-def _sound(o: str, t: str, features: Features, s: str, k: str) -> bool:
-    """Whether a pair looks sound enough to train on."""
-    x, _, _ = features.of(o, t, s, k)
-    # It ends as the original does, has as many sentences, is no copy and is in the language wanted; words may be left out.
-    return not x[8] and not x[11] and x[14] < 0.3 and x[16] > -0.2
+def classify(o: list, t: list, source: list, target: list, co: list, ct: list, features: Features, model: Classifier) -> list[str | None]:
+    """The first defect of each row that holds, or None."""
+    out: list[str | None] = [None] * len(o)
+    rest = []
+    for i, (a, b) in enumerate(zip(o, t)):
+        if has_words(a):
+            if b and LETTER_OR_DIGIT.search(b):
+                rest.append(i)
+            else:
+                out[i] = "empty"
+    if not rest:
+        return out
+    pick = lambda xs: [xs[i] for i in rest]
+    x, of_t, of_o = features.of(pick(o), pick(t), pick(source), pick(target), pick(co), pick(ct))
+    holds = model.probabilities(x, of_t, of_o) >= model.cut
+    # A copy is checked against the text itself.
+    holds[:, LABELS.index("copy")] &= x[:, 14] >= 0.8
+    # What was cut short ends in the open or has fewer sentences; leaving words out is a free rendering.
+    holds[:, LABELS.index("truncated")] &= (x[:, 8] > 0) | (x[:, 11] > 0)
+    for i, any_, label in zip(rest, holds.any(axis=1), holds.argmax(axis=1)):
+        if any_:
+            out[i] = LABELS[label]
+    return out
 
 
 def train(rows: DataFrame) -> tuple[Features, Classifier]:
-    """Tables over all rows and the classifier of a bounded sample (SAMPLE rows, by hash)."""
-    usable = rows.filter(~is_blank(F.col("translation")))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame(
-                {
-                    "pair": pdf["source_lang"].fillna("") + "-" + pdf["target_lang"].fillna(""),
-                    "s": [lexicon.cells(t) for t in pdf["original"]],
-                    "t": [lexicon.cells(t) for t in pdf["translation"]],
-                    "r": np.log(pdf["translation"].str.len().clip(lower=1) / pdf["original"].str.len().clip(lower=1)).astype(float),
-                }
-            )
+    """Tables over all rows and the classifier of a bounded sample (SAMPLE rows, by hash).
 
-    pairs = materialize(usable.mapInPandas(cut, lexicon.PAIR_SCHEMA + ", r double"))
-    lex = lexicon.train(pairs.select("pair", "s", "t"))
-    ratio = {r["pair"]: (r["m"], max(0.05, (r["q3"] - r["q1"]) / 1.35)) for r in pairs.groupBy("pair").agg(F.percentile_approx("r", 0.5).alias("m"), F.percentile_approx("r", 0.25).alias("q1"), F.percentile_approx("r", 0.75).alias("q3")).collect()}
-    counts: dict[str, dict[int, int]] = {}
-    for side, at in (("s", 0), ("t", 1)):
-        got = pairs.select(F.element_at(F.split("pair", "-"), at + 1).alias("k"), F.explode(side).alias("c")).groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
-        for k, c, n in got.toPandas().itertuples(index=False):
-            row = counts.setdefault(k, {})
-            row[c] = row.get(c, 0) + n
-    texts = usable.select(F.explode(F.array("original", "translation")).alias("text"))
-    features = Features(lex, languages(counts), ratio, sentences.train(texts, "text"))
+    `rows` have the texts, their languages and the cells of both (co, ct), and are checkpointed.
+    """
+    usable = rows.filter(~is_blank(F.col("translation")))
+    pair = F.concat_ws("-", F.coalesce("source_lang", F.lit("")), F.coalesce("target_lang", F.lit("")))
+    lex = lexicon.train(usable.select(pair.alias("pair"), F.array_distinct("co").alias("s"), F.array_distinct("ct").alias("t")), lasting=True)
+    length = lambda c: F.greatest(F.lit(1), F.length(c))
+    spans = usable.select(pair.alias("pair"), F.log(length("translation") / length("original")).alias("r")).groupBy("pair")
+    ratio = {r["pair"]: (r["m"], max(0.05, (r["q3"] - r["q1"]) / 1.35)) for r in spans.agg(F.percentile_approx("r", 0.5).alias("m"), F.percentile_approx("r", 0.25).alias("q1"), F.percentile_approx("r", 0.75).alias("q3")).collect()}
+    side = lambda lang, cells: usable.select(F.coalesce(lang, F.lit("")).alias("k"), F.explode(F.array_distinct(cells)).alias("c"))
+    counts = side("source_lang", "co").unionByName(side("target_lang", "ct")).groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
+    # CELLS rows a language at most.
+    features = Features(lex, languages(counts.toPandas()), ratio)
     sample = usable.orderBy(F.xxhash64("doc_id", "seq"), "doc_id", "seq").limit(SAMPLE).select("original", "translation", "source_lang", "target_lang").collect()
-    sound = [(r[0], r[1], r[2] or "", r[3] or "") for r in sample]
-    sound = [x for x in sound if has_words(x[0]) and _sound(x[0], x[1], features, x[2], x[3])]
+    some = [(r[0], r[1], r[2] or "", r[3] or "") for r in sample if has_words(r[0])]
+    sound: list[tuple[str, str, str, str]] = []
+    if some:
+        o, t, s, k = (list(c) for c in zip(*some))
+        x, _, _ = features.of(o, t, s, k, [lexicon.ordered_cells(a) for a in o], [lexicon.ordered_cells(b) for b in t])
+        # It ends as the original does, has as many sentences, is no copy and is in the language wanted; words may be left out.
+        looks = (x[:, 8] == 0) & (x[:, 11] == 0) & (x[:, 14] < 0.3) & (x[:, 16] > -0.2)
+        sound = [row for row, good in zip(some, looks) if good]
     return features, fit(synthetic(sound), features)
 
 
@@ -390,15 +430,24 @@ def defects(segments: DataFrame) -> DataFrame:
     empty one.
     """
     wanted = segments.select("doc_id", "seq", "original", "translation", "source_lang", "target_lang")
-    rows = materialize(spread(wanted.filter(~is_blank(F.col("original")))))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(co=[lexicon.ordered_cells(x) for x in pdf["original"]], ct=[lexicon.ordered_cells(x) for x in pdf["translation"]])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields)
+    rows = materialize(spread(wanted.filter(~is_blank(F.col("original")))).mapInPandas(cut, fields + ", co array<int>, ct array<int>"))
     features, model = train(rows)
     shared = segments.sparkSession.sparkContext.broadcast((features, model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f, m = shared.value
         for pdf in batches:
-            found = [classify(o, t, s or "", k or "", f, m) for o, t, s, k in zip(pdf["original"], pdf["translation"], pdf["source_lang"], pdf["target_lang"])]
-            out = pdf[["doc_id", "seq"]].assign(defect=[d for d, _ in found])
+            found = []
+            for first in range(0, len(pdf), AT_ONCE):
+                part = pdf.iloc[first : first + AT_ONCE]
+                found += classify(*(list(part[c]) for c in ("original", "translation")), *(list(part[c].fillna("")) for c in ("source_lang", "target_lang")), list(part["co"]), list(part["ct"]), f, m)
+            out = pdf[["doc_id", "seq"]].assign(defect=found)
             yield out[out["defect"].notna()]
 
     return rows.mapInPandas(run, "doc_id bigint, seq int, defect string")

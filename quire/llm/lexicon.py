@@ -74,6 +74,11 @@ PAIR_SCHEMA = "pair string, s array<int>, t array<int>"
 AT_ONCE = 2_000_000
 
 
+def ordered_cells(text: str | None) -> list[int]:
+    """Cells of a text's tokens, in order and with repeats."""
+    return [cell(w) for w in words(text)]
+
+
 @dataclass
 class Lexicon:
     """Word translations as sorted arrays.
@@ -163,17 +168,12 @@ def ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, np.arange(len(owner)) - np.repeat(ends - count, count) + np.repeat(first, count)
 
 
-def _expect(pairs: list[str], s: list[np.ndarray], t: list[np.ndarray], lex: Lexicon | None) -> pd.DataFrame:
-    """(pair, a, b, f, g): expected counts of word pairs, forward and backward; without a lexicon plain co-occurrence."""
-    if lex is not None:
-        use = [i for i, p in enumerate(pairs) if p in lex.names]
-        pairs, s, t = [pairs[i] for i in use], [s[i] for i in use], [t[i] for i in use]
-    names = lex.names if lex is not None else {p: i for i, p in enumerate(sorted(set(pairs)))}
-    empty = pd.DataFrame({"pair": [], "a": [], "b": [], "f": [], "g": []})
-    if not pairs:
-        return empty
-    ns, nt = np.array([len(x) for x in s]), np.array([len(x) for x in t])
-    label = np.array([names[p] for p in pairs], dtype=np.int64)
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _expect(label: np.ndarray, s: list[np.ndarray], t: list[np.ndarray], lex: Lexicon | None) -> Counts:
+    """(keys, f, g): expected counts of word pairs, forward and backward; without a lexicon plain co-occurrence."""
+    ns, nt = np.array([len(x) for x in s], dtype=np.int64), np.array([len(x) for x in t], dtype=np.int64)
     # Every word of a sentence with every word of its partner: positions in the joined lists.
     row, at_s = ranges(np.cumsum(ns) - ns, ns)
     at, at_t = ranges((np.cumsum(nt) - nt)[row], nt[row])
@@ -183,46 +183,63 @@ def _expect(pairs: list[str], s: list[np.ndarray], t: list[np.ndarray], lex: Lex
     key = (label[row[at]] * CELLS + all_s[at_s]) * CELLS + all_t[at_t]
     if lex is None:
         found, n = np.unique(key, return_counts=True)
-        f, g = n.astype(float), np.zeros(len(found))
-    else:
-        if not len(lex.keys) or not len(key):
-            return empty
-        at = np.minimum(np.searchsorted(lex.keys, key), len(lex.keys) - 1)
-        hit = lex.keys[at] == key
-        at, key, at_s, at_t = at[hit], key[hit], at_s[hit], at_t[hit]
-        pf, pb = lex.forward[at], lex.backward[at]
-        whole_t = np.bincount(at_t, weights=pf, minlength=len(all_t))
-        whole_s = np.bincount(at_s, weights=pb, minlength=len(all_s))
-        f = np.divide(pf, whole_t[at_t], out=np.zeros_like(pf), where=pf > 0)
-        g = np.divide(pb, whole_s[at_s], out=np.zeros_like(pb), where=pb > 0)
-        found, back = np.unique(key, return_inverse=True)
-        f, g = np.bincount(back, weights=f, minlength=len(found)), np.bincount(back, weights=g, minlength=len(found))
-    order = {i: p for p, i in names.items()}
-    pair = np.array([order[i] for i in range(len(order))], dtype=object)[found // (CELLS * CELLS)]
-    return pd.DataFrame({"pair": pair, "a": (found // CELLS) % CELLS, "b": found % CELLS, "f": f, "g": g})
-
-
-def expectations(pairs: list[str], s: list, t: list, lex: Lexicon | None) -> Iterator[pd.DataFrame]:
+        return found, n.astype(float), np.zeros(len(found))
+    if not len(lex.keys) or not len(key):
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    at = np.minimum(np.searchsorted(lex.keys, key), len(lex.keys) - 1)
+    hit = lex.keys[at] == key
+    at, key, at_s, at_t = at[hit], key[hit], at_s[hit], at_t[hit]
+    pf, pb = lex.forward[at], lex.backward[at]
+    whole_t = np.bincount(at_t, weights=pf, minlength=len(all_t))
+    whole_s = np.bincount(at_s, weights=pb, minlength=len(all_s))
+    f = np.divide(pf, whole_t[at_t], out=np.zeros_like(pf), where=pf > 0)
+    g = np.divide(pb, whole_s[at_s], out=np.zeros_like(pb), where=pb > 0)
+    return _merged([(key, f, g)])
+
+
+def _merged(parts: list[Counts]) -> Counts:
+    """The counts of several parts in one."""
+    keys = np.concatenate([k for k, _, _ in parts])
+    found, back = np.unique(keys, return_inverse=True)
+    f, g = (np.bincount(back, weights=np.concatenate([x[w] for x in parts]), minlength=len(found)) for w in (1, 2))
+    return found, f, g
+
+
+def expectations(labels: list[int], s: list, t: list, lex: Lexicon | None) -> Iterator[Counts]:
     """_expect over slices of bounded size."""
     first, load = 0, 0
-    for i in range(len(pairs)):
+    for i in range(len(labels)):
         load += len(s[i]) * len(t[i])
-        if load > AT_ONCE:
-            yield _expect(pairs[first : i + 1], s[first : i + 1], t[first : i + 1], lex)
+        if load > AT_ONCE or i + 1 == len(labels):
+            yield _expect(np.array(labels[first : i + 1], dtype=np.int64), s[first : i + 1], t[first : i + 1], lex)
             first, load = i + 1, 0
-    yield _expect(pairs[first:], s[first:], t[first:], lex)
 
 
-def _step(pairs: DataFrame, lex: Lexicon | None) -> DataFrame:
-    shared = pairs.sparkSession.sparkContext.broadcast(lex)
+def _step(pairs: DataFrame, names: dict[str, int], lex: Lexicon | None) -> DataFrame:
+    shared = pairs.sparkSession.sparkContext.broadcast((names, lex))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, got = shared.value
+        kept: list[Counts] = []
         for pdf in batches:
-            for part in expectations(list(pdf["pair"]), list(pdf["s"]), list(pdf["t"]), shared.value):
-                yield part.astype({"a": "int32", "b": "int32", "f": float, "g": float})
+            for part in expectations([known[p] for p in pdf["pair"]], list(pdf["s"]), list(pdf["t"]), got):
+                kept.append(part)
+                if sum(len(k) for k, _, _ in kept) > AT_ONCE:
+                    # Counts of a task are summed up here as far as memory goes, so few rows leave it.
+                    kept = [_merged(kept)]
+                    if len(kept[0][0]) > AT_ONCE // 2:
+                        yield _frame(kept.pop())
+        if kept:
+            yield _frame(_merged(kept))
+
+    counted = pairs.mapInPandas(run, "key bigint, f double, g double").groupBy("key").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
+    cells = F.lit(CELLS).cast("bigint")
+    whole = F.floor(F.col("key") / cells)
+    return counted.select(F.floor(whole / cells).cast("int").alias("pair"), F.pmod(whole, cells).cast("int").alias("a"), F.pmod("key", cells).cast("int").alias("b"), "f", "g")
 
-    counted = pairs.mapInPandas(run, "pair string, a int, b int, f double, g double")
-    return counted.groupBy("pair", "a", "b").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
+
+def _frame(counts: Counts) -> pd.DataFrame:
+    return pd.DataFrame({"key": counts[0], "f": counts[1], "g": counts[2]})
 
 
 def _shares(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -232,10 +249,9 @@ def _shares(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.divide(values, total[back], out=np.zeros_like(values), where=values > 0) if len(keys) else values
 
 
-def _settled(rows: pd.DataFrame, names: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _settled(rows: pd.DataFrame) -> Counts:
     """(keys, forward, backward) of counts (pair, a, b, f, g), without what is hardly ever chosen."""
-    pair = rows["pair"].map(names).to_numpy(np.int64)
-    a, b = rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64)
+    pair, a, b = (rows[c].to_numpy(np.int64) for c in ("pair", "a", "b"))
     f, g = _shares(pair * CELLS + a, rows["f"].to_numpy(float)), _shares(pair * CELLS + b, rows["g"].to_numpy(float))
     keep = (f > LEAST) | (g > LEAST)
     keys = ((pair * CELLS + a) * CELLS + b)[keep]
@@ -243,8 +259,8 @@ def _settled(rows: pd.DataFrame, names: dict[str, int]) -> tuple[np.ndarray, np.
     return keys[order], f[keep][order], g[keep][order]
 
 
-def train(pairs: DataFrame, rounds: int = EM_ROUNDS) -> Lexicon:
-    """Lexicon of sentence pairs (pair, s, t).
+def train(pairs: DataFrame, rounds: int = EM_ROUNDS, lasting: bool = False) -> Lexicon:
+    """Lexicon of sentence pairs (pair, s, t); `lasting` tells that they are checkpointed already.
 
     Candidates are the cells that go together most (Dice) of all co-occurring
     ones; expectation-maximization (both directions) then settles their
@@ -252,28 +268,36 @@ def train(pairs: DataFrame, rounds: int = EM_ROUNDS) -> Lexicon:
     a language pair the driver holds CELLS times CANDIDATES rows of each direction at most.
     No pairs give an empty lexicon.
     """
-    pairs = materialize(pairs)
+    pairs = pairs if lasting else materialize(pairs)
     sizes = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = {p: i for i, p in enumerate(sorted(sizes))}
-    single_s = pairs.select("pair", F.explode("s").alias("a")).groupBy("pair", "a").agg(F.count(F.lit(1)).alias("na"))
-    single_t = pairs.select("pair", F.explode("t").alias("b")).groupBy("pair", "b").agg(F.count(F.lit(1)).alias("nb"))
+    spark = pairs.sparkSession
+    # One row for each language pair.
+    known = F.broadcast(spark.createDataFrame([(p, i, sizes[p]) for p, i in names.items()], "pair string, _p int, _n bigint"))
+    single = lambda side, cell, n: pairs.select("pair", F.explode(side).alias(cell)).join(known, "pair").groupBy(F.col("_p").alias("pair"), cell).agg(F.count(F.lit(1)).alias(n), F.first("_n").alias("_n"))
+    single_s, single_t = single("s", "a", "na"), single("t", "b", "nb")
     weights = []
     for side, c, n in ((single_s, "a", "na"), (single_t, "b", "nb")):
         got = side.toPandas()
-        pair = got["pair"].map(names).to_numpy(np.int64)
-        share = got[n].to_numpy(float) / got["pair"].map(sizes).to_numpy(float)
-        key = pair * CELLS + got[c].to_numpy(np.int64)
+        key = got["pair"].to_numpy(np.int64) * CELLS + got[c].to_numpy(np.int64)
         order = np.argsort(key)
-        weights += [key[order], np.maximum(0.02, -np.log(share))[order]]
-    everything = F.create_map(*[F.lit(x) for p in sizes.items() for x in p]) if sizes else F.create_map()
-    together = _step(pairs, None).select("pair", "a", "b", F.col("f").alias("n"))
-    scored = together.filter(F.col("n") >= SHARE * F.coalesce(everything[F.col("pair")], F.lit(0)) if sizes else F.lit(True))
-    scored = scored.join(single_s, ["pair", "a"]).join(single_t, ["pair", "b"]).withColumn("dice", 2 * F.col("n") / (F.col("na") + F.col("nb"))).filter(F.col("dice") > DICE)
+        weights += [key[order], np.maximum(0.02, -np.log(got[n].to_numpy(float) / got["_n"].to_numpy(float)))[order]]
+    together = _step(pairs, names, None).select("pair", "a", "b", F.col("f").alias("n"))
+    scored = together.join(single_s, ["pair", "a"]).filter(F.col("n") >= SHARE * F.col("_n")).drop("_n").join(single_t.drop("_n"), ["pair", "b"])
+    scored = scored.withColumn("dice", 2 * F.col("n") / (F.col("na") + F.col("nb"))).filter(F.col("dice") > DICE)
     by_s = Window.partitionBy("pair", "a").orderBy(F.desc("dice"), "b")
     by_t = Window.partitionBy("pair", "b").orderBy(F.desc("dice"), "a")
     kept = scored.withColumn("rs", F.row_number().over(by_s)).withColumn("rt", F.row_number().over(by_t))
     kept = kept.filter((F.col("rs") <= CANDIDATES) | (F.col("rt") <= CANDIDATES))
-    lex = Lexicon(names, *_settled(kept.select("pair", "a", "b", F.col("dice").alias("f"), F.col("dice").alias("g")).toPandas(), names), *weights)
+    lex = Lexicon(names, *_settled(kept.select("pair", "a", "b", F.col("dice").alias("f"), F.col("dice").alias("g")).toPandas()), *weights)
     for _ in range(rounds):
-        lex.keys, lex.forward, lex.backward = _settled(_step(pairs, lex).toPandas(), names)
+        lex.keys, lex.forward, lex.backward = _settled(_step(pairs, names, lex).toPandas())
     return lex
+
+
+def renderings(lex: Lexicon) -> Side:
+    """The translations of each source word with their probabilities."""
+    use = lex.forward > 0
+    keys, other, p = lex.keys[use] // CELLS, lex.keys[use] % CELLS, lex.forward[use]
+    unique, starts = np.unique(keys, return_index=True)
+    return Side(unique, starts, np.append(starts[1:], len(keys)), other, p, lex.source_keys, lex.source_weight)

@@ -312,8 +312,8 @@ def test_defects_do_not_depend_on_how_often_a_translation_recurs(spark, monkeypa
     from types import SimpleNamespace
 
     # A text that ends in the open, truncated by the classifier and a refusal by a probability under the threshold.
-    features = SimpleNamespace(of=lambda *a: (np.ones(40), np.zeros(0, int), True))
-    model = SimpleNamespace(probabilities=lambda *a: np.array([0.2, 0.0, 0.9, 0.0]), cut=np.full(4, 0.5))
+    features = SimpleNamespace(of=lambda o, *a: (np.ones((len(o), 40)), None, None))
+    model = SimpleNamespace(probabilities=lambda x, *a: np.tile([0.2, 0.0, 0.9, 0.0], (len(x), 1)), cut=np.full(4, 0.5))
     monkeypatch.setattr(defects, "train", lambda rows: (features, model))
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: SimpleNamespace(value=value))
     df = spark.createDataFrame([(1, i, f"The {w} opens the garden.", "Bitte warten und", "en", "de") for i, w in enumerate("box lamp door wind boat tree road bell fish".split())], "doc_id bigint, seq int, original string, translation string, source_lang string, target_lang string")
@@ -321,6 +321,42 @@ def test_defects_do_not_depend_on_how_often_a_translation_recurs(spark, monkeypa
         assert [r["defect"] for r in defects.defects(df.limit(k)).collect()] == ["truncated"] * k
 
 
+def test_coverage_by_brute_force():
+    from quire.llm import lexicon
+    from quire.llm.lexicon import CELLS, Lexicon
+
+    r = random.Random(5)
+    p = {(a, b): r.uniform(0.05, 0.5) for a in range(10) for b in r.sample(range(20, 30), 3)}
+    keys = sorted(p)
+    weights = {c: r.uniform(0.1, 3) for c in range(10)}
+    lex = Lexicon({"a-b": 0}, np.array([a * CELLS + b for a, b in keys]), np.array([p[k] for k in keys]), np.zeros(len(keys)), np.arange(10), np.array([weights[c] for c in range(10)]), np.zeros(0, int), np.zeros(0))
+    features = defects.Features(lex, defects.languages(__import__("pandas").DataFrame({"k": [], "c": [], "n": []})), {})
+    o, t = [[r.randrange(14) for _ in range(r.randint(0, 9))] for _ in range(60)], [[r.randrange(8, 32) for _ in range(r.randint(0, 9))] for _ in range(60)]
+    cover, tail, last, front = features.coverage(np.zeros(60, np.int64), *defects._joined(o), *defects._joined(t))
+    for i, (a, b) in enumerate(zip(o, t)):
+        marks = []
+        for c in a:
+            own = {y: v for (x, y), v in p.items() if x == c}
+            if own or c in b:
+                marks.append((weights.get(c, 4.0), 1.0 if c in b else min(1.0, 3 * max((v for y, v in own.items() if y in b), default=0.0))))
+        total = sum(w for w, _ in marks)
+        run = 0.0
+        for w, v in reversed(marks):
+            if v > 0.25 and w > 0.3:
+                break
+            run += w
+        assert abs(cover[i] - (sum(w * v for w, v in marks) / total if total else 0.5)) < 1e-9
+        assert abs(tail[i] - (run / total if total else 0.0)) < 1e-9
+        for got, order, part in ((last[i], marks[::-1], total / 3), (front[i], marks, total / 2)):
+            have = gain = 0.0
+            for w, v in order:
+                if have > part + 1e-12:
+                    break
+                have, gain = have + w, gain + w * v
+            assert abs(got - (gain / have if have else 0.5)) < 1e-9
+    assert defects.sentence_count("It opens at approx. 8 bar. Dr. Ombrel closes it! Does it? Yes.") == 4 and defects.sentence_count("箱子。灯？") == 2
+
+
 # 3: scanned pages
 
 
