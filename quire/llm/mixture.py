@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import tokens
-from quire.session import materialize, spread
+from quire.session import materialize, spread, task_count
 
-#: Tokens of a block, slots of an output shard, most shards for which counts are drawn on the driver.
-BLOCK, SHARD_SLOTS, MAX_SHARDS = 512, 1024, 65_536
-#: Parts into which each source's documents are hashed for the running totals of their tokens.
+#: Tokens of a block and slots of an output shard.
+BLOCK, SHARD_SLOTS = 512, 1024
+#: Shards whose counts one row of the plan draws: the driver deals the mix to groups of shards, tasks deal a group to its shards.
+GROUP = 4096
+#: Parts into which each source's documents are hashed for the running totals of their tokens. Only keys and sizes are sorted there, tens of bytes for a document.
 PARTS = 4096
 ROUNDS = 4
 
@@ -142,6 +144,8 @@ def mixture(
     used = docs.select("doc_id", clean_source(F.col("source")).alias("source"), "text").join(F.broadcast(wanted.select("source")), "source")
     encoded = tokens.encode(spread(used.select(F.struct("doc_id", "source").alias("k"), "text")), "k", "text", vocabulary)
     encoded = materialize(encoded.select("k.doc_id", "k.source", "ids", F.size("ids").cast("bigint").alias("n")).filter("n > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))))
+    # What is checkpointed keeps its place, so the number of a row stays the same.
+    encoded = encoded.withColumn("row", F.monotonically_increasing_id())
     sums = encoded.groupBy("source", "part").agg(F.sum("n").alias("n")).toPandas()
     own = sums.groupby("source").n.sum().to_dict() if len(sums) else {}
     p = plan(rows, {k: int(v) for k, v in own.items()}, block, total)
@@ -152,19 +156,30 @@ def mixture(
         sums["base"] = sums.groupby("source").n.cumsum() - sums.n
     base = spark.createDataFrame([(r.source, int(r.part), int(r.base)) for r in sums.itertuples()] if len(sums) else [], "source string, part bigint, base bigint")
     # Running totals within a part: parts of a source of a third of all rows are each a small part of it.
-    within = Window.partitionBy("source", "part").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = encoded.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(base), ["source", "part"]).withColumn("at", F.col("base") + F.col("before"))
+    within = Window.partitionBy("source", "part").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = encoded.select("row", "source", "part", "doc_id", "n").withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(base), ["source", "part"])
+    placed = encoded.select("row", "source", "doc_id", "ids", "n").join(placed.select("row", (F.col("base") + F.col("before")).alias("at")), "row")
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("n") - 1) / block)
     pieces = placed.select("source", "doc_id", "ids", "n", "at", F.explode(F.sequence(first, last)).alias("block_no"))
     start = F.greatest(F.col("block_no") * block - F.col("at"), F.lit(0)).cast("int")
     stop = F.least((F.col("block_no") + 1) * block - F.col("at"), F.col("n")).cast("int")
     pieces = pieces.select("source", "block_no", "doc_id", start.alias("from_token"), F.slice("ids", start + 1, stop - start).alias("ids"), (F.col("at") + start - F.col("block_no") * block).alias("offset"))
 
-    size = max(shard_slots, -(-sum(p.slots) // MAX_SHARDS))
-    counts = deal(p.slots, size, seed)
+    # Groups of shards get their counts here, one row each; shards of a group get theirs in its task.
+    counts = deal(p.slots, shard_slots * GROUP, seed)
     offsets = np.cumsum(counts, axis=0) - counts
-    dealt = [(int(s), p.source[k], k, int(offsets[s, k]), int(counts[s, k]), p.blocks[k]) for s in range(len(counts)) for k in range(len(p.source)) if counts[s, k]]
-    shards = spark.createDataFrame(dealt, "shard int, source string, k int, first bigint, count bigint, blocks bigint")
+    groups = spark.createDataFrame([(g, [int(x) for x in counts[g]], [int(x) for x in offsets[g]]) for g in range(len(counts))], "group int, counts array<bigint>, first array<bigint>")
+    names, blocks_of = list(p.source), list(p.blocks)
+
+    def shards_of(batches):
+        for pdf in batches:
+            for g, n, begin in zip(pdf["group"], pdf["counts"], pdf["first"]):
+                own = deal([int(x) for x in n], shard_slots, seed * 1_000_003 + int(g) + 1)
+                start = np.asarray(begin) + np.cumsum(own, axis=0) - own
+                at, k = np.nonzero(own)
+                yield pd.DataFrame({"shard": (at + int(g) * GROUP).astype("int32"), "source": [names[x] for x in k], "k": k.astype("int32"), "first": start[at, k], "count": own[at, k], "blocks": [blocks_of[x] for x in k]})
+
+    shards = groups.repartition(max(1, min(len(counts), task_count(spark))), "group").mapInPandas(shards_of, "shard int, source string, k int, first bigint, count bigint, blocks bigint")
 
     def slots(batches):
         for pdf in batches:
