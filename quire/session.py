@@ -9,6 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -76,6 +77,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
+def fetch(df: DataFrame) -> pd.DataFrame:
+    """A table of bounded size on the driver, handed over by column and not as Python rows."""
+    return df.toArrow().to_pandas()
+
+
 def ship(spark: SparkSession) -> None:
     """Hands this package to the Python workers, once for each context.
 
