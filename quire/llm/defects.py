@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from quire.llm import lexicon
 from quire.llm.dedup import is_blank
 from quire.llm.lexicon import Lexicon
-from quire.session import materialize, spread
+from quire.session import fetch, materialize, spread
 
 LABELS = ("refusal", "copy", "truncated", "wrong_language")
 #: Rows from which synthetic training pairs are made, and cells of hashed n-grams.
 SAMPLE, GRAMS = 4000, 1 << 18
 EPOCHS, BATCH = 5, 8
-#: Rows whose features are computed at once.
-AT_ONCE = 2000
+#: Rows whose features are computed at once, in tasks and in training.
+AT_ONCE, SLICE = 2000, 500
 #: Log share of a word that a language never has, and the least one of a word it has.
 NEVER, RAREST = -13.0, -12.0
 #: Score as a refusal that an ordinary text may have.
@@ -239,6 +239,17 @@ class Features:
         return np.stack(x, axis=1).astype(float), grams(rt, ft), grams(ro, fo)
 
 
+    def sliced(self, o: list[str], t: list[str], source: list[str], target: list[str]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """The same of texts that are not cut yet, in slices that bound the memory."""
+        parts = []
+        for first in range(0, len(o), SLICE):
+            a, b, s, k = (v[first : first + SLICE] for v in (o, t, source, target))
+            x, (r1, c1), (r2, c2) = self.of(a, b, s, k, [lexicon.ordered_cells(v) for v in a], [lexicon.ordered_cells(v) for v in b])
+            parts.append((x, r1 + first, c1, r2 + first, c2))
+        x, r1, c1, r2, c2 = (np.concatenate(v) for v in zip(*parts))
+        return x, (r1, c1), (r2, c2)
+
+
 def _gram_scores(weights: np.ndarray, rows: int, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Sum of the weights of each row's n-grams over the root of their number."""
     row, cell = found
@@ -327,7 +338,7 @@ def fit(examples: list[tuple[str, str, str, str, tuple[int, ...], bool]], featur
     if not examples:
         return model
     o, t, s, k, labels, held = (list(c) for c in zip(*examples))
-    x, of_t, of_o = features.of(o, t, s, k, [lexicon.ordered_cells(a) for a in o], [lexicon.ordered_cells(b) for b in t])
+    x, of_t, of_o = features.sliced(o, t, s, k)
     y, held = np.array(labels, dtype=float), np.array(held)
     row, cell = of_t
     starts = np.searchsorted(row, np.arange(len(x) + 1))
@@ -408,13 +419,13 @@ def train(rows: DataFrame) -> tuple[Features, Classifier]:
     side = lambda lang, cells: usable.select(F.coalesce(lang, F.lit("")).alias("k"), F.explode(F.array_distinct(cells)).alias("c"))
     counts = side("source_lang", "co").unionByName(side("target_lang", "ct")).groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
     # CELLS rows a language at most.
-    features = Features(lex, languages(counts.toPandas()), ratio)
+    features = Features(lex, languages(fetch(counts)), ratio)
     sample = usable.orderBy(F.xxhash64("doc_id", "seq"), "doc_id", "seq").limit(SAMPLE).select("original", "translation", "source_lang", "target_lang").collect()
     some = [(r[0], r[1], r[2] or "", r[3] or "") for r in sample if has_words(r[0])]
     sound: list[tuple[str, str, str, str]] = []
     if some:
         o, t, s, k = (list(c) for c in zip(*some))
-        x, _, _ = features.of(o, t, s, k, [lexicon.ordered_cells(a) for a in o], [lexicon.ordered_cells(b) for b in t])
+        x, _, _ = features.sliced(o, t, s, k)
         # It ends as the original does, has as many sentences, is no copy and is in the language wanted; words may be left out.
         looks = (x[:, 8] == 0) & (x[:, 11] == 0) & (x[:, 14] < 0.3) & (x[:, 16] > -0.2)
         sound = [row for row, good in zip(some, looks) if good]

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.session import materialize
+from quire.session import fetch, materialize
 
 #: Cells for the words of one language of a pair, and candidates kept for a cell.
 CELLS, CANDIDATES = 1 << 18, 12
@@ -278,7 +278,7 @@ def train(pairs: DataFrame, rounds: int = EM_ROUNDS, lasting: bool = False) -> L
     single_s, single_t = single("s", "a", "na"), single("t", "b", "nb")
     weights = []
     for side, c, n in ((single_s, "a", "na"), (single_t, "b", "nb")):
-        got = side.toPandas()
+        got = fetch(side)
         key = got["pair"].to_numpy(np.int64) * CELLS + got[c].to_numpy(np.int64)
         order = np.argsort(key)
         weights += [key[order], np.maximum(0.02, -np.log(got[n].to_numpy(float) / got["_n"].to_numpy(float)))[order]]
@@ -289,9 +289,9 @@ def train(pairs: DataFrame, rounds: int = EM_ROUNDS, lasting: bool = False) -> L
     by_t = Window.partitionBy("pair", "b").orderBy(F.desc("dice"), "a")
     kept = scored.withColumn("rs", F.row_number().over(by_s)).withColumn("rt", F.row_number().over(by_t))
     kept = kept.filter((F.col("rs") <= CANDIDATES) | (F.col("rt") <= CANDIDATES))
-    lex = Lexicon(names, *_settled(kept.select("pair", "a", "b", F.col("dice").alias("f"), F.col("dice").alias("g")).toPandas()), *weights)
+    lex = Lexicon(names, *_settled(fetch(kept.select("pair", "a", "b", F.col("dice").alias("f"), F.col("dice").alias("g")))), *weights)
     for _ in range(rounds):
-        lex.keys, lex.forward, lex.backward = _settled(_step(pairs, names, lex).toPandas())
+        lex.keys, lex.forward, lex.backward = _settled(fetch(_step(pairs, names, lex)))
     return lex
 
 

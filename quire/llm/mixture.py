@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import tokens
-from quire.session import materialize, spread, task_count
+from quire.session import fetch, materialize, spread, task_count
 
 #: Tokens of a block and slots of an output shard.
 BLOCK, SHARD_SLOTS = 512, 1024
@@ -146,7 +146,7 @@ def mixture(
     encoded = materialize(encoded.select("k.doc_id", "k.source", "ids", F.size("ids").cast("bigint").alias("n")).filter("n > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))))
     # What is checkpointed keeps its place, so the number of a row stays the same.
     encoded = encoded.withColumn("row", F.monotonically_increasing_id())
-    sums = encoded.groupBy("source", "part").agg(F.sum("n").alias("n")).toPandas()
+    sums = fetch(encoded.groupBy("source", "part").agg(F.sum("n").alias("n")))
     own = sums.groupby("source").n.sum().to_dict() if len(sums) else {}
     p = plan(rows, {k: int(v) for k, v in own.items()}, block, total)
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.skew import join_groups
-from quire.session import materialize, spread
+from quire.session import fetch, materialize, spread
 
 #: Height of a page, and the shares of it above and below which only marginal lines are printed.
 PAGE_HEIGHT, TOP, BOTTOM = 842.0, 0.073, 0.932
@@ -536,7 +536,7 @@ def train(rows: DataFrame, common: float = COMMON) -> tuple[Words, DataFrame]:
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = common * total
     # At most one over `common` words have that share.
-    top = counts.filter(F.col("n") >= least).toPandas()
+    top = fetch(counts.filter(F.col("n") >= least))
     return Words.of(dict(zip(top.word, (int(n) for n in top.n))), int(total)), counts.filter(F.col("n") < least)
 
 

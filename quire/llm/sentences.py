@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.session import materialize, task_count
+from quire.session import fetch, materialize, task_count
 
 #: Cells of the hashed model: words before a place, words after it.
 PREVIOUS, NEXT = 1 << 16, 1 << 16
@@ -480,7 +480,7 @@ def fit_spread(counts: DataFrame, rounds: int = ROUNDS, most: int = MAX_PAIRS) -
 def train(df: DataFrame, text: str, most: int = MAX_PAIRS) -> BoundaryModel:
     """Model of all texts of a column; up to `most` distinct events are counted out on the driver, more of them where they lie, with the same result."""
     counts = materialize(count_events(df, text))
-    return fit(counts.toPandas()) if counts.count() <= most else fit_spread(counts, most=most)
+    return fit(fetch(counts)) if counts.count() <= most else fit_spread(counts, most=most)
 
 
 def _cased(p: Place, text: str, model: BoundaryModel) -> Place:
