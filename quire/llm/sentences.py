@@ -19,9 +19,11 @@ reporting clause.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -38,6 +40,8 @@ PREVIOUS, NEXT = 1 << 16, 1 << 16
 #: Distinct events trained on the driver at most, and those of a task where there are more.
 MAX_PAIRS = 500_000
 ROUNDS = 12
+#: Distinct events a task holds before it hands them on.
+AT_ONCE = 500_000
 #: Share of a word's own followers in what may follow it inside a sentence; the rest is what follows any word there.
 OWN = 0.3
 #: Words of so many letters are hardly ever abbreviations.
@@ -64,6 +68,7 @@ INSIDE = regex.compile(r"[\p{L}\p{N}][,;]\s+(\p{N}+[.,:)\p{N}]*|[\p{L}\p{M}]+[.]
 NUMBERING = regex.compile(r"^[\s" + regex.escape(OPENERS) + r"]*(?:[(（]?(?:\p{N}{1,3}|\p{Lu}|\p{Ll}|[IVXLC]{1,6}|[ivxlc]{1,5})[.)）]|[•‣▪●○◦\-–—*§·#]|\p{N}{1,3}(?:\.\p{N}{1,3})*[.)]?)\s*$")
 NUMBERED = regex.compile(r"(?:[(（](?:\p{N}{1,3}|\p{L}|[IVXLCivxlc]{1,6})[)）]|(?:\p{N}{1,3}|[IVXLC]{1,6})[.)]|\p{Ll}\)|[•‣▪●○◦–—*§·\-])(?=\s|$)")
 THAI = regex.compile(r"\p{Script=Thai}")
+THAI_START = regex.compile(r"\p{Script=Thai}.{0,2}")
 THAI_BLANK = regex.compile(r"(?<=\S)\s+(?=\S)")
 ALNUM = regex.compile(r"[\p{L}\p{N}]")
 #: A clause after a closed quotation that reports it, in scripts without spaces.
@@ -75,18 +80,23 @@ SCRIPTS = ("Latin", "Cyrillic", "Arabic", "Devanagari", "Thai", "Han", "Other")
 _SCRIPT = [(s, regex.compile(p)) for s, p in zip(SCRIPTS, (r"\p{Script=Latin}", r"\p{Script=Cyrillic}", r"\p{Script=Arabic}", r"\p{Script=Devanagari}", r"\p{Script=Thai}", r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}]"))]
 
 
+@functools.lru_cache(maxsize=100_000)
+def _script_of(c: str) -> int:
+    return next((i for i, (_, rx) in enumerate(_SCRIPT) if rx.match(c)), len(SCRIPTS) - 1)
+
+
 def main_script(text: str) -> int:
     """Index of the script most of the text's letters are of (Other without letters); ties go to the first named."""
     if text.isascii():
         return 0
-    best, most = len(SCRIPTS) - 1, 0
-    for i, (_, rx) in enumerate(_SCRIPT):
-        n = len(rx.findall(text))
-        if n > most:
-            best, most = i, n
-    return best
+    counts = [0] * len(SCRIPTS)
+    for c, n in Counter(text).items():
+        counts[_script_of(c)] += n
+    best = max(range(len(SCRIPTS) - 1), key=lambda i: counts[i])
+    return best if counts[best] else len(SCRIPTS) - 1
 
 
+@functools.lru_cache(maxsize=200_000)
 def _cell(word: str, size: int) -> int:
     """Cell of a word; numbers share one, whatever their digits; a dot after a long word is not part of it."""
     if len(word) > 5 and word[-1] == ".":
@@ -116,6 +126,16 @@ SHAPES = ("none", "item", "digit", "upper", "lower", "letter", "mark")
 SHAPE_AT = {s: i for i, s in enumerate(SHAPES)}
 
 
+#: What stands for a mark in the model where the mark, not the word before it, tells whether a sentence ends.
+MARK_WORDS = {"full": "<full>", "!": "<exclaim>", "?": "<question>", "blank": "<blank>"}
+
+
+def _loud(text: str, p: Place) -> str | None:
+    """The word of the model that stands for an exclamation or question mark at a place; None if there is none."""
+    marks = text[max(0, p.end - 3) : p.end]
+    return MARK_WORDS["?"] if "?" in marks else MARK_WORDS["!"] if "!" in marks else None
+
+
 @dataclass
 class Place:
     """A possible boundary: `end` is where the sentence would end, `after` the first character of the next."""
@@ -145,12 +165,16 @@ def places(text: str) -> list[Place]:
     if THAI.search(text):
         spans += [(m.start(), m.start(), "blank") for m in THAI_BLANK.finditer(text)]
     spans.sort()
+    lines = [(s, e) for s, e, k in spans if k == "line"]
+    line = 0
     quoted = _quoted(text) if any(q in text for q in '"“„«「『《') else []
     out: list[Place] = []
     q = 0
     size = len(text)
     for start, end, kind in spans:
-        if kind == "blank" and any(s < start and start < e for s, e, k in spans if k == "line"):
+        while line < len(lines) and lines[line][1] <= start:
+            line += 1
+        if kind == "blank" and line < len(lines) and lines[line][0] < start:
             continue
         while q < len(quoted) and quoted[q][1] < end:
             q += 1
@@ -223,6 +247,12 @@ def _quoted(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Share of the places of a word before a mark that end a sentence, as far as nothing is known of the word; what stands for a mark alone is surer.
+PRIOR = np.full(PREVIOUS, 0.85)
+for _mark, _share in (("full", 0.9995), ("!", 0.99), ("?", 0.99), ("blank", 0.99)):
+    PRIOR[_cell(MARK_WORDS[_mark], PREVIOUS)] = _share
+
+
 @dataclass
 class PairTable:
     """A read-only dictionary of word pairs in twelve bytes each."""
@@ -264,13 +294,13 @@ class BoundaryModel:
         follow = (1 - OWN) * (0.5 * self.inner_word[script, n] + 0.5 * self.inner_shape[script, s] / 64)
         if total:
             follow += (OWN if len(before) < LONG else OWN / 100) * (1 - self.start_like[script, n]) * self.inner.get((p, n), 0.0) / (total + ENOUGH)
-        prior = (self.ends[p] * self.seen[p] + 0.85 * 2.0) / (self.seen[p] + 2.0)
+        prior = (self.ends[p] * self.seen[p] + PRIOR[p] * 2.0) / (self.seen[p] + 2.0)
         return math.log(prior * begin + 1e-12) - math.log((1 - prior) * follow + 1e-12)
 
     def ending(self, before: str) -> float:
         """Log odds that a word with a mark ends a sentence, whatever follows."""
         p = _cell(before, PREVIOUS)
-        prior = (self.ends[p] * self.seen[p] + 0.85 * 2.0) / (self.seen[p] + 2.0)
+        prior = (self.ends[p] * self.seen[p] + PRIOR[p] * 2.0) / (self.seen[p] + 2.0)
         return math.log(prior + 1e-6) - math.log(1 - prior + 1e-6)
 
 
@@ -286,14 +316,22 @@ def _train_pairs(text: str) -> Iterator[tuple[int, ...]]:
     m = WORD_AFTER.match(text)
     if m and m[2] and not NUMBERING.match(m[2] + " "):
         yield event(0, "", m[2])
+    if THAI.search(text) and (m := THAI_START.search(text)):
+        yield event(0, "", m[0])
     for p in places(text):
         if p.kind == "line":
             m = WORD_AFTER.match(text, p.after)
             if m and m[2]:
                 yield event(0, "", m[2])
+        elif p.kind == "blank":
+            if THAI.match(text[p.end - 1]) and THAI.match(text[p.after]):
+                yield event(1, MARK_WORDS["blank"], text[p.after : p.after + 3])
         elif p.kind == "full" and not p.opens:
             if p.next:
                 yield event(0, "", p.next)
+                yield event(1, MARK_WORDS["full"], p.next)
+        elif p.kind == "mark" and text[p.end - 1] not in "." and (loud := _loud(text, p)) and p.next:
+            yield event(1, loud, p.next)
         elif p.kind == "mark" and p.next and not (p.glued and _shape(p.next) in ("lower", "digit", "item")) and not (p.end < 8 and NUMBERING.match(text[: p.end])):
             yield event(1, p.before, p.next)
 
@@ -301,42 +339,32 @@ def _train_pairs(text: str) -> Iterator[tuple[int, ...]]:
 EVENT = ["kind", "script", "prev", "next", "shape", "long"]
 
 
-def count_events(df: DataFrame, text: str) -> DataFrame:
-    """(kind, script, prev, next, shape, n) over all texts; at most a fixed number of rows, summed before the shuffle."""
+def count_events(df: DataFrame, text: str, also: Callable[[dict, str], Iterator[tuple[int, ...]]] | None = None) -> DataFrame:
+    """(kind, script, prev, next, shape, long, n) over all texts, summed before the shuffle.
+
+    `also` gives further events of a text that are counted in the same pass; the dictionary it gets is the task's own.
+    """
     schema = "kind int, script int, prev int, next int, shape int, long int, n bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[int, ...], int] = {}
+        own: dict = {}
         for pdf in batches:
             for t in pdf.iloc[:, 0]:
                 if t:
                     for key in _train_pairs(t):
                         counts[key] = counts.get(key, 0) + 1
+                    for key in also(own, t) if also else ():
+                        counts[key] = counts.get(key, 0) + 1
+            if len(counts) > AT_ONCE:
+                yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=[*EVENT, "n"])
+                counts = {}
         yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=[*EVENT, "n"])
 
     parts = df.select(text).mapInPandas(run, schema)
     return parts.groupBy(*EVENT).agg(F.sum("n").alias("n"))
 
 
-def bounded_counts(counts: DataFrame, most: int = MAX_PAIRS) -> pd.DataFrame:
-    """A short view of the count table with at most about `most` rows and the same sum.
-
-    Where there are more pairs, those with the smallest counts are summed up
-    into cells of the first word and the shape of the second. Such cells are no words
-    of the model, so nothing is trained on this view.
-    """
-    counts = materialize(counts)
-    least, size = 1, counts.count()
-    while size > most:
-        least *= 2
-        size = counts.filter(F.col("n") >= least).count()
-    if least > 1:
-        rare = counts.filter(F.col("n") < least)
-        coarse = rare.groupBy("kind", "script", F.pmod("prev", F.lit(4096)).cast("int").alias("prev"), F.col("shape").alias("next"), "shape", "long").agg(F.sum("n").alias("n"))
-        counts = counts.filter(F.col("n") >= least).unionByName(coarse.select(*EVENT, "n"))
-    return counts.toPandas()
-
-
 def _shares(counts: np.ndarray, floor: float) -> np.ndarray:
     """Rows of counts as probabilities."""
     counts = counts + floor
@@ -370,7 +398,7 @@ class _Open:
         self.cell_p, self.cell_n = np.zeros(self.cells, dtype=np.int64), np.zeros(self.cells, dtype=np.int64)
         self.cell_p[self.cell], self.cell_n[self.cell] = self.p, self.n
         self.seen = np.bincount(self.p, weights=self.w, minlength=PREVIOUS)
-        self.ends = np.full(PREVIOUS, 0.7)
+        self.ends = np.where(PRIOR > 0.9, PRIOR, 0.7)
         self.follow = np.bincount(self.cell, weights=self.w, minlength=self.cells) * 0.3
         own_share = np.where(rest.long.to_numpy() == 1, OWN / 100, OWN)
         self.base = (1 - OWN) * (0.5 * model.inner_word[self.c, self.n] + 0.5 * model.inner_shape[self.c, self.s] / 64)
@@ -382,7 +410,7 @@ class _Open:
         total = np.bincount(self.cell_p, weights=self.follow, minlength=PREVIOUS)
         b1 = 0.9 * start[c, n] + 0.1 * start_shape[c, s] / 64
         b0 = self.base + self.own * self.follow[self.cell] / (total[p] + ENOUGH)
-        prior = (self.ends[p] * self.seen[p] + 0.85 * 2.0) / (self.seen[p] + 2.0)
+        prior = (self.ends[p] * self.seen[p] + PRIOR[p] * 2.0) / (self.seen[p] + 2.0)
         post = prior * b1 / np.maximum(prior * b1 + (1 - prior) * b0, 1e-300)
         gain = np.bincount(p, weights=post * w, minlength=PREVIOUS)
         self.ends = np.divide(gain, self.seen, out=np.full(PREVIOUS, 0.85), where=self.seen > 0)
@@ -477,12 +505,16 @@ def fit_spread(counts: DataFrame, rounds: int = ROUNDS, most: int = MAX_PAIRS) -
     return model
 
 
-def train(df: DataFrame, text: str, most: int = MAX_PAIRS) -> BoundaryModel:
-    """Model of all texts of a column; up to `most` distinct events are counted out on the driver, more of them where they lie, with the same result."""
-    counts = materialize(count_events(df, text))
+def learn(counts: DataFrame, most: int = MAX_PAIRS) -> BoundaryModel:
+    """Model of checkpointed event counts; up to `most` distinct events are settled on the driver, more of them where they lie, with the same result."""
     return fit(fetch(counts)) if counts.count() <= most else fit_spread(counts, most=most)
 
 
+def train(df: DataFrame, text: str, most: int = MAX_PAIRS) -> BoundaryModel:
+    """Model of all texts of a column."""
+    return learn(materialize(count_events(df, text)), most)
+
+
 def _cased(p: Place, text: str, model: BoundaryModel) -> Place:
     """A place of a text in capitals or without any, with its words as they would be written otherwise."""
     if p.kind != "mark" or p.glued:
@@ -492,6 +524,11 @@ def _cased(p: Place, text: str, model: BoundaryModel) -> Place:
     return replace(p, before=before, next=p.next.capitalize(), second=p.second.capitalize())
 
 
+def _before_numbering(p: Place, before: str, model: BoundaryModel) -> float:
+    """Log odds of a boundary before a numbering or a bullet: the word after that tells, and whether the word or mark before ends sentences."""
+    return model.ending(before) + ((3.0 if p.next[:1].isdigit() else 6.0) if _shape(p.second) in ("upper", "letter", "mark") else -3.0)
+
+
 def _local(p: Place, text: str, model: BoundaryModel, script: int) -> float:
     """Log odds of a boundary at a place from its own surroundings."""
     if p.kind == "line":
@@ -501,12 +538,17 @@ def _local(p: Place, text: str, model: BoundaryModel, script: int) -> float:
         # The clause goes on.
         return -15.0
     if p.kind == "blank":
-        # Thai: a blank ends the sentence unless a numeral stands next to it.
-        return -50.0 if text[p.end - 1].isnumeric() or text[p.after].isnumeric() else 6.0
+        # Thai: never next to a numeral, hardly ever around a foreign word; else the model tells.
+        left, right = text[p.end - 1], text[p.after]
+        if left.isnumeric() or right.isnumeric():
+            return -50.0
+        if left.isalpha() and not THAI.match(left) or right.isalpha() and not THAI.match(right):
+            return -4.0
+        return model.odds(MARK_WORDS["blank"], text[p.after : p.after + 3], script)
     if p.kind == "full":
         if p.glued and text[p.end - 1] in CLOSERS and REPORTS.match(text[p.after : p.after + 2]):
             return -8.0
-        return 8.0
+        return _before_numbering(p, MARK_WORDS["full"], model) if p.second else model.odds(MARK_WORDS["full"], nxt, script) if nxt else model.ending(MARK_WORDS["full"])
     shape = _shape(nxt)
     if p.kind == "dots":
         if shape == "lower" or shape == "digit":
@@ -524,14 +566,18 @@ def _local(p: Place, text: str, model: BoundaryModel, script: int) -> float:
             return -6.0
     if mark in ",;:":
         return -20.0
-    if "!" in text[p.end - 3 : p.end] or "?" in text[p.end - 3 : p.end]:
-        return -4.0 if shape == "lower" else 6.0
+    if loud := _loud(text, p):
+        return _before_numbering(p, loud, model) if p.second else model.odds(loud, nxt, script) if nxt else model.ending(loud)
     if p.second:
-        # What follows is a numbering or a bullet: the word after that tells, and whether the word before ends sentences.
-        return model.ending(p.before) + ((3.0 if p.next[:1].isdigit() else 6.0) if _shape(p.second) in ("upper", "letter", "mark") else -3.0)
+        return _before_numbering(p, p.before, model)
     return model.odds(p.before, nxt, script) if nxt else 3.0
 
 
+def _plus(a: float, b: float) -> float:
+    """Log of the sum of two exponentials."""
+    return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
+
+
 def decode(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
     """(start, end) of each sentence, without outer white space, by forward-backward posteriors."""
     if not text or not ALNUM.search(text):
@@ -559,20 +605,18 @@ def decode(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
                 # Either the place before the numbering is the boundary, or this one; the words around it decide.
                 own[i] = min(own[i], 4.0 if p.before.isdigit() else 2.0)
             at = p.after
-        fwd = np.zeros((k, 2))
-        back = np.zeros((k, 2))
+        # State 1 is a boundary. From a boundary (or the text's start) the piece between must be able to stand alone.
+        fwd, stay, leave = [], -1e9, 0.0
         for i in range(k):
-            stay, leave = (fwd[i - 1] if i else (-1e9, 0.0))
-            # State 1: boundary. From a boundary (or the text's start) the piece between must be able to stand alone.
-            enter = leave
-            fwd[i, 0] = np.logaddexp(stay, leave)
-            fwd[i, 1] = own[i] + np.logaddexp(stay, enter + bar[i])
-        for i in range(k - 2, -1, -1):
-            one = own[i + 1] + back[i + 1, 1]
-            back[i, 0] = np.logaddexp(back[i + 1, 0], one)
-            back[i, 1] = np.logaddexp(back[i + 1, 0], one + bar[i + 1])
-        both = fwd + back
-        cuts = [(p.end, p.after) for i, p in enumerate(found) if both[i, 1] >= both[i, 0]]
+            stay, leave = _plus(stay, leave), own[i] + _plus(stay, leave + bar[i])
+            fwd.append((stay, leave))
+        back, stay, leave = [(0.0, 0.0)], 0.0, 0.0
+        for i in range(k - 1, 0, -1):
+            one = own[i] + leave
+            stay, leave = _plus(stay, one), _plus(stay, one + bar[i])
+            back.append((stay, leave))
+        both = [(f[0] + b[0], f[1] + b[1]) for f, b in zip(fwd, back[::-1])]
+        cuts = [(p.end, p.after) for i, p in enumerate(found) if both[i][1] >= both[i][0]]
     out: list[tuple[int, int]] = []
     at = first
     for end, after in [*cuts, (len(text), len(text))]:

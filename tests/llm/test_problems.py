@@ -123,6 +123,7 @@ def boundary(spark):
         ["窓は箱を開く。", "先生は「箱を開く。」と言った。"],
         ["क्या चालक पंप रखता है? ", "माली शहर में है। ", "वह"],
         ["หมอเปิดประตูราว 29.6 เมตร ", "ครูซื้อกล่อง"],
+        ["เขาเรียน Python และ Java ที่มหาวิทยาลัย ", "ครูซื้อกล่อง"],
     ],
 )
 def test_sentences(boundary, parts):
@@ -143,7 +144,7 @@ def test_sentence_edge_cases(spark, boundary):
     assert {r[1] for r in rows(sentences.sentence_starts(df, ["doc_id"], "text", boundary))} >= {1}
     assert sentences.train(df.limit(0), "text").seen.sum() == 0
     counts = sentences.count_events(spark.createDataFrame([("A b. C d. E f.",)] * 9, "t string"), "t")
-    assert sentences.bounded_counts(counts, 2).n.sum() == counts.agg(F.sum("n")).first()[0]
+    assert counts.agg(F.sum("n")).first()[0] % 9 == 0
 
 
 def test_training_does_not_depend_on_the_number_of_pairs(spark):
@@ -157,8 +158,6 @@ def test_training_does_not_depend_on_the_number_of_pairs(spark):
     assert small.inner_total.keys() == large.inner_total.keys() and len(large.inner.keys) == len(small.inner)
     assert all(abs(large.inner.get(k, 0.0) - v) < 1e-6 for k, v in small.inner.items()) and large.inner.get((1, 1), 0.5) == 0.5
     assert large.ending("Abt") == pytest.approx(small.ending("Abt"), abs=1e-6)
-    # Rare pairs summed up into coarse cells are lost to the word before.
-    assert abs(sentences.fit(sentences.bounded_counts(sentences.count_events(df, "t"), 50)).ending("Abt") - small.ending("Abt")) > 1
     assert [sentences.decode(t, large) for t in texts[:50]] == [sentences.decode(t, small) for t in texts[:50]]
 
 
@@ -361,7 +360,7 @@ def test_coverage_by_brute_force():
 
 
 def test_kinds():
-    assert [ocr.kind_of(t, y, 10.0) for t, y in (("- 3O -", 818.0), ("xiv", 45.0), ("Page 9", 45.0), ("12 / 40", 45.0), ("Handbook 7", 33.0), ("Chapter 2: A box   50", 33.0), ("Chapter 2\nThe box", 115.0), ("388", 300.0), ("3 A note.", 770.0), ("The box opens.", 300.0), (None, 300.0), ("x y", None))] == [
+    assert [ocr.kind_of(t, y, 10.0, t == "xiv") for t, y in (("- 3O -", 818.0), ("xiv", 45.0), ("Page 9", 45.0), ("12 / 40", 45.0), ("Handbook 7", 33.0), ("Chapter 2: A box   50", 33.0), ("Chapter 2\nThe box", 115.0), ("388", 300.0), ("3 A note.", 770.0), ("The box opens.", 300.0), (None, 300.0), ("x y", None))] == [
         "page_number", "page_number", "page_number", "page_number", "running_line", "running_line", "heading", "cell", "footnote", "body", "blank", "body",
     ]
 
@@ -509,6 +508,32 @@ def test_subjects(spark):
     assert subjects.classify(df.limit(0), None).count() == 0
 
 
+def test_subjects_of_texts_that_are_not_of_the_tables(spark):
+    texts = {
+        "science": "Mitochondria release energy inside every living cell. Two up quarks and a down quark form a proton. Photosynthesis turns light into sugar.",
+        "software": "Kubernetes restarts the container image when a probe fails. The borrow checker rejects this code. We opened a pull request in the repository.",
+        "medicine": "The hospital treated the infection with antibiotics. Her blood pressure fell overnight. An x-ray showed the fracture.",
+        "finance": "The central bank fears inflation. Investors sold their portfolios. The loans were repaid before the bankruptcy.",
+        "sport": "Der Torwart hielt den Elfmeter. Die Meisterschaft endet im Mai. Der Schiedsrichter pfiff ab.",
+        "music": "El compositor escribió una sonata para piano. La soprano cantó en la ópera. El cuarteto de cuerda ensaya.",
+        "farming": "L'agriculteur sème le blé en automne. Le bétail est au pâturage. La sécheresse menace les semis.",
+        "law": "被告在法庭上提出证词。检察官要求徒刑。最高法院驳回了禁令。",
+        "travel": "搭乗券とスーツケースを持って空港へ行く。観光の後、ホステルに泊まる。",
+        "cooking": "Whisk the egg yolks with sugar and vanilla. Let the soup simmer with garlic. Add a tablespoon of vinegar.",
+        "general": "My grandmother keeps her umbrella by the door. The children slept late. We talked about the weather.",
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")
+    got = dict(rows(subjects.classify(df, None)))
+    assert [got[i] for i in range(len(texts))] == list(texts)
+
+
+def test_thresholds_by_subject(spark):
+    scored = spark.createDataFrame([(i, ["law", "sport"], [0.2 + 0.001 * (i % 60), 0.3]) for i in range(100)], "doc_id bigint, subjects array<string>, parts array<double>")
+    marks = spark.createDataFrame([(i, s, "a") for i in range(0, 100) for s in (["law"] if i % 60 >= 25 else []) + ["sport "]], "doc_id bigint, subject string, annotator string")
+    cuts = subjects.calibrate(scored, marks)
+    assert cuts["sport"] == subjects.QUARTER and abs(cuts["law"] - 0.225) < 1e-9
+
+
 def test_queries_are_registered():
     names = queries.queries()
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 10)} | {"p8_ids", "p9_mix", "p9_shares"} <= set(names)
