@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import BULLET_LINE, LONG_ENGLISH, TRAILING_CONNECTIVE, comparable, ends_with_hyphen, english_ratio, has_cjk, is_blank, lines, strip, token_count
+from quire.functions.text import BREAK_HYPHENS, BULLET_LINE, LONG_ENGLISH, SPACE, TRAILING_CONNECTIVE, WORD, comparable, english_ratio, has_cjk, is_blank, lines, strip, token_count
 
 #: What a report says of a suspicious row.
 REASONS = {
@@ -15,10 +15,10 @@ REASONS = {
     "english": "译文几乎全是英文",
     "continuation": "译文疑似直接保留了英文续句",
 }
-#: Numbering at the start of a line, clause numbers within it, and superscript-like marks.
-LINE_NUMBER = r"(^|\n)[ \t]*(?:第[一二三四五六七八九十百千万0-9]+[章节条款部分]|(?i:chapter|section|article)[ \t]+[0-9]+|(?:[0-9]{1,3}|[A-Za-z])(?:\.[0-9]{1,3}){0,5}[.)、]|[(（](?:[0-9]{1,3}|[A-Za-z])[)）]|[•\-·▪■◆◦])"
-CLAUSE_NUMBER = r"(^|[^\p{L}\p{N}_])(?:第[一二三四五六七八九十百千万0-9]+[章节条款部分]|[0-9]{1,3}(?:\.[0-9]{1,3}){1,5}|(?i:article|section)[ \t]+[0-9]+)"
-SUPERSCRIPT = r"\[[0-9]+\]|[0-9][A-Za-z]|[A-Za-z][0-9]"
+#: Numbering at the start of a line, clause numbers within a text, and superscript-like marks.
+LINE_NUMBER = rf"(?imd)^{SPACE}*(?:第[一二三四五六七八九十百千万0-9]+[章节条款部分]|(?:Chapter|Section|Article){SPACE}+\p{{Nd}}+[A-Za-z0-9.\-]*|(?:\p{{Nd}}{{1,3}}|[A-Za-z]|[IVXLC]+)(?:\.\p{{Nd}}{{1,3}}){{0,5}}[.)、]|[(（](?:\p{{Nd}}{{1,3}}|[A-Za-z]|[ivxlc]+)[)）]|[A-Za-z]\)|[•\-·▪■◆◦]){SPACE}*"
+CLAUSE_NUMBER = rf"(?i)(?<!{WORD})(?:第[一二三四五六七八九十百千万0-9]+[章节条款部分]|\p{{Nd}}{{1,3}}(?:\.\p{{Nd}}{{1,3}}){{1,5}}|(?:Article|Section){SPACE}+\p{{Nd}}+[A-Za-z0-9.\-]*)"
+SUPERSCRIPT = rf"(?<=\p{{Nd}})[A-Za-z](?!{WORD})|(?<!{WORD})[A-Za-z](?=\p{{Nd}})|\[\p{{Nd}}+\]"
 
 
 def no_words(original: Column) -> Column:
@@ -49,7 +49,7 @@ def reasons(original: Column, translation: Column) -> Column:
 def risky_fragment(c: Column) -> Column:
     """A text of 20 characters or more that looks like part of a sentence."""
     t = strip(c)
-    return (F.length(t) >= 20) & (t.rlike(r"^\p{Ll}") | ends_with_hyphen(t) | t.rlike(TRAILING_CONNECTIVE))
+    return (F.length(t) >= 20) & (t.rlike(r"^\p{Ll}") | t.rlike(BREAK_HYPHENS + "$") | t.rlike(TRAILING_CONNECTIVE))
 
 
 def mostly_english(c: Column) -> Column:
@@ -107,13 +107,18 @@ def boundary_broken(original: Column, translated: Column, superscript: Column, t
     return (superscript & (superscripts(original) > superscripts(translated))) | (text_box & grown)
 
 
-def needs_retry(original: Column, translated: Column, kind: Column) -> Column:
-    """Whether a translation should be asked for again; `kind` is table, caption, list, cell, superscript, text box or plain."""
+def needs_retry(original: Column, translated: Column, kind: Column, missing: Column | None = None, lost: Column | None = None) -> Column:
+    """Whether a translation should be asked for again; `kind` is table, caption, list, cell, superscript, text box or plain.
+
+    `missing` tells that the raw answer lacks a placeholder of a protected span, `lost` that a protected span is not in the translation.
+    """
     english = mostly_english(translated)
+    none = F.lit(False)
     return (
-        untranslated_fragment(original, translated)
+        (none if missing is None else F.coalesce(missing, none))
+        | untranslated_fragment(original, translated)
         | (kind.isin("table", "cell") & (english | truncated(original, translated)))
-        | (kind.isin("caption", "superscript", "text box") & english)
+        | (kind.isin("caption", "superscript", "text box") & (english | (none if lost is None else F.coalesce(lost, none))))
         | ((kind == "list") & list_broken(original, translated))
         | ((kind == "cell") & cell_expanded(original, translated))
         | boundary_broken(original, translated, kind == "superscript", kind == "text box")

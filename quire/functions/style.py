@@ -7,21 +7,30 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import strip
 
-#: Name parts of fonts and the family that stands for them; a longer name comes before one it contains.
+#: Name parts of fonts and the family that stands for them, in order; only YaHei comes before Hei, which it contains.
 FAMILIES = [
-    ("Times New Roman", ("times", "georgia", "cambria", "palatino", "book antiqua", "garamond")),
-    ("Arial", ("arial", "helvetica", "calibri", "segoe", "verdana", "tahoma", "trebuchet")),
-    ("Courier New", ("courier", "consolas", "menlo", "monaco", "fira code", "source code")),
-    ("DengXian", ("deng", "等线", "kaiti", "楷体", "fangsong", "仿宋", "noto sans")),
-    ("SimSun", ("simsun", "songti", "song", "宋体", "mincho", "明朝", "noto serif")),
+    ("Times New Roman", ("times new roman", "timesroman", "times")),
+    ("Times New Roman", ("georgia", "cambria", "palatino", "book antiqua", "garamond")),
+    ("Arial", ("arial", "helvetica")),
+    ("Arial", ("calibri", "segoe", "verdana", "tahoma", "trebuchet")),
+    ("Courier New", ("courier",)),
+    ("Courier New", ("consolas", "menlo", "monaco", "fira code", "source code")),
+    ("SimSun", ("simsun", "song", "宋体", "songti")),
     ("Microsoft YaHei", ("yahei", "微软雅黑")),
-    ("SimHei", ("simhei", "hei", "黑体", "gothic", "ゴシック")),
+    ("SimHei", ("simhei", "hei", "黑体")),
+    ("DengXian", ("deng", "等线")),
+    ("DengXian", ("kaiti", "楷体")),
+    ("DengXian", ("fangsong", "仿宋")),
+    ("SimSun", ("mincho", "明朝")),
+    ("SimHei", ("gothic", "ゴシック")),
+    ("DengXian", ("noto sans",)),
+    ("SimSun", ("noto serif",)),
 ]
 #: Words of a font's name that tell its style.
 STYLE_WORDS = r"(?i)(^|[^\p{L}\p{N}_])(?:Bold|Italic|Oblique|Light|Medium|Regular|Semibold|Demibold|Condensed|Expanded|Thin|Heavy|Black|ExtraBold|UltraBold|ExtraLight|UltraLight)($|[^\p{L}\p{N}_])"
-BOLD = r"bold|black|heavy|demi"
-ITALIC = r"italic|oblique"
-MONO = r"courier|consolas|menlo|monaco|mono|fira code|source code|typewriter"
+BOLD = r"bold|heavy|black|700|800|900"
+ITALIC = r"italic|oblique|slanted|inclined"
+MONO = r"courier|consolas|mono|menlo|fira code|source code|jetbrains|inconsolata|hack"
 #: Units of a picture's size, its size where none is known, and the widest.
 EMU_PER_PIXEL, DEFAULT_WIDTH, DEFAULT_HEIGHT, MAX_WIDTH_EMU, LEAST_HEIGHT = 9525, 480, 320, 6_000_000, 32
 
@@ -96,6 +105,14 @@ def cover_lines(authors: Column, publisher: Column, facts: Column) -> Column:
     return F.filter(rows, lambda x: x != "")
 
 
+def css_alignment(css: Column, classes: Column) -> Column:
+    """center, right, both or left by the style's text-align, else center or right by the class; null if neither tells."""
+    wanted = F.lower(strip(F.try_element_at(css, F.lit("text-align"))))
+    low = F.lower(F.coalesce(classes, F.lit("")))
+    by_style = F.when(wanted.isin("center", "right"), wanted).when(wanted == "justify", "both").otherwise("left")
+    return F.when(wanted.isNotNull(), by_style).when(low.contains("center"), "center").when(low.contains("right"), "right")
+
+
 def header_map(block: Column) -> Column:
     """Headers of lines `name: value` as a map; lines without a colon are left out, the first of a name counts."""
     pairs = F.filter(F.transform(F.split(block, "\r?\n"), lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("k"), strip(F.regexp_replace(x, "^[^:]*:?", "")).alias("v"), x.contains(":").alias("c"))), lambda p: p["c"] & (p["k"] != ""))

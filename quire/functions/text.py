@@ -9,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of any script.
-SPACE = r"[\t\n\x0B\f\r \x{85}\p{Z}]"
+SPACE = r"[\t\n\x0B\f\r \x85\p{Z}]"
+#: A character of a word: letters, marks without width, digits and connectors.
+WORD = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
 #: Character classes and patterns that decide results.
 CJK_NARROW = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 CJK_WIDE = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{FF00}-\x{FFEF}\x{3000}-\x{303F}]"
@@ -17,8 +19,8 @@ HYPHENS = r"[\-\x{2010}\x{2011}\x{2012}\x{2013}\x{FE63}\x{FF0D}\x{AD}]"
 LONG_ENGLISH = r"(^|[^\p{L}\p{N}_])[A-Za-z][A-Za-z\-]{7,}($|[^\p{L}\p{N}_])"
 BULLET_LINE = r"^(?:[\x{2022}\x{25E6}\x{25AA}\x{25A0}\x{2043}\-\x{B7}\x{2605}]|(?:[0-9]{1,3}|[A-Za-z])[.)\x{3001}])"
 TRAILING_CONNECTIVE = r"(^|[^\p{L}\p{N}_])(?i:in|of|for|to|with|from|by|and|or|but)$"
-LIST_MARKER = r"^(?:[\x{2022}\x{25AA}\x{25A0}\x{25C6}\x{25E6}\-\x{B7}]|\(?(?:[0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)])[ \t]+"
-SENTENCE_STOP = r"[.!?\x{3002}\x{FF01}\x{FF1F}]"
+BREAK_HYPHENS = r"[\-\x{2010}\x{2011}\x{2012}\x{2013}]"
+LIST_MARKER = r"^[\t\n\x0B\f\r \x85\p{Z}]*(?:\p{Nd}{1,3}[.)、]|[(（]\p{Nd}{1,3}[)）]|[a-zA-Z][.)]|[•\-·◦▪■★→►▸‣⦿⁃])"
 
 
 def strip(c: Column) -> Column:
@@ -126,20 +128,39 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[^\t\n\x0B\f\r \x{85}\p{Z}]+"))
 
 
-def sentence_end(c: Column) -> Column:
-    """Whether the text ends a sentence, closing marks aside."""
-    return strip(c).rlike(SENTENCE_STOP + r"[\"'\x{201D}\x{2019})\]\x{BB}\x{300D}]*$")
+def ends_sentence(c: Column) -> Column:
+    """Whether the last visible character ends a sentence."""
+    return c.rlike(rf"[.!?。！？]{SPACE}*$")
 
 
-def continues_after(c: Column) -> Column:
-    """Whether a text cannot end here: it ends in a hyphen, a comma or a connective."""
-    t = strip(c)
-    return ends_with_hyphen(t) | t.rlike(r"[,;:\x{FF0C}\x{3001}\x{FF1B}\x{FF1A}]$") | t.rlike(TRAILING_CONNECTIVE)
+def ends_open(c: Column) -> Column:
+    """Whether a text ends in anything but the end of a sentence, a colon, a semicolon, a closing bracket or a quotation mark."""
+    return c.rlike(rf"[^.!?。！？:：;；)\]}}\"'\t\n\x0B\f\r \x85\p{{Z}}]{SPACE}*$")
 
 
-def continues_before(c: Column) -> Column:
-    """Whether a text goes on from another: it starts in lower case or with a mark."""
-    return strip(c).rlike(r"^[\p{Ll},;:)\]\x{FF0C}\x{3001}]")
+def starts_open(c: Column) -> Column:
+    """Whether a text begins as the rest of another does: in lower case, with a digit, a mark or a word that joins."""
+    return c.rlike(rf"^{SPACE}*(?:[\p{{Ll}}\p{{Nd}})\]}}\"',.;:!?]|(?i:and|or|but|that|which|who) )")
+
+
+#: Opening marks that stand before the first letter.
+_LEADING = r"[\"'(\[{]*"
+
+
+def starts_sentence(c: Column) -> Column:
+    """Whether a text begins with a capital or an ideograph, opening marks aside."""
+    return c.rlike(rf"^{SPACE}*{_LEADING}(?:\p{{Lu}}|{CJK_WIDE})")
+
+
+def starts_lower(c: Column) -> Column:
+    """Whether a text begins with a small letter, opening marks aside."""
+    return c.rlike(rf"^{SPACE}*{_LEADING}\p{{Ll}}")
+
+
+def context_preview(c: Column, limit: int = 180) -> Column:
+    """Line breaks as blanks, blanks collapsed, cut after `limit` characters with three dots."""
+    flat = F.trim(F.regexp_replace(c, "[\r\n ]+", " "))
+    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("..."))).otherwise(flat)
 
 
 def text_weight(c: Column) -> Column:
@@ -183,14 +204,22 @@ def colour_hex(c: Column) -> Column:
     return out
 
 
-def endpoints(base: Column, suffix: str) -> Column:
-    """Candidate addresses of a service below a base address: the address itself if it names the service, else with the service added, with and without /v1."""
+def message_endpoint(base: Column) -> Column:
+    """Address of the messages service below a base address; null for blank ones."""
+    b = F.regexp_replace(strip(base), "/+$", "")
+    low = F.lower(b)
+    return F.when(is_blank(base), F.lit(None)).when(low.endswith("/v1/messages"), b).when(low.endswith("/v1"), F.concat(b, F.lit("/messages"))).otherwise(F.concat(b, F.lit("/v1/messages")))
+
+
+def chat_endpoints(base: Column) -> Column:
+    """Candidate addresses of the chat service below a base address, the likeliest first; none for blank ones."""
     b = F.regexp_replace(strip(base), "/+$", "")
+    low, chat = F.lower(b), "/chat/completions"
     return (
         F.when(is_blank(base), F.array().cast("array<string>"))
-        .when(F.lower(b).endswith(suffix), F.array(b))
-        .when(F.lower(b).endswith("/v1"), F.array(F.concat(b, F.lit(suffix))))
-        .otherwise(F.array(F.concat(b, F.lit("/v1" + suffix)), F.concat(b, F.lit(suffix))))
+        .when(low.endswith(chat), F.array(b))
+        .when(low.rlike("/v[123]$"), F.array(F.concat(b, F.lit(chat))))
+        .otherwise(F.array(*[F.concat(b, F.lit(v + chat)) for v in ("", "/v1", "/v2", "/v3")]))
     )
 
 

@@ -1,37 +1,30 @@
-"""Layout of pages: boxes, columns, table rows, fonts, and the folds that build lines and blocks.
-
-Aggregates and windows are native; lines, blocks and merges depend on what was merged before and
-run as one Python function for each page, which bounds its input.
-"""
+"""Layout of pages: boxes, columns, table rows, fonts, captions. All in the JVM; operators.pages has the folds that build blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.layout import overlap_ratio
-from quire.session import spread
+from quire.settings import LAYOUT, Layout
 
-#: Thresholds of the layout rules.
-GAP_SHARE, MIN_COLUMN_WORDS, MIN_SPAN_SHARE, TOP_GAPS = 0.04, 3, 0.25, 3
-ROW_GAP_FACTOR, ROW_GAPS, ROW_GAP_SHARE, MIN_ROW_WORDS = 1.5, 2, 0.3, 3
+#: Gaps that count as columns of a table row, and how many gaps of a page may part columns.
+ROW_GAP_FACTOR, ROW_GAPS, ROW_GAP_SHARE, TOP_GAPS, LEAST_WORDS = 1.5, 2, 0.3, 3, 5
 
 
 def token_boxes(lines: DataFrame, char: float = 6.0, height: float = 14.0, per_page: int = 50) -> DataFrame:
-    """Words of lines (doc_id, pos, line) with boxes on a plain grid: doc_id, page, line_no, word_no, text, l, r, t, b."""
+    """Words of lines (doc_id, pos, line) with boxes on a plain grid: doc_id, page, line_no, word_no, text, l, r, t, b.
+
+    Rows are parted by page once; what follows by page or line needs no further shuffle.
+    """
+    page = (F.floor((F.col("pos") - 1) / per_page) + 1).cast("int").alias("page")
     words = F.filter(F.split("line", r"[ \t\r]+"), lambda w: w != "")
-    # Where each word begins: once for a line, the words before it and one blank each.
-    starts = F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.array_append(a, F.element_at(a, -1) + F.length(w) + 1))
-    pairs = F.zip_with(words, F.slice(starts, 1, F.greatest(F.size(words), F.lit(0))), lambda w, s: F.struct(w.alias("w"), s.alias("s")))
-    rows = lines.select("doc_id", "pos", F.posexplode(pairs).alias("word_no", "p")).select("doc_id", "pos", "word_no", F.col("p.w").alias("text"), F.col("p.s").alias("before"))
-    before = F.col("before")
-    page = F.floor((F.col("pos") - 1) / per_page)
+    rows = lines.select("doc_id", page, "pos", F.posexplode(words).alias("word_no", "text")).repartition("doc_id", "page")
+    # Where each word begins: the words before it and one blank each.
+    w = Window.partitionBy("doc_id", "page", "pos").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
     top = F.lit(800.0) - height * F.pmod(F.col("pos") - 1, F.lit(per_page))
-    return rows.select("doc_id", (page + 1).cast("int").alias("page"), F.col("pos").alias("line_no"), "word_no", "text", (before * char).alias("l"), ((before + F.length("text")) * char).alias("r"), top.alias("t"), (top - height * 0.8).alias("b"))
+    return rows.select("doc_id", "page", F.col("pos").alias("line_no"), "word_no", "text", (before * char).alias("l"), ((before + F.length("text")) * char).alias("r"), top.alias("t"), (top - height * 0.8).alias("b"))
 
 
 def bounding_boxes(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,46 +34,45 @@ def bounding_boxes(words: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def table_rows(words: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, words, gaps, large, is_row): lines whose words stand in columns: two or more wide gaps that are 30 % of all or more, in three words or more."""
+    """(keys, words, gaps, large, is_row): lines whose words stand in columns: two or more wide gaps that are 30 % of all or more."""
     w = Window.partitionBy(*keys).orderBy("l", "word_no")
     gaps = words.withColumn("gap", F.col("l") - F.lag("r").over(w))
     mean = F.avg(F.col("r") - F.col("l")).over(Window.partitionBy(*keys))
     marked = gaps.withColumn("large", F.when(F.col("gap") > ROW_GAP_FACTOR * mean, 1).otherwise(0))
     out = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("words"), F.count("gap").alias("gaps"), F.sum("large").alias("large"))
-    return out.withColumn("is_row", (F.col("words") >= MIN_ROW_WORDS) & (F.col("large") >= ROW_GAPS) & (F.col("large") >= ROW_GAP_SHARE * F.col("gaps")))
+    return out.withColumn("is_row", (F.col("gaps") >= 2) & (F.col("large") >= ROW_GAPS) & (F.col("large") >= ROW_GAP_SHARE * F.col("gaps")))
 
 
-def column_gaps(words: DataFrame, keys: list[str], page_width: float) -> DataFrame:
-    """(keys, boundary): where columns of a page part, the widest gaps between left edges first, three at most.
+def column_cuts(words: Column, page_width: float, settings: Layout = LAYOUT) -> Column:
+    """Where columns of a page (an array of words) part, from the left: of the three widest gaps between left edges those that divide the text.
 
-    A gap counts if each side has three words and spans more than a quarter of the page's content in height. Pages of fewer than five words have none.
+    Words wholly left and wholly right of the cut must be three each and span more than a quarter of the height of all. Pages of fewer than five words have none.
+    """
+    edges = F.array_sort(F.transform(words, lambda w: w["l"]))
+    pairs = F.zip_with(F.slice(edges, 1, F.greatest(F.size(edges) - 1, F.lit(0))), F.slice(edges, 2, F.greatest(F.size(edges) - 1, F.lit(0))), lambda a, b: F.struct((a - b).alias("narrow"), (a + (b - a) / 2).alias("at")))
+    # The widest first; of equal ones the leftmost.
+    widest = F.slice(F.array_sort(F.filter(pairs, lambda p: -p["narrow"] > page_width * settings.column_gap)), 1, TOP_GAPS)
+    top = lambda ws: F.array_max(F.transform(ws, lambda w: w["t"]))
+    bottom = lambda ws: F.array_min(F.transform(ws, lambda w: w["b"]))
+    least = settings.column_span * F.greatest(F.lit(1.0), top(words) - bottom(words))
+    divides = lambda ws: (F.size(ws) >= settings.column_words) & (top(ws) - bottom(ws) > least)
+    good = F.filter(widest, lambda p: divides(F.filter(words, lambda w: w["r"] < p["at"])) & divides(F.filter(words, lambda w: w["l"] > p["at"])))
+    return F.when(F.size(words) >= LEAST_WORDS, F.array_sort(F.transform(good, lambda p: p["at"]))).otherwise(F.array().cast("array<double>"))
+
+
+def page_columns(words: DataFrame, keys: list[str], page_width: float, settings: Layout = LAYOUT) -> DataFrame:
+    """(keys, cuts, words): one row per page with its cuts and its words, each with column_no from 1: how many cuts lie at or left of its middle, and one.
+
+    Words beyond the edges of the page belong to the outer columns. One shuffle by page does it all.
     """
-    edges = words.groupBy(*keys, "l").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy("l")
-    gaps = edges.withColumn("before", F.lag("l").over(w)).withColumn("gap", F.col("l") - F.col("before")).filter(F.col("gap") > page_width * GAP_SHARE)
-    cuts = gaps.select(*keys, "gap", ((F.col("l") + F.col("before")) / 2).alias("boundary"))
-    ranked = cuts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("gap"), "boundary"))).filter(F.col("rank") <= TOP_GAPS)
-    sized = words.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_n >= 5")
-    # At most three cuts a page meet its words.
-    sides = ranked.join(sized, keys)
-    left = (F.col("l") + F.col("r")) / 2 < F.col("boundary")
-    judged = sides.groupBy(*keys, "boundary").agg(
-        F.count_if(left).alias("nl"),
-        F.count_if(~left).alias("nr"),
-        (F.max(F.when(left, F.col("t"))) - F.min(F.when(left, F.col("b")))).alias("hl"),
-        (F.max(F.when(~left, F.col("t"))) - F.min(F.when(~left, F.col("b")))).alias("hr"),
-        (F.max("t") - F.min("b")).alias("h"),
-    )
-    good = (F.col("nl") >= MIN_COLUMN_WORDS) & (F.col("nr") >= MIN_COLUMN_WORDS) & (F.col("hl") > MIN_SPAN_SHARE * F.col("h")) & (F.col("hr") > MIN_SPAN_SHARE * F.col("h"))
-    return judged.filter(good).select(*keys, "boundary")
-
-
-def assign_columns(words: DataFrame, boundaries: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds column_no from 1: how many boundaries lie at or left of a word's middle, and one."""
-    cuts = boundaries.groupBy(*keys).agg(F.array_sort(F.collect_list("boundary")).alias("_cuts"))
-    middle = (F.col("l") + F.col("r")) / 2
-    number = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= middle)), F.lit(0))
-    return words.join(cuts, keys, "left").withColumn("column_no", F.when(F.col("_cuts").isNull(), 1).otherwise(number + 1)).drop("_cuts")
+    from quire.operators.pages import words_of
+
+    known = [c for c in ("line_no", "word_no") if c in words.columns]
+    pages = words.groupBy(*keys).agg(F.collect_list(F.struct(*known, *words_of(words))).alias("_w"))
+    number = lambda w, cuts: (F.size(F.filter(cuts, lambda c: c <= (w["l"] + w["r"]) / 2)) + 1).cast("int")
+    placed = lambda cuts: F.struct(cuts.alias("cuts"), F.transform("_w", lambda w: w.withField("column_no", number(w, cuts))).alias("words"))
+    # An array of one binds the cuts, so they are found once a page and not once a word.
+    return pages.select(*keys, F.element_at(F.transform(F.array(column_cuts(F.col("_w"), page_width, settings)), placed), 1).alias("_p")).select(*keys, "_p.cuts", "_p.words")
 
 
 def dominant(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
@@ -107,87 +99,3 @@ def captions_of_tables(blocks: DataFrame, keys: list[str]) -> DataFrame:
     for s in same:
         on = on & s
     return c.join(t, on, "left_semi")
-
-
-#: A line of the fold: its words' text and box.
-LINE = "line_no int, text string, l double, r double, t double, b double, words int"
-
-
-def _join(words: list[tuple]) -> str:
-    """Words of a line in one text: hyphens at ends dropped, no blank between ideographs, two blanks at wide gaps."""
-    out = ""
-    for i, (text, l, r, _t, _b) in enumerate(words):
-        if not out:
-            out = text
-            continue
-        p_text, p_l, p_r = words[i - 1][0], words[i - 1][1], words[i - 1][2]
-        width = max(1.0, (p_r - p_l) / max(1, len(p_text)))
-        if regex.search(r"\p{L}[-‐‑­]$", out):
-            out = out[:-1] + text
-        elif regex.search(r"\p{Han}$", out) and regex.match(r"\p{Han}", text):
-            out += text
-        else:
-            out += ("  " if l - p_r > 2.5 * width else " ") + text
-    return out
-
-
-def fold_lines(words: list[tuple[str, float, float, float, float]], slack: tuple[float, float] = (3.0, 0.4)) -> list[tuple]:
-    """Lines of words (text, l, r, t, b): from the top, a word joins the first line whose mean bottom is near its own."""
-    lines: list[list[tuple]] = []
-    for w in sorted(words, key=lambda x: (-x[3], x[1], x[0])):
-        reach = max(slack[0], slack[1] * (w[3] - w[4]))
-        for line in lines:
-            if abs(sum(x[4] for x in line) / len(line) - w[4]) <= reach:
-                line.append(w)
-                break
-        else:
-            lines.append([w])
-    out = []
-    for line in lines:
-        line.sort(key=lambda x: (x[1], x[2], x[0]))
-        out.append((_join(line), min(x[1] for x in line), max(x[2] for x in line), max(x[3] for x in line), min(x[4] for x in line), len(line)))
-    return sorted(out, key=lambda x: (-x[3], x[1]))
-
-
-def fold_blocks(lines: list[tuple]) -> list[list[tuple]]:
-    """Blocks of lines in reading order: a line joins the last block if it is near below it and beside the same edge or above the same stretch."""
-    blocks: list[list[tuple]] = []
-    for line in lines:
-        if blocks:
-            last = blocks[-1][-1]
-            height = max(1.0, last[3] - last[4], line[3] - line[4])
-            gap = last[4] - line[3]
-            left, right = min(x[1] for x in blocks[-1]), max(x[2] for x in blocks[-1])
-            common = min(right, line[2]) - max(left, line[1])
-            beside = common / max(1.0, min(right - left, line[2] - line[1])) > 0.45 or abs(left - line[1]) < 1.5 * height
-            done = bool(regex.search(r"[.!?。！？][\"'”’»)\]]*\s*$", last[0])) and last[2] < right - 0.2 * (right - left)
-            if gap < 0.9 * height and beside and not done:
-                blocks[-1].append(line)
-                continue
-        blocks.append([line])
-    return blocks
-
-
-def page_layout(words: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, column_no, block_no, text, l, r, t, b, lines): text blocks of every page in reading order.
-
-    Expects words with column_no; a page's words, which paper bounds, are folded in one call.
-    """
-    group = [*keys, "column_no"]
-    pages = words.groupBy(*group).agg(F.collect_list(F.struct("text", "l", "r", "t", "b")).alias("_w"))
-    schema = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in group) + ", block_no int, text string, l double, r double, t double, b double, lines int"
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                ws = [(w["text"], w["l"], w["r"], w["t"], w["b"]) for w in row[-1]]
-                for i, block in enumerate(fold_blocks(fold_lines(ws))):
-                    text = ""
-                    for line in block:
-                        text = line[0] if not text else text[:-1] + line[0] if regex.search(r"\p{L}[-‐‑­]$", text) else text + " " + line[0]
-                    out.append((*row[:-1], i + 1, text, min(x[1] for x in block), max(x[2] for x in block), max(x[3] for x in block), min(x[4] for x in block), len(block)))
-            yield pd.DataFrame(out, columns=names)
-
-    return spread(pages).mapInPandas(run, schema)

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.session import spread
+from quire.settings import RECOGNITION, Recognition
 
-#: Least confidence of a word, and the shares and distances of the folds.
-MIN_CONFIDENCE = 35.0
+#: Least distances of the folds, in points.
 LINE_SLACK, LINE_SHARE = 6.0, 0.6
-CENTRE_SHARE, LEFT_SHARE, OVERLAP = 0.12, 0.08, 0.35
-GAP, GAP_SHARE, INDENT, INDENT_SHARE, WIDTH, WIDTH_SHARE = 16.0, 0.95, 18.0, 1.2, 50.0, 0.55
+GAP, INDENT, WIDTH = 16.0, 18.0, 50.0
 
 
 @dataclass
@@ -35,11 +34,11 @@ class Box:
 
 
 def lines_of(words: list[tuple[str, float, float, float, float, float]]) -> list[Box]:
-    """Lines of words (text, left, top, right, bottom, confidence), from the top: a word joins the first line whose top is near."""
+    """Lines of words (text, left, top, right, bottom, confidence), from the top: a word joins the first line whose mean bottom is near its own."""
     out: list[Box] = []
     for w in sorted(words, key=lambda x: (x[2], x[1], x[0])):
         near = max(LINE_SLACK, LINE_SHARE * (w[4] - w[2]))
-        line = next((x for x in out if abs(x.t - w[2]) <= near), None)
+        line = next((x for x in out if abs(sum(p[4] for p in x.parts) / len(x.parts) - w[4]) < near), None)
         if line:
             line.add(w, *w[1:5])
         else:
@@ -49,16 +48,16 @@ def lines_of(words: list[tuple[str, float, float, float, float, float]]) -> list
     return sorted(out, key=lambda x: (x.t, x.l))
 
 
-def columns_of(lines: list[Box], page_width: float) -> list[Box]:
+def columns_of(lines: list[Box], page_width: float, settings: Recognition = RECOGNITION) -> list[Box]:
     """Columns of lines: a line joins the first column that is near in centre or left edge, or overlaps it; the column grows."""
     out: list[Box] = []
     for line in lines:
         for c in out:
             common = min(c.r, line.r) - max(c.l, line.l)
             if (
-                abs((c.l + c.r) - (line.l + line.r)) / 2 < CENTRE_SHARE * page_width
-                or abs(c.l - line.l) < LEFT_SHARE * page_width
-                or common / max(1.0, min(c.r - c.l, line.r - line.l)) > OVERLAP
+                abs((c.l + c.r) - (line.l + line.r)) / 2 < settings.column_centre * page_width
+                or abs(c.l - line.l) < settings.column_left * page_width
+                or common / max(1.0, min(c.r - c.l, line.r - line.l)) > settings.column_overlap
             ):
                 c.add(line, line.l, line.t, line.r, line.b)
                 break
@@ -67,17 +66,17 @@ def columns_of(lines: list[Box], page_width: float) -> list[Box]:
     return sorted(out, key=lambda c: c.l)
 
 
-def blocks_of(lines: list[Box]) -> list[Box]:
-    """Blocks of the lines of a column: near below, little indented, of like width to what was merged so far."""
+def blocks_of(lines: list[Box], settings: Recognition = RECOGNITION) -> list[Box]:
+    """Blocks of the lines of a column: near below, little indented, of like width to what was merged so far, whose height is the measure."""
     out: list[Box] = []
     for line in sorted(lines, key=lambda x: (x.t, x.l)):
-        height = max(1.0, line.b - line.t)
         if out:
             last = out[-1]
+            height, width = last.b - last.t, last.r - last.l
             if (
-                line.t - last.b < max(GAP, GAP_SHARE * height)
-                and abs(line.l - last.l) < max(INDENT, INDENT_SHARE * height)
-                and abs((line.r - line.l) - (last.r - last.l)) < max(WIDTH, WIDTH_SHARE * (last.r - last.l))
+                line.t - last.b < max(GAP, settings.merge_gap * height)
+                and abs(line.l - last.l) < max(INDENT, settings.merge_indent * height)
+                and abs((line.r - line.l) - width) < max(WIDTH, settings.merge_width * width)
             ):
                 last.add(line, line.l, line.t, line.r, line.b)
                 continue
@@ -85,13 +84,13 @@ def blocks_of(lines: list[Box]) -> list[Box]:
     return out
 
 
-def recognised_blocks(words: DataFrame, keys: list[str], page_width: float, scale: float = 1.0, least: float = MIN_CONFIDENCE) -> DataFrame:
+def recognised_blocks(words: DataFrame, keys: list[str], page_width: float, scale: float = 1.0, settings: Recognition = RECOGNITION) -> DataFrame:
     """(keys, block_no, text, left, top, width, height): blocks of every page in reading order, lines kept in order.
 
     Expects text, l, t, r, b and confidence. Blank words and those below the
     least confidence are dropped before any Python runs; positions are divided by `scale`.
     """
-    kept = words.filter((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.col("confidence") >= least))
+    kept = words.filter((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.col("confidence") >= settings.confidence))
     place = [(F.col(c) / F.lit(scale)).cast("double").alias(c) for c in ("l", "t", "r", "b")]
     pages = kept.groupBy(*keys).agg(F.collect_list(F.struct("text", *place, F.col("confidence").cast("double").alias("confidence"))).alias("_w"))
     schema = T.StructType([*[pages.schema[k] for k in keys], T.StructField("block_no", T.IntegerType()), T.StructField("text", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in ("left", "top", "width", "height")]])
@@ -101,7 +100,7 @@ def recognised_blocks(words: DataFrame, keys: list[str], page_width: float, scal
             out = []
             for row in pdf.itertuples(index=False):
                 found = lines_of([(w["text"].strip(), w["l"], w["t"], w["r"], w["b"], w["confidence"]) for w in row[-1]])
-                blocks = [b for c in columns_of(found, page_width) for b in blocks_of(c.parts)]
+                blocks = [b for c in columns_of(found, page_width, settings) for b in blocks_of(c.parts, settings)]
                 for i, b in enumerate(blocks, 1):
                     text = "\n".join(" ".join(w[0] for w in line.parts) for line in b.parts)
                     out.append((*row[:-1], i, text, b.l, b.t, b.r - b.l, b.b - b.t))

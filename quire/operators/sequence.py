@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import continues_after, continues_before, drop_hyphen, ends_with_hyphen, is_blank, join_hyphenated, leading_lower_word, preview, sentence_end
+from quire.functions.layout import goes_on_below
+from quire.functions.text import SPACE, context_preview, drop_hyphen, ends_open, ends_sentence, ends_with_hyphen, is_blank, join_hyphenated, leading_lower_word, starts_lower, starts_open
 from quire.session import materialize
+from quire.settings import LAYOUT, Layout
 
 
 def page_numbers(df: DataFrame, doc: str, pos: str, breaks: str, new_page: str) -> DataFrame:
@@ -66,29 +68,47 @@ def neighbours(df: DataFrame, doc: str, order: list[str], text: str, region: str
     back, ahead = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
     before = F.coalesce(F.last(value, ignorenulls=True).over(same.rowsBetween(*back)), F.last(value, ignorenulls=True).over(w.rowsBetween(*back)))
     after = F.coalesce(F.first(value, ignorenulls=True).over(same.rowsBetween(*ahead)), F.first(value, ignorenulls=True).over(w.rowsBetween(*ahead)))
-    return df.withColumn("before", preview(before, limit)).withColumn("after", preview(after, limit))
+    return df.withColumn("before", context_preview(before, limit)).withColumn("after", context_preview(after, limit))
 
 
-def continuation_flags(df: DataFrame, doc: str, page: str, idx: str, text: str) -> DataFrame:
-    """Adds from_previous and into_next: whether the first block of a page goes on from the page before, and the last one into the next."""
-    on_page = Window.partitionBy(doc, page)
+def continuation_flags(df: DataFrame, doc: str, page: str, idx: str, text: str, eligible: Column) -> DataFrame:
+    """Adds from_previous and into_next: whether the first block of a page but the first goes on from the pages before, and the last one of a page but the last into the next.
+
+    There must be an `eligible` text before, or after, and the block must begin, or end, in the open.
+    """
+    on_page, whole = Window.partitionBy(doc, page), Window.partitionBy(doc)
     all_ = Window.partitionBy(doc).orderBy(page, idx)
-    first = F.col(idx) == F.min(idx).over(on_page)
-    last = F.col(idx) == F.max(idx).over(on_page)
-    before, after = F.lag(text).over(all_), F.lead(text).over(all_)
-    return df.withColumn("from_previous", first & ~is_blank(before) & continues_before(F.col(text))).withColumn("into_next", last & ~is_blank(after) & continues_after(F.col(text)))
+    first = (F.col(idx) == F.min(idx).over(on_page)) & (F.col(page) > F.min(page).over(whole))
+    last = (F.col(idx) == F.max(idx).over(on_page)) & (F.col(page) < F.max(page).over(whole))
+    flag = F.when(eligible, 1)
+    before = F.count(flag).over(all_.rowsBetween(Window.unboundedPreceding, -1)) > 0
+    after = F.count(flag).over(all_.rowsBetween(1, Window.unboundedFollowing)) > 0
+    return df.withColumn("from_previous", first & before & starts_open(F.col(text))).withColumn("into_next", last & after & ends_open(F.col(text)))
+
 
+#: Fields of a block that tell whether it goes on from another.
+_PLACE = ("text", "region", "l", "r", "t", "b", "lh")
 
-def group_paragraphs(df: DataFrame, doc: str, order: list[str], text: str, groupable: Column, pair: Column) -> DataFrame:
-    """Adds unit: blocks that form one paragraph share a number.
 
-    A block joins the one before if both are groupable, that one does not end a
-    sentence and `pair` holds for the two. Every block is in exactly one unit.
+def group_paragraphs(df: DataFrame, keys: list[str], idx: str, groupable: Column, cells: Column, skipped: Column, settings: Layout = LAYOUT) -> DataFrame:
+    """Adds unit: the number of the translation unit a block of a page begins or joins, from 1; null for skipped blocks.
+
+    A block joins the one right before it if both are groupable and of one region, that one does not end a
+    sentence, the gap between them is small, and it goes on by a hyphen, by its beginning or by its place. A block of
+    several `cells` is as many units, of which `unit` is the first. Expects text, region, l, r, t, b and lh; a page's blocks are one partition.
     """
-    w = Window.partitionBy(doc).orderBy(*order)
-    out = df.withColumn("_g", groupable)
-    join = F.col("_g") & F.coalesce(F.lag("_g").over(w), F.lit(False)) & ~F.coalesce(sentence_end(F.lag(text).over(w)), F.lit(True)) & F.coalesce(pair, F.lit(True))
-    return out.withColumn("_s", F.when(join, 0).otherwise(1)).withColumn("unit", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_g", "_s")
+    w = Window.partitionBy(*keys).orderBy(idx)
+    prev = F.lag(F.struct(groupable.alias("g"), *_PLACE)).over(w)
+    cur = F.struct(*_PLACE)
+    height = F.greatest(prev["lh"], F.col("lh"))
+    gap = prev["b"] - F.col("t")
+    near = (gap >= -2) & (gap <= height * settings.grouping_gap)
+    on = ends_with_hyphen(prev["text"]) | starts_open(F.col("text")) | starts_lower(F.col("text")) | goes_on_below(prev, cur, height, settings)
+    joins = F.coalesce(groupable & prev["g"] & (prev["region"] == F.col("region")) & ~ends_sentence(prev["text"]) & near & on, F.lit(False))
+    units = F.when(skipped, 0).when(joins, 0).otherwise(F.greatest(F.lit(1), cells))
+    numbered = df.withColumn("_units", units).withColumn("_upto", F.sum("_units").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.when(F.col("_units") > 0, F.col("_upto") - F.col("_units") + 1).otherwise(F.col("_upto"))
+    return numbered.withColumn("unit", F.when(~skipped, first)).drop("_units", "_upto")
 
 
 def concat_hyphenated(pos: Column, text: Column) -> Column:
@@ -97,20 +117,47 @@ def concat_hyphenated(pos: Column, text: Column) -> Column:
     return F.aggregate(ordered, F.lit(""), join_hyphenated)
 
 
-def repair_hyphens(df: DataFrame, doc: str, order: list[str], text: str) -> DataFrame:
-    """Adds repaired: a block that ends in a cut word has the rest of it, which the next block has lost.
+#: A word cut at the end of a text, and a small ASCII word at its beginning.
+_CUT = rf"[A-Za-z]{{2,}}{SPACE}*[\-\x{{2010}}\x{{2011}}\x{{2012}}\x{{2013}}\x{{FE63}}\x{{FF0D}}\x{{AD}}]{SPACE}*$"
+_HEAD = rf"^{SPACE}*[a-z]+{SPACE}*"
 
-    The cut part must be two ASCII letters or more, the rest an ASCII word in
-    lower case at the start of the next block of the document, also across pages.
+
+def hyphen_target(source: Column, target: Column, same_page: Column, settings: Layout = LAYOUT) -> Column:
+    """Whether a block (struct of l, r, t, b, lh, text) may hold the rest of a word that another one ends with."""
+    height = F.greatest(source["lh"], target["lh"])
+    column = goes_on_below(source, target, height, settings)
+    gap = source["b"] - target["t"]
+    wraps = (target["l"] <= source["r"] + F.greatest(F.lit(48.0), height * (settings.wrap_forward + 0.5))) & (target["r"] >= source["l"] + F.greatest(F.lit(30.0), height * settings.wrap_backward))
+    below = (gap >= -2) & (gap < height * 2.8) & (column | wraps)
+    ws, wt = source["r"] - source["l"], target["r"] - target["l"]
+    return starts_lower(target["text"]) & F.when(same_page, below).otherwise(column | (ws > wt * 0.7) | (wt > ws * 0.7))
+
+
+def repair_hyphens(df: DataFrame, doc: str, page: str, idx: str, eligible: Column, settings: Layout = LAYOUT) -> DataFrame:
+    """Adds repaired: a block that ends in a cut word has the rest of it, which the next eligible block of the document has lost.
+
+    The cut part must be two ASCII letters or more, the rest a small ASCII word at the
+    start of the next eligible block, which must lie where the text would go on, also across pages. Of several blocks
+    before one such block the first takes the word. A block that is nothing but a small word and its hyphen takes none.
+    Expects text, l, r, t, b and lh.
     """
-    w = Window.partitionBy(doc).orderBy(*order)
-    cut = F.col(text).rlike(r"[A-Za-z]{2,}[\-\x{2010}\x{2011}\x{2012}\x{2013}\x{FE63}\x{FF0D}\x{AD}][ \t\r\n]*$")
-    following = F.lead(text).over(w)
-    rest = leading_lower_word(following)
-    takes = cut & (F.coalesce(rest, F.lit("")) != "")
-    gave = F.lag(F.when(F.col(text).rlike(r"[A-Za-z]{2,}[\-\x{2010}\x{2011}\x{2012}\x{2013}\x{FE63}\x{FF0D}\x{AD}][ \t\r\n]*$"), True)).over(w)
-    own = F.when(F.coalesce(gave, F.lit(False)), F.regexp_replace(text, r"^[\t\n\x0B\f\r \x{85}\p{Z}]*[a-z]+[\t\n\x0B\f\r \x{85}\p{Z}]*", "")).otherwise(F.col(text))
-    return df.withColumn("repaired", F.when(takes & ends_with_hyphen(own), F.concat(drop_hyphen(own), rest)).otherwise(own))
+    w = Window.partitionBy(doc).orderBy(page, idx)
+    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    out = df.withColumn("_e", eligible)
+    place = F.struct("text", "l", "r", "t", "b", "lh", F.col(page).alias("page"))
+    out = out.withColumn("_next", F.first(F.when(F.col("_e"), place), ignorenulls=True).over(ahead)).withColumn("_own", place)
+    text = F.col("text")
+    cut = text.rlike(_CUT) & (~text.rlike(_HEAD) | F.regexp_replace(text, _HEAD, "").rlike(_CUT))
+    rest = leading_lower_word(F.col("_next.text"))
+    takes = cut & F.col("_next").isNotNull() & (F.coalesce(rest, F.lit("")) != "") & hyphen_target(F.col("_own"), F.col("_next"), F.col("_next.page") == F.col(page), settings)
+    # Blocks from one eligible block up to the next share the number of eligible ones so far, and with it their target.
+    out = out.withColumn("_takes", F.coalesce(takes, F.lit(False))).withColumn("_group", F.count(F.when(F.col("_e"), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    group = Window.partitionBy(doc, "_group").orderBy(page, idx)
+    out = out.withColumn("_takers", F.count(F.when(F.col("_takes"), 1)).over(group.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("_gives", F.col("_e") & F.coalesce(F.lag("_takers").over(w) > 0, F.lit(False)))
+    own = F.when(F.col("_gives"), F.regexp_replace(text, _HEAD, "")).otherwise(text)
+    repaired = F.when(F.col("_takes") & (F.col("_takers") == 1), F.concat(drop_hyphen(own), rest)).otherwise(own)
+    return out.withColumn("repaired", repaired).drop("_e", "_next", "_own", "_takes", "_group", "_takers", "_gives")
 
 
 def running_offsets(df: DataFrame, key: str, count: str, out: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import layout as L
 from quire.operators import layout as O
+from quire.operators import pages
+from quire.plans import sql_rules as R
 from quire.plans.carriers import document_lines, page_blocks
 from quire.plans.registry import SQL_BLOCKS, SQL_LINES, query
 from quire.session import table
@@ -32,33 +34,55 @@ def table_row_detection(spark: SparkSession, folder: str) -> DataFrame:
     return O.table_rows(O.token_boxes(document_lines(spark, folder)), ["doc_id", "line_no"])
 
 
-_COLS = f"""{_BOXES}, e AS (SELECT DISTINCT doc_id, page, l FROM box), d AS (SELECT doc_id, page, l, lag(l) OVER (PARTITION BY doc_id, page ORDER BY l) AS p FROM e),
-c AS (SELECT doc_id, page, (l + p) / 2 AS boundary, row_number() OVER (PARTITION BY doc_id, page ORDER BY l - p DESC, (l + p) / 2) AS k FROM d WHERE l - p > {WIDTH * O.GAP_SHARE}),
-s AS (SELECT doc_id, page FROM box GROUP BY 1, 2 HAVING count(*) >= 5),
-j AS (SELECT c.doc_id, c.page, c.boundary, (x.l + x.r) / 2 < c.boundary AS lft, x.t, x.b FROM c JOIN s USING (doc_id, page) JOIN box x ON x.doc_id = c.doc_id AND x.page = c.page WHERE k <= 3),
-ok AS (SELECT doc_id, page, boundary FROM j GROUP BY 1, 2, 3 HAVING count(*) FILTER (lft) >= 3 AND count(*) FILTER (NOT lft) >= 3 AND max(t) FILTER (lft) - min(b) FILTER (lft) > 0.25 * (max(t) - min(b)) AND max(t) FILTER (NOT lft) - min(b) FILTER (NOT lft) > 0.25 * (max(t) - min(b)))"""
+_COLS = f"""{_BOXES}, d AS (SELECT doc_id, page, l, lag(l) OVER (PARTITION BY doc_id, page ORDER BY l) AS p FROM box),
+c AS (SELECT doc_id, page, p + (l - p) / 2 AS boundary, row_number() OVER (PARTITION BY doc_id, page ORDER BY l - p DESC, p + (l - p) / 2) AS k FROM d WHERE l - p > {WIDTH} * 0.04),
+s AS (SELECT doc_id, page, greatest(1.0, max(t) - min(b)) AS h FROM box GROUP BY 1, 2 HAVING count(*) >= 5),
+j AS (SELECT c.doc_id, c.page, c.boundary, s.h, x.r < c.boundary AS lft, x.l > c.boundary AS rgt, x.t, x.b FROM c JOIN s USING (doc_id, page) JOIN box x ON x.doc_id = c.doc_id AND x.page = c.page WHERE k <= 3),
+ok AS (SELECT doc_id, page, boundary FROM j GROUP BY 1, 2, 3 HAVING count(*) FILTER (lft) >= 3 AND count(*) FILTER (rgt) >= 3 AND max(t) FILTER (lft) - min(b) FILTER (lft) > 0.25 * max(h) AND max(t) FILTER (rgt) - min(b) FILTER (rgt) > 0.25 * max(h))"""
 
 
 @query(f"WITH {_COLS} SELECT doc_id, page, boundary FROM ok")
 def column_detection(spark: SparkSession, folder: str) -> DataFrame:
     """Where the columns of each page part."""
-    return O.column_gaps(O.token_boxes(document_lines(spark, folder)), ["doc_id", "page"], WIDTH)
+    pages = O.page_columns(O.token_boxes(document_lines(spark, folder)), ["doc_id", "page"], WIDTH)
+    return pages.select("doc_id", "page", F.explode("cuts").alias("boundary"))
 
 
 @query(f"WITH {_COLS}, n AS (SELECT x.doc_id, x.page, x.line_no, x.word_no, 1 + count(ok.boundary) AS column_no FROM box x LEFT JOIN ok ON ok.doc_id = x.doc_id AND ok.page = x.page AND ok.boundary <= (x.l + x.r) / 2 GROUP BY 1, 2, 3, 4) SELECT doc_id, page, column_no::INT AS column_no, count(*) AS words FROM n GROUP BY 1, 2, 3")
 def column_assignment(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each column of each page."""
-    boxes = O.token_boxes(document_lines(spark, folder))
-    placed = O.assign_columns(boxes, O.column_gaps(boxes, ["doc_id", "page"], WIDTH), ["doc_id", "page"])
-    return placed.groupBy("doc_id", "page", "column_no").agg(F.count(F.lit(1)).alias("words"))
+    pages = O.page_columns(O.token_boxes(document_lines(spark, folder)), ["doc_id", "page"], WIDTH)
+    return pages.select("doc_id", "page", F.explode("words").alias("w")).groupBy("doc_id", "page", F.col("w.column_no").alias("column_no")).agg(F.count(F.lit(1)).alias("words"))
 
 
 @query()
 def layout_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Text blocks of every page, from words to lines to blocks in reading order."""
+    """Text blocks of every page: words without marginal noise, columns, lines, blocks, merges, roles and regions."""
     boxes = O.token_boxes(document_lines(spark, folder))
-    placed = O.assign_columns(boxes, O.column_gaps(boxes, ["doc_id", "page"], WIDTH), ["doc_id", "page"])
-    return O.page_layout(placed.select("doc_id", "page", "column_no", "text", "l", "r", "t", "b"), ["doc_id", "page"])
+    boxes = boxes.filter(~L.marginal_noise(F.col("text"), F.col("l"), F.col("r"), F.col("t"), F.col("b"), WIDTH))
+    return pages.build_blocks(O.page_columns(boxes, ["doc_id", "page"], WIDTH), ["doc_id", "page"], WIDTH, HEIGHT)
+
+
+@query()
+def continuation_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of pages with those that go on from another merged into it."""
+    rows = page_blocks(spark, folder).withColumnRenamed("block_type", "kind")
+    return pages.merge_continuations(rows, ["doc_id", "page"])
+
+
+@query(f"""WITH b AS (SELECT *, CASE WHEN size > 0 THEN size ELSE lh END AS fs, {R.trimmed('text')} AS x FROM ({SQL_BLOCKS})), m AS (SELECT doc_id, page, list_sort(list(fs))[count(fs) // 2 + 1] AS med FROM b GROUP BY 1, 2),
+r AS (SELECT b.*, CASE WHEN {R.caption('text')} THEN 'Caption' WHEN length(x) <= 24 AND (t / {HEIGHT} > 0.9 OR b / {HEIGHT} < 0.1) AND ({R.page_mark('text')} OR length(x) <= 18) THEN 'HeaderFooter'
+ WHEN b / {HEIGHT} < 0.18 AND NOT fs > med * 0.92 AND ({R.footnote_mark('text')} OR length(x) <= 100) THEN 'Footnote'
+ WHEN length(x) <= 80 AND r - l < {WIDTH} * 0.8 AND NOT {R.ends_sentence('text')} AND (coalesce(alignment, '') = 'Center' OR (t / {HEIGHT} > 0.58 AND fs >= med * 1.15)) THEN 'Title' ELSE block_type END AS role FROM b JOIN m USING (doc_id, page))
+SELECT doc_id, page, idx, role FROM r""")
+def block_roles(spark: SparkSession, folder: str) -> DataFrame:
+    """Types of blocks once their page is known: captions, running lines, footnotes, titles."""
+    size = F.when(F.col("size") > 0, F.col("size")).otherwise(F.col("lh"))
+    rows = page_blocks(spark, folder).withColumn("fs", size)
+    median = rows.groupBy("doc_id", "page").agg(O.upper_median(F.col("fs")).alias("med"))
+    centered = F.coalesce(F.col("alignment") == "Center", F.lit(False))
+    role = L.block_role(F.col("block_type"), F.col("text"), *(F.col(c) for c in "lrtb"), F.col("fs"), F.col("med"), centered, WIDTH, HEIGHT)
+    return rows.join(median, ["doc_id", "page"]).select("doc_id", "page", "idx", role.alias("role"))
 
 
 @query(f"""WITH b AS ({SQL_BLOCKS}), n AS (SELECT doc_id, lower(font) AS low, count(*) AS n, min({{'page': page, 'idx': idx, 'font': font}}) AS f FROM b WHERE font IS NOT NULL GROUP BY 1, 2),
@@ -85,7 +109,7 @@ def caption_near_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH b AS ({SQL_BLOCKS}), a AS (SELECT doc_id, page, count(*) AS blocks, sum(len(regexp_extract_all(text, '[^\\t\\n\\x0B\\f\\r \\x{{85}}\\p{{Z}}]+'))) AS words, sum(greatest(1.0, r - l) * greatest(1.0, t - b)) / {WIDTH * HEIGHT} AS coverage FROM b WHERE source = 'Native' GROUP BY 1, 2)
-SELECT doc_id, page, blocks, words::BIGINT AS words, round(coverage, 6) AS coverage, blocks = 0 OR words < 12 OR (words < 24 AND coverage < 0.025 AND blocks <= 3) AS needs_ocr FROM a""")
+SELECT doc_id, page, blocks, words::BIGINT AS words, round(coverage, 6) AS coverage, blocks = 0 OR words < 8 OR (words < 16 AND coverage < 0.025 AND blocks <= 3) AS needs_ocr FROM a""")
 def needs_ocr(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with too little text of their own."""
     from quire.functions.text import token_count
@@ -96,37 +120,27 @@ def needs_ocr(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("doc_id", "page", "blocks", "words", F.round("c", 6).alias("coverage"), L.needs_ocr(F.col("blocks"), F.col("words"), F.col("c")).alias("needs_ocr"))
 
 
-_PM = L.PAGE_MARKER
-
-
-@query(f"""WITH o AS (SELECT DISTINCT doc_id, page, idx, text, left_x, top_y, width FROM ocr_blocks), t AS (SELECT *, trim(coalesce(text, '')) AS x, left_x + width / 2 AS mid FROM o)
-SELECT doc_id, page, idx, round(842.0 - top_y, 6) AS flipped, NOT (regexp_matches(x, '{_PM}') OR ((mid < {WIDTH * 0.08} OR mid > {WIDTH * 0.92}) AND length(x) <= 2 AND width < {WIDTH * 0.08}) OR ((top_y < {HEIGHT * 0.06} OR top_y > {HEIGHT * 0.94}) AND length(x) <= 10)) AS keep FROM t""")
+@query(f"""WITH o AS (SELECT DISTINCT doc_id, page, idx, text, left_x, top_y, width, height FROM ocr_blocks), t AS (SELECT *, {R.trimmed("coalesce(text, '')")} AS x, left_x + width / 2 AS mid FROM o)
+SELECT doc_id, page, idx, round(842.0 - top_y, 6) AS flipped, x <> '' AND NOT ({R.page_mark('x')} OR ((mid < {WIDTH} * 0.08 OR mid > {WIDTH} * 0.92) AND length(x) <= 2 AND width < {WIDTH} * 0.08) OR ((top_y < {HEIGHT} * 0.06 OR top_y + height > {HEIGHT} * 0.94) AND length(x) <= 10)) AS keep FROM t""")
 def ocr_keep_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Recognised blocks that are kept, and their height measured from the bottom."""
-    rows = table(spark, folder, "ocr_blocks").select("doc_id", "page", "idx", "text", "left_x", "top_y", "width").distinct()
-    keep = L.keep_ocr_block(F.col("text"), F.col("left_x"), F.col("top_y"), F.col("width"), WIDTH, HEIGHT)
+    rows = table(spark, folder, "ocr_blocks").select("doc_id", "page", "idx", "text", "left_x", "top_y", "width", "height").distinct()
+    keep = L.keep_ocr_block(F.col("text"), F.col("left_x"), F.col("top_y"), F.col("width"), F.col("height"), WIDTH, HEIGHT)
     return rows.select("doc_id", "page", "idx", F.round(L.flip_y(F.col("top_y"), HEIGHT), 6).alias("flipped"), keep.alias("keep"))
 
 
-@query(f"""WITH b AS ({SQL_BLOCKS}), m AS (SELECT *, (l + r) / 2 AS mid FROM b) SELECT doc_id, page, idx,
- CASE WHEN block_type = 'Caption' THEN 'Caption' WHEN block_type = 'TableRow' THEN 'Table' WHEN block_type = 'HeaderFooter' THEN 'HeaderFooter' WHEN block_type = 'Footnote' THEN 'Footnote' WHEN (mid < {WIDTH} * 0.12 OR mid > {WIDTH} * 0.88) AND r - l < {WIDTH} * 0.22 AND length(text) <= 60 AND t < {HEIGHT} * 0.92 AND b > {HEIGHT} * 0.08 THEN 'Margin' ELSE 'Body' END AS region,
- CASE WHEN abs(mid - {WIDTH} / 2) <= {WIDTH} * 0.03 THEN 'Center' WHEN r >= {WIDTH} * 0.85 AND l > {WIDTH} * 0.5 THEN 'Right' WHEN abs(mid - {WIDTH} / 2) <= {WIDTH} * 0.08 AND (r - l) / {WIDTH} < 0.6 AND l > {WIDTH} * 0.2 THEN 'Center' ELSE 'Left' END AS aligned,
- (mid < {WIDTH} * 0.1 OR mid > {WIDTH} * 0.9) AND (t - b > 1.4 * (r - l) OR length(trim(text)) <= 3 OR contains(lower(text), 'arxiv') OR contains(lower(text), '[cs.')) AS marginal_noise FROM m""")
+@query(f"""WITH b AS ({SQL_BLOCKS}), m AS (SELECT *, (l + r) / 2 AS mid, {WIDTH} - r AS rs, {R.trimmed('text')} AS x FROM b) SELECT doc_id, page, idx,
+ CASE block_type WHEN 'HeaderFooter' THEN 'HeaderFooter' WHEN 'Footnote' THEN 'Footnote' WHEN 'Caption' THEN 'Caption' WHEN 'TableRow' THEN 'Table' ELSE CASE WHEN (mid < {WIDTH} * 0.12 OR mid > {WIDTH} * 0.88) AND r - l < {WIDTH} * 0.22 AND length(x) <= 60 AND t > {HEIGHT} * 0.08 AND b < {HEIGHT} * 0.92 THEN 'Margin' ELSE 'Body' END END AS region,
+ CASE WHEN abs(l - rs) < {WIDTH} * 0.03 THEN 'Center' WHEN rs < {WIDTH} * 0.03 AND l > {WIDTH} * 0.15 THEN 'Right' WHEN l < {WIDTH} * 0.03 OR (l < {WIDTH} * 0.12 AND rs > {WIDTH} * 0.1) THEN 'Left' WHEN (r - l) / {WIDTH} < 0.6 AND abs(l - rs) < {WIDTH} * 0.08 THEN 'Center' ELSE 'Left' END AS aligned,
+ (mid < {WIDTH} * 0.1 OR mid > {WIDTH} * (1 - 0.1::DOUBLE)) AND (greatest(1.0, t - b) > greatest(1.0, r - l) * 1.4 OR length(x) <= 3 OR contains(lower(text), 'arxiv') OR contains(lower(text), '[cs.')) AS marginal_noise FROM m""")
 def regions_and_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Region, alignment and marginal noise of every block."""
     l, r, t, b = (F.col(c) for c in "lrtb")
-    mid, low = (l + r) / 2, F.lower("text")
-    noise = ((mid < WIDTH * 0.1) | (mid > WIDTH * 0.9)) & ((t - b > 1.4 * (r - l)) | (F.length(F.trim("text")) <= 3) | low.contains("arxiv") | low.contains("[cs."))
+    noise = L.marginal_noise(F.col("text"), l, r, t, b, WIDTH)
     return page_blocks(spark, folder).select("doc_id", "page", "idx", L.region(F.col("block_type"), F.col("text"), l, r, t, b, WIDTH, HEIGHT).alias("region"), L.alignment(l, r, WIDTH).alias("aligned"), noise.alias("marginal_noise"))
 
 
-_OPS = r"[=+\x{2212}\x{D7}\x{F7}\x{B1}<>\x{2264}\x{2265}\x{2248}\x{2211}\x{222B}\x{221A}^_/*\x{2202}\x{2207}\x{2208}]"
-
-
-@query(rf"""WITH c AS (SELECT chunk_id, original AS x, regexp_replace(original, '[\s\p{{Z}}]', '', 'g') AS k FROM chunks WHERE original IS NOT NULL),
-f AS (SELECT *, length(k) > 0 AND length(k) <= 160 AND NOT regexp_matches(x, '^\[[0-9, \-\x{{2013}}]+\]$') AND NOT regexp_matches(x, '^[vV]?[0-9]+(?:\.[0-9]+)+$')
- AND (len(regexp_extract_all(k, '{_OPS}')) >= 2 OR (len(regexp_extract_all(k, '{_OPS}')) >= 1 AND len(regexp_extract_all(k, '[\x{{391}}-\x{{3A9}}\x{{3B1}}-\x{{3C9}}]')) >= 1) OR regexp_matches(x, '[A-Za-z0-9)][ ]*=[ ]*[A-Za-z0-9(\-]')) AS contains_formula FROM c)
-SELECT chunk_id, contains_formula AND len(regexp_extract_all(x, '\p{{L}}{{4,}}')) = 0 AS pure_formula, contains_formula FROM f""")
+@query(f"SELECT chunk_id, pure_formula, has_formula AS contains_formula FROM ({R.formula('(SELECT chunk_id, original AS text FROM chunks WHERE original IS NOT NULL)')})")
 def formula_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Whether a chunk is, or has, a formula."""
     rows = table(spark, folder, "chunks").filter("original IS NOT NULL").withColumn("f", L.formula_flags(F.col("original")))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import hints as H
+from quire.functions import layout as L
 from quire.functions import text as X
 from quire.operators import ranges
 from quire.operators import sequence as S
 from quire.operators.versions import drop_repeats
+from quire.plans import sql_rules as R
 from quire.plans.carriers import current_segments, document_lines, page_blocks
-from quire.plans.registry import SP, SQL_BLOCKS, SQL_CURRENT, SQL_LINES, query, sql_strip
+from quire.plans.registry import SQL_BLOCKS, SQL_CURRENT, SQL_LINES, query, sql_strip
 from quire.session import table
 
 #: Requests (start, end) that are tried on every document.
@@ -73,66 +76,105 @@ def positional_asof_heading(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sql_preview(x: str) -> str:
-    flat = f"regexp_replace({sql_strip(x)}, '{SP}+', ' ', 'g')"
-    flat = sql_strip(f"regexp_replace({x}, '{SP}+', ' ', 'g')")
+    flat = f"trim(regexp_replace({x}, '[' || chr(13) || chr(10) || ' ]+', ' ', 'g'))"
     return f"CASE WHEN length({flat}) > 180 THEN substring({flat}, 1, 180) || '...' ELSE {flat} END"
 
 
-@query(f"""WITH b AS ({SQL_BLOCKS}), v AS (SELECT doc_id, page, idx, region, CASE WHEN {sql_strip('text')} <> '' AND block_type NOT IN ('HeaderFooter', 'Footnote') AND region <> 'Margin' THEN text END AS v FROM b),
-n AS (SELECT doc_id, page, idx,
+_NEAR = f"""e AS ({R.eligible(f'({SQL_BLOCKS})')}), v AS (SELECT *, CASE WHEN ok THEN text END AS v FROM e),
+n AS (SELECT *,
  coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY doc_id, region ORDER BY page, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), last_value(v IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS b0,
- coalesce(first_value(v IGNORE NULLS) OVER (PARTITION BY doc_id, region ORDER BY page, idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), first_value(v IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS a0 FROM v)
-SELECT doc_id, page, idx, {_sql_preview('b0')} AS before, {_sql_preview('a0')} AS after FROM n""")
-def neighbour_context(spark: SparkSession, folder: str) -> DataFrame:
-    """Previews of the texts before and after each block, across pages."""
+ coalesce(first_value(v IGNORE NULLS) OVER (PARTITION BY doc_id, region ORDER BY page, idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), first_value(v IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS a0,
+ idx = min(idx) OVER (PARTITION BY doc_id, page) AND page > min(page) OVER (PARTITION BY doc_id) AND b0 IS NOT NULL AND {R.starts_open('text')} AS from_previous,
+ idx = max(idx) OVER (PARTITION BY doc_id, page) AND page < max(page) OVER (PARTITION BY doc_id) AND a0 IS NOT NULL AND {R.ends_open('text')} AS into_next FROM v)"""
+
+
+def _context(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks with `f`, their formula flags, and `ok`, whether they give context."""
     rows = page_blocks(spark, folder)
-    eligible = ~X.is_blank(F.col("text")) & ~F.col("block_type").isin("HeaderFooter", "Footnote") & (F.col("region") != "Margin")
-    return S.neighbours(rows, "doc_id", ["page", "idx"], "text", "region", eligible).select("doc_id", "page", "idx", "before", "after")
+    return rows.withColumn("f", L.formula_flags(F.col("text"))).withColumn("ok", L.gives_context(F.col("text"), F.col("block_type"), F.col("region")))
 
 
-_AFTER = rf"(regexp_matches(text, '{X.HYPHENS}{SP}*$') OR regexp_matches({sql_strip('text')}, '[,;:\x{{FF0C}}\x{{3001}}\x{{FF1B}}\x{{FF1A}}]$') OR regexp_matches({sql_strip('text')}, '{X.TRAILING_CONNECTIVE}'))"
+@query(f"WITH {_NEAR} SELECT doc_id, page, idx, {_sql_preview('b0')} AS before, {_sql_preview('a0')} AS after FROM n")
+def neighbour_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Previews of the texts before and after each block, across pages."""
+    return S.neighbours(_context(spark, folder), "doc_id", ["page", "idx"], "text", "region", F.col("ok")).select("doc_id", "page", "idx", "before", "after")
 
 
-@query(f"""WITH b AS ({SQL_BLOCKS}), f AS (SELECT doc_id, page, idx, text, idx = min(idx) OVER (PARTITION BY doc_id, page) AS first, idx = max(idx) OVER (PARTITION BY doc_id, page) AS last,
- lag(text) OVER (PARTITION BY doc_id ORDER BY page, idx) AS p, lead(text) OVER (PARTITION BY doc_id ORDER BY page, idx) AS n FROM b)
-SELECT doc_id, page, idx, first AND coalesce({sql_strip('p')} <> '', false) AND regexp_matches({sql_strip('text')}, '^[\\p{{Ll}},;:)\\]\\x{{FF0C}}\\x{{3001}}]') AS from_previous, last AND coalesce({sql_strip('n')} <> '', false) AND {_AFTER} AS into_next FROM f""")
+@query(f"WITH {_NEAR} SELECT doc_id, page, idx, from_previous, into_next FROM n")
 def cross_page_continuation(spark: SparkSession, folder: str) -> DataFrame:
     """Whether blocks at the edges of pages go on from, or into, the next page."""
-    return S.continuation_flags(page_blocks(spark, folder), "doc_id", "page", "idx", "text").select("doc_id", "page", "idx", "from_previous", "into_next")
+    return S.continuation_flags(_context(spark, folder), "doc_id", "page", "idx", "text", F.col("ok")).select("doc_id", "page", "idx", "from_previous", "into_next")
 
 
-@query(f"""WITH b AS ({SQL_BLOCKS}), g AS (SELECT *, block_type = 'Normal' AND region = 'Body' AND {sql_strip('text')} <> '' AS g FROM b),
-j AS (SELECT *, CASE WHEN g AND coalesce(lag(g) OVER w, false) AND NOT coalesce(regexp_matches({sql_strip('lag(text) OVER w')}, '{X.SENTENCE_STOP}["''\\x{{201D}}\\x{{2019}})\\]\\x{{BB}}\\x{{300D}}]*$'), true) AND coalesce(abs(l - lag(l) OVER w) < 12, true) THEN 0 ELSE 1 END AS s FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY page, idx)),
-u AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY page, idx) AS unit FROM j)
-SELECT doc_id, unit, count(*) AS blocks, min(page) AS first_page, max(page) AS last_page FROM u GROUP BY doc_id, unit""")
-def paragraph_unit_grouping(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks that form one paragraph, as units."""
+_REGIONS = "CASE region WHEN 'Caption' THEN '图注区' WHEN 'Table' THEN '表格区' WHEN 'Margin' THEN '边注区' WHEN 'HeaderFooter' THEN '页眉页脚区' WHEN 'Footnote' THEN '脚注区' ELSE '正文区' END"
+
+
+@query(f"""WITH {_NEAR} SELECT doc_id, page, idx, array_to_string(list_filter(['PDF 第 ' || page || ' 页文本块 ' || (idx + 1), CASE WHEN region <> 'Body' THEN '区域：' || {_REGIONS} END, '前文：' || ({_sql_preview('b0')}), '后文：' || ({_sql_preview('a0')}),
+ CASE WHEN from_previous OR into_next THEN '当前文本很可能是跨页续句。请结合前后文完整翻译当前片段，但不要把前后文一并输出。' END], lambda q: q IS NOT NULL), '；') || CASE WHEN has_formula THEN '；当前片段包含公式、变量或编号。请翻译可翻译的正文内容，并严格保留公式、变量名、运算符、编号和引用格式。' ELSE '' END AS hint FROM n""")
+def context_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """What a translator is told of the place of each block."""
+    near = S.neighbours(_context(spark, folder), "doc_id", ["page", "idx"], "text", "region", F.col("ok"))
+    rows = S.continuation_flags(near, "doc_id", "page", "idx", "text", F.col("ok"))
+    hint = H.block_hint(F.col("page"), F.col("idx") + 1, F.col("region"), F.col("before"), F.col("after"), F.col("from_previous") | F.col("into_next"), F.col("f.contains"))
+    return rows.select("doc_id", "page", "idx", hint.alias("hint"))
+
+
+@query(f"""WITH e AS ({R.formula(f'({SQL_BLOCKS})')}) SELECT doc_id, page, idx, array_to_string(list_filter([CASE WHEN region <> 'Body' THEN '页面区域：' || {_REGIONS} || '。请保持该区域常见的表达方式和结构，不要把它改写成普通正文。' END,
+ CASE block_type WHEN 'Title' THEN '类型：标题。请保持标题风格，译文尽量简洁，不要擅自补充说明或改写成正文语气。' WHEN 'Caption' THEN '类型：图注。请保留图号、表号、子图编号（如(a)/(b)）、单位、变量名和引用标记；语言保持简洁，不要扩写。' WHEN 'TableRow' THEN '类型：表格。请严格保持列顺序、数字、单位、百分比、正负号和变量符号，不要把多列内容合并成解释性整句。'
+  WHEN 'ListItem' THEN '类型：列表。请保留项目符号、编号层级和换行结构，不要把多个条目合并成一段。' WHEN 'Code' THEN '类型：代码。只翻译自然语言说明，保留代码、路径、API 名称、命令行参数和符号原样。' WHEN 'Footnote' THEN '类型：脚注。请保留脚注编号/符号与引用关系，语言可简洁但不要漏译。' WHEN 'HeaderFooter' THEN '类型：页眉页脚。请保留页码、编号、期刊信息和短标题的结构，不要扩写。' END,
+ CASE WHEN has_formula THEN '当前片段含公式或变量。请仅翻译自然语言部分，严格保留公式、变量名、上下标、编号、引用、单位和符号。' END, CASE WHEN source = 'Ocr' THEN '当前片段来自 OCR。请结合上下文纠正明显断词，但不要臆造原文中不存在的数字、公式或专有名词。' END], lambda q: q IS NOT NULL), chr(10)) AS requirements FROM e""")
+def block_requirements(spark: SparkSession, folder: str) -> DataFrame:
+    """What a translator is to keep of each block."""
+    made = H.block_requirements(F.col("block_type"), F.col("region"), L.formula_flags(F.col("text"))["contains"], F.col("source") == "Ocr")
+    return page_blocks(spark, folder).select("doc_id", "page", "idx", made.alias("requirements"))
+
+
+_UNITS = f"""e AS ({R.eligible(f'({SQL_BLOCKS})')}),
+c AS (SELECT *, {R.trimmed('text')} = '' OR pure_formula AS skip, CASE WHEN block_type = 'TableRow' THEN greatest(1, len(list_filter(regexp_split_to_array({R.trimmed('text')}, '\t+|{R.S}{{2,}}'), lambda q: {R.trimmed('q')} <> ''))) ELSE 1 END AS cells,
+ lag({{'g': plain, 'rg': region, 'x': text, 'l': l, 'r': r, 'b': b, 'lh': lh}}) OVER (PARTITION BY doc_id, page ORDER BY idx) AS p FROM e),
+j AS (SELECT *, greatest(p.lh, lh) AS h, coalesce(plain AND p.g AND p.rg = region AND NOT {R.ends_sentence('p.x')} AND p.b - t >= -2 AND p.b - t <= greatest(p.lh, lh) * 3.2
+  AND ({R.ends_hyphen('p.x')} OR {R.starts_open('text')} OR {R.starts_lower('text')} OR {R.below('p.', '', 'greatest(p.lh, lh)')}), false) AS joins FROM c),
+u AS (SELECT *, CASE WHEN skip OR joins THEN 0 ELSE cells END AS n, sum(CASE WHEN skip OR joins THEN 0 ELSE cells END) OVER (PARTITION BY doc_id, page ORDER BY idx) AS upto FROM j),
+w AS (SELECT *, CASE WHEN n > 0 THEN upto - n + 1 ELSE upto END AS unit FROM u WHERE NOT skip)"""
+
+
+def _units(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks with the unit they begin or join."""
     rows = page_blocks(spark, folder)
-    w = Window.partitionBy("doc_id").orderBy("page", "idx")
-    groupable = (F.col("block_type") == "Normal") & (F.col("region") == "Body") & ~X.is_blank(F.col("text"))
-    grouped = S.group_paragraphs(rows, "doc_id", ["page", "idx"], "text", groupable, F.abs(F.col("l") - F.lag("l").over(w)) < 12)
-    return grouped.groupBy("doc_id", "unit").agg(F.count(F.lit(1)).alias("blocks"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    text, kind = F.col("text"), F.col("block_type")
+    cells = F.when(kind == "TableRow", F.size(X.table_segments(X.strip(text)))).otherwise(1)
+    skipped = X.is_blank(text) | L.is_formula(text)
+    return S.group_paragraphs(rows, ["doc_id", "page"], "idx", L.is_groupable(text, kind, F.col("region")), cells, skipped).filter("unit IS NOT NULL")
 
 
-@query()
+@query(f"WITH {_UNITS} SELECT doc_id, page, unit::BIGINT AS unit, count(*) AS blocks, min(idx) AS first_block, max(idx) AS last_block FROM w GROUP BY 1, 2, 3")
+def paragraph_unit_grouping(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of a page that form one translation unit."""
+    return _units(spark, folder).groupBy("doc_id", "page", "unit").agg(F.count(F.lit(1)).alias("blocks"), F.min("idx").alias("first_block"), F.max("idx").alias("last_block"))
+
+
+@query(f"""WITH {_UNITS} SELECT doc_id, page, unit::BIGINT AS unit, list_reduce(list({R.trimmed('text')} ORDER BY idx), lambda a, q: CASE WHEN {R.ends_hyphen('a')} THEN regexp_replace(a, '{R.S}*{R.HYPHEN}{R.S}*$', '') || q ELSE a || ' ' || q END) AS text FROM w GROUP BY 1, 2, 3""")
 def paragraph_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts of the paragraph units, without the hyphens at the seams of their blocks."""
-    rows = page_blocks(spark, folder)
-    groupable = (F.col("block_type") == "Normal") & (F.col("region") == "Body") & ~X.is_blank(F.col("text"))
-    grouped = S.group_paragraphs(rows, "doc_id", ["page", "idx"], "text", groupable, F.lit(True))
-    place = F.col("page") * 10_000 + F.col("idx")
-    return grouped.groupBy("doc_id", "unit").agg(S.concat_hyphenated(place, F.col("text")).alias("text"))
+    """Texts of the translation units, without the hyphens at the seams of their blocks."""
+    return _units(spark, folder).groupBy("doc_id", "page", "unit").agg(S.concat_hyphenated(F.col("idx"), X.strip(F.col("text"))).alias("text"))
 
 
-_CUT = r"[A-Za-z]{2,}[\-\x{2010}\x{2011}\x{2012}\x{2013}\x{FE63}\x{FF0D}\x{AD}][ \t\r\n]*$"
+_CUT = rf"[A-Za-z]{{2,}}{R.S}*{R.HYPHEN}{R.S}*$"
+_HEAD = f"^{R.S}*[a-z]+{R.S}*"
 
 
-@query(f"""WITH b AS ({SQL_BLOCKS}), f AS (SELECT doc_id, page, idx, text, regexp_matches(text, '{_CUT}') AS cut, regexp_extract(lead(text) OVER w, '^{SP}*([a-z]+)', 1) AS rest, coalesce(lag(regexp_matches(text, '{_CUT}')) OVER w, false) AS gave FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY page, idx)),
-o AS (SELECT *, CASE WHEN gave THEN regexp_replace(text, '^{SP}*[a-z]+{SP}*', '') ELSE text END AS own FROM f)
-SELECT doc_id, page, idx, CASE WHEN cut AND coalesce(rest, '') <> '' AND regexp_matches(own, '{X.HYPHENS}{SP}*$') THEN regexp_replace(own, '{SP}*{X.HYPHENS}{SP}*$', '') || rest ELSE own END AS repaired FROM o""")
+@query(f"""WITH e AS ({R.eligible(f'({SQL_BLOCKS})')}), o AS (SELECT *, {{'x': text, 'l': l, 'r': r, 't': t, 'lh': lh, 'page': page}} AS own FROM e),
+a AS (SELECT *, first_value(CASE WHEN ok THEN own END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q, count(*) FILTER (ok) OVER (PARTITION BY doc_id ORDER BY page, idx) AS grp FROM o),
+k AS (SELECT *, greatest(lh, q.lh) AS h, coalesce(regexp_matches(text, '{_CUT}') AND (NOT regexp_matches(text, '{_HEAD}') OR regexp_matches(regexp_replace(text, '{_HEAD}', ''), '{_CUT}')) AND regexp_extract(q.x, '^{R.S}*([a-z]+)', 1) <> '' AND {R.starts_lower('q.x')}
+ AND CASE WHEN q.page = page THEN b - q.t >= -2 AND b - q.t < greatest(lh, q.lh) * 2.8 AND ({R.below('', 'q.', 'greatest(lh, q.lh)')} OR (q.l <= r + greatest(48.0, greatest(lh, q.lh) * 7.0) AND q.r >= l + greatest(30.0, greatest(lh, q.lh) * 5.0)))
+  ELSE {R.below('', 'q.', 'greatest(lh, q.lh)')} OR r - l > (q.r - q.l) * 0.7 OR q.r - q.l > (r - l) * 0.7 END, false) AS takes FROM a),
+n AS (SELECT *, count(*) FILTER (takes) OVER (PARTITION BY doc_id, grp ORDER BY page, idx) AS takers FROM k),
+g AS (SELECT *, ok AND coalesce(lag(takers) OVER (PARTITION BY doc_id ORDER BY page, idx) > 0, false) AS gives FROM n),
+f AS (SELECT *, CASE WHEN gives THEN regexp_replace(text, '{_HEAD}', '') ELSE text END AS mine FROM g)
+SELECT doc_id, page, idx, CASE WHEN takes AND takers = 1 THEN regexp_replace(mine, '{R.S}*{R.HYPHEN}{R.S}*$', '') || regexp_extract(q.x, '^{R.S}*([a-z]+)', 1) ELSE mine END AS repaired FROM f""")
 def hyphen_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Words cut at the end of a block made whole."""
-    return S.repair_hyphens(page_blocks(spark, folder), "doc_id", ["page", "idx"], "text").select("doc_id", "page", "idx", "repaired")
+    return S.repair_hyphens(_context(spark, folder), "doc_id", "page", "idx", F.col("ok")).select("doc_id", "page", "idx", "repaired")
 
 
 @query("""WITH u AS (SELECT DISTINCT doc_id, unit_no, context FROM epub_units), f AS (SELECT DISTINCT doc_id, unit_no, fragment_no FROM epub_fragments)

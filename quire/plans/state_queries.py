@@ -112,12 +112,34 @@ def overlap_ratios(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "page", "idx", F.round(overlap_ratio(F.col("l"), F.col("r"), F.col("l2"), F.col("r2")), 6).alias("overlap"))
 
 
-@query(f"SELECT doc_id, seq, original AS restored, 0 AS lost, true AS whole FROM ({SQL_CURRENT})")
+#: Texts with spans to protect: the text as it is sent, and how many spans it has.
+SPANS = [
+    ("See https://x.example/a?b=1 and mail a.b@c.example now", "See @@KEEP_0001@@ and mail @@KEEP_0002@@ now", 2),
+    ("As in [3, 4] and doi 10.1000/xyz-1", "As in @@KEEP_0001@@ and doi @@KEEP_0002@@", 2),
+    ("arXiv:2101.00001v2 (a) is \\alpha{x}", "@@KEEP_0001@@ @@KEEP_0002@@ is @@KEEP_0003@@", 3),
+    ("plain words", "plain words", 0),
+]
+
+
+@query("SELECT p_partkey, v.sent, v.spans, v.text AS restored FROM part JOIN (VALUES " + ", ".join(f"({i}, '{t}', '{s}', {n})" for i, (t, s, n) in enumerate(SPANS)) + f") v(k, text, sent, spans) ON v.k = p_partkey % {len(SPANS)}")
+def protected_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """What is sent of texts with addresses, citations, labels and commands, and what comes back."""
+    text = F.element_at(F.array(*[F.lit(t) for t, _, _ in SPANS]), (F.col("p_partkey") % len(SPANS) + 1).cast("int"))
+    rows = table(spark, folder, "part").select("p_partkey", P.protect(text).alias("p"))
+    return rows.select("p_partkey", F.col("p.text").alias("sent"), F.size("p.tokens").alias("spans"), P.restore(F.col("p.text"), F.col("p.tokens")).alias("restored"))
+
+
+#: SQL: originals with none of the signs a protected span needs, which are sent as they are.
+_BARE = r"NOT regexp_matches(original, '[@\\\[(（]|https?:|10\.[0-9]{4}|(?i)arxiv|[0-9.)、•·▪■◆◦-]|第|chapter|section|article|(?m)^\s*[A-Za-z]+[.)]')"
+
+
+@query(f"SELECT doc_id, seq, original AS restored, CASE WHEN {_BARE} THEN original END AS sent, 0 AS lost, true AS whole FROM ({SQL_CURRENT})")
 def protect_restore(spark: SparkSession, folder: str) -> DataFrame:
-    """Protected spans cut out of every original and put back: the originals again."""
+    """Protected spans cut out of every original and put back: the originals again; texts without any sign of a span are sent as they are."""
     rows = current_segments(spark, folder).withColumn("p", P.protect(F.col("original")))
     restored = P.restore(F.col("p.text"), F.col("p.tokens"))
-    return rows.select("doc_id", "seq", restored.alias("restored"), P.missing(F.col("p.text"), F.col("p.tokens")).alias("lost"), P.all_restored(restored, F.col("p.tokens")).alias("whole"))
+    signs = F.col("original").rlike(r"[@\\\[(（]|https?:|10\.[0-9]{4}|(?i:arxiv)|[0-9.)、•·▪■◆◦\-]|第|(?i:chapter|section|article)|(?m)^\s*[A-Za-z]+[.)]")
+    return rows.select("doc_id", "seq", restored.alias("restored"), F.when(~signs, F.col("p.text")).alias("sent"), P.missing(F.col("p.text"), F.col("p.tokens")).alias("lost"), P.all_restored(restored, F.col("p.tokens")).alias("whole"))
 
 
 @query()
@@ -135,9 +157,19 @@ def sentence_packing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "unit_no", F.posexplode(D.pack_sentences(F.col("original"))).alias("fragment_no", "fragment"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 <= 1 THEN 'https://api.example/v1/messages' WHEN s_suppkey % 4 = 2 THEN 'https://api.example/v1/messages https://api.example/messages' ELSE '' END AS endpoints FROM supplier""")
+#: Base addresses with the message service and the chat services below them.
+BASES = [
+    ("https://api.example/v1/messages/", "https://api.example/v1/messages", "https://api.example/v1/messages/chat/completions https://api.example/v1/messages/v1/chat/completions https://api.example/v1/messages/v2/chat/completions https://api.example/v1/messages/v3/chat/completions"),
+    (" https://api.example/v1/ ", "https://api.example/v1/messages", "https://api.example/v1/chat/completions"),
+    ("https://api.example", "https://api.example/v1/messages", "https://api.example/chat/completions https://api.example/v1/chat/completions https://api.example/v2/chat/completions https://api.example/v3/chat/completions"),
+    ("https://api.example/V3", "https://api.example/V3/v1/messages", "https://api.example/V3/chat/completions"),
+    ("https://api.example/v2/chat/completions//", "https://api.example/v2/chat/completions/v1/messages", "https://api.example/v2/chat/completions"),
+    (" ", None, ""),
+]
+
+
+@query("SELECT s_suppkey, v.messages, v.chats FROM supplier JOIN (VALUES " + ", ".join(f"({i}, {f"'{m}'" if m else 'NULL'}, '{c}')" for i, (_, m, c) in enumerate(BASES)) + f") v(k, messages, chats) ON v.k = s_suppkey % {len(BASES)}")
 def endpoint_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Addresses to try for four forms of a base address."""
-    k = F.col("s_suppkey") % 4
-    base = F.when(k == 0, "https://api.example/v1/messages/").when(k == 1, " https://api.example/v1/").when(k == 2, "https://api.example").otherwise(" ")
-    return table(spark, folder, "supplier").select("s_suppkey", F.array_join(X.endpoints(base, "/messages"), " ").alias("endpoints"))
+    """Addresses of both services for forms of a base address."""
+    base = F.element_at(F.array(*[F.lit(b) for b, _, _ in BASES]), (F.col("s_suppkey") % len(BASES) + 1).cast("int"))
+    return table(spark, folder, "supplier").select("s_suppkey", X.message_endpoint(base).alias("messages"), F.array_join(X.chat_endpoints(base), " ").alias("chats"))

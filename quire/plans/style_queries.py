@@ -10,19 +10,36 @@ from quire.operators import layout, markup, ocr_layout
 from quire.plans.carriers import document_lines
 from quire.plans.registry import query
 from quire.session import table
-
-FONTS = ["ABCDEF+Times-Bold", "Arial,Helvetica", "Calibri Light", "Courier_New", "Microsoft YaHei UI", "SimHei", "Noto Serif CJK", "Quil Sans Bold Italic"]
-FAMILY = ["Times New Roman", "Arial", "Arial", "Courier New", "Microsoft YaHei", "SimHei", "SimSun", "Quil Sans"]
-
-
-@query(
-    "SELECT p_partkey, CASE p_partkey % 8 "
-    + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FAMILY))
-    + " END AS family, p_partkey % 8 IN (0, 7) AS bold, p_partkey % 8 = 7 AS italic, p_partkey % 8 = 3 AS mono FROM part"
-)
+from quire.settings import Recognition
+
+#: Names of fonts, with family, bold, italic and one-width as the rules have them.
+FONTS = [
+    ("ABCDEF+Times-Bold", "Times New Roman", True, False, False),
+    ("Arial,Helvetica", "Arial", False, False, False),
+    ("Calibri Light", "Arial", False, False, False),
+    ("Courier_New", "Courier New", False, False, True),
+    ("Microsoft YaHei UI", "Microsoft YaHei", False, False, False),
+    ("SimHei", "SimHei", False, False, False),
+    ("Noto Serif CJK", "SimSun", False, False, False),
+    ("Quil Sans Bold Italic", "Quil Sans", True, True, False),
+    ("FangSong", "SimSun", False, False, False),
+    ("KaiTi_GB2312", "DengXian", False, False, False),
+    ("MS Mincho", "SimSun", False, False, False),
+    ("Yu Gothic 700", "SimHei", True, False, False),
+    ("JetBrains Mono Slanted", "JetBrains Mono Slanted", False, True, True),
+    ("Hack", "Hack", False, False, True),
+    ("Georgia-Inclined", "Times New Roman", False, True, False),
+    ("Noto Sans 900", "DengXian", True, False, False),
+    ("Songti SC", "SimSun", False, False, False),
+    ("Black", "Black", True, False, False),
+    (" ", "", False, False, False),
+]
+
+
+@query("SELECT p_partkey, v.family, v.bold, v.italic, v.mono FROM part JOIN (VALUES " + ", ".join(f"({i}, '{f[1]}', {f[2]}, {f[3]}, {f[4]})" for i, f in enumerate(FONTS)) + ") v(k, family, bold, italic, mono) ON v.k = p_partkey % " + str(len(FONTS)))
 def font_families(spark: SparkSession, folder: str) -> DataFrame:
-    """Family and style of eight forms of font names."""
-    name = F.element_at(F.array(*map(F.lit, FONTS)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    """Family and style of forms of font names."""
+    name = F.element_at(F.array(*[F.lit(f[0]) for f in FONTS]), (F.col("p_partkey") % len(FONTS) + 1).cast("int"))
     flags = Y.font_flags(name)
     return table(spark, folder, "part").select("p_partkey", Y.font_family(name).alias("family"), flags["bold"].alias("bold"), flags["italic"].alias("italic"), flags["mono"].alias("mono"))
 
@@ -65,4 +82,4 @@ def recognised_layout(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of recognised words, from the documents' words on a grid."""
     boxes = layout.token_boxes(document_lines(spark, folder))
     words = boxes.select("doc_id", "page", "text", "l", (842 - F.col("t")).alias("t"), "r", (842 - F.col("b")).alias("b"), (F.lit(30.0) + F.length("text")).alias("confidence"))
-    return ocr_layout.recognised_blocks(words, ["doc_id", "page"], 595.0, 1.0, 32.0)
+    return ocr_layout.recognised_blocks(words, ["doc_id", "page"], 595.0, 1.0, Recognition(confidence=32.0))

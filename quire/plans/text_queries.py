@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import quality as Q
 from quire.functions import text as X
 from quire.operators import glossary as G
+from quire.plans import sql_rules as R
 from quire.plans.carriers import current_segments, document_lines
 from quire.plans.registry import SP, SQL_CURRENT, SQL_LINES, query, sql_comparable, sql_ratio, sql_strip
 from quire.session import table
@@ -55,15 +56,14 @@ def _sql_lines(x: str) -> str:
     return f"list_filter(list_transform(string_split(replace({x}, chr(13) || chr(10), chr(10)), chr(10)), lambda z: {sql_strip('z')}), lambda z: z <> '')"
 
 
-_HY = X.HYPHENS
 _RETRY = f"""
 WITH cur AS ({SQL_CURRENT}),
 s AS (SELECT doc_id, seq, original, translation, {sql_strip('original')} AS o, {sql_strip('translation')} AS t FROM cur),
 f AS (SELECT *, {sql_comparable('original')} AS co, {sql_comparable('translation')} AS ct, {sql_ratio('t')} AS ratio, {_sql_tokens('o')} AS no, {_sql_tokens('t')} AS nt, {_sql_lines('original')} AS lo, {_sql_lines('translation')} AS lt,
  len(list_filter(string_split(o, chr(10)), lambda z: z <> '')) AS ro, len(list_filter(string_split(t, chr(10)), lambda z: z <> '')) AS rt,
- len(regexp_extract_all(original, '{Q.LINE_NUMBER}')) AS po, len(regexp_extract_all(translation, '{Q.LINE_NUMBER}')) AS pt, len(regexp_extract_all(original, '{Q.CLAUSE_NUMBER}')) AS cco, len(regexp_extract_all(translation, '{Q.CLAUSE_NUMBER}')) AS cct FROM s),
+ len(regexp_extract_all(original, '{R.LINE_PREFIX}')) AS po, len(regexp_extract_all(translation, '{R.LINE_PREFIX}')) AS pt, len(regexp_extract_all(original, '{R.CLAUSE}')) AS cco, len(regexp_extract_all(translation, '{R.CLAUSE}')) AS cct FROM s),
 g AS (SELECT *, len(list_filter(lo, lambda z: regexp_matches(z, '{X.BULLET_LINE}'))) AS bo, len(list_filter(lt, lambda z: regexp_matches(z, '{X.BULLET_LINE}'))) AS bt,
- length(o) >= 20 AND (regexp_matches(o, '^\\p{{Ll}}') OR regexp_matches(o, '{_HY}{SP}*$') OR regexp_matches(o, '{X.TRAILING_CONNECTIVE}')) AS risky,
+ length(o) >= 20 AND (regexp_matches(o, '^\\p{{Ll}}') OR regexp_matches(o, '[\\-‐‑‒–]$') OR regexp_matches(o, '{X.TRAILING_CONNECTIVE}')) AS risky,
  t <> '' AND ratio > 0.55 AND NOT regexp_matches(translation, '{_CJK}') AS english FROM f)
 SELECT doc_id, seq, risky, english, o <> '' AND t <> '' AND risky AND (co = ct OR english) AS fragment,
  length(o) >= 32 AND t <> '' AND nt <= greatest(1, no // 4) AND length(t) <= greatest(12, length(o) // 4) AS cut,
@@ -120,7 +120,7 @@ def glossary_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT c.chunk_id, g.line_no, g.source, g.target FROM chunks c JOIN glossary g ON g.source IS NOT NULL AND contains(lower(c.original), lower(g.source))),
 r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY length(source) DESC, line_no) AS rank FROM m)
-SELECT chunk_id, count(*) AS terms, string_agg('- ' || source || ' => ' || target, chr(10) ORDER BY rank) AS prompt FROM r WHERE rank <= 30 GROUP BY chunk_id""")
+SELECT chunk_id, count(*) AS terms, '术语表约束：' || chr(10) || string_agg('- ' || source || ' => ' || target, chr(10) ORDER BY rank) AS prompt FROM r WHERE rank <= 30 GROUP BY chunk_id""")
 def glossary_match_top30(spark: SparkSession, folder: str) -> DataFrame:
     """For each chunk the glossary terms in it, the 30 longest at most, as lines of a prompt."""
     return G.match(table(spark, folder, "chunks").select("chunk_id", "original"), table(spark, folder, "glossary").filter("source IS NOT NULL"), "chunk_id", "original")
@@ -145,20 +145,12 @@ def bilingual_export(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH l AS ({SQL_LINES}) SELECT doc_id, pos,
- CASE WHEN regexp_matches(line, '{X.LIST_MARKER}') THEN 'ListItem' WHEN regexp_matches(line, '^(?i:figure|fig\\.|table|tab\\.|图|表|abb\\.|tableau|tabla)[ ]*[0-9]+') THEN 'Caption' WHEN regexp_matches(line, '\\t|  +[^ ]+  +') THEN 'TableRow' ELSE 'Normal' END AS block_type,
- {sql_strip(f"regexp_extract(line, '{X.LIST_MARKER}', 0)")} AS marker, regexp_matches(line, '^[0-9\\*\\x{{2020}}\\x{{2021}}]{{1,3}}[ ]+[^ ].*') AND length(line) <= 220 AS footnote_like,
- regexp_matches(line, '^[\\-\\x{{2013}}\\x{{2014}}\\[(]?[ ]*(?:[0-9]{{1,4}}|[ivxlc]{{1,7}})[ ]*[\\-\\x{{2013}}\\x{{2014}}\\])]?$') AS page_marker FROM l""")
+ CASE WHEN {R.list_item('line')} THEN 'ListItem' WHEN regexp_matches(line, '^{R.S}{{4,}}{R.VISIBLE}') AND ({" OR ".join(f"contains(line, '{m}')" for m in ('()', '{}', '[]', '=>', '->', '::', '//', '/*', '#include', 'import ', 'def ', 'class ', 'function '))}) THEN 'Code' ELSE 'Normal' END AS block_type,
+ {R.trimmed(f"regexp_extract(line, '^{R.S}*(?:{chr(92)}p{{Nd}}{{1,3}}[.)、]|[(（]{chr(92)}p{{Nd}}{{1,3}}[)）]|[a-zA-Z][.)]|[•{chr(92)}-·◦▪■★→►▸‣⦿⁃])', 0)")} AS marker,
+ {R.caption('line')} AS caption, {R.footnote_mark('line')} AS footnote_like, {R.page_mark('line')} AS page_mark FROM l""")
 def list_code_caption_types(spark: SparkSession, folder: str) -> DataFrame:
-    """First guess of the type of every line, its list marker, footnote and page marks."""
-    from quire.functions.layout import is_footnote_like, is_page_marker, line_type
+    """First guess of the type of every line, its list marker, and whether it is a caption, a footnote or a page's number by its form."""
+    from quire.functions import layout as L
 
     line = F.col("line")
-    return document_lines(spark, folder).select("doc_id", "pos", line_type(line).alias("block_type"), X.list_marker(line).alias("marker"), is_footnote_like(line).alias("footnote_like"), is_page_marker(line).alias("page_marker"))
-
-
-@query(f"""WITH cur AS ({SQL_CURRENT}), k AS (SELECT doc_id, seq, array_to_string(list_filter([CASE WHEN context = 'heading' OR context = 'slide title' THEN '标题' END, CASE WHEN contains(context, 'cell') THEN '单元格' END, CASE WHEN contains(context, 'list') THEN '列表' END, CASE WHEN context = 'footnote' THEN '脚注' END], lambda z: z IS NOT NULL), '；') AS hints FROM cur) SELECT doc_id, seq, hints FROM k""")
-def context_hints(spark: SparkSession, folder: str) -> DataFrame:
-    """Hints of each segment's place, joined where several hold."""
-    c = F.col("context")
-    hints = F.concat_ws("；", F.when(c.isin("heading", "slide title"), "标题"), F.when(c.contains("cell"), "单元格"), F.when(c.contains("list"), "列表"), F.when(c == "footnote", "脚注"))
-    return current_segments(spark, folder).select("doc_id", "seq", hints.alias("hints"))
+    return document_lines(spark, folder).select("doc_id", "pos", L.line_type(line).alias("block_type"), X.list_marker(line).alias("marker"), L.is_caption(line).alias("caption"), L.has_footnote_mark(line).alias("footnote_like"), L.is_page_mark(line).alias("page_mark"))
