@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.functions.text import strip
+from quire.functions.text import is_blank, strip
 
 #: Terms given to one request at most, and the line before them.
 TERMS_PER_REQUEST = 30
-#: Entries that are searched by broadcast at most; a larger glossary is searched in as many passes as it takes.
+HEADER = "术语表约束："
+#: Entries that one automaton holds; a larger glossary is searched in as many passes as it takes.
 BLOCK = 50_000
 
 
@@ -28,22 +34,45 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def match(texts: DataFrame, entries: DataFrame, key: str, text: str, limit: int = TERMS_PER_REQUEST) -> DataFrame:
-    """(key, terms, prompt): the entries whose source is contained in a text, letter case aside, longest first.
+    """(key, terms, prompt): the entries whose source is contained in a text, letter case aside, longest first, below a header line.
 
-    Only matches are shuffled, not the texts. The entries are a hand-kept list; they are
-    broadcast in blocks of BLOCK lines, so the broadcast side is bounded. Texts
-    without a match are not returned; null texts match nothing. Keys should be
+    One automaton of the entries passes over each text once, whatever their number; no row is shuffled
+    unless the hand-kept list exceeds BLOCK lines, whose blocks then meet by key. Texts
+    without a match are not returned; null texts and blank sources match nothing. Keys should be
     unique: rows of one key are one text.
     """
-    small = entries.select("line_no", "source", "target")
-    total = small.count()
-    found = None
-    for k in range(max(1, -(-total // BLOCK))):
-        part = small if total <= BLOCK else small.filter(F.pmod(F.xxhash64("line_no"), F.lit(-(-total // BLOCK))) == k)
-        hits = texts.select(key, F.lower(text).alias("_low")).join(F.broadcast(part), F.contains(F.col("_low"), F.lower("source"))).select(key, "line_no", "source", "target")
-        found = hits if found is None else found.unionByName(hits)
-    order = Window.partitionBy(key).orderBy(F.length("source").desc(), "line_no")
-    top = found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit)
-    line = F.concat(F.lit("- "), "source", F.lit(" => "), "target")
-    grouped = top.groupBy(key).agg(F.count(F.lit(1)).alias("terms"), F.array_sort(F.collect_list(F.struct("_rank", line.alias("l")))).alias("_lines"))
-    return grouped.select(key, "terms", F.array_join(F.transform("_lines", lambda x: x["l"]), "\n").alias("prompt"))
+    # The entries are kept by hand; a task holds BLOCK of them at most.
+    blocks: list[list[tuple[int, str, str, str]]] = [[]]
+    for r in entries.filter(~is_blank(F.col("source"))).select("line_no", F.lower("source").alias("low"), "source", F.coalesce("target", F.lit("")).alias("target")).toLocalIterator():
+        if len(blocks[-1]) >= BLOCK:
+            blocks.append([])
+        blocks[-1].append(tuple(r))
+    source = texts.filter(F.col(text).isNotNull()).select(key, F.lower(text).alias("low"))
+    found_type = T.ArrayType(T.StructType([T.StructField("short", T.IntegerType()), T.StructField("line_no", entries.schema["line_no"].dataType), T.StructField("line", T.StringType())]))
+    schema = T.StructType([source.schema[key], T.StructField("found", found_type)])
+    out = None
+    for block in blocks:
+        shared = texts.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            lines: dict[str, list[tuple[int, int, str]]] = {}
+            for no, low, source_, target in shared.value:
+                lines.setdefault(low, []).append((-len(source_), no, f"- {source_} => {target}"))
+            auto = ahocorasick.Automaton()
+            for low, rows in lines.items():
+                auto.add_word(low, rows)
+            if len(auto):
+                auto.make_automaton()
+            for pdf in batches:
+                rows = []
+                for k, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
+                    hits = {row for _, found in auto.iter(t) for row in found} if len(auto) else ()
+                    if hits:
+                        rows.append((k, sorted(hits)[:limit]))
+                yield pd.DataFrame(rows, columns=[key, "found"])
+
+        part = source.mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    if len(blocks) > 1:
+        out = out.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, limit).alias("found"))
+    return out.select(key, F.size("found").cast("bigint").alias("terms"), F.concat(F.lit(HEADER + "\n"), F.array_join(F.transform("found", lambda x: x["line"]), "\n")).alias("prompt"))

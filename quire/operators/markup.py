@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -105,22 +106,19 @@ def flatten(pages: DataFrame, key: str, html: str) -> DataFrame:
     return source.mapInPandas(run, schema)
 
 
-def _cjk(c: str) -> bool:
-    return "㐀" <= c <= "䶿" or "一" <= c <= "鿿" or "豈" <= c <= "﫿" or "　" <= c <= "ヿ" or "＀" <= c <= "￯"
+#: Ideographs and their punctuation, by which a line may part without a blank.
+_DENSE = "㐀-䶿一-鿿豈-﫿　-ヿ＀-￯"
+#: Places at which a line may part: before a blank; beside an ideograph; after a mark. None leaves a closing mark at a line's start or an opening one at its end.
+_SEAM = regex.compile(rf"(?= )|(?![{regex.escape(NO_START)}])(?:(?=[{_DENSE}])|(?<=[{_DENSE}])(?<![{regex.escape(NO_END)}])|(?<=[{regex.escape(BREAK_AFTER)}]))")
 
 
 def break_at(text: str, start: int, end: int) -> int:
-    """Where a line from `start` that has room up to `end` should break: looked for over its last third, eight characters at least."""
+    """Where a line from `start` that has room up to `end` should break: at the last seam of its last third, eight characters at least; else at `end`."""
     if end >= len(text):
         return len(text)
-    for i in range(end, max(start + 1, end - max(8, (end - start) // 3)) - 1, -1):
-        here, before = text[i], text[i - 1] if i else ""
-        may_start = here not in NO_START
-        if here == " " or _cjk(here) and may_start:
-            return i
-        if before and may_start and (_cjk(before) and before not in NO_END or before in BREAK_AFTER):
-            return i
-    return end
+    low = max(start + 1, end - max(8, (end - start) // 3))
+    seams = [m.start() for m in _SEAM.finditer(text, low, end + 1) if m.start() <= end]
+    return seams[-1] if seams else end
 
 
 def wrap(text: str, width: int) -> list[str]:

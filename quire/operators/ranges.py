@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,3 +21,9 @@ def requested_range(start: Column, end: Column, total: Column) -> Column:
 def within(unit: Column, chosen: Column) -> Column:
     """Whether a unit is in a range."""
     return unit.between(chosen["first"], chosen["last"])
+
+
+def chosen_parts(df: DataFrame, scope: str, page: str, first: int, last: int, total: int) -> DataFrame:
+    """Rows of the main part whose page is wanted; headers, footers, notes and comments only if all pages are."""
+    main = (F.col(scope) == "Main") & F.col(page).between(first, last)
+    return df.filter(main | ((F.col(scope) != "Main") & F.lit(first <= 1 and last >= total)))

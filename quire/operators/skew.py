@@ -35,3 +35,10 @@ def without_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, tot
         return rows.join(groups.select(key), key, "left_anti")
     rest = rows.join(F.broadcast(groups.filter(F.col(count) > limit).select(key)), key, "left_anti")
     return rest.join(groups.select(key), key, "left_anti")
+
+
+def add_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Left join of `rows` with one row per `key` of `groups`, safe against hot keys as in join_groups; null keys match nothing."""
+    known = join_groups(rows, groups, key, count, total)
+    rest = without_groups(rows, groups, key, count, total)
+    return known.unionByName(rest, allowMissingColumns=True)

@@ -63,3 +63,8 @@ def failure_kind(error: Column) -> Column:
         .when(e.rlike(r"timed? ?out|timeout|cancell?ed"), "timeout")
         .when(error.isNotNull(), "server")
     )
+
+
+def utc_stamp(at: Column) -> Column:
+    """A time as text, in the session's time zone, which is UTC by convention."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss 'UTC'")

@@ -6,6 +6,7 @@ restored, judged, asked for once more where it fails, and a failure gives the or
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,6 +22,8 @@ from quire.session import materialize, spread
 
 #: A translator: texts of one batch to texts, in order. It may raise; its errors are retried as the settings say.
 Translator = Callable[[pd.Series], pd.Series]
+#: What tells that an address or a key is refused.
+_REFUSED = re.compile(r"(?i)(?<!\d)(?:401|403|404|405)(?!\d)|unauthorized|forbidden|not found|<html")
 #: Attempts after a time-out and after another error.
 TIMEOUT_RETRIES, SERVER_RETRIES = 1, 2
 
@@ -53,6 +56,26 @@ def _attempt(translate: Translator, texts: pd.Series, wait: Callable[[int], None
     return out, bad
 
 
+def with_failover(*translators: Translator) -> Translator:
+    """A translator that tries others in order where one is refused (by its address or its key); other failures are not passed on."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        for k, translate in enumerate(translators):
+            try:
+                return translate(texts)
+            except Exception as e:  # noqa: BLE001 - told apart by their text
+                if k + 1 == len(translators) or not _REFUSED.search(str(e)):
+                    raise
+        raise ValueError("no translator")
+
+    return run
+
+
+def throttled(frame: DataFrame, requests: int) -> DataFrame:
+    """Rows in as many tasks as requests may run at once, one at least; each task sends its batches one after another."""
+    return frame.repartition(max(1, requests))
+
+
 def apply_translator(frame: DataFrame, text: str, translate: Translator, wait: Callable[[int], None] = lambda s: None) -> DataFrame:
     """Adds translated and error: a translator called over batches of a text column."""
     schema = T.StructType([*frame.schema.fields, T.StructField("translated", T.StringType()), T.StructField("error", T.StringType())])
@@ -65,21 +88,22 @@ def apply_translator(frame: DataFrame, text: str, translate: Translator, wait: C
     return frame.mapInPandas(run, schema)
 
 
-def translate(units: DataFrame, text: str, key: list[str], translator: Translator, kind: str = "plain") -> DataFrame:
+def translate(units: DataFrame, text: str, key: list[str], translator: Translator, kind: str = "plain", requests: int | None = None) -> DataFrame:
     """Adds translation and error to units (with `text` and the further columns of the request key).
 
     Every row is kept; blank texts stay as they are; a text whose translation
-    fails, or lost protected spans twice, keeps what came back or, without any, its original.
+    fails, or lost protected spans twice, keeps what came back or, without any, its original. No more than
+    `requests` batches are sent at once, if that is given.
     """
     blank = units.filter(is_blank(F.col(text))).withColumn("translation", F.coalesce(text, F.lit(""))).withColumn("error", F.lit(None).cast("string"))
     rest = units.filter(~is_blank(F.col(text)))
 
     def call(distinct: DataFrame) -> DataFrame:
         cut = distinct.withColumn("_p", P.protect(F.col(text))).withColumn("_send", F.col("_p.text"))
-        first = apply_translator(spread(cut), "_send", translator)
+        first = apply_translator(spread(cut) if requests is None else throttled(cut, requests), "_send", translator)
         raw = F.coalesce("translated", F.lit(""))
         restored = P.restore(raw, F.col("_p.tokens"))
-        judged = first.withColumn("_out", restored).withColumn("_bad", (F.col("error").isNull()) & ((P.missing(raw, F.col("_p.tokens")) > 0) | needs_retry(F.col(text), restored, F.lit(kind))))
+        judged = first.withColumn("_out", restored).withColumn("_bad", (F.col("error").isNull()) & needs_retry(F.col(text), restored, F.lit(kind), P.missing(raw, F.col("_p.tokens")) > 0, ~P.all_restored(restored, F.col("_p.tokens"))))
         # Cut here, or the second attempt would call the translator for the first one again.
         judged = materialize(judged.withColumnRenamed("error", "_error").drop("translated"))
         again = apply_translator(judged.filter("_bad"), "_send", translator)

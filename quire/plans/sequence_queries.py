@@ -10,6 +10,7 @@ from quire.functions import layout as L
 from quire.functions import text as X
 from quire.operators import ranges
 from quire.operators import sequence as S
+from quire.operators.skew import add_groups
 from quire.operators.versions import drop_repeats
 from quire.plans import sql_rules as R
 from quire.plans.carriers import current_segments, document_lines, page_blocks
@@ -201,8 +202,11 @@ def toc_sync(spark: SparkSession, folder: str) -> DataFrame:
     rows = current_segments(spark, folder)
     heads = rows.filter("context = 'heading'")
     anchor = heads.select("doc_id", "seq", F.col("translation").alias("_a"))
-    document = heads.groupBy("doc_id").agg(F.min_by("translation", "seq").alias("_d"))
-    wanted = rows.filter(F.col("context").isin("heading", "slide title", "chapter")).join(anchor, ["doc_id", "seq"], "left").join(document, "doc_id", "left")
+    entries = rows.filter(F.col("context").isin("heading", "slide title", "chapter"))
+    # A document may hold a third of all entries, so its one label does not meet them in one task.
+    sizes = entries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    document = heads.groupBy("doc_id").agg(F.min_by("translation", "seq").alias("_d")).join(sizes, "doc_id")
+    wanted = add_groups(entries.join(anchor, ["doc_id", "seq"], "left"), document, "doc_id", "_n", entries.count())
     found = F.when(F.col("_a").isNotNull(), "anchor").when(F.col("_d").isNotNull(), "document").otherwise("own")
     return wanted.select("doc_id", "seq", F.coalesce("_a", "_d", "translation").alias("label"), found.alias("found"))
 

@@ -173,3 +173,84 @@ def endpoint_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Addresses of both services for forms of a base address."""
     base = F.element_at(F.array(*[F.lit(b) for b, _, _ in BASES]), (F.col("s_suppkey") % len(BASES) + 1).cast("int"))
     return table(spark, folder, "supplier").select("s_suppkey", X.message_endpoint(base).alias("messages"), F.array_join(X.chat_endpoints(base), " ").alias("chats"))
+
+
+@query(r"""WITH b AS (SELECT * FROM (""" + SQL_BLOCKS + r""") WHERE block_type = 'TableRow' OR idx % 5 = 0), k AS (SELECT *, CASE WHEN block_type = 'TableRow' THEN 'TableRow' ELSE 'Normal' END AS kind, regexp_replace(regexp_replace(text, '[ ]*\n[ ]*', '  ', 'g'), '^[\t\n\x0B\f\r \x{85}\p{Z}]+|[\t\n\x0B\f\r \x{85}\p{Z}]+$', '', 'g') AS line FROM b),
+c AS (SELECT doc_id, page, idx, kind, line, CASE WHEN kind = 'TableRow' THEN list_filter(regexp_split_to_array(line, '\t+|\s{2,}'), lambda q: trim(q) <> '') ELSE [line] END AS parts FROM k WHERE line <> '')
+SELECT doc_id, page, idx, len(parts) AS targets, array_to_string(parts, '  ') AS whole FROM c""")
+def table_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of tables as cells and back again; lines of a block stand for cells."""
+    from quire.operators import units as U
+
+    kind = F.when(F.col("block_type") == "TableRow", "TableRow").otherwise("Normal")
+    rows = page_blocks(spark, folder).filter("block_type = 'TableRow' OR idx % 5 = 0").select("doc_id", "page", "idx", kind.alias("kind"), X.strip(F.regexp_replace("text", r"[ ]*\n[ ]*", "  ")).alias("line"))
+    cells = U.targets(rows, "line", "kind")
+    return cells.groupBy("doc_id", "page", "idx").agg(F.count(F.lit(1)).alias("targets"), U.collapse(F.col("target_no"), F.col("target"), F.col("glue")).alias("whole"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S UTC') AS stamp, CASE WHEN length(props) > 10 THEN right(props, 10) ELSE props END AS ending FROM events ORDER BY ts DESC, event_id DESC LIMIT 400")
+def log_tail(spark: SparkSession, folder: str) -> DataFrame:
+    """The last 400 events, with their times and the ends of their properties."""
+    from quire.operators import state as ST
+    from quire.operators import units as U
+
+    rows = U.tail(table(spark, folder, "events"), ["ts", "event_id"])
+    return rows.select("event_id", ST.utc_stamp(F.col("ts")).alias("stamp"), U.tail_text(F.col("props"), 10).alias("ending"))
+
+
+@query(f"SELECT doc_id, count(*) AS boxes FROM (SELECT DISTINCT doc_id, round_even(l / 7, 0) AS l, round_even(t / 7, 0) AS t, round_even(r / 7, 0) AS r FROM ({SQL_BLOCKS})) GROUP BY 1")
+def rounded_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes of each document that differ on a coarse grid."""
+    from quire.operators import units as U
+
+    rows = page_blocks(spark, folder).select("doc_id", *[(F.col(c) / 7).alias(c) for c in "ltr"])
+    return U.distinct_boxes(rows, ["doc_id"], ["l", "t", "r"], 0).groupBy("doc_id").agg(F.count(F.lit(1)).alias("boxes"))
+
+
+@query(rf"""WITH c AS (SELECT doc_id, seq, regexp_replace(original, '^[\t\n\x0B\f\r \x{{85}}\p{{Z}}]+|[\t\n\x0B\f\r \x{{85}}\p{{Z}}]+$', '', 'g') AS text FROM ({SQL_CURRENT})), f AS (SELECT doc_id, text, min(seq) AS seq FROM c WHERE text <> '' GROUP BY 1, 2), r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq, text) AS place, text FROM f)
+SELECT doc_id, place::INT AS place, text FROM r WHERE place <= 4""")
+def cover_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The first four distinct texts of each document."""
+    from quire.operators import units as U
+
+    return U.first_texts(current_segments(spark, folder), "doc_id", "seq", "original").select("doc_id", "place", F.col("original").alias("text"))
+
+
+#: Kinds of word-document paragraphs by segment context: scope, style, in a cell, numbered.
+_WORDS = {"heading": ("Main", "Heading 2", False, False), "list item": ("Main", "List", False, True), "table cell": ("Main", "", True, False), "footnote": ("Footnote", "", False, False), "header": ("Header", "", False, False)}
+
+
+@query(f"""WITH c AS (SELECT doc_id, seq, context, coalesce(context, '') AS x FROM ({SQL_CURRENT})),
+k AS (SELECT *, CASE WHEN x = 'heading' THEN 'Heading' WHEN x = 'list item' THEN 'ListItem' WHEN x = 'table cell' THEN 'TableCell' WHEN x = 'footnote' THEN 'Footnote' WHEN x = 'header' THEN 'Header' ELSE 'Paragraph' END AS kind, CASE WHEN x = 'footnote' THEN 'Footnote' WHEN x = 'header' THEN 'Header' ELSE 'Main' END AS scope FROM c)
+SELECT doc_id, seq, kind, CASE kind WHEN 'Heading' THEN 'Word 标题段落' WHEN 'ListItem' THEN 'Word 列表项' WHEN 'TableCell' THEN 'Word 表格单元格' WHEN 'Footnote' THEN 'Word 脚注' WHEN 'Header' THEN 'Word 页眉' ELSE 'Word 段落' END || CASE WHEN x <> '' THEN '；章节上下文：' || x ELSE '' END AS hint,
+ array_to_string(list_filter([CASE kind WHEN 'Heading' THEN '类型：标题。请保持标题风格，译文简洁，不要扩写成正文。' WHEN 'ListItem' THEN '类型：列表。请保留列表层级、编号/项目符号和换行结构，不要把多个条目合并成一段。' WHEN 'TableCell' THEN '类型：表格单元格。请保留数字、单位、百分号、缩写和换行，不要把表格短语扩写成解释性整句。' WHEN 'Footnote' THEN '类型：脚注/尾注。请保留编号、引用关系、URL、DOI、作者年份等结构。' WHEN 'Header' THEN '类型：页眉页脚。请保留页码、短标题、日期和编号结构，不要扩写。' END,
+  CASE WHEN scope <> 'Main' THEN '当前内容来自 Word ' || scope || ' 区域，请保持该区域常见的简短表达方式。' END, CASE WHEN seq % 3 = 0 THEN '当前片段包含超链接显示文本。请翻译可见文字，但保留链接文本边界，不要把链接前后的正文合并改写。' END, CASE WHEN seq % 4 = 0 THEN '当前片段包含上标或下标。请保留上标/下标对应的结构边界，不要把编号、脚注标记、化学式或公式索引并入普通正文。' END], lambda q: q IS NOT NULL), chr(10)) AS requirements,
+ CASE WHEN seq % 3 = 0 AND seq % 4 = 0 THEN 'link|sup' WHEN seq % 3 = 0 THEN 'link' WHEN seq % 4 = 0 THEN 'sup' ELSE 'plain' END AS boundary FROM k""")
+def word_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """Kind, place, requirements and run boundaries of segments as units of a word document; every third holds a link, every fourth a superscript."""
+    from quire.functions import hints as H
+
+    c, no = F.col("context"), F.lit(False)
+    pick = lambda i, default: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in _WORDS.items() for x in (k, v[i])]), c), F.lit(default))
+    scope = pick(0, "Main")
+    kind = H.word_kind(scope, no, pick(2, False), pick(3, False), pick(1, ""), no)
+    link, raised = F.col("seq") % 3 == 0, F.col("seq") % 4 == 0
+    hint = H.word_hint(kind, scope, c, F.lit(""))
+    asked = H.word_requirements(kind, scope, link, raised, no, no, F.lit(""))
+    return current_segments(spark, folder).select("doc_id", "seq", kind.alias("kind"), hint.alias("hint"), asked.alias("requirements"), H.run_boundary(link, no, raised, no, no).alias("boundary"))
+
+
+@query(f"""WITH u AS (SELECT DISTINCT doc_id, unit_no, coalesce(context, '') AS x FROM epub_units), t AS (SELECT *, CASE WHEN x = 'heading' THEN 'h2' WHEN x = 'nav' THEN 'title' WHEN x = 'list item' THEN 'li' WHEN x = 'caption' THEN 'figcaption' ELSE 'p' END AS tag FROM u)
+SELECT doc_id, unit_no, x, 'EPUB ' || CASE tag WHEN 'h2' THEN '章节标题' WHEN 'title' THEN '文档标题' WHEN 'li' THEN '列表项' WHEN 'figcaption' THEN '图表说明' ELSE '正文块' END || ' <' || tag || '>' || CASE WHEN x <> '' THEN '；章节上下文：' || x ELSE '' END || '；来源文件：c' || doc_id || '.xhtml' AS hint,
+ CASE tag WHEN 'h2' THEN '类型：电子书标题。请保持标题风格和层级感，译文简洁，不要扩写成正文。' WHEN 'title' THEN '类型：电子书标题。请保持标题风格和层级感，译文简洁，不要扩写成正文。' WHEN 'li' THEN '类型：电子书列表。请保留条目边界、编号/项目符号和换行结构，不要把多个条目合并成一段。' WHEN 'figcaption' THEN '类型：电子书图表说明。请保留图号、子图编号、单位、括号和短说明风格。' ELSE '类型：电子书正文。请保留段落边界、内联强调边界和链接文本边界，不要无故扩写。' END
+ || CASE WHEN unit_no % 2 = 0 THEN chr(10) || '当前片段包含链接文本。请翻译可见文字，但不要破坏链接边界，也不要把链接前后的内容并到一起。' ELSE '' END AS requirements, tag <> 'p' AND tag <> 'li' AND tag <> 'figcaption' OR contains(x, 'chapter') OR contains(x, 'title') OR contains(x, 'heading') AS heading_like FROM t""")
+def ebook_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, requirements and heading test of e-book units; every second holds a link."""
+    from quire.functions import hints as H
+
+    x = F.coalesce("context", F.lit(""))
+    tag = F.when(x == "heading", "h2").when(x == "nav", "title").when(x == "list item", "li").when(x == "caption", "figcaption").otherwise("p")
+    rows = table(spark, folder, "epub_units").select("doc_id", "unit_no", x.alias("x")).distinct()
+    tag = F.when(F.col("x") == "heading", "h2").when(F.col("x") == "nav", "title").when(F.col("x") == "list item", "li").when(F.col("x") == "caption", "figcaption").otherwise("p")
+    hint = H.ebook_hint(tag, F.lit(""), F.col("x"), F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit(".xhtml")))
+    return rows.select("doc_id", "unit_no", "x", hint.alias("hint"), H.ebook_requirements(tag, F.col("unit_no") % 2 == 0, F.lit(False)).alias("requirements"), H.is_heading_like(tag, F.col("x")).alias("heading_like"))

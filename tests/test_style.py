@@ -8,7 +8,7 @@ from quire.operators import markup, ocr_layout
 
 def test_style(spark):
     one = lambda e: spark.range(1).select(e.alias("x")).first()["x"]
-    assert one(Y.font_family(F.lit("ABCDEF+FangSong-Bold"))) == "DengXian"
+    assert one(Y.font_family(F.lit("ABCDEF+FangSong-Bold"))) == "SimSun"
     assert one(Y.font_family(F.lit("Bold"))) == "Bold" and one(Y.font_family(F.lit(None).cast("string"))) == ""
     assert tuple(one(Y.cmyk_to_rgb(F.lit(0.0), F.lit(1.0), F.lit(2.0), F.lit(0.5)))) == (128, 0, 0)
     assert one(Y.html_pixels(F.lit("12.4px"))) == 12 and one(Y.html_pixels(F.lit("50%"))) is None

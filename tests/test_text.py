@@ -35,8 +35,28 @@ def one(spark, expression, **values):
         (X.leading_lower_word, "Ple", ""),
         (X.cell_text, "a\r\r\r\rb", "a\n\nb"),
         (X.list_marker, "12) text", "12)"),
-        (X.sentence_end, "He left.”", True),
-        (X.sentence_end, "He left", False),
+        (X.ends_sentence, "He left. ", True),
+        (X.ends_sentence, "He left.”", False),
+        (X.ends_sentence, "他走了。", True),
+        (X.ends_open, "He left", True),
+        (X.ends_open, "as follows: ", False),
+        (X.ends_open, "(see", True),
+        (X.ends_open, "a)", False),
+        (X.ends_open, " ", False),
+        (X.starts_open, " and more", True),
+        (X.starts_open, "And more", True),
+        (X.starts_open, "Andrew", False),
+        (X.starts_open, "3 boxes", True),
+        (X.starts_open, "Boxes", False),
+        (X.starts_sentence, "“Box", False),
+        (X.starts_sentence, "(\"Box", True),
+        (X.starts_sentence, "箱", True),
+        (X.starts_lower, "[box", True),
+        (X.message_endpoint, "https://a/v1/", "https://a/v1/messages"),
+        (X.chat_endpoints, "https://a/v3", ["https://a/v3/chat/completions"]),
+        (X.context_preview, "a\r\nb  c\td", "a b c\td"),
+        (X.list_marker, "（3） text", "（3）"),
+        (X.list_marker, "★ text", "★"),
         (X.css_twips, "10px", 150),
         (X.css_twips, "12pt", 240),
         (X.css_twips, "1.5em", 360),
