@@ -200,14 +200,18 @@ def is_formula(text: Column) -> Column:
     return formula_flags(text)["pure"]
 
 
-def gives_context(text: Column, block_type: Column, region: Column) -> Column:
-    """Whether a block may stand before or after others as their context: text that is no formula, margin, running line or footnote."""
-    return F.coalesce(strip(text) != "", F.lit(False)) & ~is_formula(text) & ~block_type.isin("HeaderFooter", "Footnote") & (region != "Margin")
+def gives_context(text: Column, block_type: Column, region: Column, formula: Column | None = None) -> Column:
+    """Whether a block may stand before or after others as their context: text that is no formula, margin, running line or footnote.
+
+    `formula` may hand over is_formula(text) where that is a column already.
+    """
+    pure = is_formula(text) if formula is None else formula
+    return F.coalesce(strip(text) != "", F.lit(False)) & ~block_type.isin("HeaderFooter", "Footnote") & (region != "Margin") & ~pure
 
 
-def is_groupable(text: Column, block_type: Column, region: Column) -> Column:
+def is_groupable(text: Column, block_type: Column, region: Column, formula: Column | None = None) -> Column:
     """Whether a block may be part of a paragraph of several blocks."""
-    return (block_type == "Normal") & (region == "Body") & gives_context(text, block_type, region)
+    return (block_type == "Normal") & (region == "Body") & gives_context(text, block_type, region, formula)
 
 
 def passed_through(text: Column, translation: Column) -> Column:

@@ -177,13 +177,16 @@ def style_of(words: list[Word]) -> tuple[str, float, bool, bool]:
 def lines_of(words: list[Word], page_width: float) -> list[Block]:
     """Lines of a column from the top: a word joins the first line whose mean bottom is near its own."""
     lines: list[list[Word]] = []
+    means: list[float] = []
     for w in sorted(words, key=lambda w: (-w.t, w.l)):
-        reach = max(3.0, w.height * 0.4)
-        line = next((x for x in lines if abs(sum(y.b for y in x) / len(x) - w.b) < reach), None)
-        if line is None:
+        low, reach = w.b, max(3.0, w.height * 0.4)
+        at = next((k for k, mean in enumerate(means) if -reach < mean - low < reach), -1)
+        if at < 0:
             lines.append([w])
+            means.append(low)
         else:
-            line.append(w)
+            lines[at].append(w)
+            means[at] += (low - means[at]) / len(lines[at])
     out = []
     for line in sorted((sorted(x, key=lambda w: w.l) for x in lines), key=lambda x: -max(w.t for w in x)):
         text = line_text(line)

@@ -98,17 +98,19 @@ def group_paragraphs(df: DataFrame, keys: list[str], idx: str, groupable: Column
     several `cells` is as many units, of which `unit` is the first. Expects text, region, l, r, t, b and lh; a page's blocks are one partition.
     """
     w = Window.partitionBy(*keys).orderBy(idx)
-    prev = F.lag(F.struct(groupable.alias("g"), *_PLACE)).over(w)
+    df = df.withColumn("_g", groupable).withColumn("_skip", skipped).withColumn("_cells", cells)
+    df = df.withColumn("_prev", F.lag(F.struct(F.col("_g").alias("g"), *_PLACE)).over(w))
+    prev = F.col("_prev")
     cur = F.struct(*_PLACE)
     height = F.greatest(prev["lh"], F.col("lh"))
     gap = prev["b"] - F.col("t")
     near = (gap >= -2) & (gap <= height * settings.grouping_gap)
     on = ends_with_hyphen(prev["text"]) | starts_open(F.col("text")) | starts_lower(F.col("text")) | goes_on_below(prev, cur, height, settings)
-    joins = F.coalesce(groupable & prev["g"] & (prev["region"] == F.col("region")) & ~ends_sentence(prev["text"]) & near & on, F.lit(False))
-    units = F.when(skipped, 0).when(joins, 0).otherwise(F.greatest(F.lit(1), cells))
+    joins = F.coalesce(F.col("_g") & prev["g"] & (prev["region"] == F.col("region")) & ~ends_sentence(prev["text"]) & near & on, F.lit(False))
+    units = F.when(F.col("_skip") | joins, 0).otherwise(F.greatest(F.lit(1), "_cells"))
     numbered = df.withColumn("_units", units).withColumn("_upto", F.sum("_units").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.when(F.col("_units") > 0, F.col("_upto") - F.col("_units") + 1).otherwise(F.col("_upto"))
-    return numbered.withColumn("unit", F.when(~skipped, first)).drop("_units", "_upto")
+    return numbered.withColumn("unit", F.when(~F.col("_skip"), first)).drop("_g", "_skip", "_cells", "_prev", "_units", "_upto")
 
 
 def concat_hyphenated(pos: Column, text: Column) -> Column:

@@ -91,8 +91,8 @@ n AS (SELECT *,
 
 def _context(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks with `f`, their formula flags, and `ok`, whether they give context."""
-    rows = page_blocks(spark, folder)
-    return rows.withColumn("f", L.formula_flags(F.col("text"))).withColumn("ok", L.gives_context(F.col("text"), F.col("block_type"), F.col("region")))
+    rows = page_blocks(spark, folder).withColumn("f", L.formula_flags(F.col("text")))
+    return rows.withColumn("ok", L.gives_context(F.col("text"), F.col("block_type"), F.col("region"), F.col("f.pure")))
 
 
 @query(f"WITH {_NEAR} SELECT doc_id, page, idx, {_sql_preview('b0')} AS before, {_sql_preview('a0')} AS after FROM n")
@@ -141,11 +141,11 @@ w AS (SELECT *, CASE WHEN n > 0 THEN upto - n + 1 ELSE upto END AS unit FROM u W
 
 def _units(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks with the unit they begin or join."""
-    rows = page_blocks(spark, folder)
-    text, kind = F.col("text"), F.col("block_type")
+    rows = page_blocks(spark, folder).withColumn("_pure", L.is_formula(F.col("text")))
+    text, kind, pure = F.col("text"), F.col("block_type"), F.col("_pure")
     cells = F.when(kind == "TableRow", F.size(X.table_segments(X.strip(text)))).otherwise(1)
-    skipped = X.is_blank(text) | L.is_formula(text)
-    return S.group_paragraphs(rows, ["doc_id", "page"], "idx", L.is_groupable(text, kind, F.col("region")), cells, skipped).filter("unit IS NOT NULL")
+    skipped = X.is_blank(text) | pure
+    return S.group_paragraphs(rows, ["doc_id", "page"], "idx", L.is_groupable(text, kind, F.col("region"), pure), cells, skipped).filter("unit IS NOT NULL")
 
 
 @query(f"WITH {_UNITS} SELECT doc_id, page, unit::BIGINT AS unit, count(*) AS blocks, min(idx) AS first_block, max(idx) AS last_block FROM w GROUP BY 1, 2, 3")
