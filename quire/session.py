@@ -54,10 +54,10 @@ def task_count(spark: SparkSession, size: int = 0) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SPLIT_BYTES))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, splits_per_core: int = 1) -> DataFrame:
     """Rows in tasks enough for a CPU-bound Python stage; they are moved only where there are fewer tasks than cores.
 
-    A scan that has a split for each core stays as it is, and so does input of a
+    A scan that has `splits_per_core` splits for each core stays as it is, and so does input of a
     split's size for each core, which scans and shuffles part by bytes anyway. What is left is
     small (or a file of one row group); an explicit count keeps adaptive
     execution from packing its costly rows into one task. Without keys rows go
@@ -71,7 +71,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
         if size >= cores * SPLIT_BYTES:
             return df
         plan = run.executedPlan().toString()
-        if "Exchange" not in plan and "AdaptiveSparkPlan" not in plan and run.toRdd().getNumPartitions() >= cores:
+        if "Exchange" not in plan and "AdaptiveSparkPlan" not in plan and run.toRdd().getNumPartitions() >= cores * splits_per_core:
             return df
     n = task_count(spark, min(size, cores * SPLIT_BYTES) if not keys else size)
     return df.repartition(n, *keys) if keys else df.repartition(n)
