@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import math
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -40,6 +41,8 @@ PREVIOUS, NEXT = 1 << 16, 1 << 16
 #: Distinct events trained on the driver at most, and those of a task where there are more.
 MAX_PAIRS = 500_000
 ROUNDS = 12
+#: Events that all counts are scaled to.
+NOMINAL = 2e5
 #: Distinct events a task holds before it hands them on.
 AT_ONCE = 500_000
 #: Share of a word's own followers in what may follow it inside a sentence; the rest is what follows any word there.
@@ -62,7 +65,6 @@ SPACE = r"[\s​﻿]"
 EMPTY_LINE = regex.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)\s*")
 PLACE = regex.compile(r"(?:\.{2,}|[" + regex.escape(MARKS) + r"]+)[" + regex.escape(CLOSERS) + r"]*(?:\p{Zs}[»”])?")
 WORD_AFTER = regex.compile(r"\s*([" + regex.escape(OPENERS) + r"]*)\s*(\p{N}+[.,:)\p{N}]*|[\p{L}\p{M}]+[.]?|[^\s\p{L}\p{N}]|\p{N})?")
-WORD_BEFORE = regex.compile(r"(?:[\p{L}\p{M}]{1,24}|\p{N}+|[^\s])$")
 #: A numbering or bullet, which belongs to what follows.
 INSIDE = regex.compile(r"[\p{L}\p{N}][,;]\s+(\p{N}+[.,:)\p{N}]*|[\p{L}\p{M}]+[.]?)|^\s*[\p{L}\p{M}]+\s+([\p{L}\p{M}]+)")
 NUMBERING = regex.compile(r"^[\s" + regex.escape(OPENERS) + r"]*(?:[(（]?(?:\p{N}{1,3}|\p{Lu}|\p{Ll}|[IVXLC]{1,6}|[ivxlc]{1,5})[.)）]|[•‣▪●○◦\-–—*§·#]|\p{N}{1,3}(?:\.\p{N}{1,3})*[.)]?)\s*$")
@@ -136,7 +138,7 @@ def _loud(text: str, p: Place) -> str | None:
     return MARK_WORDS["?"] if "?" in marks else MARK_WORDS["!"] if "!" in marks else None
 
 
-@dataclass
+@dataclass(slots=True)
 class Place:
     """A possible boundary: `end` is where the sentence would end, `after` the first character of the next."""
 
@@ -150,9 +152,24 @@ class Place:
     second: str = ""  # the word after a numbering or bullet
 
 
+@functools.lru_cache(maxsize=100_000)
+def _kind_of(c: str) -> str:
+    """L for letters and marks, N for numbers, S for white space, else O."""
+    k = unicodedata.category(c)[0]
+    return "L" if k in "LM" else "N" if k == "N" else "S" if c.isspace() else "O"
+
+
 def _word_before(text: str, at: int) -> str:
-    m = WORD_BEFORE.search(text, max(0, at - 25), at)
-    return m[0] if m else ""
+    """The word (of 24 letters at most), number or mark right before a place."""
+    if not at:
+        return ""
+    kind = _kind_of(text[at - 1])
+    if kind == "S":
+        return ""
+    first, least = at - 1, max(0, at - (24 if kind == "L" else 25 if kind == "N" else 1))
+    while first > least and _kind_of(text[first - 1]) == kind:
+        first -= 1
+    return text[first:at]
 
 
 def places(text: str) -> list[Place]:
@@ -213,37 +230,37 @@ def places(text: str) -> list[Place]:
     return out
 
 
+#: Quotation marks of any kind.
+QUOTE = regex.compile("[" + regex.escape("".join(sorted({'"', *QUOTES, *"".join(QUOTES.values())}))) + "]")
+
+
 def _quoted(text: str) -> list[tuple[int, int]]:
     """Outermost quotations [start, end] that are closed within the same paragraph."""
+    marks = [(m.start(), m[0]) for m in QUOTE.finditer(text)]
+    breaks = [m.start() for m in EMPTY_LINE.finditer(text)] + [len(text)]
     out: list[tuple[int, int]] = []
-    i, n = 0, len(text)
-    breaks = [m.start() for m in EMPTY_LINE.finditer(text)] + [n]
-    b = 0
-    while i < n:
-        c = text[i]
-        close = QUOTES.get(c)
-        if c == '"':
-            close = '"'
+    k, b = 0, 0
+    while k < len(marks):
+        i, c = marks[k]
+        k += 1
+        close = '"' if c == '"' else QUOTES.get(c)
         if close is None or c in "‘‚" and i and text[i - 1].isalpha():
-            i += 1
             continue
         while breaks[b] < i:
             b += 1
-        depth, j = 1, i + 1
-        while j < breaks[b]:
-            d = text[j]
+        depth = 1
+        for at in range(k, len(marks)):
+            j, d = marks[at]
+            if j >= breaks[b]:
+                break
             if d in close:
                 depth -= 1
                 if not depth:
+                    out.append((i, j))
+                    k = at + 1
                     break
             elif d == c:
                 depth += 1
-            j += 1
-        if j < breaks[b] and not depth:
-            out.append((i, j))
-            i = j + 1
-        else:
-            i += 1
     return out
 
 
@@ -506,8 +523,15 @@ def fit_spread(counts: DataFrame, rounds: int = ROUNDS, most: int = MAX_PAIRS) -
 
 
 def learn(counts: DataFrame, most: int = MAX_PAIRS) -> BoundaryModel:
-    """Model of checkpointed event counts; up to `most` distinct events are settled on the driver, more of them where they lie, with the same result."""
-    return fit(fetch(counts)) if counts.count() <= most else fit_spread(counts, most=most)
+    """Model of checkpointed event counts; up to `most` distinct events are settled on the driver, more of them where they lie, with the same result.
+
+    Counts are scaled to NOMINAL events in all, so a corpus and copies of it give one and the same model.
+    """
+    size, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not size:
+        return BoundaryModel()
+    scaled = counts.withColumn("n", F.col("n") * F.lit(NOMINAL / total))
+    return fit(fetch(scaled)) if size <= most else fit_spread(scaled, most=most)
 
 
 def train(df: DataFrame, text: str, most: int = MAX_PAIRS) -> BoundaryModel:

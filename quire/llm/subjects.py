@@ -79,10 +79,9 @@ def build(terms: Terms) -> ahocorasick.Automaton:
     return auto
 
 
-_FUNCTION_WORDS: dict[str, list[str]] = {}
-for _language, _words in ARTICLES.items():
-    for _word in _words:
-        _FUNCTION_WORDS.setdefault(_word, []).append(_language)
+_LANGUAGES = tuple(ARTICLES)
+#: Places in _LANGUAGES of the languages a function word belongs to.
+_FUNCTION_WORDS: dict[str, tuple[int, ...]] = {w: tuple(k for k, x in enumerate(_LANGUAGES) if w in ARTICLES[x]) for x in ARTICLES.values() for w in x}
 
 
 def language_of(sentence: str, words: list[str]) -> str | None:
@@ -92,14 +91,12 @@ def language_of(sentence: str, words: list[str]) -> str | None:
             return "ja"
         if HAN.search(sentence):
             return "zh"
-    counts: Counter[str] = Counter()
+    counts = [0] * len(_LANGUAGES)
     for w in words:
-        if w in _FUNCTION_WORDS:
-            counts.update(_FUNCTION_WORDS[w])
-    if not counts:
-        return None
-    (best, n), *rest = counts.most_common(2)
-    return best if not rest or n > rest[0][1] else None
+        for k in _FUNCTION_WORDS.get(w, ()):
+            counts[k] += 1
+    best = max(counts)
+    return _LANGUAGES[counts.index(best)] if best and counts.count(best) == 1 else None
 
 
 def _ending(text: str, at: int) -> str | None:
@@ -242,7 +239,8 @@ def classify(docs: DataFrame, annotations: DataFrame | None, listing: str | None
     repeated rows of one id count once. Annotations may be missing.
     """
     terms = read_terms(listing or default_terms())
-    rows = materialize(spread(docs.filter(~is_blank(F.col("text"))).select("doc_id", "text")))
+    # Costly rows: two splits for each core even out what one long split would hold up.
+    rows = materialize(spread(docs.filter(~is_blank(F.col("text"))).select("doc_id", "text"), splits_per_core=2))
     weight, model = survey(rows, "text", terms)
     shared = docs.sparkSession.sparkContext.broadcast((terms, weight, model))
 

@@ -161,6 +161,15 @@ def test_training_does_not_depend_on_the_number_of_pairs(spark):
     assert [sentences.decode(t, large) for t in texts[:50]] == [sentences.decode(t, small) for t in texts[:50]]
 
 
+def test_boundaries_do_not_depend_on_copies_of_the_corpus(spark):
+    texts = ["Dr. Ombrel opens the box. The lamp shows p. 12 at 7 a.m. The judge opens it!", "Abt. 7 closes. Often, Abt. 9 opens? It rains etc. The street ends.", "箱子打开灯。灯打开箱子。", "หมอเปิดประตู ครูซื้อกล่อง"] * 3
+    starts = []
+    for k in (1, 10, 100):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * k)], "id int, t string")
+        starts.append(rows(sentences.sentence_starts(df.filter("id < 12"), ["id"], "t", sentences.train(df, "t"))))
+    assert starts[0] == starts[1] == starts[2]
+
+
 # 5: splitting
 
 
