@@ -1,10 +1,14 @@
 """Operators on rows in order: page numbers, headings, islands, neighbours, continuations.
 
-All are windows over one document in order of explicit ordinals; nothing relies on the order rows come in.
+All order rows by explicit ordinals; nothing relies on the order rows come in. A document is ordered in ranges
+of positions or pages, with one row for each range to carry over what came before, so a document of a
+third of all rows is many tasks. Ordinals are expected to be dense, as a range spans a fixed number of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,39 +18,89 @@ from quire.session import materialize
 from quire.settings import LAYOUT, Layout
 
 
-def page_numbers(df: DataFrame, doc: str, pos: str, breaks: str, new_page: str) -> DataFrame:
-    """Adds page_no: one, and one more for each break in earlier paragraphs and each paragraph but the first that starts a page."""
-    w = Window.partitionBy(doc).orderBy(pos)
-    before = F.coalesce(F.sum(breaks).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = F.row_number().over(w)
-    flagged = df.withColumn("_before", before).withColumn("_starts", F.when((first > 1) & F.col(new_page), 1).otherwise(0))
-    return flagged.withColumn("page_no", 1 + F.col("_before") + F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before", "_starts")
+#: Rows of a document that one task orders: documents are ranged by position, and a row for each range carries over what came before.
+SPAN = 100_000
+
+
+#: An aggregate of a range, and what puts the aggregates of ranges in order together.
+Carried = tuple[Column, Callable[[Column], Column]]
+
+
+def _ranged(df: DataFrame, pos: str, span: int) -> DataFrame:
+    return df.withColumn("_range", F.floor(F.col(pos) / span))
+
+
+def _carry(df: DataFrame, keys: list[str], before: dict[str, Carried] | None = None, after: dict[str, Carried] | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Adds, for each name, what the ranges before or after a row's own give: an aggregate of a range, and how ranges in order are put together.
+
+    Only one row for each range is ordered by document; ranges come back to rows by their number, so no document is one task's.
+    `source` are the rows the aggregates are of, where they do not need what was added to `df` since.
+    """
+    before, after = before or {}, after or {}
+    sums = (df if source is None else source).groupBy(*keys, "_range").agg(*[agg.alias(n) for n, (agg, _) in {**before, **after}.items()])
+    w = Window.partitionBy(*keys).orderBy("_range")
+    frames = ((before, w.rowsBetween(Window.unboundedPreceding, -1)), (after, w.rowsBetween(1, Window.unboundedFollowing)))
+    carried = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), *[put(F.col(n)).over(frame).alias(n) for found, frame in frames for n, (_, put) in found.items()])
+    # Null keys are a document like any other.
+    same = F.col("_range").eqNullSafe(F.col("_r"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(carried, same).drop("_r", *[f"_k{i}" for i in range(len(keys))])
+
+
+def _last(value: Column, at: Column) -> Carried:
+    """The last value that is not null, to be carried."""
+    return F.max_by(value, F.when(value.isNotNull(), at)), lambda c: F.last(c, ignorenulls=True)
+
+
+def row_numbers(df: DataFrame, doc: str, pos: str, out: str, span: int = SPAN) -> DataFrame:
+    """Adds the number of each row of a document in order of pos, from 1."""
+    ranged = _carry(_ranged(df, pos, span), [doc], {"_before": (F.count(F.lit(1)), F.sum)})
+    within = F.row_number().over(Window.partitionBy(doc, "_range").orderBy(pos))
+    return ranged.withColumn(out, (F.coalesce("_before", F.lit(0)) + within).cast("bigint")).drop("_before", "_range")
 
 
-def breadcrumbs(df: DataFrame, doc: str, pos: str, level: str, title: str, levels: int = 6) -> DataFrame:
+def page_numbers(df: DataFrame, doc: str, pos: str, breaks: str, new_page: str, span: int = SPAN) -> DataFrame:
+    """Adds page_no: one, and one more for each break in earlier paragraphs and each paragraph but the first that starts a page."""
+    starts = F.when(F.col(new_page), 1).otherwise(0)
+    ranged = _ranged(df, pos, span).withColumn("_starts", starts)
+    ranged = _carry(ranged, [doc], {"_b": (F.sum(breaks), F.sum), "_s": (F.sum("_starts"), F.sum), "_f": (F.min_by("_starts", pos), lambda c: F.first(c))})
+    w = Window.partitionBy(doc, "_range").orderBy(pos)
+    before = F.coalesce(F.sum(breaks).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.coalesce("_b", F.lit(0))
+    so_far = F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_s", F.lit(0))
+    # The first paragraph of the document starts no further page.
+    first = F.coalesce("_f", F.first("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranged.withColumn("page_no", 1 + before + so_far - first).drop("_range", "_starts", "_b", "_s", "_f")
+
+
+def breadcrumbs(df: DataFrame, doc: str, pos: str, level: str, title: str, levels: int = 6, span: int = SPAN) -> DataFrame:
     """Adds breadcrumb: the headings a row stands under, its own included, joined from the top level down.
 
     A heading closes those of its own and deeper levels. Rows that are no heading have a null level.
     """
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    out = df
-    for k in range(1, levels + 1):
-        out = out.withColumn(f"_h{k}", F.last(F.when(F.col(level) == k, F.struct(F.col(pos).alias("p"), F.col(title).alias("t"))), ignorenulls=True).over(w))
+    heads = {k: F.when(F.col(level) == k, F.struct(F.col(pos).alias("p"), F.col(title).alias("t"))) for k in range(1, levels + 1)}
+    out = _carry(_ranged(df, pos, span), [doc], {f"_c{k}": _last(h, F.col(pos)) for k, h in heads.items()})
+    w = Window.partitionBy(doc, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    for k, h in heads.items():
+        out = out.withColumn(f"_h{k}", F.coalesce(F.last(h, ignorenulls=True).over(w), f"_c{k}"))
     parts = []
     for k in range(1, levels + 1):
         open_ = F.col(f"_h{k}").isNotNull()
         for j in range(1, k):
             open_ = open_ & (F.col(f"_h{j}").isNull() | (F.col(f"_h{j}.p") < F.col(f"_h{k}.p")))
         parts.append(F.when(open_, F.col(f"_h{k}.t")))
-    return out.withColumn("breadcrumb", F.concat_ws(" > ", *parts)).drop(*[f"_h{k}" for k in range(1, levels + 1)])
+    return out.withColumn("breadcrumb", F.concat_ws(" > ", *parts)).drop("_range", *[f"_h{k}" for k in heads], *[f"_c{k}" for k in heads])
 
 
-def islands(df: DataFrame, doc: str, pos: str, key: str) -> DataFrame:
+def islands(df: DataFrame, doc: str, pos: str, key: str, span: int = SPAN) -> DataFrame:
     """Adds island: the number of the run of equal keys a row belongs to, from 1; null keys are equal to each other."""
-    w = Window.partitionBy(doc).orderBy(pos)
-    first = F.row_number().over(w) == 1
-    changed = F.when(first | ~F.col(key).eqNullSafe(F.lag(key).over(w)), 1).otherwise(0)
-    return df.withColumn("_c", changed).withColumn("island", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+    own = F.struct(F.col(key).alias("k"))
+    ranged = _carry(_ranged(df, pos, span), [doc], {"_l": _last(own, F.col(pos))})
+    w = Window.partitionBy(doc, "_range").orderBy(pos)
+    before = F.coalesce(F.lag(own).over(w), "_l")
+    marked = ranged.withColumn("_c", F.when(before.isNull() | ~before["k"].eqNullSafe(F.col(key)), 1).otherwise(0))
+    marked = _carry(marked, [doc], {"_n": (F.sum("_c"), F.sum)})
+    return marked.withColumn("island", F.coalesce("_n", F.lit(0)) + F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c", "_l", "_n", "_range")
 
 
 def join_ordered(pos: Column, text: Column, glue: str = "") -> Column:
@@ -54,36 +108,54 @@ def join_ordered(pos: Column, text: Column, glue: str = "") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos.alias("p"), text.alias("t")))), lambda x: x["t"]), glue)
 
 
-def as_of_heading(df: DataFrame, doc: str, pos: str, heading: Column) -> DataFrame:
+def as_of_heading(df: DataFrame, doc: str, pos: str, heading: Column, span: int = SPAN) -> DataFrame:
     """Adds heading: the last non-blank one at or before each row; null before the first."""
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("heading", F.last(F.when(~is_blank(heading), heading), ignorenulls=True).over(w))
+    value = F.when(~is_blank(heading), heading)
+    ranged = _carry(_ranged(df, pos, span), [doc], {"_c": _last(value, F.col(pos))})
+    w = Window.partitionBy(doc, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("heading", F.coalesce(F.last(value, ignorenulls=True).over(w), "_c")).drop("_c", "_range")
 
 
-def neighbours(df: DataFrame, doc: str, order: list[str], text: str, region: str, eligible: Column, limit: int = 180) -> DataFrame:
-    """Adds before and after: previews of the nearest eligible texts across pages, of the same region where there is one, else of any."""
-    w = Window.partitionBy(doc).orderBy(*order)
-    same = Window.partitionBy(doc, region).orderBy(*order)
-    value = F.when(eligible, F.col(text))
-    back, ahead = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
-    before = F.coalesce(F.last(value, ignorenulls=True).over(same.rowsBetween(*back)), F.last(value, ignorenulls=True).over(w.rowsBetween(*back)))
-    after = F.coalesce(F.first(value, ignorenulls=True).over(same.rowsBetween(*ahead)), F.first(value, ignorenulls=True).over(w.rowsBetween(*ahead)))
-    return df.withColumn("before", context_preview(before, limit)).withColumn("after", context_preview(after, limit))
+#: Pages of a document that one task orders.
+PAGE_SPAN = 1000
 
 
-def continuation_flags(df: DataFrame, doc: str, page: str, idx: str, text: str, eligible: Column) -> DataFrame:
+def neighbours(df: DataFrame, doc: str, page: str, idx: str, text: str, region: str, eligible: Column, limit: int = 180, span: int = PAGE_SPAN) -> DataFrame:
+    """Adds before and after: previews of the nearest eligible texts across pages, of the same region where there is one, else of any.
+
+    A preview is made before anything moves, so long texts are not carried along.
+    """
+    rows = source = _ranged(df, page, span).withColumn("_v", F.when(eligible, context_preview(F.col(text), limit)))
+    place, v = F.struct(page, idx), F.col("_v")
+    first = F.min_by(v, F.when(v.isNotNull(), place)), lambda c: F.first(c, ignorenulls=True)
+    for keys, n in (([doc, region], "s"), ([doc], "a")):
+        rows = _carry(rows, keys, {f"_{n}b": _last(v, place)}, {f"_{n}f": first}, source)
+        w = Window.partitionBy(*keys, "_range").orderBy(page, idx)
+        rows = rows.withColumn(f"_{n}b", F.coalesce(F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), f"_{n}b"))
+        rows = rows.withColumn(f"_{n}f", F.coalesce(F.first(v, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), f"_{n}f"))
+    return rows.withColumn("before", F.coalesce("_sb", "_ab")).withColumn("after", F.coalesce("_sf", "_af")).drop("_range", "_v", "_sb", "_sf", "_ab", "_af")
+
+
+def continuation_flags(df: DataFrame, doc: str, page: str, idx: str, text: str, eligible: Column, span: int = PAGE_SPAN) -> DataFrame:
     """Adds from_previous and into_next: whether the first block of a page but the first goes on from the pages before, and the last one of a page but the last into the next.
 
     There must be an `eligible` text before, or after, and the block must begin, or end, in the open.
     """
-    on_page, whole = Window.partitionBy(doc, page), Window.partitionBy(doc)
-    all_ = Window.partitionBy(doc).orderBy(page, idx)
-    first = (F.col(idx) == F.min(idx).over(on_page)) & (F.col(page) > F.min(page).over(whole))
-    last = (F.col(idx) == F.max(idx).over(on_page)) & (F.col(page) < F.max(page).over(whole))
-    flag = F.when(eligible, 1)
-    before = F.count(flag).over(all_.rowsBetween(Window.unboundedPreceding, -1)) > 0
-    after = F.count(flag).over(all_.rowsBetween(1, Window.unboundedFollowing)) > 0
-    return df.withColumn("from_previous", first & before & starts_open(F.col(text))).withColumn("into_next", last & after & ends_open(F.col(text)))
+    rows = _ranged(df, page, span).withColumn("_ok", eligible)
+    place = F.struct(page, idx)
+    # One row a document: its first and last page, and the places of its first and last eligible block. Few enough bytes to meet by document range.
+    on_page = Window.partitionBy(doc, page)
+    ends = {"_p0": (F.min(page), F.min), "_p1": (F.max(page), F.max), "_e0": (F.min(F.when(F.col("_ok"), place)), F.min), "_e1": (F.max(F.when(F.col("_ok"), place)), F.max)}
+    rows = _carry(rows, [doc], {n: ends[n] for n in ("_p0", "_e0")}, {n: ends[n] for n in ("_p1", "_e1")})
+    own = Window.partitionBy(doc, "_range")
+    least = F.coalesce("_p0", F.min(page).over(own))
+    most = F.coalesce("_p1", F.max(page).over(own))
+    before = F.coalesce(F.col("_e0").isNotNull() | (F.min(F.when(F.col("_ok"), place)).over(own) < place), F.lit(False))
+    after = F.coalesce(F.col("_e1").isNotNull() | (F.max(F.when(F.col("_ok"), place)).over(own) > place), F.lit(False))
+    first = (F.col(idx) == F.min(idx).over(on_page)) & (F.col(page) > least)
+    last = (F.col(idx) == F.max(idx).over(on_page)) & (F.col(page) < most)
+    rows = rows.withColumn("from_previous", first & before & starts_open(F.col(text))).withColumn("into_next", last & after & ends_open(F.col(text)))
+    return rows.drop("_range", "_ok", "_p0", "_p1", "_e0", "_e1")
 
 
 #: Fields of a block that tell whether it goes on from another.

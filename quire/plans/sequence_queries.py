@@ -98,7 +98,7 @@ def _context(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_NEAR} SELECT doc_id, page, idx, {_sql_preview('b0')} AS before, {_sql_preview('a0')} AS after FROM n")
 def neighbour_context(spark: SparkSession, folder: str) -> DataFrame:
     """Previews of the texts before and after each block, across pages."""
-    return S.neighbours(_context(spark, folder), "doc_id", ["page", "idx"], "text", "region", F.col("ok")).select("doc_id", "page", "idx", "before", "after")
+    return S.neighbours(_context(spark, folder), "doc_id", "page", "idx", "text", "region", F.col("ok")).select("doc_id", "page", "idx", "before", "after")
 
 
 @query(f"WITH {_NEAR} SELECT doc_id, page, idx, from_previous, into_next FROM n")
@@ -114,7 +114,7 @@ _REGIONS = "CASE region WHEN 'Caption' THEN '图注区' WHEN 'Table' THEN '表
  CASE WHEN from_previous OR into_next THEN '当前文本很可能是跨页续句。请结合前后文完整翻译当前片段，但不要把前后文一并输出。' END], lambda q: q IS NOT NULL), '；') || CASE WHEN has_formula THEN '；当前片段包含公式、变量或编号。请翻译可翻译的正文内容，并严格保留公式、变量名、运算符、编号和引用格式。' ELSE '' END AS hint FROM n""")
 def context_hints(spark: SparkSession, folder: str) -> DataFrame:
     """What a translator is told of the place of each block."""
-    near = S.neighbours(_context(spark, folder), "doc_id", ["page", "idx"], "text", "region", F.col("ok"))
+    near = S.neighbours(_context(spark, folder), "doc_id", "page", "idx", "text", "region", F.col("ok"))
     rows = S.continuation_flags(near, "doc_id", "page", "idx", "text", F.col("ok"))
     hint = H.block_hint(F.col("page"), F.col("idx") + 1, F.col("region"), F.col("before"), F.col("after"), F.col("from_previous") | F.col("into_next"), F.col("f.contains"))
     return rows.select("doc_id", "page", "idx", hint.alias("hint"))

@@ -91,6 +91,28 @@ def quality_retry_flags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_KIND = "CASE WHEN context LIKE '%cell%' THEN 'cell' WHEN context LIKE '%list%' THEN 'list' WHEN context LIKE '%caption%' THEN 'caption' ELSE 'plain' END"
+
+
+@query(f"""WITH r AS ({_RETRY}), k AS (SELECT doc_id, seq, {_KIND} AS kind FROM ({SQL_CURRENT}))
+SELECT doc_id, seq, kind, fragment OR numbering_broken OR (kind = 'cell' AND (english OR cut OR cell_expanded)) OR (kind = 'list' AND list_broken) OR (kind = 'caption' AND english) AS retry FROM r JOIN k USING (doc_id, seq)""")
+def retry_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Which current segments would be asked for once more, by the kind of unit they are."""
+    c = F.col("context")
+    kind = F.when(c.contains("cell"), "cell").when(c.contains("list"), "list").when(c.contains("caption"), "caption").otherwise("plain")
+    rows = current_segments(spark, folder).withColumn("kind", kind)
+    return rows.select("doc_id", "seq", "kind", Q.needs_retry(F.col("original"), F.col("translation"), F.col("kind")).alias("retry"))
+
+
+@query(r"""SELECT chunk_id, CASE WHEN trim(original) = '' THEN original ELSE '译' || original END AS translation FROM chunks WHERE original IS NOT NULL AND regexp_matches(original, '^[A-Za-z ]*$')""")
+def translation_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain chunks through the whole pipeline with a translator that marks what it was sent."""
+    from quire.operators.translate import translate
+
+    rows = table(spark, folder, "chunks").select("chunk_id", F.col("original").alias("text")).filter(F.col("text").rlike(r"^[A-Za-z ]*\z"))
+    return translate(rows, "text", [], lambda texts: "译" + texts).select("chunk_id", "translation")
+
+
 @query(f"""SELECT doc_id, pos, {sql_comparable('line')} AS comparable, round({sql_ratio('line')}, 9) AS english_ratio, regexp_matches(line, '{_CJK}') AS cjk, regexp_matches(line, '{X.CJK_WIDE}') AS wide_cjk,
  CASE WHEN length(regexp_replace({sql_strip('line')}, '{SP}+', ' ', 'g')) > 60 THEN substring(regexp_replace({sql_strip('line')}, '{SP}+', ' ', 'g'), 1, 60) || '...' ELSE regexp_replace({sql_strip('line')}, '{SP}+', ' ', 'g') END AS preview
 FROM ({SQL_LINES})""")
@@ -139,9 +161,9 @@ def translation_cache_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH cur AS ({SQL_CURRENT}) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS row_no, context, original, translation FROM cur""")
 def bilingual_export(spark: SparkSession, folder: str) -> DataFrame:
     """The three-column bilingual table of each document in order."""
-    from pyspark.sql import Window
+    from quire.operators.sequence import row_numbers
 
-    return current_segments(spark, folder).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).cast("bigint").alias("row_no"), "context", "original", "translation")
+    return row_numbers(current_segments(spark, folder), "doc_id", "seq", "row_no").select("doc_id", "row_no", "context", "original", "translation")
 
 
 @query(f"""WITH l AS ({SQL_LINES}) SELECT doc_id, pos,

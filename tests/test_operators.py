@@ -35,12 +35,34 @@ def test_hyphens_and_neighbours(spark):
     for c, v in (("l", 50.0), ("r", 400.0), ("t", 700.0), ("b", 690.0), ("lh", 10.0)):
         b = b.withColumn(c, F.lit(v))
     assert [r["repaired"] for r in sequence.repair_hyphens(b, "d", "page", "idx", F.col("text") != "").orderBy("page", "idx").collect()] == ["An example", "of it.", ""]
-    near = sequence.neighbours(b, "d", ["page", "idx"], "text", "region", F.col("text") != "").orderBy("page", "idx").collect()
+    near = sequence.neighbours(b, "d", "page", "idx", "text", "region", F.col("text") != "").orderBy("page", "idx").collect()
     assert [(r["before"], r["after"]) for r in near] == [(None, "ple of it."), ("An exam-", None), ("ple of it.", None)]
     flags = sequence.continuation_flags(b, "d", "page", "idx", "text", F.col("text") != "").orderBy("page", "idx").collect()
     assert [(r["from_previous"], r["into_next"]) for r in flags] == [(False, True), (True, False), (False, False)]
 
 
+def test_ranges_of_a_document_carry_over(spark):
+    import random
+
+    r = random.Random(3)
+    data = [(d, p, r.choice([None, None, 1, 2, 3]), f"t{p}", r.randint(0, 2), r.random() < 0.2, r.choice(["a", "b", None])) for d in (1, None) for p in range(1, 60)]
+    df = spark.createDataFrame(data, "d int, pos int, lv int, t string, br int, np boolean, k string")
+    for f in (
+        lambda n: sequence.row_numbers(df, "d", "pos", "x", n),
+        lambda n: sequence.page_numbers(df, "d", "pos", "br", "np", n).withColumnRenamed("page_no", "x"),
+        lambda n: sequence.breadcrumbs(df, "d", "pos", "lv", "t", 3, n).withColumnRenamed("breadcrumb", "x"),
+        lambda n: sequence.islands(df, "d", "pos", "k", n).withColumnRenamed("island", "x"),
+        lambda n: sequence.as_of_heading(df, "d", "pos", F.when(F.col("lv") == 1, F.col("t")), n).withColumnRenamed("heading", "x"),
+    ):
+        whole, cut = ({(x["d"], x["pos"]): x["x"] for x in f(n).collect()} for n in (100_000, 7))
+        assert whole == cut and len(whole) == len(data)
+    blocks = spark.createDataFrame([(d, p, i, r.choice(["It goes", "and on", "Ends.", ""]), r.choice(["Body", "Table"])) for d in (1, None) for p in range(1, 40) for i in range(r.randint(1, 3))], "d int, page int, idx int, text string, region string")
+    ok = F.col("text") != ""
+    for f in (lambda n: sequence.neighbours(blocks, "d", "page", "idx", "text", "region", ok, span=n), lambda n: sequence.continuation_flags(blocks, "d", "page", "idx", "text", ok, n)):
+        whole, cut = (sorted(map(str, f(n).collect())) for n in (1000, 6))
+        assert whole == cut and len(whole) == blocks.count()
+
+
 def test_running_offsets(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(100)], "k int, n int").repartition(5)
     want = {i: sum(j % 3 for j in range(i)) for i in range(100)}
