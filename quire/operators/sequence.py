@@ -207,7 +207,7 @@ def hyphen_target(source: Column, target: Column, same_page: Column, settings: L
     return starts_lower(target["text"]) & F.when(same_page, below).otherwise(column | (ws > wt * 0.7) | (wt > ws * 0.7))
 
 
-def repair_hyphens(df: DataFrame, doc: str, page: str, idx: str, eligible: Column, settings: Layout = LAYOUT) -> DataFrame:
+def repair_hyphens(df: DataFrame, doc: str, page: str, idx: str, eligible: Column, settings: Layout = LAYOUT, span: int = PAGE_SPAN) -> DataFrame:
     """Adds repaired: a block that ends in a cut word has the rest of it, which the next eligible block of the document has lost.
 
     The cut part must be two ASCII letters or more, the rest a small ASCII word at the
@@ -215,23 +215,28 @@ def repair_hyphens(df: DataFrame, doc: str, page: str, idx: str, eligible: Colum
     before one such block the first takes the word. A block that is nothing but a small word and its hyphen takes none.
     Expects text, l, r, t, b and lh.
     """
-    w = Window.partitionBy(doc).orderBy(page, idx)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
-    out = df.withColumn("_e", eligible)
-    place = F.struct("text", "l", "r", "t", "b", "lh", F.col(page).alias("page"))
-    out = out.withColumn("_next", F.first(F.when(F.col("_e"), place), ignorenulls=True).over(ahead)).withColumn("_own", place)
+    place = F.struct(F.regexp_extract("text", rf"{_HEAD}|^{SPACE}*[\"'(\[{{]*\p{{Ll}}", 0).alias("text"), "l", "r", "t", "b", "lh", F.col(page).alias("page"))
+    at, order = F.struct(page, idx), (page, idx)
+    out = _ranged(df, page, span).withColumn("_e", eligible).withColumn("_own", place)
+    target = F.when(F.col("_e"), F.col("_own"))
+    out = _carry(out, [doc], {"_sum": (F.count_if("_e"), F.sum)}, {"_later": (F.min_by(target, F.when(target.isNotNull(), at)), lambda c: F.first(c, ignorenulls=True))})
+    w = Window.partitionBy(doc, "_range").orderBy(*order)
+    out = out.withColumn("_next", F.coalesce(F.first(target, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), "_later"))
     text = F.col("text")
     cut = text.rlike(_CUT) & (~text.rlike(_HEAD) | F.regexp_replace(text, _HEAD, "").rlike(_CUT))
     rest = leading_lower_word(F.col("_next.text"))
     takes = cut & F.col("_next").isNotNull() & (F.coalesce(rest, F.lit("")) != "") & hyphen_target(F.col("_own"), F.col("_next"), F.col("_next.page") == F.col(page), settings)
     # Blocks from one eligible block up to the next share the number of eligible ones so far, and with it their target.
-    out = out.withColumn("_takes", F.coalesce(takes, F.lit(False))).withColumn("_group", F.count(F.when(F.col("_e"), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    group = Window.partitionBy(doc, "_group").orderBy(page, idx)
+    out = out.withColumn("_takes", F.coalesce(takes, F.lit(False))).withColumn("_rest", rest)
+    out = out.withColumn("_group", F.coalesce("_sum", F.lit(0)) + F.count(F.when(F.col("_e"), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    group = Window.partitionBy(doc, "_group").orderBy(*order)
     out = out.withColumn("_takers", F.count(F.when(F.col("_takes"), 1)).over(group.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("_gives", F.col("_e") & F.coalesce(F.lag("_takers").over(w) > 0, F.lit(False)))
+    out = _carry(out, [doc], {"_before": (F.max_by("_takers", at), lambda c: F.last(c))})
+    out = out.withColumn("_gives", F.col("_e") & F.coalesce(F.coalesce(F.lag("_takers").over(w), "_before") > 0, F.lit(False)))
     own = F.when(F.col("_gives"), F.regexp_replace(text, _HEAD, "")).otherwise(text)
-    repaired = F.when(F.col("_takes") & (F.col("_takers") == 1), F.concat(drop_hyphen(own), rest)).otherwise(own)
-    return out.withColumn("repaired", repaired).drop("_e", "_next", "_own", "_takes", "_group", "_takers", "_gives")
+    repaired = F.when(F.col("_takes") & (F.col("_takers") == 1), F.concat(drop_hyphen(own), F.col("_rest"))).otherwise(own)
+    made = out.withColumn("repaired", repaired)
+    return made.select(*df.columns, "repaired")
 
 
 def running_offsets(df: DataFrame, key: str, count: str, out: str) -> DataFrame:

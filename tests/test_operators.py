@@ -58,6 +58,11 @@ def test_ranges_of_a_document_carry_over(spark):
         assert whole == cut and len(whole) == len(data)
     blocks = spark.createDataFrame([(d, p, i, r.choice(["It goes", "and on", "Ends.", ""]), r.choice(["Body", "Table"])) for d in (1, None) for p in range(1, 40) for i in range(r.randint(1, 3))], "d int, page int, idx int, text string, region string")
     ok = F.col("text") != ""
+    for c, v in (("l", 50.0), ("r", 400.0), ("t", 700.0), ("b", 690.0), ("lh", 10.0)):
+        blocks = blocks.withColumn(c, F.lit(v))
+    cut = blocks.withColumn("text", F.when(F.col("text") == "It goes", "an exam-").when(F.col("text") == "and on", "ple of pa-").otherwise(F.col("text")))
+    whole, parts = (sorted(map(str, sequence.repair_hyphens(cut, "d", "page", "idx", ok, span=n).collect())) for n in (1000, 6))
+    assert whole == parts and any("an example" in x for x in whole)
     for f in (lambda n: sequence.neighbours(blocks, "d", "page", "idx", "text", "region", ok, span=n), lambda n: sequence.continuation_flags(blocks, "d", "page", "idx", "text", ok, n)):
         whole, cut = (sorted(map(str, f(n).collect())) for n in (1000, 6))
         assert whole == cut and len(whole) == blocks.count()
