@@ -252,6 +252,23 @@ def test_long_documents_with_omissions_and_moves(spark):
         assert len(found & real) >= 0.95 * len(real) and len(found & real) >= 0.95 * len(found), doc
 
 
+def test_blocks_and_whole_documents_agree(spark):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 3))) for _ in range(600)]
+    data, truth = [], set()
+    for doc, n in ((None, 130), (2, 260), *((k, 20) for k in range(10, 60))):
+        rows_, links = _parallel(r, vocabulary, doc, n, [i for i in range(n) if i % 37 != 5])
+        data += rows_ + rows_[:1]
+        truth |= links
+    data += [(3, 1, None, "x", "en", "xx"), (3, None, "a b", "c d", "en", "xx"), (4, 1, "", " ", None, None), (5, 1, "one " * 4000, "eno " * 3000, "en", "xx")]
+    df = spark.createDataFrame(data, "doc_id bigint, seq int, original string, translation string, source_lang string, target_lang string").distinct().withColumn("cells", F.lit("clash"))
+    for window in (400, 50):
+        got = {tuple(x) for x in align.align(df, window).select("doc_id", "original_seq", "translation_seq").collect()}
+        for doc in (None, 2):
+            found, real = {x for x in got if x[0] == doc}, {x for x in truth if x[0] == doc}
+            assert len(found & real) >= 0.97 * max(len(found), len(real)), (window, doc)
+
+
 def test_scores_by_brute_force():
     from quire.llm.lexicon import CELLS, Lexicon, Strengths
 
