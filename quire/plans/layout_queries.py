@@ -145,3 +145,11 @@ def formula_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Whether a chunk is, or has, a formula."""
     rows = table(spark, folder, "chunks").filter("original IS NOT NULL").withColumn("f", L.formula_flags(F.col("original")))
     return rows.select("chunk_id", F.col("f.pure").alias("pure_formula"), F.col("f.contains").alias("contains_formula"))
+
+
+@query("""WITH b AS (SELECT DISTINCT doc_id, page, idx, style.color AS color FROM blocks WHERE style.color IS NOT NULL), n AS (SELECT doc_id, lower(color) AS low, count(*) AS n, min({'page': page, 'idx': idx, 'color': color}) AS f FROM b GROUP BY 1, 2), r AS (SELECT doc_id, f.color AS color, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS k FROM n)
+SELECT doc_id, color FROM r WHERE k = 1""")
+def dominant_colour(spark: SparkSession, folder: str) -> DataFrame:
+    """The colour most blocks of a document have; of equally frequent ones the first."""
+    rows = table(spark, folder, "blocks").select("doc_id", "page", "idx", F.col("style.color").alias("color")).distinct()
+    return O.dominant(rows, ["doc_id"], "color", ["page", "idx"])

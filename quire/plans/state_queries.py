@@ -150,13 +150,30 @@ def distribute_translation(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "seq", D.distribute(F.col("translation"), weights).alias("pieces"), D.distribute_evenly(F.col("translation"), F.lit(2)).alias("halves"))
 
 
-@query()
+@query(r"""WITH RECURSIVE u AS (SELECT DISTINCT doc_id, unit_no, original AS x FROM epub_units WHERE original IS NOT NULL),
+p AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(x, '([.!?。！？；;:：])([\t\n\x0B\f\r \x{85}\p{Z}]|$)', '\1' || chr(1) || '\2', 'g'), '\n([^\t\n\x0B\f\r \x{85}\p{Z}])', chr(10) || chr(1) || '\1', 'g'), chr(1)), lambda q: regexp_matches(q, '[^\t\n\x0B\f\r \x{85}\p{Z}]')) AS parts FROM u),
+r AS (SELECT doc_id, unit_no, x, parts, 0 AS i, '' AS open, -1 AS n, NULL::VARCHAR AS frag FROM p WHERE length(x) > 420 AND len(parts) > 1
+ UNION ALL SELECT doc_id, unit_no, x, parts, i + 1, CASE WHEN open <> '' AND length(open) + length(parts[i + 1]) > 420 THEN parts[i + 1] ELSE open || parts[i + 1] END, n + CASE WHEN open <> '' AND length(open) + length(parts[i + 1]) > 420 THEN 1 ELSE 0 END, CASE WHEN open <> '' AND length(open) + length(parts[i + 1]) > 420 THEN open END FROM r WHERE i < len(parts))
+SELECT doc_id, unit_no, n AS fragment_no, frag AS fragment FROM r WHERE frag IS NOT NULL UNION ALL SELECT doc_id, unit_no, n + 1, open FROM r WHERE i = len(parts)
+UNION ALL SELECT doc_id, unit_no, 0, x FROM p WHERE NOT (length(x) > 420 AND len(parts) > 1)""")
 def sentence_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Units packed into fragments of 420 characters at most."""
     rows = table(spark, folder, "epub_units").filter("original IS NOT NULL").select("doc_id", "unit_no", "original").distinct()
     return rows.select("doc_id", "unit_no", F.posexplode(D.pack_sentences(F.col("original"))).alias("fragment_no", "fragment"))
 
 
+@query(f"""SELECT doc_id, seq, replace(replace('Übersetze {{source}} nach {{target}}.' || CASE WHEN seq % 2 = 0 THEN chr(10) || '- a => b' ELSE '' END, '{{source}}', 'en'), '{{target}}', 'zh$1') AS system,
+ '文档上下文（仅供理解，不要翻译这一部分）：' || chr(10) || context || chr(10) || chr(10) || '翻译要求：' || chr(10) || '1. 只翻译“待翻译文本”部分，仅返回译文。' || chr(10) || '2. 保留原文段落、换行、列表和占位符结构，不要把多个段落合并成一整段。' || chr(10) || '3. 不要遗漏任何可翻译英文；若当前片段是跨页续句，请结合上下文把当前片段完整译成中文。' || chr(10)
+ || '4. 若待翻译文本是英文残句、断词续句或句中片段，也必须译成自然中文，不要原样照抄英文。' || chr(10) || '5. 除公认缩写、公式、代码、文献编号等必须保留的内容外，不要残留未翻译英文。' || chr(10) || CASE WHEN seq % 3 = 0 THEN '补充要求：' || chr(10) || 'x' || chr(10) || chr(10) ELSE chr(10) END || '待翻译文本：' || chr(10) || '<<<TEXT' || chr(10) || original || chr(10) || 'TEXT' AS request FROM ({SQL_CURRENT})""")
+def request_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Both parts of the request for every current segment; every second has a glossary, every third a requirement."""
+    from quire.functions.answers import system_prompt, user_prompt
+
+    glossary = F.when(F.col("seq") % 2 == 0, "- a => b")
+    system = system_prompt(F.lit("Übersetze {Source} nach {target}."), F.lit("en"), F.lit("zh$1"), glossary)
+    return current_segments(spark, folder).select("doc_id", "seq", system.alias("system"), user_prompt(F.col("original"), F.col("context"), F.when(F.col("seq") % 3 == 0, " x ")).alias("request"))
+
+
 #: Base addresses with the message service and the chat services below them.
 BASES = [
     ("https://api.example/v1/messages/", "https://api.example/v1/messages", "https://api.example/v1/messages/chat/completions https://api.example/v1/messages/v1/chat/completions https://api.example/v1/messages/v2/chat/completions https://api.example/v1/messages/v3/chat/completions"),

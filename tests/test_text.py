@@ -173,4 +173,5 @@ def test_answers(spark):
     for json, wanted in shapes.items():
         assert one(spark, answer_text(F.col("j")), j=json) == wanted
     assert one(spark, system_prompt(F.col("t"), F.lit("en"), F.lit("$1"), F.lit("")), t="From {Source} to {target}") == "From en to $1"
-    assert one(spark, user_prompt(F.col("t"), F.lit(""), F.lit("r")), t="x") == "Requirements: r\n<<<TEXT\nx\nTEXT"
+    assert one(spark, user_prompt(F.col("t"), F.lit(""), F.lit(" r ")), t="x").endswith("不要残留未翻译英文。\n补充要求：\nr\n\n待翻译文本：\n<<<TEXT\nx\nTEXT")
+    assert one(spark, user_prompt(F.col("t"), F.lit("c"), F.lit(None).cast("string")), t=None).startswith("文档上下文（仅供理解，不要翻译这一部分）：\nc\n\n翻译要求：\n1. ")
