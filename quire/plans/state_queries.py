@@ -12,7 +12,7 @@ from quire.operators import distribute as D
 from quire.operators import protect as P
 from quire.operators import state as S
 from quire.plans.carriers import current_segments, page_blocks
-from quire.plans.registry import SP, SQL_BLOCKS, SQL_CURRENT, query
+from quire.plans.registry import SP, SQL_BLOCKS, SQL_CURRENT, query, sql_strip
 from quire.session import table
 from quire.streaming import feeds
 
@@ -142,12 +142,23 @@ def protect_restore(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "seq", restored.alias("restored"), F.when(~signs, F.col("p.text")).alias("sent"), P.missing(F.col("p.text"), F.col("p.tokens")).alias("lost"), P.all_restored(restored, F.col("p.tokens")).alias("whole"))
 
 
-@query()
+def _sql_cut(x: str, start: str, target: str) -> str:
+    """SQL: where a piece of `x` that begins at `start` and should be `target` long ends: after the last mark of the best kind within three tenths."""
+    low, high = f"greatest({start}, floor({start} + {target} - 0.3::DOUBLE * {target})::BIGINT)", f"least(length({x}), ceil({start} + {target} + 0.3::DOUBLE * {target})::BIGINT)"
+    part = f"substring({x}, {low} + 1, {high} - {low})"
+    found = [f"nullif(length(regexp_extract({part}, '(?s)^(.*{c})', 1)), 0)" for c in ("[。！？.!?]", "[，；,;、]", "[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]", "\\p{P}", "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]")]
+    return f"(CASE WHEN {low} < {high} THEN coalesce({low} + coalesce({', '.join(found)}), least(trunc({start} + {target})::BIGINT, length({x}))) ELSE least(trunc({start} + {target})::BIGINT, length({x})) END)"
+
+
+@query(f"""WITH c AS (SELECT doc_id, seq, translation AS x, length(translation) AS n, greatest(1, greatest(1, length({sql_strip('original')})) % 5) AS w FROM ({SQL_CURRENT})),
+a AS (SELECT *, n * 3 / (4 + w)::DOUBLE AS t1, n * 1 / (4 + w)::DOUBLE AS t2, n / 2.0::DOUBLE AS th FROM c), b AS (SELECT *, {_sql_cut('x', '0', 't1')} AS e1, {_sql_cut('x', '0', 'th')} AS eh FROM a), d AS (SELECT *, {_sql_cut('x', 'e1', 't2')} AS e2 FROM b)
+SELECT doc_id, seq, substring(x, 1, e1) AS first, substring(x, e1 + 1, e2 - e1) AS second, substring(x, e2 + 1) AS third, CASE WHEN x = '' THEN '' ELSE substring(x, 1, eh) END AS half, CASE WHEN x = '' THEN '' ELSE substring(x, eh + 1) END AS rest FROM d""")
 def distribute_translation(spark: SparkSession, folder: str) -> DataFrame:
-    """Translations dealt out over three targets by weight, and two equal ones."""
+    """Translations dealt out over three targets by weight, and over two equal ones."""
     rows = current_segments(spark, folder)
     weights = F.array(F.lit(3), F.lit(1), X.text_weight(F.col("original")) % 5)
-    return rows.select("doc_id", "seq", D.distribute(F.col("translation"), weights).alias("pieces"), D.distribute_evenly(F.col("translation"), F.lit(2)).alias("halves"))
+    made = rows.select("doc_id", "seq", D.distribute(F.col("translation"), weights).alias("p"), D.distribute_evenly(F.col("translation"), F.lit(2)).alias("h"))
+    return made.select("doc_id", "seq", *[F.col("p")[k].alias(n) for k, n in enumerate(("first", "second", "third"))], F.col("h")[0].alias("half"), F.col("h")[1].alias("rest"))
 
 
 @query(r"""WITH RECURSIVE u AS (SELECT DISTINCT doc_id, unit_no, original AS x FROM epub_units WHERE original IS NOT NULL),
