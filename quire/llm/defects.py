@@ -405,6 +405,40 @@ def classify(o: list, t: list, source: list, target: list, co: list, ct: list, f
     return out
 
 
+def length_ratios(rows: DataFrame) -> dict[str, tuple[float, float]]:
+    """(median, spread) of the log of translation length over original length of each language pair (pair, original, translation), to a hundredth."""
+    length = lambda c: F.greatest(F.lit(1), F.length(c))
+    ratio = F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.log(length("translation") / length("original"))))
+    # A pair has 2,001 steps at most.
+    steps = fetch(rows.groupBy("pair", F.bround(ratio * 100).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("n")))
+    out = {}
+    for pair, part in steps.groupby("pair"):
+        part = part.sort_values("step")
+        upto = part["n"].cumsum().to_numpy() / part["n"].sum()
+        low, middle, high = (float(part["step"].to_numpy()[np.searchsorted(upto, q - 1e-12)]) / 100 for q in (0.25, 0.5, 0.75))
+        out[pair] = (middle, max(0.05, (high - low) / 1.35))
+    return out
+
+
+def sample_texts(rows: DataFrame, size: int = SAMPLE) -> list[tuple[str, str, str, str]]:
+    """About `size` rows (original, translation, languages), each as often as its share of all rows asks for.
+
+    A text pair is drawn by the hash of its texts against its share, so copies of the corpus
+    give the same sample, and what recurs is met as often in training as it is in the corpus.
+    """
+    texts = ["original", "translation", "source_lang", "target_lang"]
+    hashed = rows.select(F.xxhash64(*texts).alias("h"), *texts)
+    counts = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    if not total:
+        return []
+    chance = F.pmod(F.xxhash64("h", F.lit(7)), F.lit(1 << 31)) / float(1 << 31)
+    # The draws of all pairs add up to `size` on average, so that many rows at most come through.
+    drawn = counts.withColumn("k", F.floor(F.col("n") * F.lit(size / total) + chance).cast("int")).filter("k > 0").select("h", "k")
+    found = hashed.join(F.broadcast(drawn), "h").groupBy("h", "k").agg(*[F.min(c).alias(c) for c in texts]).collect()
+    return [(r[2], r[3], r[4] or "", r[5] or "") for r in sorted(found, key=lambda r: r[0]) for _ in range(r[1])]
+
+
 def train(rows: DataFrame) -> tuple[Features, Classifier]:
     """Tables over all rows and the classifier of a bounded sample (SAMPLE rows, by hash).
 
@@ -413,15 +447,12 @@ def train(rows: DataFrame) -> tuple[Features, Classifier]:
     usable = rows.filter(~is_blank(F.col("translation")))
     pair = F.concat_ws("-", F.coalesce("source_lang", F.lit("")), F.coalesce("target_lang", F.lit("")))
     lex = lexicon.train(usable.select(pair.alias("pair"), F.array_distinct("co").alias("s"), F.array_distinct("ct").alias("t")), lasting=True)
-    length = lambda c: F.greatest(F.lit(1), F.length(c))
-    spans = usable.select(pair.alias("pair"), F.log(length("translation") / length("original")).alias("r")).groupBy("pair")
-    ratio = {r["pair"]: (r["m"], max(0.05, (r["q3"] - r["q1"]) / 1.35)) for r in spans.agg(F.percentile_approx("r", 0.5).alias("m"), F.percentile_approx("r", 0.25).alias("q1"), F.percentile_approx("r", 0.75).alias("q3")).collect()}
+    ratio = length_ratios(usable.select(pair.alias("pair"), "original", "translation"))
     side = lambda lang, cells: usable.select(F.coalesce(lang, F.lit("")).alias("k"), F.explode(F.array_distinct(cells)).alias("c"))
     counts = side("source_lang", "co").unionByName(side("target_lang", "ct")).groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
     # CELLS rows a language at most.
     features = Features(lex, languages(fetch(counts)), ratio)
-    sample = usable.orderBy(F.xxhash64("doc_id", "seq"), "doc_id", "seq").limit(SAMPLE).select("original", "translation", "source_lang", "target_lang").collect()
-    some = [(r[0], r[1], r[2] or "", r[3] or "") for r in sample if has_words(r[0])]
+    some = [r for r in sample_texts(usable) if has_words(r[0])]
     sound: list[tuple[str, str, str, str]] = []
     if some:
         o, t, s, k = (list(c) for c in zip(*some))

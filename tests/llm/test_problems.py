@@ -346,6 +346,35 @@ def test_defects_do_not_depend_on_how_often_a_translation_recurs(spark, monkeypa
         assert [r["defect"] for r in defects.defects(df.limit(k)).collect()] == ["truncated"] * k
 
 
+def test_defects_do_not_depend_on_copies_of_the_corpus(spark):
+    r = random.Random(2)
+    a, b, c = ["box", "lamp", "street", "judge", "winter", "teacher", "garden", "bridge"], ["kiste", "lampe", "straße", "richter", "jahreszeit", "lehrer", "garten", "brücke"], "箱灯街官冬师园桥"
+    data = []
+    for i in range(240):
+        ws = [r.randrange(8) for _ in range(8)]
+        o, t, k = "The " + " the ".join(a[w] for w in ws) + ".", "Die " + " die ".join(b[w] for w in ws) + ".", "de"
+        if i % 5 == 0:
+            t, k = "".join(c[w] for w in ws) + "。", "zh"
+        t = {7: None, 11: o, 13: t[: len(t) // 3], 17: "I'm sorry, but I cannot translate this text."}.get(i % 40, t)
+        data.append((1, i, o, t, "en", k))
+    schema = "doc_id bigint, seq int, original string, translation string, source_lang string, target_lang string"
+    found = [rows(defects.defects(spark.createDataFrame([(d + 10 * k, *x) for k in range(n) for d, *x in data], schema)).filter("doc_id = 1")) for n in (1, 10)]
+    assert found[0] == found[1] and {x[2] for x in found[0]} >= {"empty", "copy", "truncated", "refusal"}
+
+
+def test_subjects_do_not_depend_on_copies_of_the_corpus(spark):
+    r = random.Random(7)
+    words = {"law": ["judge", "verdict", "court"], "music": ["violin", "choir", "symphony"], "general": ["lamp", "street", "chair"]}
+    docs = [(i, " ".join(f"The {r.choice(words[s])} moves the {r.choice(words[s])}." for s in r.choices(list(words), k=8)), None) for i in range(60)]
+    marks = [(i, r.choice(["law", "music", "general"]), "a") for i in range(0, 60, 2)]
+    found = []
+    for k in (1, 10, 100):
+        df = spark.createDataFrame([(i + 1000 * c, t, x) for c in range(k) for i, t, x in docs], "doc_id bigint, text string, extra string")
+        m = spark.createDataFrame([(i + 1000 * c, s, w) for c in range(k) for i, s, w in marks], "doc_id bigint, subject string, annotator string")
+        found.append(rows(subjects.classify(df, m).filter("doc_id < 1000")))
+    assert found[0] == found[1] == found[2]
+
+
 def test_coverage_by_brute_force():
     from quire.llm import lexicon
     from quire.llm.lexicon import CELLS, Lexicon
