@@ -33,7 +33,9 @@ from quire.session import fetch, materialize, spread
 LABELS = ("refusal", "copy", "truncated", "wrong_language")
 #: Rows from which synthetic training pairs are made, and cells of hashed n-grams.
 SAMPLE, GRAMS = 4000, 1 << 18
-EPOCHS, BATCH = 5, 8
+EPOCHS, BATCH = 12, 4
+#: Share of the original's weight that a pair to train on must render, so that refusals in the corpus are not taken for sound.
+RENDERED = 0.2
 #: Rows whose features are computed at once, in tasks and in training.
 AT_ONCE, SLICE = 2000, 500
 #: Log share of a word that a language never has, and the least one of a word it has.
@@ -58,22 +60,22 @@ INNER_END = regex.compile(r"(?:(?<![\s.(]\p{L}|^\p{L}|(?:[\s(]|^)\p{Lu}\p{L}{1,2
 #: Phrases from which refusals are put together for training: an opening, what is declined, a closing.
 REFUSAL_PARTS = {
     "en": (["I'm sorry, but", "Sorry,", "Unfortunately,", "I apologize, but", "As an AI,", "As a language model,", "Regrettably,", "I am afraid", ""],
-           ["I cannot translate this text.", "I can't help with that request.", "I am not able to translate this passage.", "I must decline to translate this content.", "I am unable to assist with this text.", "I won't be able to provide a translation.", "this request can't be fulfilled.", "translating this is something I cannot do."],
+           ["I cannot translate this text.", "I can't help with that request.", "I am not able to translate this passage.", "I must decline to translate this content.", "I am unable to assist with this text.", "I won't be able to provide a translation.", "this request can't be fulfilled.", "translating this is something I cannot do.", "I must refuse this request.", "I am not allowed to render this passage.", "I can't provide a translation here.", "that is beyond what I may translate."],
            ["", "", "Please provide another text.", "It may violate the guidelines.", "Please send a different text."]),
     "zh": (["抱歉，", "对不起，", "很抱歉，", "很遗憾，", "作为人工智能，", "作为语言模型，", ""],
-           ["我无法翻译这段文字", "我不能提供该文本的翻译", "我无法协助处理这个请求", "恕我不能完成此翻译", "无法满足您的请求", "我不能翻译此内容"],
+           ["我无法翻译这段文字", "我不能提供该文本的翻译", "我无法协助处理这个请求", "恕我不能完成此翻译", "无法满足您的请求", "我不能翻译此内容", "恕我无法给出译文", "这项请求我不能完成", "我不便处理这段内容", "恕不能提供译文"],
            ["。", "。", "，因为它可能违反规定。", "。请提供其他文本。", "，请更换内容。"]),
     "de": (["Es tut mir leid, aber", "Entschuldigung,", "Leider", "Als Sprachmodell", "Bedauerlicherweise"],
-           ["kann ich diesen Text nicht übersetzen.", "ich kann diesen Abschnitt nicht übersetzen.", "ich kann bei dieser Anfrage nicht helfen.", "muss ich die Übersetzung ablehnen.", "ist es mir nicht möglich, diesen Text zu bearbeiten."],
+           ["kann ich diesen Text nicht übersetzen.", "ich kann diesen Abschnitt nicht übersetzen.", "ich kann bei dieser Anfrage nicht helfen.", "muss ich die Übersetzung ablehnen.", "ist es mir nicht möglich, diesen Text zu bearbeiten.", "darf ich diesen Inhalt nicht wiedergeben.", "muss ich diese Bitte abschlagen.", "kann ich keine Übersetzung liefern."],
            ["", "", "Bitte senden Sie einen anderen Text.", "Er könnte gegen die Richtlinien verstoßen."]),
     "fr": (["Je suis désolé, mais", "Désolé,", "Malheureusement,", "En tant que modèle de langue,", "Avec regret,"],
-           ["je ne peux pas traduire ce texte.", "je ne peux pas traduire ce passage.", "il m'est impossible de traiter ce texte.", "je dois refuser de traduire ce contenu.", "je ne suis pas en mesure de répondre à cette demande."],
+           ["je ne peux pas traduire ce texte.", "je ne peux pas traduire ce passage.", "il m'est impossible de traiter ce texte.", "je dois refuser de traduire ce contenu.", "je ne suis pas en mesure de répondre à cette demande.", "il m'est interdit de rendre ce contenu.", "je ne peux fournir aucune traduction.", "je dois décliner cette demande."],
            ["", "", "Merci d'envoyer un autre texte.", "Il pourrait enfreindre les règles."]),
     "es": (["Lo siento, pero", "Lamentablemente,", "Disculpe,", "Como modelo de lenguaje,", "Con pesar,"],
-           ["no puedo traducir este texto.", "no puedo traducir este pasaje.", "me es imposible ayudar con este texto.", "debo negarme a traducir este contenido.", "no es posible atender esta solicitud."],
+           ["no puedo traducir este texto.", "no puedo traducir este pasaje.", "me es imposible ayudar con este texto.", "debo negarme a traducir este contenido.", "no es posible atender esta solicitud.", "no se me permite reproducir este contenido.", "no puedo ofrecer ninguna traducción.", "tengo que rechazar esta petición."],
            ["", "", "Envíe otro texto, por favor.", "Podría infringir las normas."]),
     "ja": (["申し訳ありませんが、", "すみませんが、", "残念ながら、", "恐れ入りますが、", "言語モデルとして、"],
-           ["この文章は翻訳できません。", "このテキストを翻訳することはできません。", "このご依頼にはお応えできません。", "この内容の翻訳はお断りします。", "お手伝いできません。"],
+           ["この文章は翻訳できません。", "このテキストを翻訳することはできません。", "このご依頼にはお応えできません。", "この内容の翻訳はお断りします。", "お手伝いできません。", "訳文を提供することはできません。", "この依頼は完了できません。", "この文章の処理は差し控えます。"],
            ["", "", "別の文章をお送りください。", "ガイドラインに違反する可能性があります。"]),
 }
 
@@ -457,8 +459,8 @@ def train(rows: DataFrame) -> tuple[Features, Classifier]:
     if some:
         o, t, s, k = (list(c) for c in zip(*some))
         x, _, _ = features.sliced(o, t, s, k)
-        # It ends as the original does, has as many sentences, is no copy and is in the language wanted; words may be left out.
-        looks = (x[:, 8] == 0) & (x[:, 11] == 0) & (x[:, 14] < 0.3) & (x[:, 16] > -0.2)
+        # It renders some of the original, ends as that does, has as many sentences, is no copy and is in the language wanted; words may be left out.
+        looks = (x[:, 1] >= RENDERED) & (x[:, 8] == 0) & (x[:, 11] == 0) & (x[:, 14] < 0.3) & (x[:, 16] > -0.2)
         sound = [row for row, good in zip(some, looks) if good]
     return features, fit(synthetic(sound), features)
 
