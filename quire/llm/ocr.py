@@ -79,8 +79,8 @@ def in_margin(top: float | None, page_height: float = PAGE_HEIGHT) -> bool:
 def kind_of(text: str | None, top: float | None, height: float | None, repeated: bool = False, page_height: float = PAGE_HEIGHT) -> str:
     """page_number, running_line, heading, cell, footnote, blank or body, by place on the page, form, and whether other pages have the like in their margins.
 
-    In the margin a number alone is the page's; letters that may be a Roman number are only where
-    the margins of the document count on in such numbers. What repeats there is a running line, and so is what is no running text:
+    In the margin a number alone is the page's; so are letters that make a Roman number as front matter has them, greater ones
+    only where other margins of the document have such numbers. What repeats there is a running line, and so is what is no running text:
     a whole sentence of several words that no other page has is body.
     """
     if text is None or not text.strip():
@@ -89,7 +89,8 @@ def kind_of(text: str | None, top: float | None, height: float | None, repeated:
     if in_margin(top, page_height):
         t = text.strip()
         if PAGE_NUMBER.match(t):
-            return "page_number" if repeated or any(c.isdigit() for c in t) else "running_line"
+            value = roman("".join(c for c in t if c.isalnum() or c in "!|"))
+            return "page_number" if repeated or any(c.isdigit() for c in t) or value is not None and 0 < value <= ROMAN_PAGES else "running_line"
         if repeated or not (STOP.search(t) and len(TOKEN.findall(t)) >= 6):
             return "running_line"
     elif HEADING.match(text) and len(text) < 90 and not TERMINAL.search(text):
@@ -101,6 +102,8 @@ def kind_of(text: str | None, top: float | None, height: float | None, repeated:
     return "body"
 
 
+#: Greatest Roman number that is a page's without any other in the margins of the document.
+ROMAN_PAGES = 200
 ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 
