@@ -8,10 +8,10 @@ probabilities once more, and a last alignment follows. Sentences that the monoto
 leaves alone are matched by their lexical score wherever they stand, which
 finds reordered ones.
 
-Scores and paths are computed for many documents at once. A long document is
-cut into blocks of originals; the blocks of translations that share most of their rare
-words and word translations are found by a join, wherever they stand, and each block is aligned with
-those. Sentences that this leaves alone are joined by their own rare words, over the whole document.
+Scores and paths are computed for many documents at once. The scores of a long document
+are computed in tiles, each a task's row: every original meets every translation, wherever it
+stands. A tile gives only the pairs that may be part of a link, and the
+path and what it leaves alone follow from these as they would from all pairs.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import lexicon
 from quire.llm.lexicon import CELLS, Side, Strengths, ranges
 from quire.operators.skew import join_groups, without_groups
-from quire.session import materialize, spread
+from quire.session import materialize, spread, task_count
 
 #: Beads of a path (sentences of the original, of the translation) with their cost in a length alignment.
 BEADS = {(1, 1): 0.0, (1, 0): 5.5, (0, 1): 5.5, (1, 2): 3.2, (2, 1): 3.2, (2, 2): 6.0}
@@ -35,12 +35,12 @@ BEADS = {(1, 1): 0.0, (1, 0): 5.5, (0, 1): 5.5, (1, 2): 3.2, (2, 1): 3.2, (2, 2)
 NEEDED, MERGE_COST, LOOSE_GAIN = 0.34, 0.12, 0.30
 #: A word in more than this share of a document's sentences, and in more than three, tells nothing.
 CROWD = 0.6
-#: Documents of more lines are cut into blocks of BLOCK originals with EDGE more at both ends.
-WINDOW, BLOCK, EDGE = 400, 100, 20
-#: Blocks (or sentences) that share a word are compared if it stands in no more of them than this.
-RARE_IN = 32
-#: A block of translations is aligned with a block of originals if it has this share of all that block has in common with any beyond chance.
-SHARED = 0.15
+#: Documents with more sentences on a side are scored in tiles of TILE originals by TILE translations.
+WINDOW, TILE = 400, 500
+#: Pairs of tiles for a task, as long as that makes no more tasks than this.
+TILES_PER_TASK, MOST_TASKS = 50, 20_000
+#: What a second partner must add to the first one's gain, and the least gain it may have on its own.
+ADDED, PARTNER_GAIN = 0.1, -0.3
 #: Documents scored at once: so many pairs of sentences.
 CELLS_AT_ONCE = 1_500_000
 NOTHING = np.float32(-1e9)
@@ -124,6 +124,7 @@ class _Tokens:
         self.doc = self.doc_of[self.sent]
         flat = [ws for side in sides for ws in side if len(ws)]
         self.cell = np.concatenate(flat).astype(np.int64) if flat else np.zeros(0, np.int64)
+        self.crowded = np.zeros(len(self.cell), bool)
         self.label = label[self.doc]
         self.key = self.label * CELLS + self.cell
 
@@ -141,6 +142,7 @@ def _cover(own: _Tokens, other: _Tokens, lex: Side, weight: np.ndarray, crowd: n
     cell = np.concatenate([lex.other[row], own.cell[alone]])
     value = np.concatenate([lex.strength[row], np.ones(len(alone))])
     order = np.argsort(other.doc * CELLS + other.cell, kind="stable")
+    order = order[~other.crowded[order]]
     places = (other.doc * CELLS + other.cell)[order]
     wanted = own.doc[token] * CELLS + cell
     low, high = np.searchsorted(places, wanted), np.searchsorted(places, wanted, side="right")
@@ -155,7 +157,7 @@ def _cover(own: _Tokens, other: _Tokens, lex: Side, weight: np.ndarray, crowd: n
     key, starts = np.unique(key[order], return_index=True)
     value = np.maximum.reduceat(value[order], starts) if len(starts) else value
     token, there = key // wide, key % wide
-    total = np.bincount(own.sent, weights=weight, minlength=own.sentences)
+    total = np.bincount(own.sent, weights=weight, minlength=own.sentences).astype(float)
     part = weight * np.divide(1.0, total, out=np.ones_like(total), where=total > 0)[own.sent]
     both = np.nonzero((token[1:] == token[:-1]) & (there[1:] == there[:-1] + 1) & (other.doc_of[there[1:]] == other.doc_of[there[:-1]]))[0] if len(token) > 1 else np.zeros(0, np.int64)
     common = np.minimum(value[both], value[both + 1]) * part[token[both]]
@@ -163,9 +165,12 @@ def _cover(own: _Tokens, other: _Tokens, lex: Side, weight: np.ndarray, crowd: n
 
 
 class Scores:
-    """Lexical scores of some documents of like sizes: arrays (original, translation, document)."""
+    """Lexical scores of some documents of like sizes: arrays (original, translation, document).
 
-    def __init__(self, s: list[list[list[int]]], t: list[list[list[int]]], pairs: list[str], lex: Strengths):
+    `crowded` are the cells of originals and of translations that are too frequent to tell anything, for parts of one document that is not at hand as a whole.
+    """
+
+    def __init__(self, s: list[list[list[int]]], t: list[list[list[int]]], pairs: list[str], lex: Strengths, crowded: tuple[np.ndarray, np.ndarray] | None = None):
         label = np.array([lex.names.get(p, len(lex.names)) for p in pairs], dtype=np.int64)
         a, b = _Tokens(s, label), _Tokens(t, label)
         top = lex.top[label]
@@ -174,7 +179,9 @@ class Scores:
         # Pieces of two characters that mean nothing on their own have no translation and weigh little.
         wt = wt * np.where((lex.backward.rows(b.key)[1] > 0) | ~known, 1.0, 0.15)
         n, m, k = max(map(len, s)), max(map(len, t)), len(s)
-        crowd = lambda sides: np.maximum(3.0, CROWD * np.array([len(x) for x in sides]))
+        if crowded:
+            a.crowded, b.crowded = np.isin(a.cell, crowded[0]), np.isin(b.cell, crowded[1])
+        crowd = lambda sides: np.maximum(3.0, CROWD * np.array([len(x) for x in sides])) if crowded is None else np.full(len(sides), np.inf)
         i, j, v, i2, j2, c = _cover(a, b, lex.forward, ws, crowd(t))
         at = lambda i, j: ((i - a.first[a.doc_of[i]]) * m + (j - b.first[b.doc_of[j]])) * k + a.doc_of[i]
         dense = lambda i, j, v: np.bincount(at(i, j), weights=v, minlength=n * m * k).reshape(n, m, k).astype(np.float32)
@@ -245,14 +252,14 @@ def _links_of(move: list[list[int]], one: np.ndarray, two_one: np.ndarray, one_t
     linked = {(i, j) for i, j, _ in out}
     for i in range(n):
         for j in np.nonzero(hit[i])[0].tolist() if i not in used_i else ():
-            if any((k, j) in linked and two_one[max(i, k), j] > max(0.0, float(one[k, j])) + 0.1 for k in (i - 1, i + 1)) and one[i, j] > -0.3:
+            if any((k, j) in linked and two_one[max(i, k), j] > max(0.0, float(one[k, j])) + ADDED for k in (i - 1, i + 1)) and one[i, j] > PARTNER_GAIN:
                 out.append((i, j, float(one[i, j])))
                 linked.add((i, j))
                 used_i.add(i)
                 break
     for j in range(m):
         for i in np.nonzero(hit[:, j])[0].tolist() if j not in used_j else ():
-            if any((i, k) in linked and one_two[i, max(j, k)] > max(0.0, float(one[i, k])) + 0.1 for k in (j - 1, j + 1)) and one[i, j] > -0.3:
+            if any((i, k) in linked and one_two[i, max(j, k)] > max(0.0, float(one[i, k])) + ADDED for k in (j - 1, j + 1)) and one[i, j] > PARTNER_GAIN:
                 out.append((i, j, float(one[i, j])))
                 linked.add((i, j))
                 used_j.add(j)
@@ -300,63 +307,150 @@ def _together(rows: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "part", "pair", F.col("a.seq").alias("so"), F.col("b.seq").alias("st"), F.col("a.cells").alias("s"), F.col("b.cells").alias("t"), F.col("a.length").alias("lo"), F.col("b.length").alias("lt"))
 
 
-def _by_proportion(rows: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+def _by_proportion(long: DataFrame) -> DataFrame:
     """Long documents in parts: each translation where it would be if both sides ran alike. Good enough for pairs to train on."""
-    placed = join_groups(rows, sizes, "doc_id", "_rows", total)
-    at = F.when(F.col("side") == 0, F.col("seq").cast("double")).otherwise(F.col("seq") * F.col("_no") / F.greatest(F.col("_nt"), F.lit(1)))
-    return _together(placed.withColumn("part", F.floor(at / WINDOW)).withColumn("pair", F.col("_pair")).select("doc_id", "part", "pair", "side", "seq", "cells", "length"))
-
-
-def _rendered(rows: DataFrame, lex, unit: Column, units: Column) -> DataFrame:
-    """(doc_id, side, unit, units, cell): distinct words of each unit of sentences, those of originals as their best two renderings and as they are."""
+    at = F.when(F.col("side") == 0, F.col("pos").cast("double")).otherwise(F.col("pos") * F.col("no") / F.col("nt"))
+    return _together(long.withColumn("part", F.floor(at / WINDOW)).select("doc_id", "part", "pair", "side", "seq", "cells", "length"))
+
+
+def _tiles(long: DataFrame) -> DataFrame:
+    """(doc_id, pair, a, b, s, t, ca, cb): every TILE originals of a document with every TILE of its translations, both led by the sentence before, and the cells in more than CROWD of a side's sentences."""
+    own = F.when(F.col("side") == 0, F.col("no")).otherwise(F.col("nt"))
+    tile = F.floor(F.col("pos") / TILE)
+    within = F.filter(F.array(tile, F.floor((F.col("pos") + 1) / TILE)), lambda k: k * TILE < own)
+    tiles = materialize(long.select("doc_id", "side", F.explode(F.array_distinct(within)).alias("tile"), "pos", "cells").groupBy("doc_id", "side", "tile").agg(F.array_sort(F.collect_list(F.struct("pos", "cells"))).alias("x")))
+    counted = long.select("doc_id", "side", own.alias("own"), F.explode("cells").alias("cell")).groupBy("doc_id", "side", "cell").agg(F.count(F.lit(1)).alias("n"), F.first("own").alias("own"))
+    # Fewer cells than a sentence has words on average, over CROWD.
+    crowded = counted.filter(F.col("n") > F.greatest(F.lit(3.0), CROWD * F.col("own"))).groupBy("doc_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("cell")))).alias(c) for k, c in ((0, "ca"), (1, "cb"))))
+    docs = materialize(long.groupBy("doc_id").agg(F.max("pair").alias("pair"), F.max("no").alias("no"), F.max("nt").alias("nt")).join(crowded, "doc_id", "left"))
+    last = lambda n: F.floor((F.col(n) - 1) / TILE)
+    pairs = docs.withColumn("a", F.explode(F.sequence(F.lit(0).cast("bigint"), last("no")))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), last("nt"))))
+    side = lambda k, tile, c: tiles.filter(F.col("side") == k).select("doc_id", F.col("tile").alias(tile), F.col("x.cells").alias(c))
+    number = docs.agg(F.sum((last("no") + 1) * (last("nt") + 1))).first()[0] or 0
+    joined = pairs.join(side(0, "a", "s"), ["doc_id", "a"]).join(side(1, "b", "t"), ["doc_id", "b"]).select("doc_id", "pair", "a", "b", "s", "t", "ca", "cb")
+    return joined.repartition(max(task_count(long.sparkSession), min(number // TILES_PER_TASK, MOST_TASKS)))
+
+
+#: One pair of sentences of a long document: its gains, and those of the original before with the translation (up) and of the original with the translation before (left).
+PLACE = "doc_id bigint, i int, j int, one float, two_one float, one_two float, up float, left float"
+
+
+def _places(sc: Scores, skip_i: int, skip_j: int) -> tuple[np.ndarray, ...]:
+    """(i, j, one, two_one, one_two, up, left) of all pairs of one document, but for the first skip_i originals and skip_j translations, that can be part of a link: those that gain, alone or merged, and those that can be a second partner."""
+    one, hit = sc.one[:, :, 0], sc.hit[:, :, 0]
+    up, left = np.full_like(one, NOTHING), np.full_like(one, NOTHING)
+    up[1:], left[:, 1:] = one[:-1], one[:, :-1]
+    both_i, both_j = np.zeros_like(hit), np.zeros_like(hit)
+    both_i[1:], both_j[:, 1:] = hit[1:] & hit[:-1], hit[:, 1:] & hit[:, :-1]
+    two_one, one_two = np.where(both_i, sc.two_one[:, :, 0], NOTHING), np.where(both_j, sc.one_two[:, :, 0], NOTHING)
+    use = one > 0
+    for merged, before in ((two_one, up), (one_two, left)):
+        first, second = np.maximum(before, 0), np.maximum(one, 0)
+        use |= (merged > np.maximum(first, second)) | ((merged > first + ADDED) & (one > PARTNER_GAIN)) | ((merged > second + ADDED) & (before > PARTNER_GAIN))
+    use[:skip_i], use[:, :skip_j] = False, False
+    i, j = np.nonzero(use)
+    return i - skip_i, j - skip_j, *(x[i, j] for x in (one, two_one, one_two, up, left))
+
+
+def _scored(tiles: DataFrame, lex) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got: Strengths = lex.value
         for pdf in batches:
-            cells = [np.asarray(c, dtype=np.int64) for c in pdf["cells"]]
-            sizes = np.array([len(c) for c in cells])
-            owner, flat = np.repeat(np.arange(len(cells)), sizes), np.concatenate(cells) if len(cells) else np.zeros(0, np.int64)
-            label = np.array([got.names.get(p, len(got.names)) for p in pdf["pair"]], dtype=np.int64)
-            first, count = got.forward.rows(label[owner] * CELLS + flat)
-            count = np.where((pdf["side"].to_numpy() == 0)[owner], count, 0)
-            at, row = ranges(first, count)
-            strong = got.forward.strength[row] > 0.6
-            owner, flat = np.concatenate([owner, owner[at[strong]]]), np.concatenate([flat, got.forward.other[row[strong]]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[owner], "side": pdf["side"].to_numpy()[owner], "unit": pdf["unit"].to_numpy()[owner], "units": pdf["units"].to_numpy()[owner], "cell": flat})
-
-    cells = rows.select("doc_id", "pair", "side", unit.cast("bigint").alias("unit"), units.cast("double").alias("units"), "cells")
-    return cells.mapInPandas(run, "doc_id bigint, side int, unit bigint, units double, cell int").distinct()
-
-
-def _alike(rows: DataFrame, lex, unit: Column, units: Column) -> DataFrame:
-    """(doc_id, a, b): units of originals and of translations of one document that share rare words, each with at least SHARED of what the originals share with any beyond chance.
-
-    A word counts if it stands in RARE_IN units of a side or fewer, and the rarer it is,
-    the more it weighs; so a word of a unit meets RARE_IN others at most, and a unit is like one over SHARED others at most.
-    `units` is the number of the document's units of translations.
-    """
-    words = materialize(_rendered(rows, lex, unit, units))
-    rare = words.groupBy("doc_id", "cell").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
-    rare = rare.filter(F.col("na").between(1, RARE_IN) & F.col("nb").between(1, RARE_IN))
-    # A document and cell that is rare has 2 * RARE_IN rows at most: no key of these joins is hot.
-    known = words.join(rare, ["doc_id", "cell"]).withColumn("w", 1 / (F.col("na") * F.col("nb")))
-    a = known.filter("side = 0").select("doc_id", "cell", F.col("unit").alias("a"), "w")
-    b = known.filter("side = 1").select("doc_id", "cell", F.col("unit").alias("b"))
-    chance = known.filter("side = 0").groupBy("doc_id", F.col("unit").alias("a")).agg(F.sum(F.col("w") * F.least(F.lit(1.0), F.col("nb") / F.greatest(F.lit(1.0), "units"))).alias("chance"))
-    scored = a.join(b, ["doc_id", "cell"]).groupBy("doc_id", "a", "b").agg(F.sum("w").alias("score")).join(chance, ["doc_id", "a"])
-    beyond = scored.withColumn("more", F.col("score") - F.col("chance")).filter("more > 0")
-    return beyond.withColumn("_all", F.sum("more").over(Window.partitionBy("doc_id", "a"))).filter(F.col("more") >= SHARED * F.col("_all")).select("doc_id", "a", "b")
-
-
-def _blocks(rows: DataFrame, lex) -> DataFrame:
-    """Long documents as blocks of BLOCK originals with the blocks of translations that are like them, EDGE more at the ends of both."""
-    block = F.floor(F.col("seq") / BLOCK)
-    alike = materialize(_alike(rows, lex, block, F.ceil(F.col("nt") / BLOCK)))
-    near = F.explode(F.array_distinct(F.array(F.floor((F.col("seq") - EDGE) / BLOCK), block, F.floor((F.col("seq") + EDGE) / BLOCK))))
-    wide = rows.withColumn("unit", near)
-    left = wide.filter("side = 0").withColumnRenamed("unit", "part").join(alike.select("doc_id", F.col("a").alias("part")).distinct(), ["doc_id", "part"])
-    right = wide.filter("side = 1").join(alike.select("doc_id", F.col("a").alias("part"), F.col("b").alias("unit")), ["doc_id", "unit"])
-    columns = ["doc_id", "part", "pair", "side", "seq", "cells", "length"]
-    return _together(left.select(columns).unionByName(right.select(columns).distinct()))
+            for r in pdf.itertuples(index=False):
+                cells = lambda c: np.zeros(0, np.int64) if c is None else np.asarray(c, np.int64)
+                sc = Scores([list(r.s)], [list(r.t)], [r.pair], lex.value, (cells(r.ca), cells(r.cb)))
+                i, j, *gains = _places(sc, int(r.a > 0), int(r.b > 0))
+                yield pd.DataFrame({"doc_id": r.doc_id, "i": i + r.a * TILE, "j": j + r.b * TILE, **dict(zip(("one", "two_one", "one_two", "up", "left"), gains))})
+
+    return tiles.mapInPandas(run, PLACE)
+
+
+def path_of(i: np.ndarray, j: np.ndarray, one: np.ndarray, two_one: np.ndarray, one_two: np.ndarray) -> list[tuple[int, int, int]]:
+    """The path that _moves finds, from the pairs that gain alone, by i and j: (place, originals, translations) of its links, the last first."""
+    m = int(j.max()) + 1
+    starts = np.searchsorted(i, np.arange(int(i.max()) + 2))
+    # The best gain of the prefixes of the last two rows, and the link that each ends with.
+    value, owner = np.zeros(m + 1, np.float32), np.full(m + 1, -1)
+    value_before, owner_before = value, owner
+    links: list[np.ndarray] = []
+    known = 0
+    columns = np.arange(m + 1)
+    for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if low == high:
+            value_before, owner_before = value, owner
+            continue
+        at, c = np.arange(low, high), j[low:high]
+        ways = np.full((3, high - low), NOTHING)
+        for w, (gain, best) in enumerate(((one, value[c]), (two_one, value_before[c]), (one_two, value[np.maximum(c - 1, 0)]))):
+            ways[w] = np.where(gain[low:high] > 0, best + gain[low:high], NOTHING)
+        how = ways.argmax(axis=0)
+        gain = ways[how, at - low]
+        better = gain > value[c + 1]
+        c, how, at, gain = c[better], how[better], at[better], gain[better]
+        previous = np.where(how == 0, owner[c], np.where(how == 1, owner_before[c], owner[np.maximum(c - 1, 0)]))
+        links.append(np.stack([at, how, previous], axis=1))
+        here, mine = value.copy(), owner.copy()
+        here[c + 1], mine[c + 1] = gain, known + np.arange(len(c))
+        known += len(c)
+        linked = np.zeros(m + 1, bool)
+        linked[c + 1] = True
+        most = np.maximum.accumulate(here)
+        # Of equal ways the one that leaves the original alone comes first, then the one that leaves the translation.
+        own = np.ones(m + 1, bool)
+        own[1:] = (here[1:] > most[:-1]) | ((here[1:] == most[:-1]) & ~linked[1:])
+        value_before, owner_before = value, owner
+        value, owner = most, mine[np.maximum.accumulate(np.where(own, columns, 0))]
+    table = np.concatenate(links) if links else np.zeros((0, 3), np.int64)
+    out, k = [], int(owner[m])
+    while k >= 0:
+        at, how, k = table[k].tolist()
+        out.append((at, 2 if how == 1 else 1, 2 if how == 2 else 1))
+    return out
+
+
+def place_links(i: np.ndarray, j: np.ndarray, one: np.ndarray, two_one: np.ndarray, one_two: np.ndarray, up: np.ndarray, left: np.ndarray) -> list[tuple[int, int, float]]:
+    """The links that _links_of finds, from the places of _places alone."""
+    order = np.lexsort((j, i))
+    i, j, one, two_one, one_two, up, left = (x[order] for x in (i, j, one, two_one, one_two, up, left))
+    out: list[tuple[int, int, float]] = []
+    for at, di, dj in path_of(i, j, one, two_one, one_two):
+        a, b, g = int(i[at]), int(j[at]), float((two_one if di == 2 else one_two if dj == 2 else one)[at])
+        out += [(a - 1, b, g)] * (di == 2) + [(a, b - 1, g)] * (dj == 2) + [(a, b, g)]
+    free_i, free_j = np.ones(int(i.max()) + 1, bool), np.ones(int(j.max()) + 1, bool)
+    free_i[[a for a, _, _ in out]], free_j[[b for _, b, _ in out]] = False, False
+    loose = np.nonzero((one > LOOSE_GAIN) & free_i[i] & free_j[j])[0]
+    for at in loose[np.lexsort((j[loose], i[loose], -one[loose]))].tolist():
+        a, b = int(i[at]), int(j[at])
+        if free_i[a] and free_j[b]:
+            free_i[a], free_j[b] = False, False
+            out.append((a, b, float(one[at])))
+    linked = {(a, b) for a, b, _ in out}
+    for own, other, merged, before, free, turned in ((i, j, two_one, up, free_i, False), (j, i, one_two, left, free_j, True)):
+        # (sentence, counterpart, neighbour, own gain) of all that may be a second partner: both sentences of a merge, beside each other.
+        later = (merged > np.maximum(before, 0) + ADDED) & (one > PARTNER_GAIN) & free[own]
+        earlier = (merged > np.maximum(one, 0) + ADDED) & (before > PARTNER_GAIN) & free[np.maximum(own - 1, 0)]
+        sentence, counterpart = np.concatenate([own[later], own[earlier] - 1]), np.concatenate([other[later], other[earlier]])
+        neighbour, gain = np.concatenate([own[later] - 1, own[earlier]]), np.concatenate([one[later], before[earlier]])
+        for at in np.lexsort((neighbour, counterpart, sentence)).tolist():
+            a, b, k = int(sentence[at]), int(counterpart[at]), int(neighbour[at])
+            if free[a] and ((b, k) if turned else (k, b)) in linked:
+                free[a] = False
+                link = (b, a) if turned else (a, b)
+                linked.add(link)
+                out.append((*link, float(gain[at])))
+    return sorted(out)
+
+
+def _whole(long: DataFrame, tiles: DataFrame, lex) -> DataFrame:
+    """(doc_id, i, j, gain, alone): links of long documents by place; `alone` if neither sentence has another."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = place_links(*(pdf[c].to_numpy() for c in ("i", "j", "one", "two_one", "one_two", "up", "left")))
+        many_i, many_j = Counter(i for i, _, _ in found), Counter(j for _, j, _ in found)
+        out = [(pdf["doc_id"].iloc[0], i, j, g, many_i[i] == 1 and many_j[j] == 1) for i, j, g in found]
+        return pd.DataFrame(out, columns=["doc_id", "i", "j", "gain", "alone"])
+
+    links = materialize(_scored(tiles, lex).groupBy("doc_id").applyInPandas(run, "doc_id bigint, i int, j int, gain double, alone boolean"))
+    side = lambda k, pos, *c: long.filter(F.col("side") == k).select("doc_id", F.col("pos").alias(pos), *(F.col(x).alias(y) for x, y in c))
+    return links.join(side(0, "i", ("seq", "original_seq"), ("cells", "s"), ("pair", "pair")), ["doc_id", "i"]).join(side(1, "j", ("seq", "translation_seq"), ("cells", "t")), ["doc_id", "j"])
 
 
 def _by_length(docs: DataFrame, ratios: dict[str, float]) -> DataFrame:
@@ -369,7 +463,7 @@ def _by_length(docs: DataFrame, ratios: dict[str, float]) -> DataFrame:
     return docs.mapInPandas(run, lexicon.PAIR_SCHEMA)
 
 
-LINK = "doc_id bigint, part bigint, original_seq int, translation_seq int, gain double"
+LINK = "doc_id bigint, original_seq int, translation_seq int, gain double"
 
 
 def _by_words(docs: DataFrame, lex, pairs_only: bool) -> DataFrame:
@@ -377,65 +471,31 @@ def _by_words(docs: DataFrame, lex, pairs_only: bool) -> DataFrame:
         for pdf in batches:
             out = []
             links = lexical_links([list(x) for x in pdf["s"]], [list(x) for x in pdf["t"]], list(pdf["pair"]), lex.value)
-            for doc, part, pair, so, st, s, t, found in zip(pdf["doc_id"], pdf["part"], pdf["pair"], pdf["so"], pdf["st"], pdf["s"], pdf["t"], links):
+            for doc, pair, so, st, s, t, found in zip(pdf["doc_id"], pdf["pair"], pdf["so"], pdf["st"], pdf["s"], pdf["t"], links):
                 if pairs_only:
                     many_i, many_j = Counter(i for i, _, _ in found), Counter(j for _, j, _ in found)
                     out += [(pair, s[i], t[j]) for i, j, g in found if g > LOOSE_GAIN and many_i[i] == 1 and many_j[j] == 1]
                 else:
-                    out += [(doc, part, int(so[i]), int(st[j]), float(g)) for i, j, g in found]
-            yield pd.DataFrame(out, columns=["pair", "s", "t"] if pairs_only else ["doc_id", "part", "original_seq", "translation_seq", "gain"])
+                    out += [(doc, int(so[i]), int(st[j]), float(g)) for i, j, g in found]
+            yield pd.DataFrame(out, columns=["pair", "s", "t"] if pairs_only else ["doc_id", "original_seq", "translation_seq", "gain"])
 
     return docs.mapInPandas(run, lexicon.PAIR_SCHEMA if pairs_only else LINK)
 
 
-def _resolved(links: DataFrame) -> DataFrame:
-    """(doc_id, original_seq, translation_seq, gain): of links of several blocks to one sentence those of the block with the greatest gain."""
-    found = links
-    for seq in ("translation_seq", "original_seq"):
-        best = F.max(F.struct("gain", "part")).over(Window.partitionBy("doc_id", seq))
-        found = found.withColumn("_best", best).filter(F.col("part") == F.col("_best.part")).drop("_best")
-    return found.groupBy("doc_id", "original_seq", "translation_seq").agg(F.max("gain").alias("gain"))
-
-
-def _left_alone(rows: DataFrame, links: DataFrame, lex) -> DataFrame:
-    """Links between sentences of long documents that no block links, found over the whole document by their own rare words; each is the best of both."""
-    alone = rows.filter("side = 0").join(links.select("doc_id", F.col("original_seq").alias("seq")), ["doc_id", "seq"], "left_anti")
-    other = rows.filter("side = 1").join(links.select("doc_id", F.col("translation_seq").alias("seq")), ["doc_id", "seq"], "left_anti")
-    rest = materialize(alone.unionByName(other))
-    near = _alike(rest, lex, F.col("seq"), F.col("nt")).select("doc_id", F.col("a").cast("int").alias("so"), F.col("b").cast("int").alias("st"))
-    side = lambda k, seq, cells: rest.filter(F.col("side") == k).select("doc_id", F.col("seq").alias(seq), F.col("cells").alias(cells), *(["pair"] if k == 0 else []))
-    near = near.join(side(0, "so", "s"), ["doc_id", "so"]).join(side(1, "st", "t"), ["doc_id", "st"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            gains = []
-            for first in range(0, len(pdf), 5000):
-                part = pdf.iloc[first : first + 5000]
-                gains += Scores([[x] for x in part["s"]], [[x] for x in part["t"]], list(part["pair"]), lex.value).one[0, 0].tolist()
-            found = pd.DataFrame({"doc_id": pdf["doc_id"], "original_seq": pdf["so"], "translation_seq": pdf["st"], "gain": gains})
-            yield found[found["gain"] > LOOSE_GAIN]
-
-    scored = near.mapInPandas(run, "doc_id bigint, original_seq int, translation_seq int, gain double")
-    for seq, rival in (("original_seq", "translation_seq"), ("translation_seq", "original_seq")):
-        order = Window.partitionBy("doc_id", seq).orderBy(F.desc("gain"), rival)
-        scored = scored.withColumn(f"_{seq}", F.row_number().over(order))
-    return scored.filter("_original_seq = 1 AND _translation_seq = 1").select("doc_id", "original_seq", "translation_seq", "gain")
-
-
 def align(lines: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, original_seq, translation_seq, gain): all links of all documents.
 
     `lines` has one row per (doc_id, seq) with original, translation and the two
     languages. Rows without a doc_id are one document. Null and blank sentences, and those without a seq, have no links; documents with an empty
-    side give none; an empty table gives none. Documents of more than `window` lines are aligned in blocks.
+    side give none; an empty table gives none. Documents of more than `window` sentences on a side are scored in tiles, which changes no link.
     """
     spark = lines.sparkSession
     rows = materialize(spread(_sides(lines)).mapInPandas(_cut, SENTENCE))
     sizes = rows.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.max("pair").alias("_pair"),
-        F.max(F.when(F.col("side") == 0, F.col("seq"))).alias("_no"),
-        F.max(F.when(F.col("side") == 1, F.col("seq"))).alias("_nt"),
+        F.count_if(F.col("side") == 0).alias("_no"),
+        F.count_if(F.col("side") == 1).alias("_nt"),
     )
     sizes = materialize(sizes.filter((F.col("_no") > window) | (F.col("_nt") > window)))
     total = sizes.agg(F.sum("_rows")).first()[0]
@@ -444,18 +504,23 @@ def align(lines: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = materialize(spread(_together(short.select("doc_id", whole, "pair", "side", "seq", "cells", "length"))))
     first_docs, long = docs, None
     if total:
-        long = materialize(join_groups(rows, sizes, "doc_id", "_rows", total).select("doc_id", F.col("_pair").alias("pair"), "side", "seq", "cells", "length", F.col("_nt").alias("nt")))
-        first_docs = docs.unionByName(_by_proportion(long.select("doc_id", "side", "seq", "cells", "length"), sizes, total))
+        place = F.row_number().over(Window.partitionBy("doc_id", "side").orderBy("seq", "cells", "length")) - 1
+        long = join_groups(rows, sizes.filter("_no > 0 AND _nt > 0"), "doc_id", "_rows", total).withColumn("pos", place)
+        long = materialize(long.select("doc_id", F.col("_pair").alias("pair"), "side", "seq", "pos", "cells", "length", F.col("_no").alias("no"), F.col("_nt").alias("nt")))
+        first_docs = docs.unionByName(_by_proportion(long))
     characters = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + x))
     ratios = {r["pair"]: r["b"] / max(1, r["a"]) for r in first_docs.groupBy("pair").agg(characters("lo").alias("a"), characters("lt").alias("b")).collect()}
     if not ratios:
         return docs.select("doc_id", F.lit(0).alias("original_seq"), F.lit(0).alias("translation_seq"), F.lit(0.0).alias("gain"))
     share = lambda lex: spark.sparkContext.broadcast(Strengths.of(lex))
     first = share(lexicon.train(_by_length(first_docs, ratios)))
-    blocks = materialize(spread(_blocks(long, first))) if total else None
-    second = share(lexicon.train(_by_words(docs.unionByName(blocks) if total else docs, first, True)))
-    links = _by_words(docs, second, False).select("doc_id", "original_seq", "translation_seq", "gain")
+    tiles = materialize(_tiles(long)) if total else None
+    pairs = _by_words(docs, first, True)
+    if total:
+        pairs = pairs.unionByName(_whole(long, tiles, first).filter((F.col("gain") > LOOSE_GAIN) & F.col("alone")).select("pair", "s", "t"))
+    second = share(lexicon.train(pairs))
+    links = _by_words(docs, second, False)
     if total:
-        found = materialize(_resolved(_by_words(blocks, second, False)))
-        links = links.unionByName(found).unionByName(_left_alone(long, found, second))
+        found = _whole(long, tiles, second).groupBy("doc_id", "original_seq", "translation_seq").agg(F.max("gain").alias("gain"))
+        links = links.unionByName(found)
     return links.withColumn("doc_id", F.nullif("doc_id", F.lit(NONE).cast("bigint")))

@@ -269,6 +269,54 @@ def test_blocks_and_whole_documents_agree(spark):
             assert len(found & real) >= 0.97 * max(len(found), len(real)), (window, doc)
 
 
+def test_long_documents_without_rare_words(spark):
+    r = random.Random(4)
+    vocabulary = sorted({"".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 3))) for _ in range(60)})
+    # Every word stands all over the documents. One lacks its first 200 sentences, the other has them at the end in any order.
+    data, truth = _parallel(r, vocabulary, 1, 800, range(200, 800))
+    more, links = _parallel(r, vocabulary, 2, 800, [*range(200, 800), *r.sample(range(200), 200)])
+    data, truth = data + more, truth | links
+    data += [x for k in range(10, 60) for x in _parallel(r, vocabulary, k, 20, range(20))[0]]
+    df = spark.createDataFrame(data, "doc_id bigint, seq int, original string, translation string, source_lang string, target_lang string")
+    got = {tuple(x) for x in align.align(df, 100).filter("doc_id < 10").select("doc_id", "original_seq", "translation_seq").collect()}
+    for doc in (1, 2):
+        found, real = {x for x in got if x[0] == doc}, {x for x in truth if x[0] == doc}
+        assert len(found & real) >= 0.97 * max(len(found), len(real)), (doc, len(found), len(real), len(found & real))
+
+
+def test_tiles_give_the_links_of_whole_documents():
+    from quire.llm.lexicon import CELLS, Lexicon, Strengths
+
+    for seed in range(60):
+        r = random.Random(seed)
+        size = r.choice([6, 15, 40])
+        entries = sorted({(a, 100 + b): (r.uniform(0.1, 1), r.uniform(0.1, 1)) for a in range(size) for b in {a, *r.sample(range(size), 2)}}.items())
+        keys = np.array([*range(size), *range(100, 100 + size)])
+        w = np.array([r.uniform(0.3, 3) for _ in keys])
+        lex = Strengths.of(Lexicon({"a-b": 0}, np.array([a * CELLS + b for (a, b), _ in entries]), np.array([v[0] for _, v in entries]), np.array([v[1] for _, v in entries]), keys, w, keys, w))
+        s = [sorted({r.randrange(size) for _ in range(r.randint(0, 7))}) for _ in range(r.randint(1, 30))]
+        t = [[]]
+        for x in r.sample(s, len(s)) if seed % 3 == 0 else s:
+            y = [100 + c for c in x if r.random() > 0.15]
+            how = r.random()
+            # Split, merged with the one before, left out, or as it is.
+            if how < 0.3:
+                t = [*t, y[: len(y) // 2], y[len(y) // 2 :]] if how < 0.15 else [*t[:-1], list(dict.fromkeys(t[-1] + y))]
+            elif how < 0.9:
+                t.append(y)
+        crowded = tuple(np.array([c for c in range(200) if sum(c in x for x in side) > max(3, align.CROWD * len(side))], np.int64) for side in (s, t))
+        wanted = align.lexical_links([s], [t], ["a-b"], lex)[0]
+        for tile in (1, 3, 7, 50):
+            found = []
+            for a in range(0, len(s), tile):
+                for b in range(0, len(t), tile):
+                    i, j, *gains = align._places(align.Scores([s[max(0, a - 1) : a + tile]], [t[max(0, b - 1) : b + tile]], ["a-b"], lex, crowded), int(a > 0), int(b > 0))
+                    found.append((i + a, j + b, *gains))
+            places = [np.concatenate(x)[::-1] for x in zip(*found)]
+            got = align.place_links(*places) if len(places[0]) else []
+            assert [x[:2] for x in got] == [x[:2] for x in wanted] and np.allclose([x[2] for x in got], [x[2] for x in wanted], atol=1e-5), (seed, tile)
+
+
 def test_scores_by_brute_force():
     from quire.llm.lexicon import CELLS, Lexicon, Strengths
 
