@@ -37,6 +37,8 @@ NEEDED, MERGE_COST, LOOSE_GAIN = 0.34, 0.12, 0.30
 CROWD = 0.6
 #: Documents with more sentences on a side are scored in tiles of TILE originals by TILE translations.
 WINDOW, TILE = 400, 500
+#: Where there are long documents, training goes on while its pairs grow in number by more than this.
+GROWTH = 1.02
 #: Pairs of tiles for a task, as long as that makes no more tasks than this.
 TILES_PER_TASK, MOST_TASKS = 50, 20_000
 #: What a second partner must add to the first one's gain, and the least gain it may have on its own.
@@ -515,10 +517,15 @@ def align(lines: DataFrame, window: int = WINDOW) -> DataFrame:
     share = lambda lex: spark.sparkContext.broadcast(Strengths.of(lex))
     first = share(lexicon.train(_by_length(first_docs, ratios)))
     tiles = materialize(_tiles(long)) if total else None
-    pairs = _by_words(docs, first, True)
-    if total:
-        pairs = pairs.unionByName(_whole(long, tiles, first).filter((F.col("gain") > LOOSE_GAIN) & F.col("alone")).select("pair", "s", "t"))
-    second = share(lexicon.train(pairs))
+    second, known, grown = first, 0, True
+    while grown:
+        pairs = _by_words(docs, second, True)
+        if total:
+            # Of long documents length alone gives few pairs that are right; each round finds more of them.
+            pairs = materialize(pairs.unionByName(_whole(long, tiles, second).filter((F.col("gain") > LOOSE_GAIN) & F.col("alone")).select("pair", "s", "t")))
+        second = share(lexicon.train(pairs, lasting=bool(total)))
+        found = pairs.count() if total else 0
+        grown, known = found > GROWTH * known, found
     links = _by_words(docs, second, False)
     if total:
         found = _whole(long, tiles, second).groupBy("doc_id", "original_seq", "translation_seq").agg(F.max("gain").alias("gain"))

@@ -284,6 +284,15 @@ def test_long_documents_without_rare_words(spark):
         assert len(found & real) >= 0.97 * max(len(found), len(real)), (doc, len(found), len(real), len(found & real))
 
 
+def test_a_long_document_alone_trains_on_itself(spark):
+    r = random.Random(7)
+    vocabulary = sorted({"".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(1500)})
+    data, truth = _parallel(r, vocabulary, 1, 1600, [i for i in range(1600) if not 200 <= i < 400 and r.random() > 0.03])
+    df = spark.createDataFrame(data, "doc_id bigint, seq int, original string, translation string, source_lang string, target_lang string")
+    got = {tuple(x) for x in align.align(df).select("doc_id", "original_seq", "translation_seq").collect()}
+    assert len(got & truth) >= 0.97 * max(len(got), len(truth)), (len(got), len(truth), len(got & truth))
+
+
 def test_tiles_give_the_links_of_whole_documents():
     from quire.llm.lexicon import CELLS, Lexicon, Strengths
 
